@@ -46,7 +46,7 @@ def to_double(c: Column) -> Column:
 
 def repaired_text(c: Column) -> Column:
     """Undo spacing, symbols, units and separators of a hand-written number."""
-    v = F.regexp_replace(c, "[  ]", "")
+    v = F.regexp_replace(c, r"[\u00a0\u202f]", "")
     v = strip(F.regexp_replace(v, "[€$£%]", ""))
     v = F.regexp_replace(v, r"(?i)(\d)\s*(h|j|min)$", "$1")
     last_dot = F.instr(F.reverse(v), ".")
@@ -60,7 +60,7 @@ def repaired_text(c: Column) -> Column:
         .when(v.rlike(r"^\d{1,3},\d{3}$"), F.replace(v, F.lit(",")))
         .otherwise(F.replace(v, F.lit(","), F.lit(".")))
     )
-    return F.regexp_replace(v, r"(\d)\s+(?=\d)", "$1")
+    return F.regexp_replace(v, r"(\d)\s+(\d)", "$1$2")
 
 
 def coerce_number(c: Column) -> Column:
