@@ -44,6 +44,13 @@ def adjusted_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows where both are present; null when either is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def wilson(k: Column, n: Column, z: float = WILSON_Z) -> tuple[Column, Column]:
     """Wilson interval of k successes in n trials; (0, 0) for n = 0."""
     k, n = k.cast("double"), n.cast("double")

@@ -13,15 +13,15 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Date formats in the order they are tried. Both slash conventions are listed;
 # a column uses one of them, see `slash_is_month_first`.
 DATE_FORMATS = (
-    ("%Y-%m-%d", r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    ("%Y/%m/%d", r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    ("%d/%m/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    ("%m/%d/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    ("%d-%m-%Y", r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    ("%d.%m.%Y", r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    ("%d %b %Y", r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    ("%d %B %Y", r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
-    ("%Y%m%d", r"^\d{8}$", "yyyyMMdd"),
+    ("%Y-%m-%d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("%Y/%m/%d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("%d/%m/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("%m/%d/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("%d-%m-%Y", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("%d.%m.%Y", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("%d %b %Y", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("%d %B %Y", r"^\d{1,2} [A-Za-z]{4,} \d{4}$"),
+    ("%Y%m%d", r"^\d{8}$"),
 )
 
 
@@ -40,70 +40,73 @@ def is_marker(c: Column) -> Column:
 
 
 def to_double(c: Column) -> Column:
-    """Number in plain decimal notation, else null."""
-    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
-
-
-def repaired_text(c: Column) -> Column:
-    """Undo spacing, symbols, units and separators of a hand-written number."""
-    v = F.regexp_replace(c, r"[\u00a0\u202f]", "")
-    v = strip(F.regexp_replace(v, "[€$£%]", ""))
-    v = F.regexp_replace(v, r"(?i)(\d)\s*(h|j|min)$", "$1")
-    last_dot = F.instr(F.reverse(v), ".")
-    last_comma = F.instr(F.reverse(v), ",")
-    v = (
-        F.when((last_dot > 0) & (last_comma > 0) & (last_dot < last_comma), F.replace(v, F.lit(",")))
-        .when(
-            (last_dot > 0) & (last_comma > 0),
-            F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit(".")),
-        )
-        .when(v.rlike(r"^\d{1,3},\d{3}$"), F.replace(v, F.lit(",")))
-        .otherwise(F.replace(v, F.lit(","), F.lit(".")))
-    )
-    return F.regexp_replace(v, r"(\d)\s+(\d)", "$1$2")
+    """Number in plain decimal notation, else null (no match extracts "", which casts to null)."""
+    return F.regexp_extract(c, NUMBER_PATTERN, 0).try_cast("double")
+
+
+# Repair of a hand-written number, one rewrite after the other. Each step reads its input once,
+# so the expression stays linear in size.
+REPAIRS = (
+    (r"[  ]", ""),  # no-break spaces
+    (r"[€$£%]", ""),  # symbols
+    (r"(?U)^\s+|\s+$", ""),
+    (r"(?i)(\d)\s*(?:h|j|min)$", "$1"),  # unit after the last digit
+    (r"(?s),(?=.*\.[^,.]*$)", ""),  # last separator is a point: commas are thousands
+    (r"^(\d{1,3}),(\d{3})$", "$1$2"),  # single comma before exactly three digits: thousands
+    (r"(?s)\.(?=.*,[^,.]*$)", ""),  # last separator is a comma: points are thousands
+    (",", "."),  # any comma left is decimal
+    (r"(\d)\s+(\d)", "$1$2"),  # spaces between digits
+)
 
 
-def coerce_number(c: Column) -> Column:
-    """Text to struct(value double, status); status says how the value was obtained."""
-    stripped = strip(c)
-    direct = to_double(stripped)
-    repaired = to_double(repaired_text(stripped))
-    missing = c.isNull() | is_marker(c)
-    status = (
-        F.when(missing, "manquant")
-        .when(direct.isNotNull(), "direct")
-        .when(repaired.isNotNull(), "repare")
+def number(c: Column) -> Column:
+    """Number after repair; a plain number passes the repairs unchanged."""
+    v = strip(c)
+    for pattern, replacement in REPAIRS:
+        v = F.regexp_replace(v, pattern, replacement)
+    return to_double(v)
+
+
+def coercion_status(c: Column) -> Column:
+    """How `number` gets its value: direct, repare, manquant or irrecuperable."""
+    return (
+        F.when(c.isNull() | is_marker(c), "manquant")
+        .when(strip(c).rlike(NUMBER_PATTERN), "direct")
+        .when(number(c).isNotNull(), "repare")
         .otherwise("irrecuperable")
     )
-    value = F.when(~missing, F.coalesce(direct, repaired))
-    return F.struct(value.alias("value"), status.alias("status"))
-
-
-def number(c: Column) -> Column:
-    return coerce_number(c)["value"]
 
 
-def date_candidates(c: Column, month_first: Column) -> list[tuple[str, Column]]:
-    """(format, parsed date or null) in cascade order; `month_first` picks the slash reading."""
-    text = strip(c)
-    out = []
-    for name, shape, pattern in DATE_FORMATS:
-        allowed = text.rlike(shape)
-        if name == "%m/%d/%Y":
-            allowed = allowed & month_first
-        elif name == "%d/%m/%Y":
-            allowed = allowed & ~month_first
-        parsed = F.when(allowed, F.try_to_timestamp(text, F.lit(pattern))).cast("date")
-        out.append((name, parsed))
-    return out
+def coerce_number(c: Column) -> Column:
+    """Text to struct(value double, status)."""
+    return F.struct(number(c).alias("value"), coercion_status(c).alias("status"))
 
 
 def parse_date(c: Column, month_first: Column | None = None) -> Column:
-    flag = F.lit(False) if month_first is None else month_first
-    return F.coalesce(*[d for _, d in date_candidates(c, flag)])
-
-
-def date_format_used(c: Column, month_first: Column | None = None) -> Column:
-    flag = F.lit(False) if month_first is None else month_first
-    pairs = date_candidates(c, flag)
-    return F.coalesce(*[F.when(d.isNotNull(), F.lit(name)) for name, d in pairs])
+    """Date of a value in any of DATE_FORMATS; numeric shapes are rewritten to one first."""
+    slash = F.lit("$3-$2-$1")
+    if month_first is not None:
+        slash = F.when(month_first, F.lit("$3-$1-$2")).otherwise(slash)
+    t = strip(c)
+    for pattern, replacement in (
+        (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", F.lit("$1-$2-$3")),
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", slash),
+        (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", F.lit("$3-$2-$1")),
+        (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", F.lit("$3-$2-$1")),
+        (r"^(\d{4})(\d{2})(\d{2})$", F.lit("$1-$2-$3")),
+    ):
+        t = F.regexp_replace(t, F.lit(pattern), replacement)
+    return F.coalesce(
+        *[F.try_to_timestamp(t, F.lit(p)) for p in ("yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")]
+    ).cast("date")
+
+
+def date_format_used(c: Column, month_first: bool = False) -> Column:
+    """Name of the format that reads a value, null when none does."""
+    t = strip(c)
+    named = F.lit(None).cast("string")
+    for name, shape in reversed(DATE_FORMATS):
+        if name == ("%d/%m/%Y" if month_first else "%m/%d/%Y"):
+            continue
+        named = F.when(t.rlike(shape), F.lit(name)).otherwise(named)
+    return F.when(parse_date(c, F.lit(month_first)).isNotNull(), named)

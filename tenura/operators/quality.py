@@ -58,12 +58,11 @@ def profile(df: DataFrame, top: int = 3, numeric_share: float = 0.80) -> DataFra
     )
     counts = long.groupBy("colonne", "valeur").agg(F.count("*").alias("n"))
     filled = F.col("valeur").isNotNull()
-    parsed = text.coerce_number(F.col("valeur"))
     counts = counts.withColumns(
         {
             "nombre": F.when(F.col("colonne").isin(*numeric), F.col("valeur").cast("double"))
-            .when(F.col("colonne").isin(*textual), parsed["value"]),
-            "marqueur": F.col("colonne").isin(*textual) & (parsed["status"] == "manquant"),
+            .when(F.col("colonne").isin(*textual), text.number(F.col("valeur"))),
+            "marqueur": F.col("colonne").isin(*textual) & text.is_marker(F.col("valeur")),
         }
     )
     per = counts.groupBy("colonne").agg(
@@ -160,7 +159,7 @@ def coerce_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def coercion_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts of the four coercion statuses per column, in one aggregate."""
     present = [c for c in columns if c in df.columns]
-    states = df.select(*[text.coerce_number(F.col(c))["status"].alias(c) for c in present])
+    states = df.select(*[text.coercion_status(F.col(c)).alias(c) for c in present])
 
     def counts(c: str) -> Column:
         return F.struct(
@@ -177,11 +176,10 @@ def coercion_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_text_columns(df: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(colonne, part_numerique, numerique) for text columns, measured after repair."""
     columns = [c for c in df.columns if is_text(df, c)]
-    parsed = df.select(*[text.coerce_number(F.col(c)).alias(c) for c in columns])
-    wide = parsed.agg(
+    wide = df.agg(
         *[
             F.try_divide(
-                F.count(F.col(c)["value"]), F.count_if(F.col(c)["status"] != "manquant")
+                F.count(text.number(F.col(c))), F.count_if(~text.is_marker(F.col(c)))
             ).alias(c)
             for c in columns
         ]
@@ -247,11 +245,11 @@ def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def date_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per text column; both slash readings are counted, the right one kept."""
-    names = [name for name, _, _ in text.DATE_FORMATS]
+    names = [name for name, _ in text.DATE_FORMATS]
 
     def measured(c: str) -> Column:
-        day_first = text.date_format_used(F.col(c), F.lit(False))
-        month_first = text.date_format_used(F.col(c), F.lit(True))
+        day_first = text.date_format_used(F.col(c), month_first=False)
+        month_first = text.date_format_used(F.col(c), month_first=True)
         filled = text.strip(F.col(c)) != ""
         return F.struct(
             _slash_counts(F.col(c)).alias("s"),
@@ -322,9 +320,7 @@ def impossible_rules(
             rules.append((f"{c} hors [{low}, {high}]", c, (num(c) < low) | (num(c) > high)))
     if "churn" in have:
         rules.append(("churn hors {0, 1}", "churn", ~num("churn").isin(0.0, 1.0)))
-    for c in df.columns:
-        if c.lower() in POSITIVE_COLUMNS or c.lower().startswith(POSITIVE_PREFIXES):
-            rules.append((f"{c} < 0", c, num(c) < 0))
+    rules += [(f"{c} < 0", c, num(c) < 0) for c in positive_columns(df.columns)]
     for low, high in (
         ("utilisateurs_actifs", "sieges_souscrits"),
         ("fonctionnalites_utilisees", "fonctionnalites_total"),
@@ -450,16 +446,20 @@ def tenure_gaps(df: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def cap_impossible_values(df: DataFrame) -> DataFrame:
+def positive_columns(columns: Sequence[str]) -> list[str]:
+    return [
+        c for c in columns if c.lower() in POSITIVE_COLUMNS or c.lower().startswith(POSITIVE_PREFIXES)
+    ]
+
+
+def cap_impossible_values(df: DataFrame, positive: Sequence[str] | None = None) -> DataFrame:
     """Negatives to 0, adoption rate to [0, 100], users to at most seats; null stays null."""
-    capped: dict[str, Column] = {}
-    for c in df.columns:
-        if c.lower() in POSITIVE_COLUMNS or c.lower().startswith(POSITIVE_PREFIXES):
-            capped[c] = maths.clip(as_number(df, c), low=0)
+    floored = positive_columns(df.columns) if positive is None else list(positive)
+    capped = {c: maths.clip(as_number(df, c), low=0) for c in floored}
     if "taux_adoption_pct" in df.columns:
         capped["taux_adoption_pct"] = maths.clip(as_number(df, "taux_adoption_pct"), 0, 100.0)
     if {"utilisateurs_actifs", "sieges_souscrits"} <= set(df.columns):
-        seats = maths.clip(as_number(df, "sieges_souscrits"), low=0)
+        seats = capped.get("sieges_souscrits", as_number(df, "sieges_souscrits"))
         users = maths.clip(as_number(df, "utilisateurs_actifs"), low=0)
         capped["utilisateurs_actifs"] = maths.clip(users, high=seats)
     return df.withColumns(capped)
@@ -477,9 +477,9 @@ def binary_association(df: DataFrame, mask: Column, other: str) -> DataFrame:
     """One row `force`: |point-biserial r| for a number, Cramér's V for a category."""
     flagged = df.select(mask.cast("int").alias("m"), F.col(other).alias("o")).where("o IS NOT NULL")
     if is_numeric(df, other):
-        r = F.abs(F.corr("m", F.col("o").cast("double")))
+        r = F.abs(maths.pearson(F.col("m"), F.col("o")))
         ok = (F.count("*") >= 10) & (F.min("m") != F.max("m"))
-        return flagged.agg(F.coalesce(F.when(ok, maths.nan_to_null(r)), F.lit(0.0)).alias("force"))
+        return flagged.agg(F.coalesce(F.when(ok, r), F.lit(0.0)).alias("force"))
     levels = flagged.groupBy("o").agg(F.count("*").alias("n"), F.sum("m").alias("pos"))
     v = primitives.chi_square_binary(levels, [], yates=False)
     return v.select(F.when(F.col("n") >= 10, F.col("v_cramer")).otherwise(0.0).alias("force"))
@@ -562,7 +562,7 @@ def missingness_report(
         return F.struct(
             F.lit(c).alias("colonne"),
             F.lit(o).alias("autre"),
-            F.coalesce(F.when(ok, maths.nan_to_null(F.abs(F.corr(g, x)))), F.lit(0.0)).alias(
+            F.coalesce(F.when(ok, F.abs(maths.pearson(g, x))), F.lit(0.0)).alias(
                 "force"
             ),
         )

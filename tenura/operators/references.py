@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values: (plan, price per seat, included features, SLA hours, storage GB, dedicated support).
 PLANS = (
-    ("Starter", 20, 10, 48, 10, "non"),
-    ("Pro", 45, 20, 24, 50, "non"),
-    ("Business", 80, 35, 8, 200, "oui"),
-    ("Enterprise", 120, 50, 4, 1000, "oui"),
+    ("Starter", 15, 10, 24, 50, "non"),
+    ("Pro", 30, 20, 12, 250, "non"),
+    ("Business", 50, 30, 8, 1000, "oui"),
+    ("Enterprise", 80, 40, 4, 2000, "oui"),
 )
 PLAN_COLUMNS = (
     "plan",

@@ -24,5 +24,5 @@ def build_gold(
     if check_key is not None:
         quality.assert_unique_key(cleaned, check_key)
     typed = quality.parse_dates(quality.coerce_numeric_columns(cleaned, numeric), dates)
-    capped = quality.cap_impossible_values(typed)
+    capped = quality.cap_impossible_values(typed, positive=())
     return features.request_features(capped, catalogue)

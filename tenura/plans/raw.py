@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tenura.params import MISSING_MARKERS
 from tenura.plans.accounts import accounts, accounts_sql
-from tenura.sources.tables import table  # noqa: F401
 
 NUMBERS = (
     "anciennete_mois",
@@ -63,7 +62,7 @@ def raw_accounts(spark: SparkSession, folder: str) -> DataFrame:
         mrr >= 100000,
         F.concat(
             F.floor(mrr / 100000).cast("string"),
-            F.lit(" "),
+            F.lit("\u00a0"),
             F.lpad((F.floor(mrr / 100) % 1000).cast("string"), 3, "0"),
             F.lit("."),
             F.lpad((mrr % 100).cast("string"), 2, "0"),
@@ -86,7 +85,7 @@ def raw_accounts(spark: SparkSession, folder: str) -> DataFrame:
         "taux_adoption_pct": F.when(rate.isNull(), "n/a")
         .when(k % 20 < 6, _fixed(rate, ","))
         .when(k % 20 < 10, F.concat(_fixed(rate), F.lit(" %")))
-        .when(k % 20 == 10, F.concat(_fixed(rate + 10000)))
+        .when(k % 20 == 10, _fixed(rate + 10000))
         .otherwise(_fixed(rate)),
         "heures_usage_30j": F.when(hours.isNull(), "-")
         .when(k % 5 == 0, F.concat(_fixed(hours), F.lit(" h")))
