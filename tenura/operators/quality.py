@@ -537,39 +537,52 @@ def missingness_report(
     gap = lambda c: F.col(c).isNull().cast("int")
     y = F.coalesce(F.col(target).cast("int"), F.lit(0))
 
-    def link(c: str) -> Column:
-        miss = gap(c)
-        return F.struct(
+    gappy = [c for c in columns if df.schema[c].nullable]
+    miss = F.col("g")
+    links = (
+        df.select(y.alias("y"), F.col(target).cast("double").alias("t"),
+                  *[gap(c).alias(c) for c in gappy])
+        .unpivot(["y", "t"], gappy, "colonne", "g")
+        .groupBy("colonne")
+        .agg(
             F.count("*").alias("n"),
             F.sum(miss).alias("n_miss"),
-            F.sum(y).alias("pos"),
-            F.sum(miss * y).alias("pos_miss"),
-            F.avg(F.when(miss == 1, F.col(target).cast("double"))).alias("rate_miss"),
-            F.avg(F.when(miss == 0, F.col(target).cast("double"))).alias("rate_full"),
-        ).alias(c)
-
-    links = (
-        df.agg(*[link(c) for c in columns])
-        .unpivot([], columns, "colonne", "m")
-        .select("colonne", "m.*")
+            F.sum("y").alias("pos"),
+            F.sum(miss * F.col("y")).alias("pos_miss"),
+            F.avg(F.when(miss == 1, F.col("t"))).alias("rate_miss"),
+            F.avg(F.when(miss == 0, F.col("t"))).alias("rate_full"),
+        )
         .where("n_miss > 0")
     )
-
-    def strength(c: str, o: str) -> Column:
-        filled = F.col(o).isNotNull()
-        g, x = F.when(filled, gap(c)), F.col(o).cast("double")
-        ok = (F.count(g) >= 10) & (F.min(g) != F.max(g))
-        return F.struct(
-            F.lit(c).alias("colonne"),
-            F.lit(o).alias("autre"),
-            F.coalesce(F.when(ok, F.abs(maths.pearson(g, x))), F.lit(0.0)).alias(
-                "force"
-            ),
+    # point-biserial r from group means: (m1 - m0) / s * sqrt(n1 n0) / n
+    moments = (
+        df.select(*[gap(c).alias(f"_gap_{c}") for c in gappy],
+                  *[F.col(c).cast("double").alias(c) for c in numeric])
+        .unpivot([f"_gap_{c}" for c in gappy], list(numeric), "autre", "x")
+        .where("x IS NOT NULL")
+        .groupBy("autre")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("x").alias("sx"),
+            F.stddev_pop("x").alias("sd"),
+            *[
+                F.struct(
+                    F.sum(f"_gap_{c}").alias("n1"),
+                    F.sum(F.col("x") * F.col(f"_gap_{c}")).alias("s1"),
+                ).alias(c)
+                for c in gappy
+            ],
         )
-
-    gappy = [c for c in columns if df.schema[c].nullable]
-    pairs = [strength(c, o) for c in gappy for o in numeric if o != c]
-    by_number = df.agg(F.array(*pairs).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+        .unpivot(["autre", "n", "sx", "sd"], gappy, "colonne", "m")
+        .select("*", "m.*")
+    )
+    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
+    shift = F.try_divide("s1", n1) - F.try_divide(F.col("sx") - F.col("s1"), n0)
+    r = F.try_divide(F.abs(shift) * F.sqrt(n1.cast("double") * n0), F.col("n") * F.col("sd"))
+    by_number = moments.select(
+        "colonne", "autre",
+        F.coalesce(F.when(F.col("n") >= 10, r), F.lit(0.0)).alias("force"),
+    )
     levels = (
         df.select(
             *[gap(c).alias(f"_gap_{c}") for c in gappy],
