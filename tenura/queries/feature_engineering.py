@@ -77,10 +77,6 @@ CHAIN = (
 )
 
 
-def float_columns(df):
-    return [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
-
-
 @query(
     "rebuild_adoption_rate",
     f"{ACC} SELECT client_id, {REBUILT} AS taux_adoption_pct FROM accounts",
@@ -115,11 +111,9 @@ def adoption_consistency(spark, folder):
 
 
 @query("business_features", f"""{ACC} SELECT client_id, {", ".join(
-    f"round({e}, 9) AS {c}" if c not in ("compte_dormant", "tranche_anciennete", "tranche_integrations")
-    and not c.endswith("_manquant") else f"{e} AS {c}" for c, e in FEATURES.items())} FROM accounts""")
+    f"{e} AS {c}" for c, e in FEATURES.items())} FROM accounts""")
 def business_features(spark, folder):
-    out = features.business_features(accounts(spark, folder)).select("client_id", *FEATURES)
-    return rounded(out, *float_columns(out), digits=9)
+    return features.business_features(accounts(spark, folder)).select("client_id", *FEATURES)
 
 
 @query(
@@ -149,14 +143,13 @@ def gap_to_group_reference(spark, folder):
 @query(
     "join_catalogue",
     f"{ACC} SELECT client_id, prix_mensuel_par_siege_eur, sla_reponse_h, support_dedie, "
-    f"{CATALOGUE_EXTRA.replace('1 - CASE', 'round(1 - CASE').replace('END AS remise', 'END, 9) AS remise')} "
-    f"FROM accounts {PLAN_JOIN}",
+    f"{CATALOGUE_EXTRA} FROM accounts {PLAN_JOIN}",
 )
 def join_catalogue(spark, folder):
     out = features.join_catalogue(accounts(spark, folder), references.catalogue(spark))
     kept = ("client_id", "prix_mensuel_par_siege_eur", "sla_reponse_h", "support_dedie",
             "remise_consentie", "adequation_plan")
-    return rounded(out.select(*kept), "remise_consentie", digits=9)
+    return out.select(*kept)
 
 
 @query("enrich_by_sector", f"{ACC} SELECT client_id, {SECTOR_EXTRA} FROM accounts {SECTOR_JOIN}")
@@ -191,18 +184,12 @@ _GOLD_BASE = (
     )
     + f" FROM typed), base AS (SELECT * REPLACE ({REBUILT} AS taux_adoption_pct) FROM capped)"
 )
-_GOLD_FLOATS = [*NUMBERS, *[c for c, e in FEATURES.items() if "CASE WHEN" in e and "tranche" not in c],
-                "remise_consentie", "ecart_adoption_secteur"]
-
-
 @query(
     "build_gold",
-    _GOLD_BASE + f", gold AS ({CHAIN}) SELECT * REPLACE ("
-    + ", ".join(f"round({c}, 9) AS {c}" for c in _GOLD_FLOATS) + ") FROM gold",
+    _GOLD_BASE + f" {CHAIN}",
 )
 def gold(spark, folder):
-    out = build_gold(raw_accounts(spark, folder), references.catalogue(spark))
-    return rounded(out, *_GOLD_FLOATS, digits=9)
+    return build_gold(raw_accounts(spark, folder), references.catalogue(spark))
 
 
 @query(
@@ -286,26 +273,26 @@ def skewed_columns(spark, folder):
     ACC + ", tr AS (SELECT * FROM accounts WHERE k % 5 <> 0), s AS (SELECT "
     + ", ".join(f"count(DISTINCT {c}) > 2 AND skewness({c}) > 1 AS {c}" for c in _SKEWED)
     + " FROM tr) SELECT client_id, " + ", ".join(
-        f"round(CASE WHEN s.{c} THEN sign(a.{c}) * ln(1 + abs(a.{c})) ELSE CAST(a.{c} AS DOUBLE) END, 6) AS {c}"
+        f"CASE WHEN s.{c} THEN round(sign(a.{c}) * ln(1 + abs(a.{c})), 6) ELSE CAST(a.{c} AS DOUBLE) END AS {c}"
         for c in _SKEWED
     ) + " FROM accounts a, s",
 )
 def signed_log_skewed(spark, folder):
     train, df = _learned(spark, folder)
-    out = features.signed_log_skewed(train, df, _SKEWED)
-    return out.select("client_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in _SKEWED])
+    out = features.signed_log_skewed(train, df, _SKEWED).select("client_id", *_SKEWED)
+    logged = ("derniere_connexion_jours", "tickets_support_90j", "nb_integrations")
+    return rounded(out, *logged).withColumns({c: F.col(c).cast("double") for c in _SKEWED})
 
 
 @query(
     "impute_by_median",
-    ACC + """ SELECT client_id, round(coalesce(revenu_mensuel_recurrent_eur,
-      (SELECT quantile_cont(revenu_mensuel_recurrent_eur, 0.5) FROM accounts)), 6) AS revenu_mensuel_recurrent_eur
+    ACC + """ SELECT client_id, coalesce(revenu_mensuel_recurrent_eur,
+      (SELECT quantile_cont(revenu_mensuel_recurrent_eur, 0.5) FROM accounts)) AS revenu_mensuel_recurrent_eur
     FROM accounts""",
 )
 def impute_by_median(spark, folder):
     df = accounts(spark, folder).select("client_id", "revenu_mensuel_recurrent_eur")
-    out = features.impute_by_median(df, "revenu_mensuel_recurrent_eur", n_rows=size(spark, folder))
-    return rounded(out, "revenu_mensuel_recurrent_eur")
+    return features.impute_by_median(df, "revenu_mensuel_recurrent_eur", n_rows=size(spark, folder))
 
 
 _MODEL = [*NUMERIC, "secteur", "pays", "taille_entreprise", "plan"]
@@ -314,17 +301,11 @@ _MODEL = [*NUMERIC, "secteur", "pays", "taille_entreprise", "plan"]
 @query(
     "prepare_features",
     f"{ACC}, base AS (SELECT * REPLACE ({REBUILT} AS taux_adoption_pct) FROM accounts) "
-    f"SELECT k, {', '.join(f'round({c}, 9) AS {c}' if c in ('taux_adoption_pct', 'heures_usage_30j', 'delai_reponse_support_h', 'revenu_mensuel_recurrent_eur') else c for c in _MODEL)}, "
-    + ", ".join(
-        f"round({e}, 9) AS {c}" if "tranche" not in c and "manquant" not in c and "dormant" not in c else f"{e} AS {c}"
-        for c, e in FEATURES.items()
-    )
-    + " FROM base",
+    f"SELECT k, {', '.join(_MODEL)}, {FEATURE_LIST} FROM base",
 )
 def prepare_features(spark, folder):
     df = accounts(spark, folder).drop("p", "t0")
-    out = features.prepare_features(df, SUSPECTED_DECOYS)
-    return rounded(out, *float_columns(out), digits=9)
+    return features.prepare_features(df, SUSPECTED_DECOYS)
 
 
 @query(
@@ -351,20 +332,16 @@ def rule_baseline(spark, folder):
 
 
 _REQUEST = [name for name, *_ in quality.REQUEST_CONTRACT]
-_REQUEST_FLOATS = ["taux_adoption_pct", "heures_usage_30j", "delai_reponse_support_h", "revenu_mensuel_recurrent_eur",
-                   *_GOLD_FLOATS[len(NUMBERS):]]
 
 
 @query(
     "request_features",
     f"{ACC}, base AS (SELECT client_id, {', '.join(REBUILT + ' AS taux_adoption_pct' if c == 'taux_adoption_pct' else c for c in _REQUEST)} "
-    f"FROM accounts), g AS ({CHAIN}) SELECT * REPLACE ("
-    + ", ".join(f"round({c}, 9) AS {c}" for c in _REQUEST_FLOATS) + ") FROM g",
+    f"FROM accounts) {CHAIN}",
 )
 def request_features(spark, folder):
     requests = accounts(spark, folder).select("client_id", *_REQUEST)
-    out = features.request_features(requests, references.catalogue(spark))
-    return rounded(out, *_REQUEST_FLOATS, digits=9)
+    return features.request_features(requests, references.catalogue(spark))
 
 
 _EMPTY = sorted(f for f in quality.NULLABLE_FIELDS if f not in quality.RECOMPUTED_FIELDS)
@@ -390,7 +367,7 @@ def imputed_fields(spark, folder):
       CASE WHEN tickets_support_90j > 5 THEN 'volume élevé de tickets (' || tickets_support_90j || ' sur 90 jours)' END,
       CASE WHEN fonctionnalites_utilisees / CAST(fonctionnalites_total AS DOUBLE) < 0.33 THEN
         'couverture fonctionnelle faible (' || CAST(round_even(100 * (fonctionnalites_utilisees
-          / CAST(fonctionnalites_total AS DOUBLE)), 0) AS BIGINT) || '%)' END], x -> x IS NOT NULL) AS l FROM accounts)
+          / CAST(fonctionnalites_total AS DOUBLE)), 0) AS BIGINT) || '%)' END], lambda x: x IS NOT NULL) AS l FROM accounts)
     SELECT client_id, CASE WHEN len(l) > 0 THEN array_to_string(l[1:3], ' | ')
       ELSE 'aucun signal négatif identifié' END AS signaux FROM s""",
 )

@@ -32,7 +32,7 @@ def canonical(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NaN"
-        return 0.0 if value == 0 else float(f"{value:.12g}")
+        return 0.0 if value == 0 else value
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, datetime.date):
