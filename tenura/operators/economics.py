@@ -266,6 +266,59 @@ def attributable_gain(
     )
 
 
+def _yearly(
+    df: DataFrame, k: int, months: int, eco: Economics, rates: Sequence[float]
+) -> DataFrame:
+    """(taux_succes, mois, ...) for every rate, from one ranking per side.
+
+    The model's order does not depend on the rate, only its positive cut does, and the cut
+    keeps a prefix, so ranks stay valid.
+    """
+    side = F.broadcast(_rates(df, rates))
+    month = F.ceil(F.col("rang") / k)
+    scored = df.withColumn("_v", F.col("p") * F.col("mrr"))
+    model = top_k(scored.where("_v > 0"), ["_v", "id"], k * months, ["_v"]).crossJoin(side)
+    model = model.where(
+        expected_value(F.col("p"), F.col("mrr"), eco, success=F.col("taux_succes")) > 0
+    )
+    reference = top_k(scored, ["mrr", "id"], k * months, ["mrr"]).crossJoin(side)
+    kept = model.withColumn("_side", F.lit("modele")).unionByName(
+        reference.withColumn("_side", F.lit("reference"))
+    )
+    per = (
+        kept.withColumn("mois", month)
+        .groupBy("taux_succes", "mois")
+        .agg(
+            *[
+                f(F.when(F.col("_side") == name, c)).alias(f"{what}_{name}")
+                for name in ("modele", "reference")
+                for what, f, c in (
+                    ("n", F.count, F.lit(1)),
+                    ("n_churners", F.sum, F.col("y").cast("bigint")),
+                    ("cov", F.sum, (F.col("mrr") * F.col("y")).cast("decimal(28,6)")),
+                )
+            ]
+        )
+    )
+    calendar = df.sparkSession.range(1, months + 1).withColumnRenamed("id", "mois")
+    filled = side.crossJoin(calendar).join(per, ["taux_succes", "mois"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+
+    def gain(name: str, share: Column) -> Column:
+        saved = zero(f"cov_{name}").cast("double") * share * eco.revenue_multiple
+        return saved * F.col("taux_succes") - zero(f"n_{name}") * eco.action_cost
+
+    present = 1.0 - (F.col("mois") - 1) / float(months)
+    one = F.lit(1.0)
+    return filled.select(
+        "taux_succes",
+        "mois",
+        *[zero(f"n_churners_{n}").alias(f"n_churners_{n}") for n in ("modele", "reference")],
+        *[gain(n, one).alias(f"gain_net_{n}") for n in ("modele", "reference")],
+        *[gain(n, present).alias(f"etale_{n}") for n in ("modele", "reference")],
+    )
+
+
 def gain_over_year(
     df: DataFrame,
     k: int | None = None,
@@ -275,51 +328,48 @@ def gain_over_year(
     spread: bool = False,
 ) -> DataFrame:
     """Month m takes ranks (m-1)k+1..mk of one ranking; model against revenue order."""
-    k = eco.capacity if k is None else k
-    month = F.ceil(F.col("rang") / k)
-    share = (1.0 - (F.col("mois") - 1) / float(months)) if spread else None
-
-    def monthly(ranking: str, name: str) -> DataFrame:
-        chosen = _selection(df, ranking, k * months, eco, success).withColumn("mois", month)
-        return _balance(chosen, eco, success, keys=["mois"], presence=share).select(
-            "mois",
-            F.col("n_churners").alias(f"n_churners_{name}"),
-            F.col("gain_net").alias(f"gain_net_{name}"),
-        )
-
-    calendar = df.sparkSession.range(1, months + 1).withColumnRenamed("id", "mois")
-    joined = (
-        calendar.join(monthly("valeur_attendue", "modele"), "mois", "left")
-        .join(monthly("mrr", "reference"), "mois", "left")
-        .na.fill(0)
-    )
+    rate = eco.success_rate if success is None else success
+    rows = _yearly(df, eco.capacity if k is None else k, months, eco, [rate])
+    prefix = "etale" if spread else "gain_net"
     gain = F.col("gain_net_modele") - F.col("gain_net_reference")
     upto = Window.orderBy("mois").rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("gain_attribuable", gain).withColumn(
-        "gain_attribuable_cumule", F.sum("gain_attribuable").over(upto)
+    return (
+        rows.select(
+            "mois",
+            "n_churners_modele",
+            "n_churners_reference",
+            F.col(f"{prefix}_modele").alias("gain_net_modele"),
+            F.col(f"{prefix}_reference").alias("gain_net_reference"),
+        )
+        .withColumn("gain_attribuable", gain)
+        .withColumn("gain_attribuable_cumule", F.sum("gain_attribuable").over(upto))
     )
 
 
 def yearly_attributable(
-    df: DataFrame, k: int | None = None, eco: Economics = ECONOMICS,
+    df: DataFrame, k: int | None = None, months: int = 12, eco: Economics = ECONOMICS,
     rates: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row: first month, yearly sum, its range over rates, and the spread scenario."""
-    rates = list(eco.success_range if rates is None else rates)
-    base = gain_over_year(df, k, eco=eco)
-    spread = gain_over_year(df, k, eco=eco, spread=True).agg(
-        F.sum("gain_attribuable").alias("annuel_departs_etales")
-    )
-    per_rate = None
-    for r in rates:
-        one = gain_over_year(df, k, eco=eco, success=r).agg(F.sum("gain_attribuable").alias("a"))
-        per_rate = one if per_rate is None else per_rate.unionByName(one)
-    span = per_rate.agg(F.min("a").alias("annuel_min"), F.max("a").alias("annuel_max"))
-    year = base.agg(
-        F.max(F.when(F.col("mois") == 1, F.col("gain_attribuable"))).alias("premier_mois"),
-        F.sum("gain_attribuable").alias("annuel"),
-    )
-    return year.crossJoin(span).crossJoin(spread)
+    rates = [float(r) for r in (eco.success_range if rates is None else rates)]
+    rows = _yearly(
+        df, eco.capacity if k is None else k, months, eco, sorted({*rates, eco.success_rate})
+    )
+    gap = F.col("gain_net_modele") - F.col("gain_net_reference")
+    per = rows.groupBy("taux_succes").agg(
+        F.sum(F.when(F.col("mois") == 1, gap)).alias("premier"),
+        F.sum(gap).alias("annuel"),
+        F.sum(F.col("etale_modele") - F.col("etale_reference")).alias("etale"),
+    )
+    at = F.col("taux_succes") == eco.success_rate
+    inside = F.col("taux_succes").isin(rates)
+    return per.agg(
+        F.max(F.when(at, F.col("premier"))).alias("premier_mois"),
+        F.max(F.when(at, F.col("annuel"))).alias("annuel"),
+        F.min(F.when(inside, F.col("annuel"))).alias("annuel_min"),
+        F.max(F.when(inside, F.col("annuel"))).alias("annuel_max"),
+        F.max(F.when(at, F.col("etale"))).alias("annuel_departs_etales"),
+    )
 
 
 def gain_concentration(

@@ -26,16 +26,21 @@ def running_totals(
     keys: Sequence[str] = (),
     descending: Sequence[str] = (),
     n_rows: int | None = None,
+    previous: str | None = None,
 ) -> DataFrame:
     """Add inclusive running totals over `order` within `keys`.
 
-    `order` must be unique within `keys` for a reproducible result.
+    `order` must be unique within `keys` for a reproducible result. `previous` names a column
+    for the preceding value of the (single, ascending) order column.
     """
     ordering = _sort(order, descending)
     upto = (Window.unboundedPreceding, Window.currentRow)
     if sizing.fits_one_task(df, n_rows):
         frame = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(*upto)
-        return df.withColumns({name: F.sum(c).over(frame) for name, c in totals.items()})
+        added = {name: F.sum(c).over(frame) for name, c in totals.items()}
+        if previous is not None:
+            added[previous] = F.lag(order[0]).over(Window.partitionBy(*keys).orderBy(*ordering))
+        return df.withColumns(added)
 
     spark = df.sparkSession
     sizing.ensure_checkpoint_dir(spark)
@@ -49,14 +54,21 @@ def running_totals(
     )
     frame = Window.partitionBy(*keys, "_slice").orderBy(*ordering).rowsBetween(*upto)
     inside = sliced.withColumns({name: F.sum(c).over(frame) for name, c in totals.items()})
+    if previous is not None:
+        neighbour = Window.partitionBy(*keys, "_slice").orderBy(*ordering)
+        inside = inside.withColumn(previous, F.lag(order[0]).over(neighbour))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(upto[0], -1)
     offsets = (
         sliced.groupBy(*keys, "_slice")
-        .agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in totals.items()])
+        .agg(
+            *[F.sum(c).alias(f"_sum_{name}") for name, c in totals.items()],
+            F.max(order[0]).alias("_max"),
+        )
         .select(
             *[F.col(k).alias(f"_key_{k}") for k in keys],
             F.col("_slice").alias("_key__slice"),
             *[F.sum(f"_sum_{name}").over(before).alias(f"_before_{name}") for name in totals],
+            F.max("_max").over(before).alias("_max_before"),
         )
     )
     on = None
@@ -66,7 +78,10 @@ def running_totals(
     shifted = {
         name: F.coalesce(F.col(f"_before_{name}"), F.lit(0)) + F.col(name) for name in totals
     }
-    return inside.join(offsets, on).withColumns(shifted).select(*df.columns, *totals)
+    if previous is None:
+        return inside.join(offsets, on).withColumns(shifted).select(*df.columns, *totals)
+    shifted[previous] = F.coalesce(previous, "_max_before")
+    return inside.join(offsets, on).withColumns(shifted).select(*df.columns, *totals, previous)
 
 
 def row_ranks(

@@ -126,6 +126,13 @@ def rank_statistics(
     counts = present.groupBy(*keys, value).agg(
         F.sum(w).alias("n"), F.sum(w * F.col(target)).cast("bigint").alias("pos")
     )
+    return rank_statistics_of_counts(counts, value, keys, n_rows)
+
+
+def rank_statistics_of_counts(
+    counts: DataFrame, value: str, keys: Sequence[str] = (), n_rows: int | None = None
+) -> DataFrame:
+    """Same, from one row (keys, value, n, pos) per distinct value."""
     ranked = running_totals(
         counts, [value], {"neg_upto": F.col("n") - F.col("pos")}, keys, n_rows=n_rows
     )
