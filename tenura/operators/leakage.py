@@ -345,7 +345,9 @@ def decoy_verdict(
     screen: colonne, significatif_bh, max_redondance, variable_jumelle;
     permutation: colonne, ic95_haut; drop: colonne, delta_pr_auc, negligeable.
     """
-    joined = screen.join(
+    joined = screen.select(
+        "colonne", "significatif_bh", "max_redondance", "variable_jumelle"
+    ).join(
         permutation.select("colonne", "ic95_haut"), "colonne", "left"
     ).join(drop.select("colonne", "delta_pr_auc", "negligeable"), "colonne", "left")
     linked = maths.is_true(F.col("significatif_bh"))

@@ -6,7 +6,7 @@ function of the features. The DuckDB text of the same view is in `accounts_sql`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.params import DAYS_PER_MONTH
@@ -53,18 +53,12 @@ CATEGORICAL = ("secteur", "pays", "taille_entreprise", "plan")
 DECOYS = ("couleur_theme_interface", "code_datacenter", "groupe_experimentation")
 
 
-def _pick(index: Column, values: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _quoted(values: tuple[str, ...]) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
 
 
-def _spelling(c: Column, k: Column) -> Column:
-    """Four spellings of one label, by key."""
-    return (
-        F.when(k % 4 == 0, c)
-        .when(k % 4 == 1, F.lower(c))
-        .when(k % 4 == 2, F.concat(F.lit(" "), c))
-        .otherwise(F.concat(c, F.lit(" ")))
-    )
+def _pick(index: str, values: tuple[str, ...]) -> str:
+    return f"element_at(array({_quoted(values)}), CAST({index} + 1 AS INT))"
 
 
 def order_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,118 +67,111 @@ def order_facts(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "lineitem")
         .groupBy("l_orderkey")
         .agg(
-            F.count("*").alias("n_lines"),
-            F.count_if(F.col("l_returnflag") != "R").alias("n_kept"),
-            F.sum("l_quantity").alias("quantity"),
+            F.expr("count(*) AS n_lines"),
+            F.expr("count_if(l_returnflag <> 'R') AS n_kept"),
+            F.expr("sum(l_quantity) AS quantity"),
         )
     )
-    orders = table(spark, folder, "orders").select(
+    orders = table(spark, folder, "orders").selectExpr(
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",
         "o_orderpriority",
-        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
-        F.col("o_orderdate").cast("date").alias("d"),
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS price",
+        "CAST(o_orderdate AS DATE) AS d",
     )
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
 
 
 def cut_date(spark: SparkSession, folder: str) -> DataFrame:
     """One row: the date that separates features from label."""
-    last = F.max("o_orderdate").cast("date")
-    return table(spark, folder, "orders").agg(F.date_sub(last, HORIZON_DAYS).alias("t0"))
+    last = table(spark, folder, "orders").agg(F.expr("CAST(max(o_orderdate) AS DATE) AS last"))
+    return last.selectExpr(f"date_sub(last, {HORIZON_DAYS}) AS t0")
 
 
-def accounts(spark: SparkSession, folder: str) -> DataFrame:
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    """Per customer: features from orders up to the cut, label from later ones."""
     facts = order_facts(spark, folder).crossJoin(F.broadcast(cut_date(spark, folder)))
-    past = F.col("d") <= F.col("t0")
-    history = facts.groupBy("o_custkey").agg(
-        F.max("t0").alias("t0"),
-        F.min(F.when(past, F.col("d"))).alias("first"),
-        F.max(F.when(past, F.col("d"))).alias("last"),
-        F.count_if(past).alias("n_past"),
-        F.count_if(~past).alias("n_future"),
-        F.count_if(past & (F.col("o_orderstatus") == "F")).alias("n_late"),
-        F.count_if(past & (F.col("o_orderpriority") == "1-URGENT")).alias("n_urgent"),
-        F.sum(F.when(past, F.col("n_lines"))).alias("seats"),
-        F.sum(F.when(past, F.col("n_kept"))).alias("users"),
-        F.sum(F.when(past, F.col("quantity"))).alias("quantity"),
-        F.sum(F.when(past, F.col("price"))).cast("double").alias("spent"),
-    )
-    activity = (
-        table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n_events"))
+    return facts.groupBy("o_custkey").agg(
+        *[
+            F.expr(e)
+            for e in (
+                "max(t0) AS t0",
+                "min(d) FILTER (WHERE d <= t0) AS first",
+                "max(d) FILTER (WHERE d <= t0) AS last",
+                "count_if(d <= t0) AS n_past",
+                "count_if(d > t0) AS n_future",
+                "count_if(d <= t0 AND o_orderstatus = 'F') AS n_late",
+                "count_if(d <= t0 AND o_orderpriority = '1-URGENT') AS n_urgent",
+                "sum(n_lines) FILTER (WHERE d <= t0) AS seats",
+                "sum(n_kept) FILTER (WHERE d <= t0) AS users",
+                "sum(quantity) FILTER (WHERE d <= t0) AS quantity",
+                "CAST(sum(price) FILTER (WHERE d <= t0) AS DOUBLE) AS spent",
+            )
+        ]
     )
+
+
+def accounts(spark: SparkSession, folder: str) -> DataFrame:
+    activity = table(spark, folder, "events").groupBy("user_id").agg(F.expr("count(*) AS n_events"))
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     base = (
         table(spark, folder, "customer")
-        .join(history, F.col("c_custkey") == F.col("o_custkey"), "left")
-        .join(activity, F.col("c_custkey") == F.col("user_id"), "left")
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(_history(spark, folder), F.expr("c_custkey = o_custkey"), "left")
+        .join(activity, F.expr("c_custkey = user_id"), "left")
+        .join(F.broadcast(nation), F.expr("c_nationkey = n_nationkey"), "left")
+        .selectExpr(
+            "*",
+            "c_custkey AS k",
+            "seats - users AS returned",
+            "coalesce(n_past, 0) AS past",
+            "coalesce(n_future, 0) AS future",
+            "10 + 5 * (c_custkey % 3) AS total",
+            "CAST(floor(date_diff(t0, last) / 4D) AS BIGINT) AS recency",
+            "CASE c_mktsegment "
+            + " ".join(f"WHEN '{source}' THEN '{label}'" for source, label in SECTORS.items())
+            + " END AS sector",
+            f"CASE WHEN c_nationkey < {len(COUNTRIES)} "
+            f"THEN {_pick(f'c_nationkey % {len(COUNTRIES)}', COUNTRIES)} ELSE n_name END AS country",
+        )
     )
-    k = F.col("c_custkey")
-    seats, users = F.col("seats"), F.col("users")
-    returned = seats - users
-    segment = F.col("c_mktsegment")
-    sector = F.lit(None).cast("string")
-    for source, label in SECTORS.items():
-        sector = F.when(segment == source, F.lit(label)).otherwise(sector)
-    country = F.when(
-        F.col("c_nationkey") < len(COUNTRIES), _pick(F.col("c_nationkey") % len(COUNTRIES), COUNTRIES)
-    ).otherwise(F.col("n_name"))
-    n_future = F.coalesce(F.col("n_future"), F.lit(0))
-    n_past = F.coalesce(F.col("n_past"), F.lit(0))
-    total = (10 + 5 * (k % 3)).cast("bigint")
-    recency = F.floor(F.date_diff(F.col("t0"), F.col("last")) / 4.0).cast("bigint")
-    shown = F.when(k % 13 != 0, (1 + k % 5).cast("bigint"))
-    return base.select(
-        k.alias("k"),
-        F.concat(F.lit("CLI-"), F.lpad(k.cast("string"), 12, "0")).alias("client_id"),
-        F.col("first").alias("date_souscription"),
-        F.when(k % 23 != 0, _spelling(sector, k)).alias("secteur"),
-        F.when(k % 27 != 0, country).alias("pays"),
-        F.when(F.col("c_acctbal") < 0, "TPE")
-        .when(F.col("c_acctbal") < 3000, "PME")
-        .when(F.col("c_acctbal") < 7000, "ETI")
-        .otherwise("GE")
-        .alias("taille_entreprise"),
-        _pick(k % 4, ("Starter", "pro", " BUSINESS", "Enterprise ")).alias("plan"),
-        F.round(F.date_diff(F.col("t0"), F.col("first")) / DAYS_PER_MONTH)
-        .cast("bigint")
-        .alias("anciennete_mois"),
-        seats.alias("sieges_souscrits"),
-        users.alias("utilisateurs_actifs"),
-        F.when((k % 20 != 0) & (seats > 0), 100.0 * users / seats).alias("taux_adoption_pct"),
-        (n_past * 3 + F.coalesce(F.col("n_events"), F.lit(0))).alias("connexions_30j"),
-        F.when(k % 17 != 0, F.col("quantity") / 10.0).alias("heures_usage_30j"),
-        total.alias("fonctionnalites_total"),
-        F.least(total, n_past).alias("fonctionnalites_utilisees"),
-        F.when(k % 29 != 0, F.coalesce(F.col("n_urgent"), F.lit(0))).alias("nb_integrations"),
-        recency.alias("derniere_connexion_jours"),
-        F.coalesce(returned, F.lit(0)).alias("tickets_support_90j"),
-        F.when((k % 7 != 0) & (returned > 0), (returned * 37) % 48 + 0.5).alias(
-            "delai_reponse_support_h"
-        ),
-        shown.alias("csat"),
-        F.when(k % 19 != 0, F.coalesce(F.col("n_late"), F.lit(0)) % 8).alias(
-            "retards_paiement_12m"
-        ),
-        F.when((k % 33 != 0) & (n_past > 0), F.col("spent") / n_past / 100.0).alias(
-            "revenu_mensuel_recurrent_eur"
-        ),
-        (F.col("spent") / 10.0).alias("valeur_vie_client_eur"),
-        _pick(k * 7919 % 5, THEMES).alias("couleur_theme_interface"),
-        F.concat(F.lit("DC"), (k * 104729 % 7).cast("string")).alias("code_datacenter"),
-        F.when(k * 31 % 2 == 0, "A").otherwise("B").alias("groupe_experimentation"),
-        F.when(
-            k % 11 != 0,
-            F.when(n_future == 0, "risque de depart")
-            .when(n_future == 1, "a surveiller")
-            .otherwise("client satisfait"),
-        ).alias("commentaire_csm"),
-        n_future.alias("sante_compte_fin_periode"),
-        F.when(n_future == 0, 1).otherwise(0).cast("int").alias("churn"),
-        (F.coalesce(recency, F.lit(0)) / (F.coalesce(recency, F.lit(0)) + 60.0)).alias("p"),
-        F.col("t0").alias("t0"),
+    return base.selectExpr(
+        "k",
+        "concat('CLI-', lpad(CAST(k AS STRING), 12, '0')) AS client_id",
+        "first AS date_souscription",
+        "CASE WHEN k % 23 <> 0 THEN CASE k % 4 WHEN 0 THEN sector WHEN 1 THEN lower(sector) "
+        "WHEN 2 THEN concat(' ', sector) ELSE concat(sector, ' ') END END AS secteur",
+        "CASE WHEN k % 27 <> 0 THEN country END AS pays",
+        "CASE WHEN c_acctbal < 0 THEN 'TPE' WHEN c_acctbal < 3000 THEN 'PME' "
+        "WHEN c_acctbal < 7000 THEN 'ETI' ELSE 'GE' END AS taille_entreprise",
+        _pick("k % 4", ("Starter", "pro", " BUSINESS", "Enterprise ")) + " AS plan",
+        f"CAST(round(date_diff(t0, first) / {DAYS_PER_MONTH}D) AS BIGINT) AS anciennete_mois",
+        "seats AS sieges_souscrits",
+        "users AS utilisateurs_actifs",
+        "CASE WHEN k % 20 <> 0 AND seats > 0 THEN 100D * users / seats END AS taux_adoption_pct",
+        "past * 3 + coalesce(n_events, 0) AS connexions_30j",
+        "CASE WHEN k % 17 <> 0 THEN quantity / 10D END AS heures_usage_30j",
+        "total AS fonctionnalites_total",
+        "least(total, past) AS fonctionnalites_utilisees",
+        "CASE WHEN k % 29 <> 0 THEN coalesce(n_urgent, 0) END AS nb_integrations",
+        "recency AS derniere_connexion_jours",
+        "coalesce(returned, 0) AS tickets_support_90j",
+        "CASE WHEN k % 7 <> 0 AND returned > 0 THEN (returned * 37) % 48 + 0.5D END "
+        "AS delai_reponse_support_h",
+        "CASE WHEN k % 13 <> 0 THEN 1 + k % 5 END AS csat",
+        "CASE WHEN k % 19 <> 0 THEN coalesce(n_late, 0) % 8 END AS retards_paiement_12m",
+        "CASE WHEN k % 33 <> 0 AND past > 0 THEN spent / past / 100D END "
+        "AS revenu_mensuel_recurrent_eur",
+        "spent / 10D AS valeur_vie_client_eur",
+        _pick("k * 7919 % 5", THEMES) + " AS couleur_theme_interface",
+        "concat('DC', CAST(k * 104729 % 7 AS STRING)) AS code_datacenter",
+        "CASE WHEN k * 31 % 2 = 0 THEN 'A' ELSE 'B' END AS groupe_experimentation",
+        "CASE WHEN k % 11 <> 0 THEN CASE WHEN future = 0 THEN 'risque de depart' "
+        "WHEN future = 1 THEN 'a surveiller' ELSE 'client satisfait' END END AS commentaire_csm",
+        "future AS sante_compte_fin_periode",
+        "CASE WHEN future = 0 THEN 1 ELSE 0 END AS churn",
+        "coalesce(recency, 0) / (coalesce(recency, 0) + 60D) AS p",
+        "t0",
     )
 
 

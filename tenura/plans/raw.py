@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tenura.params import MISSING_MARKERS
 from tenura.plans.accounts import accounts, accounts_sql
@@ -42,83 +41,66 @@ LABELS = (
 COLUMNS = (*LABELS, "date_souscription", *NUMBERS)
 
 
-def _fixed(cents: Column, separator: str = ".") -> Column:
-    whole = F.floor(cents / 100).cast("string")
-    return F.concat(whole, F.lit(separator), F.lpad((cents % 100).cast("string"), 2, "0"))
+def _fixed(cents: str, separator: str = ".") -> str:
+    """Amount in cents written with two decimals."""
+    return (
+        f"concat(CAST(({cents}) div 100 AS STRING), '{separator}', "
+        f"lpad(CAST(({cents}) % 100 AS STRING), 2, '0'))"
+    )
 
 
-def _cents(value: Column) -> Column:
-    return F.floor(value * 100).cast("bigint")
+def _whole(c: str) -> str:
+    return f"coalesce(CAST({c} AS STRING), '')"
+
+
+def _texts() -> dict[str, str]:
+    """Spark SQL expression of each raw text column."""
+    texts = {
+        "date_souscription": "coalesce(CASE k % 3 WHEN 0 THEN date_format(date_souscription, 'yyyy-MM-dd') "
+        "WHEN 1 THEN date_format(date_souscription, 'dd/MM/yyyy') "
+        "ELSE date_format(date_souscription, 'dd MMM yyyy') END, '')",
+        "utilisateurs_actifs": "coalesce(CAST(CASE WHEN k % 41 = 0 THEN utilisateurs_actifs + 50 "
+        "ELSE utilisateurs_actifs END AS STRING), '')",
+        "taux_adoption_pct": f"CASE WHEN rate IS NULL THEN 'n/a' WHEN k % 20 < 6 THEN {_fixed('rate', ',')} "
+        f"WHEN k % 20 < 10 THEN concat({_fixed('rate')}, ' %') "
+        f"WHEN k % 20 = 10 THEN {_fixed('rate + 10000')} ELSE {_fixed('rate')} END",
+        "heures_usage_30j": f"CASE WHEN hours IS NULL THEN '-' WHEN k % 5 = 0 THEN concat({_fixed('hours')}, ' h') "
+        f"ELSE {_fixed('hours')} END",
+        "derniere_connexion_jours": "CASE WHEN derniere_connexion_jours IS NULL THEN 'ND' "
+        f"WHEN k % 6 = 0 THEN concat({_whole('derniere_connexion_jours')}, 'j') "
+        f"ELSE {_whole('derniere_connexion_jours')} END",
+        "tickets_support_90j": f"CASE WHEN k % 37 = 0 THEN '-3' ELSE {_whole('tickets_support_90j')} END",
+        "csat": f"CASE WHEN csat IS NULL THEN 'NR' WHEN k % 43 = 0 THEN '7' ELSE {_whole('csat')} END",
+        "retards_paiement_12m": "CASE WHEN retards_paiement_12m IS NULL THEN ' N/A ' "
+        f"ELSE {_whole('retards_paiement_12m')} END",
+        "revenu_mensuel_recurrent_eur": "CASE WHEN mrr IS NULL THEN '' WHEN k % 60 = 5 THEN 'n/c' "
+        f"WHEN k % 6 = 1 THEN {_fixed('mrr', ',')} WHEN k % 6 = 2 THEN concat({_fixed('mrr', ',')}, ' €') "
+        f"WHEN k % 6 = 3 THEN concat('€', {_fixed('mrr')}) WHEN k % 6 = 4 AND mrr >= 100000 THEN "
+        "concat(CAST(mrr div 100000 AS STRING), decode(unhex('C2A0'), 'UTF-8'), "
+        "lpad(CAST((mrr div 100) % 1000 AS STRING), 3, '0'), '.', lpad(CAST(mrr % 100 AS STRING), 2, '0')) "
+        f"ELSE {_fixed('mrr')} END",
+        "delai_reponse_support_h": f"coalesce({_fixed('delay')}, '')",
+        "valeur_vie_client_eur": f"coalesce({_fixed('lifetime')}, '')",
+    }
+    texts |= {c: _whole(c) for c in NUMBERS if c not in texts}
+    return texts | {c: f"coalesce({c}, '')" for c in LABELS}
 
 
 def raw_accounts(spark: SparkSession, folder: str) -> DataFrame:
-    a = accounts(spark, folder)
-    k = F.col("k")
-    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rate = _cents(F.col("taux_adoption_pct"))
-    hours = _cents(F.col("heures_usage_30j"))
-    mrr = _cents(F.col("revenu_mensuel_recurrent_eur"))
-    thousands = F.when(
-        mrr >= 100000,
-        F.concat(
-            F.floor(mrr / 100000).cast("string"),
-            F.lit("\u00a0"),
-            F.lpad((F.floor(mrr / 100) % 1000).cast("string"), 3, "0"),
-            F.lit("."),
-            F.lpad((mrr % 100).cast("string"), 2, "0"),
-        ),
-    ).otherwise(_fixed(mrr))
-    start = F.col("date_souscription")
-    columns = {
-        "date_souscription": F.coalesce(
-            F.when(k % 3 == 0, F.date_format(start, "yyyy-MM-dd"))
-            .when(k % 3 == 1, F.date_format(start, "dd/MM/yyyy"))
-            .otherwise(F.date_format(start, "dd MMM yyyy")),
-            F.lit(""),
-        ),
-        "utilisateurs_actifs": F.coalesce(
-            F.when(k % 41 == 0, F.col("utilisateurs_actifs") + 50)
-            .otherwise(F.col("utilisateurs_actifs"))
-            .cast("string"),
-            F.lit(""),
-        ),
-        "taux_adoption_pct": F.when(rate.isNull(), "n/a")
-        .when(k % 20 < 6, _fixed(rate, ","))
-        .when(k % 20 < 10, F.concat(_fixed(rate), F.lit(" %")))
-        .when(k % 20 == 10, _fixed(rate + 10000))
-        .otherwise(_fixed(rate)),
-        "heures_usage_30j": F.when(hours.isNull(), "-")
-        .when(k % 5 == 0, F.concat(_fixed(hours), F.lit(" h")))
-        .otherwise(_fixed(hours)),
-        "derniere_connexion_jours": F.when(F.col("derniere_connexion_jours").isNull(), "ND")
-        .when(k % 6 == 0, F.concat(whole("derniere_connexion_jours"), F.lit("j")))
-        .otherwise(whole("derniere_connexion_jours")),
-        "tickets_support_90j": F.when(k % 37 == 0, "-3").otherwise(whole("tickets_support_90j")),
-        "csat": F.when(F.col("csat").isNull(), "NR")
-        .when(k % 43 == 0, "7")
-        .otherwise(whole("csat")),
-        "retards_paiement_12m": F.when(F.col("retards_paiement_12m").isNull(), " N/A ").otherwise(
-            whole("retards_paiement_12m")
-        ),
-        "revenu_mensuel_recurrent_eur": F.when(mrr.isNull(), "")
-        .when(k % 60 == 5, "n/c")
-        .when(k % 6 == 1, _fixed(mrr, ","))
-        .when(k % 6 == 2, F.concat(_fixed(mrr, ","), F.lit(" €")))
-        .when(k % 6 == 3, F.concat(F.lit("€"), _fixed(mrr)))
-        .when(k % 6 == 4, thousands)
-        .otherwise(_fixed(mrr)),
-        "delai_reponse_support_h": F.coalesce(
-            _fixed(_cents(F.col("delai_reponse_support_h"))), F.lit("")
-        ),
-        "valeur_vie_client_eur": F.coalesce(
-            _fixed(_cents(F.col("valeur_vie_client_eur"))), F.lit("")
-        ),
+    cents = {
+        "rate": "taux_adoption_pct",
+        "hours": "heures_usage_30j",
+        "mrr": "revenu_mensuel_recurrent_eur",
+        "delay": "delai_reponse_support_h",
+        "lifetime": "valeur_vie_client_eur",
     }
-    columns |= {c: whole(c) for c in NUMBERS if c not in columns}
-    columns |= {c: F.coalesce(F.col(c), F.lit("")) for c in LABELS}
-    once = a.select("k", *[columns[c].alias(c) for c in COLUMNS])
-    times = F.when(k % 100 == 7, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return once.withColumn("_copy", F.explode(times)).select(*COLUMNS)
+    source = accounts(spark, folder).selectExpr(
+        "*", *[f"CAST(floor({c} * 100) AS BIGINT) AS {n}" for n, c in cents.items()]
+    )
+    texts = _texts()
+    once = source.selectExpr("k", *[f"{texts[c]} AS {c}" for c in COLUMNS])
+    twice = once.selectExpr("*", "explode(CASE WHEN k % 100 = 7 THEN array(1, 2) ELSE array(1) END)")
+    return twice.select(*COLUMNS)
 
 
 def _fixed_sql(cents: str, separator: str = ".") -> str:
