@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tenura.functions.sizing import ensure_checkpoint_dir
 
 DELIMITERS = (",", ";", "\t", "|")
-NO_NULL = "\u0000"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -22,15 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def scan_raw_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """CSV with every column as text and empty strings kept; a missing path is an error."""
-    return (
+    text = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("delimiter", delimiter)
-        .option("multiLine", False)
-        .option("nullValue", NO_NULL)
-        .option("emptyValue", "")
         .csv(path)
     )
+    return text.na.fill("")
 
 
 def scan_parquet_or_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -43,6 +43,7 @@ def canonical(value):
 FAMILY = {
     "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
     "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP",
+    "timestamp_ntz": "TIMESTAMP",
 }
 
 
