@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenura.operators import economics, features, metrics, ml
 from tenura.operators.splits import repeated_stratified_folds, stratified_split
 from tenura.params import THRESHOLDS
-from tenura.sources.files import publish_scores
+from tenura.sources.files import materialise, publish_scores
 
 
 def score_accounts(
@@ -81,7 +81,7 @@ def retrain(
 
     The gate asks for the minimum PR-AUC and no clear loss against the champion.
     """
-    split = stratified_split(df, label, key, seed=seed, n_rows=n_rows).persist()
+    split = materialise(stratified_split(df, label, key, seed=seed, n_rows=n_rows), "retrain")
     train = split.where("part = 'train'").drop("part")
     test = split.where("part = 'test'").drop("part")
     numeric, categorical = ml.default_inputs(train, label, key)

@@ -19,6 +19,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it back: one evaluation, short lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_raw_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """CSV with every column as text and empty strings kept; a missing path is an error."""
     text = (
