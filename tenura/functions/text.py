@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tenura.params import MISSING_MARKERS
 
+# White space at both ends, no-break space included.
+STRIP_PATTERN = r"(?U)^\s+|\s+$"
+
 # Plain decimal notation; checked before any cast because a cast alone accepts "30d" or "inf".
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 # Date formats in the order they are tried. Both slash conventions are listed;
-# a column uses one of them, see `slash_is_month_first`.
+# a column uses one of them, see `slash_convention`.
 DATE_FORMATS = (
     ("%Y-%m-%d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
     ("%Y/%m/%d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
@@ -27,7 +30,7 @@ DATE_FORMATS = (
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space, no-break space included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, STRIP_PATTERN, "")
 
 
 def normalise(c: Column) -> Column:
@@ -35,13 +38,25 @@ def normalise(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-def is_marker(c: Column) -> Column:
-    return normalise(c).isin(*MISSING_MARKERS)
+# The functions below take a column name and build one SQL expression: a wide raw table has
+# dozens of such columns, and one parsed expression is far cheaper to plan than nested calls.
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _replace(e: str, pattern: str, replacement: str) -> str:
+    return f"regexp_replace({e}, r'{pattern}', '{replacement}')"
 
 
-def to_double(c: Column) -> Column:
-    """Number in plain decimal notation, else null (no match extracts "", which casts to null)."""
-    return F.regexp_extract(c, NUMBER_PATTERN, 0).try_cast("double")
+def _strip(e: str) -> str:
+    return _replace(e, STRIP_PATTERN, "")
+
+
+def _to_double(e: str) -> str:
+    """Number in plain notation, else null (no match extracts "", which casts to null)."""
+    return f"try_cast(regexp_extract({e}, r'{NUMBER_PATTERN}', 0) AS DOUBLE)"
 
 
 # Repair of a hand-written number, one rewrite after the other. Each step reads its input once,
@@ -49,7 +64,7 @@ def to_double(c: Column) -> Column:
 REPAIRS = (
     (r"[  ]", ""),  # no-break spaces
     (r"[€$£%]", ""),  # symbols
-    (r"(?U)^\s+|\s+$", ""),
+    (STRIP_PATTERN, ""),
     (r"(?i)(\d)\s*(?:h|j|min)$", "$1"),  # unit after the last digit
     (r"(?s),(?=.*\.[^,.]*$)", ""),  # last separator is a point: commas are thousands
     (r"^(\d{1,3}),(\d{3})$", "$1$2"),  # single comma before exactly three digits: thousands
@@ -59,54 +74,78 @@ REPAIRS = (
 )
 
 
-def number(c: Column) -> Column:
-    """Number after repair; a plain number passes the repairs unchanged."""
-    v = strip(c)
+def _number(column: str) -> str:
+    plain = _name(column)
+    v = _strip(plain)
     for pattern, replacement in REPAIRS:
-        v = F.regexp_replace(v, pattern, replacement)
-    return to_double(v)
+        v = _replace(v, pattern, replacement)
+    return f"coalesce({_to_double(plain)}, {_to_double(v)})"
+
+
+def number(column: str) -> Column:
+    """Number of a text column; repairs run only where the value is not a plain number."""
+    return F.expr(_number(column))
+
 
+def is_plain_number(column: str) -> Column:
+    return F.expr(f"{_strip(_name(column))} RLIKE r'{NUMBER_PATTERN}'")
 
-def coercion_status(c: Column) -> Column:
+
+def is_marker(column: str) -> Column:
+    """True for a text that stands for a missing value, after strip and lower-casing."""
+    markers = ", ".join(f"'{m}'" for m in MISSING_MARKERS)
+    return F.expr(f"lower({_strip(_name(column))}) IN ({markers})")
+
+
+def coercion_status(column: str) -> Column:
     """How `number` gets its value: direct, repare, manquant or irrecuperable."""
-    return (
-        F.when(c.isNull() | is_marker(c), "manquant")
-        .when(strip(c).rlike(NUMBER_PATTERN), "direct")
-        .when(number(c).isNotNull(), "repare")
-        .otherwise("irrecuperable")
+    markers = ", ".join(f"'{m}'" for m in MISSING_MARKERS)
+    c = _name(column)
+    return F.expr(
+        f"CASE WHEN {c} IS NULL OR lower({_strip(c)}) IN ({markers}) THEN 'manquant' "
+        f"WHEN {_strip(c)} RLIKE r'{NUMBER_PATTERN}' THEN 'direct' "
+        f"WHEN {_number(column)} IS NOT NULL THEN 'repare' ELSE 'irrecuperable' END"
     )
 
 
-def coerce_number(c: Column) -> Column:
-    """Text to struct(value double, status)."""
-    return F.struct(number(c).alias("value"), coercion_status(c).alias("status"))
+def coerce_number(column: str) -> Column:
+    """Text column to struct(value double, status)."""
+    return F.struct(number(column).alias("value"), coercion_status(column).alias("status"))
+
+
+# Numeric date shapes and their rewriting to year-month-day; the slash reading is separate.
+DATE_REWRITES = (
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+)
+SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+
+
+def _date(column: str, month_first: str) -> str:
+    order = f"CASE WHEN {month_first} THEN '$3-$1-$2' ELSE '$3-$2-$1' END"
+    t = f"regexp_replace({_strip(_name(column))}, r'{SLASH}', {order})"
+    for pattern, replacement in DATE_REWRITES:
+        t = _replace(t, pattern, replacement)
+    tries = [f"try_to_timestamp({t}, '{p}')" for p in ("yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")]
+    return f"CAST(coalesce({', '.join(tries)}) AS DATE)"
 
 
-def parse_date(c: Column, month_first: Column | None = None) -> Column:
-    """Date of a value in any of DATE_FORMATS; numeric shapes are rewritten to one first."""
-    slash = F.lit("$3-$2-$1")
-    if month_first is not None:
-        slash = F.when(month_first, F.lit("$3-$1-$2")).otherwise(slash)
-    t = strip(c)
-    for pattern, replacement in (
-        (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", F.lit("$1-$2-$3")),
-        (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", slash),
-        (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", F.lit("$3-$2-$1")),
-        (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", F.lit("$3-$2-$1")),
-        (r"^(\d{4})(\d{2})(\d{2})$", F.lit("$1-$2-$3")),
-    ):
-        t = F.regexp_replace(t, F.lit(pattern), replacement)
-    return F.coalesce(
-        *[F.try_to_timestamp(t, F.lit(p)) for p in ("yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")]
-    ).cast("date")
+def parse_date(column: str, month_first: str = "false") -> Column:
+    """Date of a text column in any of DATE_FORMATS.
 
+    `month_first` is a boolean SQL expression, usually the name of a flag column.
+    """
+    return F.expr(_date(column, month_first))
 
-def date_format_used(c: Column, month_first: bool = False) -> Column:
+
+def date_format_used(column: str, month_first: bool = False) -> Column:
     """Name of the format that reads a value, null when none does."""
-    t = strip(c)
-    named = F.lit(None).cast("string")
-    for name, shape in reversed(DATE_FORMATS):
-        if name == ("%d/%m/%Y" if month_first else "%m/%d/%Y"):
-            continue
-        named = F.when(t.rlike(shape), F.lit(name)).otherwise(named)
-    return F.when(parse_date(c, F.lit(month_first)).isNotNull(), named)
+    skipped = "%d/%m/%Y" if month_first else "%m/%d/%Y"
+    t = _strip(_name(column))
+    cases = " ".join(
+        f"WHEN {t} RLIKE r'{shape}' THEN '{name}'" for name, shape in DATE_FORMATS if name != skipped
+    )
+    parsed = _date(column, str(month_first).lower())
+    return F.expr(f"CASE WHEN {parsed} IS NOT NULL THEN CASE {cases} END END")

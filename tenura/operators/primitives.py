@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.functions import maths
+from tenura.functions import maths, text
 from tenura.operators.ordering import running_totals
 
 
@@ -198,15 +198,8 @@ def wilson_rates(
 
 def sniff_numeric(df: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """(colonne, part_numerique, numerique): share of filled values in plain number notation."""
-    from tenura.functions.text import strip, to_double
-
-    shares = df.agg(
-        *[
-            F.try_divide(
-                F.count(to_double(strip(F.col(c).cast("string")))), F.count(F.col(c))
-            ).alias(c)
-            for c in columns
-        ]
+    shares = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).agg(
+        *[F.try_divide(F.count_if(text.is_plain_number(c)), F.count(c)).alias(c) for c in columns]
     )
     long = shares.unpivot([], list(columns), "colonne", "part_numerique")
     return long.withColumn(

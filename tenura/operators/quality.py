@@ -26,13 +26,11 @@ def is_numeric(df: DataFrame, column: str) -> bool:
 
 def as_number(df: DataFrame, column: str) -> Column:
     """Number of a column, typed or still hand-written text."""
-    c = F.col(column)
-    return text.number(c) if is_text(df, column) else c.cast("double")
+    return text.number(column) if is_text(df, column) else F.col(column).cast("double")
 
 
 def as_date(df: DataFrame, column: str) -> Column:
-    c = F.col(column)
-    return text.parse_date(c) if is_text(df, column) else c.cast("date")
+    return text.parse_date(column) if is_text(df, column) else F.col(column).cast("date")
 
 
 def null_out_markers(df: DataFrame, markers: Sequence[str]) -> DataFrame:
@@ -61,8 +59,8 @@ def profile(df: DataFrame, top: int = 3, numeric_share: float = 0.80) -> DataFra
     counts = counts.withColumns(
         {
             "nombre": F.when(F.col("colonne").isin(*numeric), F.col("valeur").cast("double"))
-            .when(F.col("colonne").isin(*textual), text.number(F.col("valeur"))),
-            "marqueur": F.col("colonne").isin(*textual) & text.is_marker(F.col("valeur")),
+            .when(F.col("colonne").isin(*textual), text.number("valeur")),
+            "marqueur": F.col("colonne").isin(*textual) & text.is_marker("valeur"),
         }
     )
     per = counts.groupBy("colonne").agg(
@@ -159,7 +157,7 @@ def coerce_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def coercion_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts of the four coercion statuses per column, in one aggregate."""
     present = [c for c in columns if c in df.columns]
-    states = df.select(*[text.coercion_status(F.col(c)).alias(c) for c in present])
+    states = df.select(*[text.coercion_status(c).alias(c) for c in present])
 
     def counts(c: str) -> Column:
         return F.struct(
@@ -179,7 +177,7 @@ def numeric_text_columns(df: DataFrame, threshold: float = 0.80) -> DataFrame:
     wide = df.agg(
         *[
             F.try_divide(
-                F.count(text.number(F.col(c))), F.count_if(~text.is_marker(F.col(c)))
+                F.count(text.number(c)), F.count_if(~text.is_marker(c))
             ).alias(c)
             for c in columns
         ]
@@ -239,7 +237,7 @@ def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[_month_first(c).alias(f"_month_first_{c}") for c in textual]
     )
     joined = df.crossJoin(F.broadcast(flags))
-    parsed = {c: text.parse_date(F.col(c), F.col(f"_month_first_{c}")) for c in textual}
+    parsed = {c: text.parse_date(c, f"`_month_first_{c}`") for c in textual}
     return joined.withColumns(parsed).select(*df.columns)
 
 
@@ -248,8 +246,8 @@ def date_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = [name for name, _ in text.DATE_FORMATS]
 
     def measured(c: str) -> Column:
-        day_first = text.date_format_used(F.col(c), month_first=False)
-        month_first = text.date_format_used(F.col(c), month_first=True)
+        day_first = text.date_format_used(c, month_first=False)
+        month_first = text.date_format_used(c, month_first=True)
         filled = text.strip(F.col(c)) != ""
         return F.struct(
             _slash_counts(F.col(c)).alias("s"),
@@ -497,7 +495,7 @@ def association_ready(
     dated = [c for c in others if not is_text(df, c) and not is_numeric(df, c)]
 
     def measured(c: str) -> Column:
-        value = text.number(F.col(c)) if c in textual else F.lit(None).cast("double")
+        value = text.number(c) if c in textual else F.lit(None).cast("double")
         return F.struct(
             F.count(F.col(c)).alias("n"),
             F.count(value).alias("n_num"),

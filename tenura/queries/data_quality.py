@@ -116,7 +116,7 @@ def drop_exact_duplicates(spark, folder):
 )
 def coerce_number(spark, folder):
     raw = raw_accounts(spark, folder)
-    parsed = raw.select("client_id", *[text.coerce_number(F.col(c)).alias(c) for c in COERCED])
+    parsed = raw.select("client_id", *[text.coerce_number(c).alias(c) for c in COERCED])
     return parsed.select(
         "client_id",
         *[F.col(f"{c}.value").alias(c) for c in COERCED],
