@@ -17,6 +17,7 @@ from tenura.operators.ordering import (
     long_format,
     mid_ranks,
     quantile_row,
+    quantiles,
     running_totals,
 )
 from tenura.params import HYPOTHESES, THRESHOLDS, TOP_OF_DISTRIBUTION
@@ -236,6 +237,10 @@ def level_profile(
 
 def _level_counts(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(variable, niveau, n, pos) over rows where both are present."""
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "variable string, niveau string, n bigint, pos bigint"
+        )
     long = df.select(
         F.col(target).cast("int").alias("_y"), *[F.col(c).cast("string").alias(c) for c in columns]
     ).unpivot(["_y"], list(columns), "variable", "niveau")
@@ -269,6 +274,11 @@ def univariate_auc(
     df: DataFrame, columns: Sequence[str], target: str, n_rows: int | None = None
 ) -> DataFrame:
     """(variable, n, n_pos, n_neg, auc, u, z) for every numeric column, one grouped plan."""
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [],
+            "variable string, n bigint, n_pos bigint, n_neg bigint, auc double, u double, z double",
+        )
     long = long_format(df, columns, [target])
     bound = None if n_rows is None else n_rows * len(columns)
     return primitives.rank_statistics(long, "valeur", target, ["variable"], bound)
@@ -475,8 +485,6 @@ def hypothesis_tests(
     long = long.where("x IS NOT NULL")
     bound = None if n_rows is None else n_rows * len(kept)
     stats = primitives.rank_statistics(long, "x", "_y", ["id"], bound)
-    from tenura.operators.ordering import quantiles
-
     medians = quantiles(long, "x", [0.5], ["id", "_y"], bound)
     means = long.groupBy("id", "_y").agg(F.avg("x").alias("m"))
     centre = F.when(F.col("id").isin(*top), F.col("m")).otherwise(F.col("q")[0])
@@ -586,8 +594,6 @@ def portfolio_by_quartile(
         F.avg("y").alias("taux_churn"),
         (F.sum(F.when(F.col("y") == 1, money)) * 12).cast("double").alias("revenu_partants"),
     )
-    from tenura.operators.ordering import quantiles
-
     labelled = placed.select("mrr", F.explode(F.array("quartile", F.lit("Total"))).alias("quartile"))
     bound = None if n_rows is None else n_rows * 2
     medians = quantiles(labelled, "mrr", [0.5], ["quartile"], bound)

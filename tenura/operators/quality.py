@@ -35,9 +35,10 @@ def as_date(df: DataFrame, column: str) -> Column:
 
 def null_out_markers(df: DataFrame, markers: Sequence[str]) -> DataFrame:
     """Exact text markers become null in every text column; nothing is stripped or lowered."""
-    return df.select(
+    listed = ", ".join("'" + m.replace("'", "\\'") + "'" for m in markers)
+    return df.selectExpr(
         *[
-            F.when(~F.col(c).isin(*markers), F.col(c)).alias(c) if is_text(df, c) else F.col(c)
+            f"CASE WHEN `{c}` NOT IN ({listed}) THEN `{c}` END AS `{c}`" if is_text(df, c) else f"`{c}`"
             for c in df.columns
         ]
     )
@@ -518,44 +519,20 @@ def association_ready(
     )
 
 
-def missingness_report(
-    df: DataFrame,
-    target: str,
-    numeric: Sequence[str],
-    categorical: Sequence[str],
-    with_p: bool = True,
-) -> DataFrame:
-    """Mechanism of missingness per column that has gaps.
+def _gap(c: str) -> Column:
+    return F.col(c).isNull().cast("int")
 
-    Two passes whatever the number of columns: one wide aggregate for the target link and the
-    numeric associations, one grouped pass over levels for the categorical ones. `numeric` and
-    `categorical` are the columns kept by `association_ready`.
-    """
-    columns = [c for c in df.columns if c != target]
-    gap = lambda c: F.col(c).isNull().cast("int")
-    y = F.coalesce(F.col(target).cast("int"), F.lit(0))
 
-    gappy = [c for c in columns if df.schema[c].nullable]
-    miss = F.col("g")
-    links = (
-        df.select(y.alias("y"), F.col(target).cast("double").alias("t"),
-                  *[gap(c).alias(c) for c in gappy])
-        .unpivot(["y", "t"], gappy, "colonne", "g")
-        .groupBy("colonne")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(miss).alias("n_miss"),
-            F.sum("y").alias("pos"),
-            F.sum(miss * F.col("y")).alias("pos_miss"),
-            F.avg(F.when(miss == 1, F.col("t"))).alias("rate_miss"),
-            F.avg(F.when(miss == 0, F.col("t"))).alias("rate_full"),
-        )
-        .where("n_miss > 0")
-    )
-    # point-biserial r from group means: (m1 - m0) / s * sqrt(n1 n0) / n
+def _gap_with_numbers(df: DataFrame, gappy: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    """(colonne, autre, force): |point-biserial r| from group means.
+
+    r = (m1 - m0) / s * sqrt(n1 n0) / n, so one grouped pass serves every gap column.
+    """
     moments = (
-        df.select(*[gap(c).alias(f"_gap_{c}") for c in gappy],
-                  *[F.col(c).cast("double").alias(c) for c in numeric])
+        df.select(
+            *[_gap(c).alias(f"_gap_{c}") for c in gappy],
+            *[F.col(c).cast("double").alias(c) for c in numeric],
+        )
         .unpivot([f"_gap_{c}" for c in gappy], list(numeric), "autre", "x")
         .where("x IS NOT NULL")
         .groupBy("autre")
@@ -571,33 +548,76 @@ def missingness_report(
                 for c in gappy
             ],
         )
-        .unpivot(["autre", "n", "sx", "sd"], gappy, "colonne", "m")
+        .unpivot(["autre", "n", "sx", "sd"], list(gappy), "colonne", "m")
         .select("*", "m.*")
     )
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     shift = F.try_divide("s1", n1) - F.try_divide(F.col("sx") - F.col("s1"), n0)
     r = F.try_divide(F.abs(shift) * F.sqrt(n1.cast("double") * n0), F.col("n") * F.col("sd"))
-    by_number = moments.select(
-        "colonne", "autre",
-        F.coalesce(F.when(F.col("n") >= 10, r), F.lit(0.0)).alias("force"),
-    )
+    force = F.coalesce(F.when(F.col("n") >= 10, r), F.lit(0.0))
+    return moments.select("colonne", "autre", force.alias("force"))
+
+
+def _gap_with_categories(
+    df: DataFrame, gappy: Sequence[str], categorical: Sequence[str]
+) -> DataFrame:
+    """(colonne, autre, force): uncorrected Cramér's V, one grouped pass over levels."""
     levels = (
         df.select(
-            *[gap(c).alias(f"_gap_{c}") for c in gappy],
+            *[_gap(c).alias(f"_gap_{c}") for c in gappy],
             *[F.col(c).cast("string").alias(c) for c in categorical],
         )
         .unpivot([f"_gap_{c}" for c in gappy], list(categorical), "autre", "niveau")
         .where("niveau IS NOT NULL")
         .groupBy("autre", "niveau")
         .agg(F.count("*").alias("n"), *[F.sum(f"_gap_{c}").alias(c) for c in gappy])
-        .unpivot(["autre", "niveau", "n"], gappy, "colonne", "pos")
+        .unpivot(["autre", "niveau", "n"], list(gappy), "colonne", "pos")
     )
-    by_level = primitives.chi_square_binary(levels, ["colonne", "autre"], yates=False).select(
-        "colonne",
-        "autre",
-        F.when((F.col("n") >= 10), F.col("v_cramer")).otherwise(0.0).alias("force"),
+    chi = primitives.chi_square_binary(levels, ["colonne", "autre"], yates=False)
+    force = F.when(F.col("n") >= 10, F.col("v_cramer")).otherwise(0.0)
+    return chi.select("colonne", "autre", force.alias("force"))
+
+
+def missingness_report(
+    df: DataFrame,
+    target: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    with_p: bool = True,
+) -> DataFrame:
+    """Mechanism of missingness per column that has gaps.
+
+    Two passes whatever the number of columns: one wide aggregate for the target link and the
+    numeric associations, one grouped pass over levels for the categorical ones. `numeric` and
+    `categorical` are the columns kept by `association_ready`.
+    """
+    columns = [c for c in df.columns if c != target]
+    y = F.coalesce(F.col(target).cast("int"), F.lit(0))
+
+    gappy = [c for c in columns if df.schema[c].nullable]
+    miss = F.col("g")
+    links = (
+        df.select(y.alias("y"), F.col(target).cast("double").alias("t"),
+                  *[_gap(c).alias(c) for c in gappy])
+        .unpivot(["y", "t"], gappy, "colonne", "g")
+        .groupBy("colonne")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(miss).alias("n_miss"),
+            F.sum("y").alias("pos"),
+            F.sum(miss * F.col("y")).alias("pos_miss"),
+            F.avg(F.when(miss == 1, F.col("t"))).alias("rate_miss"),
+            F.avg(F.when(miss == 0, F.col("t"))).alias("rate_full"),
+        )
+        .where("n_miss > 0")
     )
-    forces = by_number.unionByName(by_level).where("colonne <> autre")
+    parts = []
+    if numeric:
+        parts.append(_gap_with_numbers(df, gappy, numeric))
+    if categorical:
+        parts.append(_gap_with_categories(df, gappy, categorical))
+    forces = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    forces = forces.where("colonne <> autre")
     best = Window.partitionBy("colonne").orderBy(F.col("force").desc(), "autre")
     top = (
         forces.withColumn("rang", F.row_number().over(best))
