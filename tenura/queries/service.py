@@ -12,7 +12,7 @@ from tenura.queries.evaluation import S, scored
 from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.sources import files
-from tenura.sources.tables import SCHEMAS, table
+from tenura.sources.tables import SCHEMAS, row_count, table
 from tenura.streaming import monitoring
 
 
@@ -85,10 +85,18 @@ def request_rates(spark, folder):
       round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.99), 5) AS p99 FROM ww GROUP BY ALL""",
 )
 def latency_quantiles(spark, folder):
-    out = monitoring.latency_quantiles(events(spark, folder), exact=True)
+    n = row_count(spark, folder, "events")
+    out = monitoring.latency_quantiles_exact(events(spark, folder), n_rows=n)
     return rounded(out, "p50", "p95", "p99", digits=5)
 
 
+@query("latency_quantiles_stream")
+def latency_quantiles_stream(spark, folder):
+    stream = prediction_events(monitoring.read_events(spark, folder, SCHEMAS["events"]))
+    quantiles = monitoring.latency_quantiles(stream)
+    return monitoring.run_to_table(quantiles, files.scratch(spark, "latency"))
+
+
 @query(
     "error_ratios",
     FIVE + """ SELECT debut, fin, count(*) AS n, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenura.operators.ordering import quantiles
+
 WATERMARK = "10 minutes"
 TICK_SECONDS = 30
 
@@ -50,15 +52,33 @@ def request_rates(events: DataFrame) -> DataFrame:
     return counts.select(*_bounds(), "n", (F.col("n") / 60.0).alias("debit_s"))
 
 
-def latency_quantiles(events: DataFrame, latency: str = "latence", exact: bool = False) -> DataFrame:
-    """p50, p95, p99 over 5 minutes; a mergeable sketch unless `exact`."""
-    probs = [0.5, 0.95, 0.99]
-    q = F.percentile(latency, probs) if exact else F.approx_percentile(latency, probs, 10_000)
+LATENCY_PROBS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _latency_columns() -> list[Column]:
+    return [F.col("q")[i].alias(name) for i, name in enumerate(LATENCY_PROBS)]
+
+
+def latency_quantiles(events: DataFrame, latency: str = "latence") -> DataFrame:
+    """p50, p95, p99 over 5 minutes, from a mergeable sketch; for streams."""
+    q = F.approx_percentile(latency, list(LATENCY_PROBS.values()), 10_000)
     per = _timed(events).groupBy(F.window("ts", "5 minutes", "30 seconds")).agg(
         F.count("*").alias("n"), q.alias("q")
     )
-    names = ("p50", "p95", "p99")
-    return per.select(*_bounds(), "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    return per.select(*_bounds(), "n", *_latency_columns())
+
+
+def latency_quantiles_exact(
+    events: DataFrame, latency: str = "latence", n_rows: int | None = None
+) -> DataFrame:
+    """The same, exact, in batch; a window of any size stays distributed."""
+    placed = events.select(
+        F.window(F.col("ts").cast("timestamp"), "5 minutes", "30 seconds").alias("window"), latency
+    )
+    bound = None if n_rows is None else n_rows * 10
+    q = quantiles(placed, latency, list(LATENCY_PROBS.values()), ["window"], bound)
+    counts = placed.groupBy("window").agg(F.count("*").alias("n"))
+    return counts.join(q, "window").select(*_bounds(), "n", *_latency_columns())
 
 
 def error_ratios(events: DataFrame, is_error: Column) -> DataFrame:
