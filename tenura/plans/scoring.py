@@ -85,7 +85,7 @@ def retrain(
     train = split.where("part = 'train'").drop("part")
     test = split.where("part = 'test'").drop("part")
     numeric, categorical = ml.default_inputs(train, label, key)
-    folded = repeated_stratified_folds(train, label, key, n_rows=n_rows)
+    folded = materialise(repeated_stratified_folds(train, label, key, n_rows=n_rows), "folds")
     fit = lambda t: ml.fit_logistic(t, label, numeric, categorical).score
     scored = ml.out_of_fold_scores(folded, fit, "pli_0").select(F.col(label).alias("y"), "p")
     watch = metrics.threshold_for_recall(scored, n_rows=n_rows).first()["seuil"]

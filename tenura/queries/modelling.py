@@ -22,20 +22,22 @@ ORDER = "(k * 7919) % 10007"
 
 
 def sample(spark, folder, *extra):
-    """Narrow training table, written once per job: every fit reads it several times."""
-    df = accounts(spark, folder).select("k", KEY, Y, MRR, *NUMERIC, *LABELS, *extra)
-    return files.materialise(df, "training")
+    """Narrow training columns."""
+    return accounts(spark, folder).select("k", KEY, Y, MRR, *NUMERIC, *LABELS, *extra)
 
 
 def parts(spark, folder, *extra):
+    """Train and test rows; the split is written once because every fit reads it several times."""
     split = splits.stratified_split(sample(spark, folder, *extra), Y, KEY, n_rows=size(spark, folder))
+    split = files.materialise(split, "split")
     return split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
 
 
 def folded(spark, folder, repeats=1):
-    df = sample(spark, folder)
-    n = size(spark, folder)
-    return splits.repeated_stratified_folds(df, Y, KEY, 3, repeats, n_rows=n)
+    folds = splits.repeated_stratified_folds(
+        sample(spark, folder), Y, KEY, 3, repeats, n_rows=size(spark, folder)
+    )
+    return files.materialise(folds, "folds")
 
 
 @query(
