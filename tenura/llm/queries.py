@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import language, simhash
+from tenura.llm import html, language, pieces, simhash, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,8 +32,51 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MODEL = "piece_bpe_32k.model"
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.encode(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path(MODEL))
+    return coded.select(
+        F.col("key").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"),
+    )
+
+
+OP7_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM words WHERE len(w) >= 20)
+), later AS (
+    SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS j FROM later
+), marks AS (
+    SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE
+           [w[k] FOR k IN generate_series(1, len(w)) IF NOT list_contains(js, k)] END, ' ')) AS kept_sha256
+FROM words LEFT JOIN marks USING (doc_id)
+"""
+
+
+@query("op7_substring_dedup", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.repeats(documents(spark, folder))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     found = language.identify(docs.select("doc_id", "text"), language.learned_model(docs))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"))
