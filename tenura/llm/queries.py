@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import html, language, pieces, simhash, substrings
+from tenura.llm import fuzzy, html, language, pieces, simhash, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.learned_model(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        F.col("key").alias("doc_id"), toxicity.held_out(F.col("key")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op4_document_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy.edited_neighbours(documents(spark, folder)).withColumnRenamed("key", "doc_id")
+
+
 OP7_SQL = r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
