@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import fuzzy, html, language, pieces, simhash, substrings, toxicity
+from tenura.llm import fuzzy, html, language, licenses, mixing, pieces, pivots, simhash, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,36 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy.edited_neighbours(documents(spark, folder)).withColumnRenamed("key", "doc_id")
 
 
+OP5_SQL = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT a, min(b) AS c FROM reach GROUP BY a
+)
+SELECT a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = least.a)::BIGINT AS n_links, c AS component_id, a = c AS kept FROM least
+"""
+
+
+@query("op5_embedding_near_dedup", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    shares = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "n_rows", "tokens", *shares, "rate")
+
+
 OP7_SQL = r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -86,6 +116,37 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_sql() -> str:
+    """Every document against every template, without bands."""
+    rows = ", ".join(
+        f"('{name}', {licenses.stride_of(text)}, {len(licenses.template_shingles(text))}, '{s}')"
+        for name, text in licenses.TEMPLATES.items() for s in licenses.template_shingles(text)
+    )
+    return rf"""
+WITH templates(license, stride, size, s) AS (VALUES {rows}), worded AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w
+    FROM documents WHERE text IS NOT NULL
+), placed AS (
+    SELECT doc_id, i AS pos, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS s
+    FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 5)) AS i FROM worded WHERE len(w) >= 5)
+), hits AS (
+    SELECT doc_id, license, size, pos, s, unnest(CASE WHEN pos // stride > 0 AND pos + 5 <= (pos // stride + 1) * stride
+        THEN [pos // stride - 1, pos // stride] ELSE [pos // stride] END) AS win
+    FROM placed JOIN templates USING (s)
+), windows AS (
+    SELECT doc_id, license, win, min(pos) AS pos, count(DISTINCT s) / any_value(size) AS share FROM hits GROUP BY ALL
+    HAVING count(DISTINCT s) >= 0.8 * any_value(size) - 1e-9
+)
+SELECT doc_id, license, min(pos)::BIGINT AS first_word, count(*)::BIGINT AS n_windows, max(share)::DOUBLE AS containment
+FROM windows GROUP BY ALL
+"""
+
+
+@query("op8_license_scan", op8_sql())
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
