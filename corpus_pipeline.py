@@ -38,12 +38,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    carried = docs.select("doc_id", F.col("text").alias("_text"), *others).withColumn("_copy", F.col("_text"))
-    found = substrings.repeats(carried, text="_copy", keep=("_text", *others))
-    cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept").cast("string")).otherwise(F.col("_text"))
-    left = found.where(~cut | (F.col("n_removed") < F.col("n_words")))
-    left = left.select(F.col("key").alias("doc_id"), text.alias("text"), *others, cut.alias("_cut"))
+    found = substrings.repeats(docs, keep=others, untouched=True)
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    left = left.select(F.col("key").alias("doc_id"), F.col("kept").cast("string").alias("text"), *others, (F.col("n_removed") > 0).alias("_cut"))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         left = left.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

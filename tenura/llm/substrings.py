@@ -167,10 +167,11 @@ def verify(window: int, bits: int):
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def remove(window: int, keep: tuple[str, ...]):
+def remove(window: int, keep: tuple[str, ...], untouched: bool):
     def run(key, docs, found):
         table = ordered(docs)
-        texts = [t or b"" for t in table.column("text").to_pylist()]
+        given = table.column("text").to_pylist()
+        texts = [t or b"" for t in given]
         words, bounds = word_hashes(texts)
         windows, at = window_hashes(words, bounds, window)
         first = np.zeros(len(windows), bool)
@@ -181,7 +182,7 @@ def remove(window: int, keep: tuple[str, ...]):
         np.add.at(edge, again + window, -1)
         gone = np.cumsum(edge)[:-1] > 0
         n_words, n_removed, spans, kept = [], [], [], []
-        for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        for whole, text, a, b in zip(given, texts, bounds[:-1], bounds[1:]):
             own = gone[a:b]
             runs = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
             words_here = text.split()
@@ -190,7 +191,7 @@ def remove(window: int, keep: tuple[str, ...]):
             n_words.append(b - a)
             n_removed.append(int(own.sum()))
             spans.append([{"start": x, "end": y} for x, y in zip(runs[0::2], runs[1::2])])
-            kept.append(b" ".join(words_here))
+            kept.append(whole if untouched and not runs else b" ".join(words_here))
         out = [table.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, SPANS)]
         out += [pa.array(kept, pa.binary()), *(table.column(c) for c in keep)]
         return pa.Table.from_arrays(out, ["key", "n_words", "n_removed", "spans", "kept", *keep])
@@ -198,9 +199,10 @@ def remove(window: int, keep: tuple[str, ...]):
     return run
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, untouched: bool = False) -> DataFrame:
     """One row per document: key, n_words, n_removed, spans (maximal runs of removed words), kept
-    (UTF-8 of the kept words joined by one space) and the columns named in `keep`.
+    (UTF-8 of the kept words joined by one space; if `untouched`, a text that loses nothing as it is)
+    and the columns named in `keep`.
     """
     if window % 2:
         raise ValueError("the window must be even")
@@ -219,4 +221,4 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tupl
     kinds = dict(rows.dtypes)
     schema = f"key {kinds['key']}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
     schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(remove(window, keep), schema)
+    return rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(remove(window, keep, untouched), schema)
