@@ -28,8 +28,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.learned_model(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language.identify(docs, language.learned_model(docs), names=("_lang", "_score"))
+    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = substrings.repeats(docs, keep=others, untouched=True)
+    others = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # no name can clash
+    found = substrings.repeats(docs.withColumnsRenamed(others), keep=tuple(others.values()), untouched=True)
     left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    left = left.select(F.col("key").alias("doc_id"), F.col("kept").cast("string").alias("text"), *others, (F.col("n_removed") > 0).alias("_cut"))
+    back = [F.col(a).alias(c) for c, a in others.items()]
+    left = left.select(F.col("key").alias("doc_id"), F.col("kept").cast("string").alias("text"), *back, (F.col("n_removed") > 0).alias("_cut"))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         left = left.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenura.llm.texts import clear_of
+
 LONG_WORDS = 10
 STOPWORDS_HIGH, STOPWORDS_LOW = 0.2, 0.08
 LINK_DENSITY = 0.5
@@ -94,10 +96,10 @@ def traits(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "region", "label")
+    __slots__ = ("text", "linked", "bad", "region", "heading", "label")
 
-    def __init__(self, text: str, linked: int, bad: bool, region: int) -> None:
-        self.text, self.linked, self.bad, self.region, self.label = text, linked, bad, region, None
+    def __init__(self, text: str, linked: int, bad: bool, region: int, heading: bool) -> None:
+        self.text, self.linked, self.bad, self.region, self.heading, self.label = text, linked, bad, region, heading, None
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -105,7 +107,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int]] = []  # tag, inside boilerplate, rank of the content marks around
     text: list[str] = []
     linked = at = depth_links = 0
-    heading = ""
+    heading = False
     low = None
 
     def close() -> None:
@@ -117,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
                 bad, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 if bad and heading and region and all(t == "header" or not b for t, b, _ in _own(stack)):
                     bad = False
-                out.append(Block(whole, linked, bad, region))
+                out.append(Block(whole, linked, bad, region, heading))
             text.clear()
         linked = 0
 
@@ -147,10 +149,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             close()
-            if tag in HEADINGS:
-                heading = "" if end else tag
-            elif not end:
-                heading = heading if tag not in ("p", "div", "section", "article") else ""
+            heading = tag in HEADINGS and not end
         if tag == "a":
             depth_links = 0 if end else 1
         if tag in CONTAINERS or tag in BOILERPLATE:
@@ -201,7 +200,8 @@ def classify(blocks: list[Block]) -> list[Block]:
     good, k = [], 0
     for i, b in enumerate(inside):
         if b.label is None:
-            while k + 1 < len(decided) and abs(decided[k + 1] - i) < abs(decided[k] - i):
+            # at equal distance a heading goes with what follows, any other block with what precedes
+            while k + 1 < len(decided) and abs(decided[k + 1] - i) < abs(decided[k] - i) + b.heading:
                 k += 1
             if inside[decided[k]].label:
                 good.append(b)
@@ -215,19 +215,17 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
-    """The rows of `pages` without `page`, with text and n_chars added."""
+    """The rows of `pages` without `page`, with text and n_chars added (input columns of those names get `_input`)."""
     others = [c for c in pages.columns if c != page]
-    taken = {"text", "n_chars"} & set(others)
-    if taken:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
+    names = clear_of(others, {"text", "n_chars"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(p) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                [*others, "text", "n_chars"],
+                [*names, "text", "n_chars"],
             )
 
-    rows = pages.select(page, *others)
-    return rows.mapInArrow(run, rows.select(*others, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
+    rows = pages.select(F.col(page), *(F.col(c).alias(a) for c, a in zip(others, names)))
+    return rows.mapInArrow(run, rows.select(*names, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)

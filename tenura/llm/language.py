@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.texts import chunks, code_points
+from tenura.llm.texts import chunks, clear_of, code_points
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 15
@@ -87,7 +87,7 @@ class Model:
         return names, scores
 
 
-def learn(rows: DataFrame, text: str, label: str, buckets: int = BUCKETS, smoothing: float = 0.5) -> Model:
+def learn(rows: DataFrame, text: str, label: str, buckets: int = BUCKETS, smoothing: float = 0.1) -> Model:
     """Fit on all rows with a label and a text; only summed counts leave the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,22 +135,22 @@ def learn(rows: DataFrame, text: str, label: str, buckets: int = BUCKETS, smooth
     return Model(languages, np.ascontiguousarray(logs.T), np.log(priors / max(1, priors.sum())))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `docs` with lang_pred and score added."""
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of `docs` with the language and its posterior added under `names`; input columns of
+    those names get `_input`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(at).to_pylist())
+            found, scores = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"]
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, *names]
             )
 
-    taken = {"lang_pred", "score"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    rows = docs.toDF(*clear_of(docs.columns, set(names)))
+    return rows.mapInArrow(run, rows.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema)
 
 
 def held_out(key: Column) -> Column:

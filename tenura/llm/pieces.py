@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_proto
 
-from tenura.llm.texts import chunks
+from tenura.llm.texts import chunks, clear_of
 
 MARK = "▁".encode()
 BATCH_CHARS = 1 << 19
@@ -183,13 +183,13 @@ def encoder(model: bytes) -> Encoder:
 
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: key, n_tokens, ids, spans (packed), decoded, and the columns in `keep`."""
-    taken = {"key", "n_tokens", "ids", "spans", "decoded", "text"} & set(keep)
-    if taken:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
+    """One row per document: key, n_tokens, ids, spans (packed), decoded, and the columns in `keep`
+    (with `_input` appended where a name is taken).
+    """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    names = ["key", "n_tokens", "ids", "spans", "decoded", *keep]
+    carried = clear_of(keep, {"key", "n_tokens", "ids", "spans", "decoded", "text"})
+    names = ["key", "n_tokens", "ids", "spans", "decoded", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
                     names,
                 )
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *keep)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(a) for c, a in zip(keep, carried)))
     kinds = dict(rows.dtypes)
-    schema = f"key {kinds['key']}, n_tokens long, ids binary, spans binary, decoded string" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    schema = f"key {kinds['key']}, n_tokens long, ids binary, spans binary, decoded string" + "".join(f", `{c}` {kinds[c]}" for c in carried)
     return rows.mapInArrow(run, schema)

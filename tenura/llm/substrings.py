@@ -21,14 +21,12 @@ first; fewer than 20 words: nothing is removed.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.texts import Slices, window_hashes, word_hashes
+from tenura.llm.texts import Slices, clear_of, window_hashes, word_hashes
 
 WINDOW = 20
 SLICE_BYTES = 8 << 20
@@ -202,23 +200,21 @@ def remove(window: int, keep: tuple[str, ...], untouched: bool):
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, untouched: bool = False) -> DataFrame:
     """One row per document: key, n_words, n_removed, spans (maximal runs of removed words), kept
     (UTF-8 of the kept words joined by one space; if `untouched`, a text that loses nothing as it is)
-    and the columns named in `keep`.
+    and the columns named in `keep` (with `_input` appended where a name is taken).
     """
     if window % 2:
         raise ValueError("the window must be even")
-    taken = {"key", "n_words", "n_removed", "spans", "kept", "slice", "text"} & set(keep)
-    if taken:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
+    names = clear_of(keep, {"key", "n_words", "n_removed", "spans", "kept", "slice", "text"})
     half = window // 2
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
     slices = Slices.of(docs, key, size, SLICE_BYTES)
     ranges_wanted = max(1, slices.count * SLICE_BYTES // 6 // RANGE_WORDS)
     bits = (ranges_wanted - 1).bit_length()
-    rows = docs.select(slices.number(F.col(key)).alias("slice"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *keep)
+    rows = docs.select(slices.number(F.col(key)).alias("slice"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *(F.col(c).alias(a) for c, a in zip(keep, names)))
     found = rows.groupBy("slice").applyInArrow(probe(half, bits), SENT).groupBy("range").applyInArrow(hits, REPLY)
     around = rows.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(verify(window, bits), SENT)
     known = around.groupBy("range").applyInArrow(later, REPLY)
     kinds = dict(rows.dtypes)
     schema = f"key {kinds['key']}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
-    schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(remove(window, keep, untouched), schema)
+    schema += "".join(f", `{c}` {kinds[c]}" for c in names)
+    return rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(remove(window, tuple(names), untouched), schema)

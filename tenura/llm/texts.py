@@ -99,6 +99,16 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def clear_of(names: tuple[str, ...] | list[str], taken: set[str]) -> list[str]:
+    """Names under which carried columns come back: one that an operator uses itself gets `_input`."""
+    out: list[str] = []
+    for name in names:
+        while name in taken or name in out:
+            name += "_input"
+        out.append(name)
+    return out
+
+
 # ---- slices: consecutive ranges of the document order -------------------------------------------
 MAX_KNOTS = 256
 

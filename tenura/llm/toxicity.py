@@ -3,9 +3,9 @@
 Features of a text are the words (runs of letters, lower-cased) that occur in it and their beginnings
 of 4, 5 and 6 letters, as 64-bit hashes. Their document frequencies by label are counted by Spark over
 the training rows; features whose association with the label is plain (chi-square) enter a logistic
-regression. Identity terms in the labelled sentences are swapped for other terms of their group, and the
-square of the score change that a swap causes is added to the loss, so that a group's mention alone
-moves no score.
+regression. Identity terms in the labelled sentences are swapped for other terms of their group, and
+left out; the square of the score change that this causes is added to the loss, so that a group's
+mention alone moves no score.
 
 Training rows are a bounded sample (`fit_rows`) of the labelled rows, chosen by a hash of the id: the
 labels that are broadcast, and the rows that the driver fits on, are bounded by it. All texts are
@@ -110,11 +110,12 @@ def swaps(groups: tuple[tuple[str, ...], ...]) -> tuple[regex.Pattern | None, di
 
 
 def swapped_sentences(text: str, pattern: regex.Pattern | None, to: dict[str, str]) -> list[tuple[str, str]]:
-    """The sentences with identity terms, and the same with the terms swapped."""
+    """The sentences with identity terms, each with the terms swapped and with the terms left out."""
     if pattern is None or not pattern.search(text):
         return []
     found = [s for s in SENTENCES.findall(text) if pattern.search(s)]
-    return [(s, pattern.sub(lambda m: to[m[0].lower()], s)) for s in found]
+    swapped = [(s, pattern.sub(lambda m: to[m[0].lower()], s)) for s in found]
+    return swapped + [(s, pattern.sub("", s)) for s in found]
 
 
 @dataclass
