@@ -126,17 +126,12 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], rare: int = 10) -
     )
     raw = long.groupBy("colonne", "brut").agg(F.count("*").alias("n"))
     filled = F.col("brut").isNotNull()
-    spelled = F.transform(
-        F.array_sort(F.collect_list("brut")),
-        lambda v: F.concat(F.lit("«"), F.replace(v, F.lit(" "), F.lit("␣")), F.lit("»")),
-    )
     norms = (
         raw.groupBy("colonne", normalise(F.col("brut")).alias("norme"))
         .agg(
             F.sum("n").alias("n"),
             F.count("brut").alias("ecritures"),
             F.count_if(filled & (F.col("n") < rare)).alias("rares"),
-            spelled.alias("exemple"),
         )
     )
     known = F.col("norme").isNotNull()
@@ -149,10 +144,21 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], rare: int = 10) -
         F.sum("rares").alias("n_modalites_rares"),
         F.count_if(known & (F.col("n") < rare)).alias("n_rares_normalisees"),
         F.min(
-            F.when(known, F.struct((-F.col("ecritures")).alias("k"), "norme", "exemple"))
+            F.when(known, F.struct((-F.col("ecritures")).alias("k"), "norme"))
         ).alias("eclatee"),
         F.min(F.when(known, F.struct((-F.col("n")).alias("k"), "norme"))).alias("top"),
     )
+    # only the spellings of one label per column are listed
+    burst = F.broadcast(per.select("colonne", F.col("eclatee.norme").alias("_norme")))
+    spelled = F.transform(
+        F.array_sort(F.collect_list("brut")),
+        lambda v: F.concat(F.lit("«"), F.replace(v, F.lit(" "), F.lit("␣")), F.lit("»")),
+    )
+    examples = (
+        raw.join(burst, "colonne").where(normalise(F.col("brut")) == F.col("_norme"))
+        .groupBy("colonne").agg(spelled.alias("exemple"))
+    )
+    per = per.join(F.broadcast(examples), "colonne", "left")
     variants = F.col("cardinalite") - F.col("cardinalite_normalisee")
     return per.select(
         "colonne",
@@ -161,7 +167,7 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], rare: int = 10) -
         "cardinalite",
         "cardinalite_normalisee",
         variants.alias("variantes_typographiques"),
-        F.when(variants > 0, F.array_join("eclatee.exemple", " / "))
+        F.when(variants > 0, F.array_join("exemple", " / "))
         .otherwise("")
         .alias("exemple_variantes"),
         "n_modalites_rares",
@@ -335,12 +341,23 @@ def discriminating_power(
 # --- correlations --------------------------------------------------------------------------
 
 
+def centres(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Mean of each column over its finite values; 0 where it has none."""
+    value = [F.col(c).cast("double") for c in columns]
+    finite = [F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) for v in value]
+    row = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(finite)]).first()
+    return {c: row[i] or 0.0 for i, c in enumerate(columns)}
+
+
 def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, n, sa, sb, saa, sbb, sab) over pairwise-complete rows for all a < b.
 
+    Values are taken as distances from their column's mean (one aggregate of k numbers before),
+    so columns far from zero lose no digits; a correlation does not depend on the shift.
     Each task adds up k x k matrices of its own rows; only k² numbers per task are shuffled.
     """
     names = list(columns)
+    means = centres(df, names)
     upper = np.triu_indices(len(names), 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,7 +376,8 @@ def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             }
         )
 
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(
+    centred = [(F.col(c).cast("double") - F.lit(means[c])).alias(c) for c in names]
+    parts = df.select(*centred).mapInPandas(
         partial, "i int, j int, " + ", ".join(f"m{k} double" for k in range(6))
     )
     label = F.array(*[F.lit(c) for c in names])

@@ -68,7 +68,8 @@ def _eta(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> D
 
     Numbers stay wide while categories are unpivoted, so rows grow with the categories only.
     """
-    numbers = [F.col(c).cast("double").alias(f"_n_{c}") for c in numeric]
+    means = explore.centres(df, list(numeric))  # squares of distances from the mean keep their digits
+    numbers = [(F.col(c).cast("double") - F.lit(means[c])).alias(f"_n_{c}") for c in numeric]
     levels = (
         df.select(*numbers, *[F.col(c).cast("string").alias(c) for c in categorical])
         .unpivot([f"_n_{c}" for c in numeric], list(categorical), "categorie", "niveau")

@@ -135,3 +135,57 @@ class Thresholds:
 
 ECONOMICS = Economics()
 THRESHOLDS = Thresholds()
+
+# Business labels of the model's variables, as account sheets print them.
+FACTOR_LABELS = {
+    "anciennete_mois": "Ancienneté (mois)",
+    "sieges_souscrits": "Sièges souscrits",
+    "utilisateurs_actifs": "Utilisateurs actifs",
+    "taux_adoption_pct": "Taux d'adoption des sièges (%)",
+    "connexions_30j": "Connexions sur 30 jours",
+    "heures_usage_30j": "Heures d'usage sur 30 jours",
+    "fonctionnalites_total": "Fonctionnalités disponibles",
+    "fonctionnalites_utilisees": "Fonctionnalités utilisées",
+    "nb_integrations": "Intégrations actives",
+    "derniere_connexion_jours": "Jours depuis la dernière connexion",
+    "tickets_support_90j": "Tickets support sur 90 jours",
+    "delai_reponse_support_h": "Délai de réponse du support (h)",
+    "csat": "Satisfaction client (CSAT, sur 5)",
+    "retards_paiement_12m": "Retards de paiement sur 12 mois",
+    "revenu_mensuel_recurrent_eur": "Revenu mensuel récurrent (€)",
+    "taux_utilisation_sieges": "Taux d'utilisation des sièges",
+    "surdimensionnement": "Sièges payés mais inutilisés",
+    "intensite_usage_par_utilisateur": "Heures d'usage par utilisateur",
+    "connexions_par_utilisateur": "Connexions par utilisateur",
+    "taux_couverture_fonctionnelle": "Part des fonctionnalités utilisées",
+    "arpu_par_siege": "Revenu par siège (€)",
+    "recence_normalisee": "Inactivité rapportée à l'ancienneté",
+    "compte_dormant": "Compte dormant",
+    "pression_support": "Pression support (tickets par utilisateur)",
+    "csat_manquant": "CSAT non renseigné",
+    "heures_usage_30j_manquant": "Heures d'usage non renseignées",
+    "delai_reponse_support_h_manquant": "Délai support non renseigné",
+    "prix_mensuel_par_siege_eur": "Prix catalogue par siège (€)",
+    "fonctionnalites_incluses": "Fonctionnalités incluses dans le plan",
+    "sla_reponse_h": "Engagement de réponse du plan (h)",
+    "quota_stockage_go": "Quota de stockage du plan (Go)",
+    "support_dedie": "Support dédié",
+    "remise_consentie": "Remise consentie",
+    "adequation_plan": "Adéquation du plan",
+    "taux_churn_median_saas_pct": "Churn médian du secteur (%)",
+    "dynamique_croissance": "Dynamique du secteur",
+    "ecart_adoption_secteur": "Adoption comparée au secteur",
+    "zone_reglementaire": "Zone réglementaire",
+    "langue_support_fr": "Support en français",
+    "decalage_horaire_paris_h": "Décalage horaire avec Paris (h)",
+    "ecart_csat_secteur": "CSAT comparé au secteur",
+    "secteur": "Secteur",
+    "pays": "Pays",
+    "taille_entreprise": "Taille d'entreprise",
+    "plan": "Plan",
+    "tranche_anciennete": "Phase de vie du compte",
+    "tranche_integrations": "Niveau d'intégration",
+    "couleur_theme_interface": "Thème d'interface",
+    "code_datacenter": "Datacenter",
+    "groupe_experimentation": "Groupe d'expérimentation",
+}

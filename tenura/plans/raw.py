@@ -209,3 +209,10 @@ def date_sql(c: str) -> str:
         f"coalesce(TRY_STRPTIME({t}, '%Y-%m-%d'), TRY_STRPTIME({t}, '%d/%m/%Y'), "
         f"TRY_STRPTIME({t}, '%d %b %Y'))::DATE"
     )
+
+
+def deliver(spark, folder: str, path: str) -> str:
+    """Write the export as delivered CSV files; spaces around labels are part of the text."""
+    (raw_accounts(spark, folder).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("escape", '"').csv(path))
+    return path

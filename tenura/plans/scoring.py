@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from tenura.sources.files import materialise, publish_scores
 def score_accounts(
     df: DataFrame, scorer: ml.LogisticScorer, watch: float, key: str, mrr: str
 ) -> DataFrame:
-    """Published columns plus the three main reasons, from one pass over the accounts."""
+    """Published columns plus the three main reasons; the model is applied once, to a written table."""
     explained = scorer.score_and_explain(df).select(
         F.col(key).alias("id"), "p", F.col(mrr).cast("double").alias("mrr"), "facteurs"
     )
+    explained = materialise(explained, "scored")
     decided = economics.decide(explained, watch)
     reasons = explained.select(
         F.col("id").alias("client_id"),
@@ -27,18 +30,20 @@ def score_accounts(
 
 
 def account_sheets(
-    df: DataFrame, scorer: ml.LogisticScorer, watch: float, key: str, mrr: str
+    df: DataFrame, scorer: ml.LogisticScorer, watch: float, key: str, mrr: str,
+    actions: dict[str, str], otherwise: str,
 ) -> DataFrame:
     """One sheet per account: level, value, factors for and against, suggested action."""
     x = ml.vector_to_array("features")
     raw = ml.vector_to_array("rawPrediction")[1] - scorer.correction
+    original = F.struct(*[F.col(c) for c in df.columns])
     ready = (
-        scorer.features(df)
+        scorer.features(df.withColumn("_row", original))
         .withColumn("_c", ml.linear_contributions(x, scorer.coefficients, scorer.means))
         .withColumn("p", 1.0 / (1.0 + F.exp(-raw)))
     )
-    risk = ml.top_factors(F.col("_c"), scorer.names, 3)
-    shield = ml.top_factors(F.col("_c"), scorer.names, 2, sign=-1)
+    risk = ml.top_factors(F.col("_c"), scorer.names, 3, "_row")
+    shield = ml.top_factors(F.col("_c"), scorer.names, 2, "_row", sign=-1)
     sheet = ready.select(
         key,
         F.bround("p", 4).alias("proba_churn"),
@@ -53,7 +58,7 @@ def account_sheets(
         F.get("facteurs_churn", F.lit(0))["variable"],
         F.get("facteurs_protection", F.lit(0))["variable"],
     )
-    return sheet.withColumn("action_preventive", ml.preventive_action(dominant))
+    return sheet.withColumn("action_preventive", ml.preventive_action(dominant, actions, otherwise))
 
 
 def nightly_scoring(
@@ -65,10 +70,15 @@ def nightly_scoring(
     force: bool = False,
     key: str = "client_id",
     mrr: str = "revenu_mensuel_recurrent_eur",
+    denied: Sequence[str] = ("churn", "sante_compte_fin_periode", "valeur_vie_client_eur"),
 ) -> DataFrame:
-    """Score, publish one date, return the summary; a published date is left alone."""
-    scores = score_accounts(gold, scorer, watch, key, mrr)
-    publish_scores(scores, path, date_ref, force)
+    """Score, publish one date with its summary, return the summary; a published date is left alone.
+
+    Columns that must not enter a score (identifiers, outcomes, suspected leaks) go first.
+    """
+    allowed = [c for c in gold.columns if c not in denied]
+    scores = materialise(score_accounts(gold.select(*allowed), scorer, watch, key, mrr), "nightly")
+    publish_scores(scores, path, date_ref, force, summary=economics.score_summary(scores))
     published = gold.sparkSession.read.parquet(path).where(F.col("date_ref") == date_ref)
     return economics.score_summary(published)
 

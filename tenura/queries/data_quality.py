@@ -11,6 +11,7 @@ from tenura.plans import raw as raw_plan
 from tenura.plans.accounts import CATEGORICAL, NUMERIC, accounts, accounts_sql
 from tenura.plans.raw import NUMBERS, number_sql, raw_accounts, raw_sql
 from tenura.queries.registry import query
+from tenura.sources import files
 from tenura.sources.tables import row_count, table
 
 RAW = f"WITH {raw_sql()}"
@@ -35,15 +36,18 @@ def _null_markers(c: str) -> str:
 NULLED = ", ".join(f"{_null_markers(c)} AS {c}" for c in raw_plan.COLUMNS)
 
 
-@query("scan_raw_text", f"{RAW} SELECT * FROM raw")
+@query(
+    "scan_raw_text",
+    f"{RAW} SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in raw_plan.COLUMNS) + " FROM raw",
+)
 def scan_raw_text(spark, folder):
-    return raw_accounts(spark, folder)
+    """The export as delivered, read by the scanner: all text, gaps empty."""
+    return files.scan_raw_text(spark, raw_plan.deliver(spark, folder, files.scratch(spark, "raw")))
 
 
-@query("scan_parquet", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 0")
+@query("scan_parquet", "SELECT * FROM customer")
 def scan_parquet(spark, folder):
-    wanted = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return wanted.where("c_acctbal > 0")
+    return files.scan_parquet_or_csv(spark, f"{folder}/customer.parquet")
 
 
 @query("null_out_markers", f"{RAW} SELECT {NULLED} FROM raw")

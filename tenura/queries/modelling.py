@@ -33,9 +33,20 @@ def parts(spark, folder, *extra):
     return split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
 
 
+def everyone(spark, folder):
+    """The training rows, and the whole portfolio to score."""
+    split = splits.stratified_split(sample(spark, folder), Y, KEY, n_rows=size(spark, folder))
+    split = files.materialise(split, "split")
+    return split.where("part = 'train'").drop("part"), split.drop("part")
+
+
+FOLDS, REPEATS = 5, 3
+REPEATED = [f"pli_{r}" for r in range(REPEATS)]
+
+
 def folded(spark, folder, repeats=1):
     folds = splits.repeated_stratified_folds(
-        sample(spark, folder), Y, KEY, 3, repeats, n_rows=size(spark, folder)
+        sample(spark, folder), Y, KEY, FOLDS, repeats, n_rows=size(spark, folder)
     )
     return files.materialise(folds, "folds")
 
@@ -86,18 +97,19 @@ def repeated_stratified_folds(spark, folder):
 
 @query("preprocessing")
 def preprocessing(spark, folder):
-    train, test = parts(spark, folder)
+    train, portfolio = everyone(spark, folder)
     from pyspark.ml import Pipeline
 
     model = Pipeline(stages=ml.preprocessing(NUMERIC, LABELS)).fit(ml.typed_inputs(train, NUMERIC, LABELS))
-    out = model.transform(ml.typed_inputs(test, NUMERIC, LABELS))
-    return out.select(KEY, F.size(ml.vector_to_array("features")).alias("n_features"))
+    out = model.transform(ml.typed_inputs(portfolio, NUMERIC, LABELS))
+    x = ml.vector_to_array("features")
+    return out.select(KEY, F.size(x).alias("n_features"), F.round(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 6).alias("somme"))
 
 
 @query("fit_logistic_recalibrated")
 def fit_logistic_recalibrated(spark, folder):
-    train, test = parts(spark, folder)
-    return ml.fit_logistic(train, Y, NUMERIC, LABELS).score(test).select(KEY, Y, "p")
+    train, portfolio = everyone(spark, folder)
+    return ml.fit_logistic(train, Y, NUMERIC, LABELS).score(portfolio).select(KEY, Y, "p")
 
 
 _COEF, _MEAN = (0.04, -0.3, 0.02), (20.0, 3.0, 15.0)
@@ -135,16 +147,16 @@ def top_factors(spark, folder):
 
 @query("score_and_explain")
 def score_and_explain(spark, folder):
-    train, test = parts(spark, folder)
-    out = ml.fit_logistic(train, Y, NUMERIC, LABELS).score_and_explain(test)
+    train, portfolio = everyone(spark, folder)
+    out = ml.fit_logistic(train, Y, NUMERIC, LABELS).score_and_explain(portfolio)
     return out.select(KEY, "p", F.array_join(F.transform("facteurs", lambda f: f["libelle"]), " | ").alias("facteurs"))
 
 
 @query("cross_validate")
 def cross_validate(spark, folder):
-    df = folded(spark, folder)
+    df = folded(spark, folder, REPEATS)
     scores = ml.cross_validate(
-        df, ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"], Y, ["pli_0"], 3, n_rows=size(spark, folder)
+        df, ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"], Y, REPEATED, FOLDS, n_rows=size(spark, folder)
     )
     return ml.summarise_folds(scores)
 
@@ -152,13 +164,13 @@ def cross_validate(spark, folder):
 @query("out_of_fold_scores")
 def out_of_fold_scores(spark, folder):
     fit = ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"]
-    return ml.out_of_fold_scores(folded(spark, folder), fit, "pli_0", 3).select(KEY, "pli_0", "p")
+    return ml.out_of_fold_scores(folded(spark, folder), fit, "pli_0", FOLDS).select(KEY, "pli_0", "p")
 
 
 @query("vigilance_threshold")
 def vigilance_threshold(spark, folder):
     fit = ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"]
-    scored = ml.out_of_fold_scores(folded(spark, folder), fit, "pli_0", 3)
+    scored = ml.out_of_fold_scores(folded(spark, folder), fit, "pli_0", FOLDS)
     return threshold_for_recall(scored.select(F.col(Y).alias("y"), "p"), n_rows=size(spark, folder))
 
 
@@ -166,19 +178,19 @@ def vigilance_threshold(spark, folder):
 def compare_models(spark, folder):
     df = folded(spark, folder)
     fitters = ml.candidates(Y, KEY, NUMERIC, LABELS)
-    scores = ml.compare_models(df, fitters, Y, ["pli_0"], 3, size(spark, folder))
+    scores = ml.compare_models(df, fitters, Y, ["pli_0"], FOLDS, size(spark, folder))
     return ml.summarise_folds(scores, ["modele"])
 
 
 @query("imbalance_comparison")
 def imbalance_comparison(spark, folder):
-    return ml.imbalance_comparison(folded(spark, folder), Y, NUMERIC, LABELS, "pli_0", 3, size(spark, folder))
+    return ml.imbalance_comparison(folded(spark, folder), Y, NUMERIC, LABELS, "pli_0", FOLDS, size(spark, folder))
 
 
 @query("hyperparameter_search")
 def hyperparameter_search(spark, folder):
     df = folded(spark, folder)
-    return ml.hyperparameter_search(df, Y, NUMERIC, LABELS, "pli_0", 3, (0.1, 1.0), size(spark, folder))
+    return ml.hyperparameter_search(df, Y, NUMERIC, LABELS, "pli_0", FOLDS, (0.01, 0.1, 1.0, 10.0), size(spark, folder))
 
 
 # fold scores for the paired tests: one mean per "model" (plan) and fold (key modulo 15)
@@ -233,9 +245,9 @@ def select_parsimonious(spark, folder):
 
 @query("log_ablation")
 def log_ablation(spark, folder):
-    df = folded(spark, folder)
+    df = folded(spark, folder, REPEATS)
     logged = df.withColumns({c: signed_log(F.col(c).cast("double")) for c in ("derniere_connexion_jours", "tickets_support_90j")})
-    return ml.log_ablation(df, logged, Y, NUMERIC, LABELS, ["pli_0"], 3, size(spark, folder))
+    return ml.log_ablation(df, logged, Y, NUMERIC, LABELS, REPEATED, FOLDS, size(spark, folder))
 
 
 @query("value_regression")
@@ -255,7 +267,7 @@ def permutation_importance(spark, folder):
     train, test = parts(spark, folder)
     scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
     return ml.permutation_importance(
-        test, scorer.score, Y, KEY, ["derniere_connexion_jours", "csat", "plan"], 3, n_rows=size(spark, folder)
+        test, scorer.score, Y, KEY, [*NUMERIC, *LABELS], 20, n_rows=size(spark, folder)
     )
 
 
@@ -289,22 +301,27 @@ def retrain(spark, folder):
 
 @query("score_accounts")
 def score_accounts(spark, folder):
-    train, test = parts(spark, folder)
-    return scoring.score_accounts(test, ml.fit_logistic(train, Y, NUMERIC, LABELS), 0.4, KEY, MRR)
+    train, portfolio = everyone(spark, folder)
+    return scoring.score_accounts(portfolio, ml.fit_logistic(train, Y, NUMERIC, LABELS), 0.4, KEY, MRR)
 
 
 @query("nightly_scoring")
 def nightly_scoring(spark, folder):
-    train, test = parts(spark, folder)
+    train, portfolio = everyone(spark, folder)
     scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
-    return scoring.nightly_scoring(test, scorer, 0.4, files.scratch(spark, "nightly"), "2024-01-31")
+    return scoring.nightly_scoring(portfolio, scorer, 0.4, files.scratch(spark, "nightly"), "2024-01-31")
+
+
+# What this deployment does about a factor, by fragment of its name.
+FOLLOW_UP = {"tickets": "point avec le support", "csat": "entretien client", "connexion": "prise de contact"}
 
 
 @query("account_sheets")
 def account_sheets(spark, folder):
-    train, test = parts(spark, folder)
-    sheets = scoring.account_sheets(test, ml.fit_logistic(train, Y, NUMERIC, LABELS), 0.4, KEY, MRR)
-    names = lambda c: F.array_join(F.transform(c, lambda f: f["variable"]), ",").alias(c)
+    train, portfolio = everyone(spark, folder)
+    scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
+    sheets = scoring.account_sheets(portfolio, scorer, 0.4, KEY, MRR, FOLLOW_UP, "relecture du compte")
+    names = lambda c: F.array_join(F.transform(c, lambda f: f["libelle"]), " | ").alias(c)
     return sheets.select(
         KEY, "proba_churn", "niveau_risque", "valeur_risque_eur", names("facteurs_churn"),
         names("facteurs_protection"), "action_preventive",

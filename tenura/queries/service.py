@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators import economics, references
 from tenura.plans.gold import build_gold
-from tenura.plans.raw import raw_accounts, raw_sql
+from tenura.plans.raw import deliver, raw_sql
 from tenura.queries.decisions import DEFAULT_EV
 from tenura.queries.evaluation import S, scored
 from tenura.queries.exploration import rounded
@@ -152,37 +152,57 @@ def silences(spark, folder):
 )
 def csv_round_trip(spark, folder):
     """The raw export written as CSV and scanned back as text, empties kept."""
-    path = files.scratch(spark, "raw")
-    kept = raw_accounts(spark, folder).select("client_id", "plan", "csat", "revenu_mensuel_recurrent_eur")
-    # spaces around labels are part of the raw text
-    (kept.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path))
+    scanned = files.scan_raw_text(spark, deliver(spark, folder, files.scratch(spark, "raw")))
+    return scanned.select("client_id", "plan", "csat", "revenu_mensuel_recurrent_eur")
+
+
+@query(
+    "csv_quoted_text",
+    """SELECT CAST(c_custkey AS VARCHAR) AS cle, 'dit "' || c_name || '", vite' || chr(10) || 'fin' AS note,
+      c_mktsegment AS segment FROM customer""",
+)
+def csv_quoted_text(spark, folder):
+    """Values with quotes, delimiters and line breaks come back whole, on one row each."""
+    path = files.scratch(spark, "quoted")
+    note = F.concat(F.lit('dit "'), F.col("c_name"), F.lit('", vite\nfin'))
+    made = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("cle"), note.alias("note"), F.col("c_mktsegment").alias("segment")
+    )
+    made.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return files.scan_raw_text(spark, path)
 
 
 @query(
     "source_manifest",
-    "SELECT ';' AS separateur, 5 AS nb_colonnes, 'utf-8-sig' AS encodage, count(*) AS nb_lignes FROM customer",
+    """SELECT ';' AS separateur, 2 AS nb_colonnes, 'utf-8-sig' AS encodage, count(*) AS nb_lignes,
+      CAST(sum(length(CAST(c_custkey AS VARCHAR)) + 1 + length(c_name) + 1) AS BIGINT) AS taille_octets,
+      sha256(string_agg(CAST(c_custkey AS VARCHAR) || ';' || c_name || chr(10), '' ORDER BY c_custkey)) AS sha256
+    FROM customer""",
 )
 def source_manifest(spark, folder):
-    """The customer table written as delimited files, then inventoried."""
+    """The customer table written as one delimited file, then inventoried."""
     path = files.scratch(spark, "manifest")
-    table(spark, folder, "customer").write.option("delimiter", ";").csv(path)
+    delivered = table(spark, folder, "customer").select("c_custkey", "c_name").repartitionByRange(1, "c_custkey")
+    delivered.sortWithinPartitions("c_custkey").write.option("delimiter", ";").csv(path)
     manifest = files.source_manifest(spark, [path])
-    return manifest.groupBy("separateur", "nb_colonnes", "encodage").agg(
-        F.sum("nb_lignes").alias("nb_lignes")
-    )
+    return manifest.select("separateur", "nb_colonnes", "encodage", "nb_lignes", "taille_octets", "sha256")
 
 
 @query(
     "write_gold",
-    """SELECT count(*) AS nb_lignes, CAST(56 AS BIGINT) AS nb_colonnes, CAST(0 AS BIGINT) AS doublons_supprimes,
-      'nuit' AS note FROM customer""",
+    f"""WITH {raw_sql()} SELECT count(DISTINCT client_id) AS nb_lignes, CAST(56 AS BIGINT) AS nb_colonnes,
+      count(*) - count(DISTINCT client_id) AS doublons_supprimes, 'nuit' AS note, true AS empreintes FROM raw""",
 )
 def write_gold(spark, folder):
-    gold = build_gold(raw_accounts(spark, folder), references.catalogue(spark))
-    meta = files.write_gold(gold, files.scratch(spark, "gold"), note="nuit")
-    return meta.select("nb_lignes", "nb_colonnes", "doublons_supprimes", "note")
+    """From the delivered files to the gold table: scanned as text, copies removed, keys checked."""
+    delivered = deliver(spark, folder, files.scratch(spark, "gold-raw"))
+    raw = files.materialise(files.scan_raw_text(spark, delivered), "raw")
+    gold = build_gold(raw, references.catalogue(spark), check_key="client_id")
+    path = files.scratch(spark, "gold")
+    sources = files.source_manifest(spark, [delivered])
+    meta = files.write_gold(gold, path, sources=sources, n_raw=raw.count(), note="nuit")
+    kept = spark.read.json(f"{path}_sources").agg(F.bool_and(F.length("sha256") == 64).alias("empreintes"))
+    return meta.select("nb_lignes", "nb_colonnes", "doublons_supprimes", "note").crossJoin(F.broadcast(kept))
 
 
 @query(

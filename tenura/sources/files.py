@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.sizing import ensure_checkpoint_dir
@@ -27,11 +29,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def scan_raw_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """CSV with every column as text and empty strings kept; a missing path is an error."""
+    """CSV with every column as text and empty strings kept; a missing path is an error.
+
+    Quotes inside a quoted value are doubled, and such a value may hold line breaks.
+    """
     text = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("delimiter", delimiter)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
     return text.na.fill("")
@@ -43,54 +53,98 @@ def scan_parquet_or_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def source_manifest(
-    spark: SparkSession, paths: Sequence[str], max_bytes: int = 256 * 1024 * 1024
-) -> DataFrame:
-    """One row per file: size, SHA-256, encoding, delimiter, lines, columns, date.
+def _guess(head: list[bytes], utf8: bool) -> tuple[str, int]:
+    """Delimiter that is commonest in the first lines, and the columns of the first one."""
+    lines = [h.decode("utf-8" if utf8 else "latin-1").rstrip("\r") for h in head]
+    times = {d: sum(line.count(d) for line in lines) for d in DELIMITERS}
+    best = max(DELIMITERS, key=lambda d: times[d])
+    return (best, lines[0].count(best) + 1) if times[best] else ("inconnu", 1)
 
-    Sizes and dates come from the listing, lines from the splittable text reader. The digest
-    and the guesses need a file's bytes in one value; a file above `max_bytes` gets none.
+
+def _is_utf8(line: bytes) -> bool:
+    try:
+        line.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+class _FileDigest:
+    """Running digest of one file from its lines. The line reader drops a byte order mark and the
+    end of the last line; which of them the file has follows from its size."""
+
+    def __init__(self, path: str, size: int) -> None:
+        self.path, self.size, self.total, self.lines = path, size, 0, 0
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+        self.head: list[bytes] = []
+        self.utf8 = True
+
+    def add(self, line: bytes) -> None:
+        if self.lines:
+            self.plain.update(b"\n")
+            self.marked.update(b"\n")
+        self.plain.update(line)
+        self.marked.update(line)
+        self.total += len(line) + 1
+        self.lines += 1
+        self.utf8 = self.utf8 and _is_utf8(line)
+        if len(self.head) < 5:
+            self.head.append(line)
+
+    def row(self) -> dict:
+        digest = self.marked if self.size > self.total else self.plain
+        if self.size - self.total in (0, 3):
+            digest.update(b"\n")
+        delimiter, columns = _guess(self.head, self.utf8)
+        return {
+            "chemin": self.path, "sha256": digest.hexdigest(), "encodage": "utf-8-sig" if self.utf8 else "latin-1",
+            "separateur": delimiter, "nb_colonnes": columns, "nb_lignes": self.lines,
+        }
+
+
+DIGEST = "chemin string, sha256 string, encodage string, separateur string, nb_colonnes int, nb_lignes bigint"
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by file and place; one file at a time, one line at a time."""
+    now: _FileDigest | None = None
+    for frame in batches:
+        for path, size, value in zip(frame["chemin"], frame["taille"], frame["ligne"], strict=True):
+            if now is None or now.path != path:
+                if now is not None:
+                    yield pd.DataFrame([now.row()])
+                now = _FileDigest(path, int(size))
+            now.add(bytes(value))
+    if now is not None:
+        yield pd.DataFrame([now.row()])
+
+
+def source_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per file: size, date, SHA-256, encoding, delimiter, columns, lines.
+
+    A digest runs over a file from its first byte to its last. The splittable line reader feeds it:
+    lines are dealt out by file and sorted by place (Spark spills that sort), then go through a task
+    one by one, so a file of any size takes constant memory.
     """
-    files = spark.read.format("binaryFile").load(list(paths))
-    listing = files.select(
-        F.col("path").alias("chemin"),
-        F.col("length").alias("taille_octets"),
+    listing = spark.read.format("binaryFile").load(list(paths)).select(
+        F.col("path").alias("chemin"), F.col("length").alias("taille_octets"),
         F.col("modificationTime").alias("date_modification"),
-    )
-    small = files.where(F.col("length") <= max_bytes)
-    utf8 = F.is_valid_utf8("content")
-    text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    head = F.split(text, "\r?\n")
-    sample = F.array_join(F.slice(head, 1, 5), "\n")
-
-    def seen(c: Column, d: str) -> Column:
-        return F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
-
-    counts = F.array(
-        *[F.struct(seen(sample, d).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d"))
-          for i, d in enumerate(DELIMITERS)]
-    )
-    best = F.array_max(counts)
-    digest = small.select(
-        F.col("path").alias("chemin"),
-        F.sha2("content", 256).alias("sha256"),
-        F.when(utf8, "utf-8-sig").otherwise("latin-1").alias("encodage"),
-        F.when(best["n"] > 0, best["d"]).otherwise("inconnu").alias("separateur"),
-        F.when(
-            best["n"] > 0, F.size(F.split(head[0], F.concat(F.lit("\\Q"), best["d"], F.lit("\\E"))))
-        )
-        .otherwise(1)
-        .alias("nb_colonnes"),
-    )
-    lines = (
-        spark.read.text(list(paths))
-        .groupBy(F.input_file_name().alias("chemin"))
-        .agg(F.count("*").alias("nb_lignes"))
-    )
+    )
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        meta["file_path"].alias("chemin"), meta["file_size"].alias("taille"),
+        meta["file_block_start"].alias("bloc"), F.monotonically_increasing_id().alias("rang"),
+        F.col("value").cast("binary").alias("ligne"),
+    )
+    ordered = lines.repartition("chemin").sortWithinPartitions("chemin", "bloc", "rang")
+    digest = ordered.select("chemin", "taille", "ligne").mapInPandas(_digests, DIGEST)
     # the listing writes file:/..., the reader file:///...
     key = lambda df: df.withColumn("_k", F.regexp_replace("chemin", "^file:/+", "file:/"))
-    out = key(listing).join(key(digest).drop("chemin"), "_k", "left")
-    return out.join(key(lines).drop("chemin"), "_k", "left").drop("_k")
+    out = key(listing).join(key(digest).drop("chemin"), "_k", "left").drop("_k")
+    empty = F.when(F.col("taille_octets") == 0, F.sha2(F.lit(b""), 256))
+    return out.withColumns(
+        {"sha256": F.coalesce("sha256", empty), "nb_lignes": F.coalesce("nb_lignes", F.lit(0).cast("bigint"))}
+    )
 
 
 def write_gold(
@@ -98,10 +152,14 @@ def write_gold(
     path: str,
     sources: DataFrame | None = None,
     simulated: Sequence[str] = (),
-    removed: int = 0,
+    n_raw: int | None = None,
     note: str = "",
 ) -> DataFrame:
-    """Write the gold table and a one-row JSON metadata table next to it."""
+    """Write the gold table and a one-row JSON metadata table next to it.
+
+    `n_raw` is the number of delivered rows; what the table has less was removed as copies.
+    `sources` is a manifest (chemin, sha256) of the delivered files, written as a table of its own.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path)
@@ -110,14 +168,11 @@ def write_gold(
         F.lit(len(df.columns)).alias("nb_colonnes"),
         F.array(*[F.lit(c) for c in df.columns]).alias("colonnes"),
         F.array(*[F.lit(c) for c in simulated]).cast("array<string>").alias("colonnes_simulees"),
-        F.lit(removed).alias("doublons_supprimes"),
+        (F.lit(n_raw) - F.col("nb_lignes")).alias("doublons_supprimes"),
         F.lit(note).alias("note"),
     )
-    if sources is not None:
-        hashes = sources.agg(
-            F.map_from_entries(F.collect_list(F.struct("chemin", "sha256"))).alias("sources")
-        )
-        meta = meta.crossJoin(F.broadcast(hashes))
+    if sources is not None:  # as many rows as files, so they stay rows
+        sources.select("chemin", "sha256", "taille_octets").write.mode("overwrite").json(f"{path}_sources")
     meta.write.mode("overwrite").json(f"{path}_metadata")
     return spark.read.json(f"{path}_metadata")
 
