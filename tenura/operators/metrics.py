@@ -121,11 +121,11 @@ def calibration_curve(
 ) -> DataFrame:
     """Quantile bins: mean score and observed rate; bins that hold no row are absent.
 
-    A score equal to an edge belongs to the bin below it.
+    A score equal to an edge belongs to the bin below it; rows without a score belong to none.
     """
     probs = [i / n_bins for i in range(1, n_bins)]
     edges = quantile_row(df, score, probs, n_rows)
-    placed = df.crossJoin(edges).withColumn(
+    placed = df.where(F.col(score).isNotNull()).crossJoin(edges).withColumn(
         "bin", F.size(F.filter("q", lambda e: e < F.col(score))).cast("bigint")
     )
     return placed.groupBy("bin").agg(

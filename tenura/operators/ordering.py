@@ -176,7 +176,8 @@ def column_quantiles(
         wide = df.groupBy(*keys).agg(
             *[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns]
         )
-        return wide.unpivot(list(keys), list(columns), "variable", "q")
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("q")) for c in columns]))
+        return wide.select(*keys, each.alias("_e")).select(*keys, "_e.variable", "_e.q")
     long = long_format(df, columns, keys)
     bound = None if n_rows is None else n_rows * len(columns)
     return quantiles(long, "valeur", probs, [*keys, "variable"], bound)

@@ -155,36 +155,48 @@ def coerce_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: as_number(df, c) for c in present})
 
 
+def text_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(colonne, valeur): the columns as text, one below the other, gaps included.
+
+    A text expression is then compiled once instead of once per column.
+    """
+    return df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        [], list(columns), "colonne", "valeur"
+    )
+
+
+def every_column(per: DataFrame, columns: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """`per` with a row of zeros for each column that had no row at all."""
+    names = per.sparkSession.createDataFrame([(c,) for c in columns], "colonne string")
+    joined = F.broadcast(names).join(per, "colonne", "left")
+    return joined.select("colonne", *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in counts])
+
+
 def coercion_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts of the four coercion statuses per column, in one aggregate."""
     present = [c for c in columns if c in df.columns]
-    states = df.select(*[text.coercion_status(c).alias(c) for c in present])
-
-    def counts(c: str) -> Column:
-        return F.struct(
-            F.count_if(F.col(c) == "direct").alias("nb_directes"),
-            F.count_if(F.col(c) == "repare").alias("nb_reparees"),
-            F.count_if(F.col(c) == "manquant").alias("nb_manquants"),
-            F.count_if(F.col(c) == "irrecuperable").alias("nb_irrecuperables"),
-        ).alias(c)
-
-    wide = states.agg(*[counts(c) for c in present])
-    return wide.unpivot([], present, "colonne", "s").select("colonne", "s.*")
+    states = text_values(df, present).select("colonne", text.coercion_status("valeur").alias("statut"))
+    names = {"direct": "nb_directes", "repare": "nb_reparees", "manquant": "nb_manquants",
+             "irrecuperable": "nb_irrecuperables"}
+    per = states.groupBy("colonne").agg(
+        *[F.count_if(F.col("statut") == s).alias(name) for s, name in names.items()]
+    )
+    return every_column(per, present, list(names.values()))
 
 
 def numeric_text_columns(df: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(colonne, part_numerique, numerique) for text columns, measured after repair."""
     columns = [c for c in df.columns if is_text(df, c)]
-    wide = df.agg(
-        *[
-            F.try_divide(
-                F.count(text.number(c)), F.count_if(~text.is_marker(c))
-            ).alias(c)
-            for c in columns
-        ]
+    read = text_values(df, columns).select(
+        "colonne", text.number("valeur").alias("nombre"), text.is_marker("valeur").alias("marque")
+    )
+    per = read.groupBy("colonne").agg(
+        F.count("nombre").alias("n_num"), F.count_if(~F.col("marque")).alias("n")
+    )
+    share = F.try_divide("n_num", "n")
+    return every_column(per, columns, ["n_num", "n"]).select(
+        "colonne", share.alias("part_numerique"), maths.is_true(share > threshold).alias("numerique")
     )
-    long = wide.unpivot([], columns, "colonne", "part_numerique")
-    return long.withColumn("numerique", maths.is_true(F.col("part_numerique") > threshold))
 
 
 def coerce_auto_columns(df: DataFrame, threshold: float = 0.80) -> DataFrame:
@@ -495,16 +507,16 @@ def association_ready(
     textual = [c for c in others if is_text(df, c)]
     dated = [c for c in others if not is_text(df, c) and not is_numeric(df, c)]
 
-    def measured(c: str) -> Column:
-        value = text.number(c) if c in textual else F.lit(None).cast("double")
-        return F.struct(
-            F.count(F.col(c)).alias("n"),
-            F.count(value).alias("n_num"),
-            F.count_distinct(F.col(c).cast("string")).alias("levels"),
-        ).alias(c)
-
-    wide = df.agg(*[measured(c) for c in others])
-    long = wide.unpivot([], others, "colonne", "m").select("colonne", "m.*")
+    # one row per distinct value of a column; the repair of a number runs on these only
+    values = text_values(df, others).groupBy("colonne", "valeur").agg(F.count("*").alias("n"))
+    readable = F.col("colonne").isin(*textual) & text.number("valeur").isNotNull()
+    filled = F.col("valeur").isNotNull()
+    per = values.groupBy("colonne").agg(
+        F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(readable, F.col("n")).otherwise(0)).alias("n_num"),
+        F.count("valeur").alias("levels"),
+    )
+    long = every_column(per, others, ["n", "n_num", "levels"])
     typed = [c for c in others if c not in textual and c not in dated]
     number = F.col("colonne").isin(*typed) | (
         F.coalesce(F.try_divide("n_num", "n"), F.lit(0.0)) > 0.80

@@ -30,11 +30,36 @@ def _bounds() -> list[Column]:
     ]
 
 
+def _windowed(
+    events: DataFrame, seconds: int, keys: list[str], sums: dict[str, Column]
+) -> DataFrame:
+    """(window, keys, sums) over windows of `seconds` every tick.
+
+    In batch, events are added up by tick first and only these sums are spread over the windows
+    around them. A stream keeps one state per open window; the watermark drops closed ones.
+    """
+    length, tick = f"{seconds} seconds", f"{TICK_SECONDS} seconds"
+    if events.isStreaming:
+        grouped = _timed(events).groupBy(F.window("ts", length, tick), *keys)
+        return grouped.agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    ticks = timed.groupBy(F.window("ts", tick).alias("_tick"), *keys).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()]
+    )
+    starts = F.array(*[
+        F.col("_tick.start") - F.make_dt_interval(secs=F.lit(i * TICK_SECONDS))
+        for i in range(seconds // TICK_SECONDS)
+    ])
+    spread = ticks.select(F.explode(starts).alias("_start"), *keys, *sums)
+    ended = F.col("_start") + F.make_dt_interval(secs=F.lit(seconds))
+    grouped = spread.groupBy("_start", *keys).agg(*[F.sum(n).alias(n) for n in sums])
+    window = F.struct(F.col("_start").alias("start"), ended.alias("end")).alias("window")
+    return grouped.select(window, *keys, *sums)
+
+
 def decision_rates(events: DataFrame, decision: str = "decision") -> DataFrame:
     """Predictions per decision and second over 5 minutes, every 30 seconds."""
-    counts = _timed(events).groupBy(F.window("ts", "5 minutes", "30 seconds"), decision).agg(
-        F.count("*").alias("n")
-    )
+    counts = _windowed(events, 300, [decision], {"n": F.lit(1).cast("bigint")})
     return counts.select(*_bounds(), decision, "n", (F.col("n") / 300.0).alias("debit_s"))
 
 
@@ -46,9 +71,7 @@ def missing_field_counts(events: DataFrame, fields: str = "champs_imputes") -> D
 
 
 def request_rates(events: DataFrame) -> DataFrame:
-    counts = _timed(events).groupBy(F.window("ts", "1 minute", "30 seconds")).agg(
-        F.count("*").alias("n")
-    )
+    counts = _windowed(events, 60, [], {"n": F.lit(1).cast("bigint")})
     return counts.select(*_bounds(), "n", (F.col("n") / 60.0).alias("debit_s"))
 
 
@@ -82,9 +105,8 @@ def latency_quantiles_exact(
 
 
 def error_ratios(events: DataFrame, is_error: Column) -> DataFrame:
-    per = _timed(events).groupBy(F.window("ts", "5 minutes", "30 seconds")).agg(
-        F.count("*").alias("n"), F.count_if(is_error).alias("n_erreurs")
-    )
+    failed = F.when(is_error, 1).otherwise(0).cast("bigint")
+    per = _windowed(events, 300, [], {"n": F.lit(1).cast("bigint"), "n_erreurs": failed})
     return per.select(*_bounds(), "n", (F.col("n_erreurs") / F.col("n")).alias("part_erreurs"))
 
 
