@@ -45,6 +45,8 @@ HEADLINE = (
     "stratified_split",
     "fit_logistic_recalibrated",
     "score_accounts",
+    "nightly_scoring",
+    "cross_validate",
 )
 
 

@@ -211,3 +211,65 @@ def test_hypothesis_verdicts(spark):
     rows = explore.hypothesis_tests(df, "churn", [("A", "usage", "-"), ("B", "usage", "+"), ("C", "tickets", "+")], ())
     got = {r.id: r.verdict for r in rows.collect()}
     assert got == {"A": "confirmee", "B": "infirmee", "C": "non concluante"}
+
+
+def test_correlations_far_from_zero(spark):
+    from tenura.operators import explore, leakage
+
+    base = spark.range(2_000).select(
+        (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("e")
+    )
+    near = base.select("x", (F.col("x") + F.col("e")).alias("y"), F.col("e").cast("string").alias("g"))
+    far = near.select(*[(F.col(c) + 1e9).alias(c) for c in ("x", "y")], "g")
+    one, other = (explore.correlation_pairs(df, ["x", "y"]).first()["correlation"] for df in (near, far))
+    assert abs(one - other) < 1e-9 and one > 0.9
+    eta = [leakage.correlation_ratio(df, "g", "y").first()["eta"] for df in (near, far)]
+    assert abs(eta[0] - eta[1]) < 1e-7
+
+
+def test_manifest_digests_whole_files(spark, tmp_path):
+    import hashlib
+
+    from tenura.sources import files
+
+    long_line = b"x" * 200_000
+    cases = {
+        "a.csv": b"a;b\r\n1;2\r\n", "b.csv": "\ufeffé,b\n1,2".encode(), "c.csv": "é|b|c\n".encode("latin-1"),
+        "e.csv": b"one\n\n\nlast", "f.csv": b"\n".join([long_line] * 60) + b"\n",
+    }
+    for name, content in cases.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1_000_000)  # files in several splits
+    try:
+        rows = files.source_manifest(spark, [str(tmp_path)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.chemin.rsplit("/", 1)[1]: r for r in rows}
+    for name, content in cases.items():
+        assert (got[name].sha256, got[name].taille_octets) == (hashlib.sha256(content).hexdigest(), len(content))
+    assert [got[n].nb_lignes for n in sorted(cases)] == [2, 2, 1, 4, 60]
+    assert (got["a.csv"].separateur, got["a.csv"].nb_colonnes) == (";", 2)
+    assert got["c.csv"].encodage == "latin-1" and got["b.csv"].encodage == "utf-8-sig"
+
+
+def test_one_class_cannot_be_fitted(spark):
+    from tenura.operators import ml
+
+    df = spark.range(10).select(F.lit(0).alias("y"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError, match="both classes"):
+        ml.fit_logistic(df, "y", ["x"], [])
+
+
+def test_account_sheets_name_variables_for_the_business(spark):
+    from tenura.operators import ml
+
+    row = spark.sql("SELECT struct(3 AS csat, CAST(NULL AS INT) AS plan) AS _row")
+    labels = row.select(ml.factor_label("csat", "_row").alias("a"), ml.factor_label("plan", "_row").alias("b")).first()
+    assert tuple(labels) == ("Satisfaction client (CSAT, sur 5) : 3", "Plan : non renseigné")
+
+
+def test_rows_without_a_score_are_in_no_bin(spark):
+    from tenura.operators import metrics
+
+    df = spark.createDataFrame([(None, 1), (0.1, 0), (0.9, 1)], "p double, y int")
+    assert metrics.calibration_curve(df, n_bins=2).agg(F.sum("n")).first()[0] == 2
