@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.texts import BYTE_BASE, Slices, mixed, span_hashes
+from tenura.llm.texts import BYTE_BASE, Slices, mixed, small_batches, span_hashes
 
 SMALLEST, CHUNKS, FEW, SPAN, RUN = 3, 64, 8, 7, 5
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -139,7 +139,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, fingerprint) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             prints = [fingerprint(t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["key", "fingerprint"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.texts import clear_of
+from tenura.llm.texts import clear_of, small_batches
 
 LONG_WORDS = 10
 STOPWORDS_HIGH, STOPWORDS_LOW = 0.2, 0.08
@@ -220,7 +220,7 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     names = clear_of(others, {"text", "n_chars"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [main_text(p) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.texts import chunks, clear_of, code_points
+from tenura.llm.texts import chunks, clear_of, code_points, small_batches
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 15
@@ -103,7 +103,7 @@ def learn(rows: DataFrame, text: str, label: str, buckets: int = BUCKETS, smooth
                 )
             sums.clear()
 
-        for batch in batches:
+        for batch in small_batches(batches):
             labels = np.array(batch.column(1).to_pylist(), object)
             whole = batch.column(0).to_pylist()
             for lang in sorted(set(labels)):
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found, scores = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, *names]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_proto
 
-from tenura.llm.texts import chunks, clear_of
+from tenura.llm.texts import chunks, clear_of, small_batches
 
 MARK = "▁".encode()
 BATCH_CHARS = 1 << 19
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     names = ["key", "n_tokens", "ids", "spans", "decoded", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             own = encoder(shared.value)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks([len(t) for t in texts], BATCH_CHARS):

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tenura.llm.components import components
 from tenura.llm.storage import materialise
+from tenura.llm.texts import small_batches
 
 SHINGLE = 4
 FIELDS = ((0, 21), (21, 21), (42, 22))  # first bit, number of bits
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(doc_id, fp): fp has the 64 bits of the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 

@@ -61,6 +61,15 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES):
         yield start, len(sizes)
 
 
+def small_batches(batches, rows: int = 1_000):
+    """The record batches in pieces of at most `rows` rows (views, no copies): fewer texts are Python
+    objects at one time.
+    """
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each text's words begin (one entry more)."""
     parts, counts = [], []

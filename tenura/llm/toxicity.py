@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tenura.llm.language import letters
 from tenura.llm.sampling import bounded_sample
 from tenura.llm.storage import materialise
-from tenura.llm.texts import BYTE_BASE, chunks, code_points, span_hashes
+from tenura.llm.texts import BYTE_BASE, chunks, code_points, small_batches, span_hashes
 
 FIT_ROWS = 50_000
 MAX_FEATURES = 16_384
@@ -180,7 +180,7 @@ def learn(
     rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for value in (0, 1):
                 own = [texts[i] for i in np.flatnonzero(labels == value)]
@@ -208,7 +208,7 @@ def learn(
         pattern, to = swaps(groups)
         names = ["label", "features", "swap", "sign"]
         kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = shared.value.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["key", "score"])
 
