@@ -7,7 +7,7 @@ meet in a list if their prefixes share that many pivots; a pair is taken only in
 both are in, hence once. Pairs that meet are verified by their cosine in double precision.
 
 Lists may be as long as the table (copies, tight groups): a list of more than `BLOCK` vectors is cut
-into blocks and each pair of blocks is one task's group, so no group grows with the data. Equal vectors
+into blocks, and each pair of blocks is a cell of its own, so no cell grows with the data. Equal vectors
 are one entry with a count before any list is made. A group returns link counts by vector and a
 spanning forest, not its pairs.
 
@@ -31,10 +31,11 @@ from tenura.llm.simhash import Forest
 from tenura.llm.storage import materialise
 
 SAMPLE = 4_096
-PIVOTS = 96
-PREFIX = 6
+PIVOTS = 64
+PREFIX = 5
 SHARED = 3
 BLOCK = 512
+GROUP_ROWS = 8_192  # entries of many short lists that are verified together
 THRESHOLD = 0.95
 
 
@@ -87,32 +88,36 @@ def lists_of(prefix: Column) -> Column:
 
 
 def list_pairs(threshold: float, shared: int):
-    """Verify the pairs of one list or of two of its blocks."""
+    """Verify the pairs of a group of cells; a cell is one list or two blocks of a long one."""
 
     def run(key, table):
-        left, right = key[1].as_py(), key[2].as_py()
-        block, node, times = (table.column(c).to_numpy() for c in ("block", "node", "times"))
-        v, prefix = unit(matrix(table.column("v"))), matrix(table.column("prefix")).astype(np.int64)
-        own = np.array(key[0].as_py())
-        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        links, forest = np.zeros(len(node), np.int64), Forest(len(node))
-        if left != right and (not len(a) or not len(b)):
-            a = b = a[:0]
-        for s in range(0, len(a), BLOCK):
-            part = a[s : s + BLOCK]
-            i, j = np.nonzero(v[part] @ v[b].T >= threshold)
-            i, j = part[i], b[j]
-            if left == right:
-                i, j = i[i < j], j[i < j]
+        cell, block, left, right, node, times = (table.column(c).to_numpy() for c in ("cell", "block", "left", "right", "node", "times"))
+        v = unit(matrix(table.column("v")))
+        prefix, lists = (matrix(table.column(c)).astype(np.int64) for c in ("prefix", "list"))
+        names, entry = np.unique(node, return_inverse=True)  # a vector may be in several cells
+        links, forest = np.zeros(len(names), np.int64), Forest(len(names))
+        order = np.argsort(cell, kind="stable")
+        edges = np.flatnonzero(np.diff(cell[order], prepend=~cell[order][:1], append=~cell[order][-1:]))
+        for s, e in zip(edges[:-1], edges[1:]):
+            own = order[s:e]
+            one = left[own[0]] == right[own[0]]
+            a = own[block[own] == left[own]]
+            b = own[block[own] == right[own]]
+            if not len(a) or not len(b) or (one and len(a) < 2):
+                continue
+            i, j = np.nonzero(v[a] @ v[b].T >= threshold)
+            i, j = a[i], b[j]
+            if one:
+                i, j = i[node[i] < node[j]], j[node[i] < node[j]]
             # the first list of a pair is that of the lowest pivots that both have
             both = np.where((prefix[i][:, :, None] == prefix[j][:, None, :]).any(2), prefix[i], np.iinfo(np.int64).max)
-            first = (np.sort(both, 1)[:, :shared] == own).all(1)
+            first = (np.sort(both, 1)[:, :shared] == lists[i]).all(1) & (lists[i] == lists[j]).all(1)
             i, j = i[first], j[first]
-            np.add.at(links, i, times[j])
-            np.add.at(links, j, times[i])
-            forest.join(i, j)
+            np.add.at(links, entry[i], times[j])
+            np.add.at(links, entry[j], times[i])
+            forest.join(entry[i], entry[j])
         some = np.flatnonzero(links)
-        return pa.table({"node": node[some], "n": links[some], "root": node[forest.root[some]]})
+        return pa.table({"node": names[some], "n": links[some], "root": names[forest.root[some]]})
 
     return run
 
@@ -152,12 +157,17 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     described = materialise(nodes.select("d", "v", "node", "times").mapInArrow(describe, f"d int, v {kind}, node long, times long, prefix array<int>"), "pivots-prefix")
     posted = described.select("node", "times", "v", "prefix", "d", F.explode(lists_of(F.col("prefix"))).alias("list"))
     long = described.select("d", F.explode(lists_of(F.col("prefix"))).alias("list")).groupBy("d", "list").count().where(F.col("count") > 1)
+    long = materialise(long, "pivots-lists")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     dealt = posted.join(long.select("d", "list", blocks.alias("blocks")), ["d", "list"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("left"), F.greatest(own, k).alias("right")))
     dealt = dealt.withColumn("block", own).withColumn("pair", F.explode(met)).select("list", "pair.left", "pair.right", "d", "block", "node", "times", "v", "prefix")
-    found = dealt.groupBy("list", "left", "right", "d").applyInArrow(list_pairs(threshold, SHARED), "node long, n long, root long")
+    entries = long.agg(F.sum(F.col("count") * blocks)).first()[0] or 0
+    cell = F.xxhash64("list", "left", "right")
+    group = F.pmod(cell, F.lit(1 + entries // GROUP_ROWS))
+    dealt = dealt.withColumn("cell", cell).withColumn("group", group)
+    found = dealt.groupBy("d", "group").applyInArrow(list_pairs(threshold, SHARED), "node long, n long, root long")
     found = materialise(found, "pivots-links")
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(found.where("node <> root"), "node", "root")
