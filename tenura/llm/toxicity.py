@@ -32,8 +32,8 @@ from tenura.llm.sampling import bounded_sample
 from tenura.llm.storage import materialise
 from tenura.llm.texts import BYTE_BASE, chunks, code_points, small_batches, span_hashes
 
-FIT_ROWS = 50_000
-MAX_FEATURES = 16_384
+FIT_ROWS = 20_000
+MAX_FEATURES = 4_096
 LEAST_CHI_SQUARE = 12.0
 LEAST_DOCUMENTS = 2
 BEGINNINGS = (4, 5, 6)
@@ -173,6 +173,13 @@ def fit_weights(feature, row, labels, swap_feature, swap_row, swap_sign, n_featu
     return theta[:-1], float(theta[-1])
 
 
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a list column, and the row of each."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def learn(
     rows: DataFrame, text: str, label: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, ridge: float = 1.0, fairness: float = 10.0
 ) -> Model:
@@ -225,15 +232,14 @@ def learn(
 
     table = rows.mapInArrow(rows_of, "label int, features array<int>, swap array<int>, sign array<int>").toArrow()
     label_of = table.column("label").to_numpy()
-    fitted = np.flatnonzero(label_of >= 0)
-    features = table.column("features").take(pa.array(fitted)).to_pylist()
-    swap = [s for s in zip(table.column("swap").to_pylist(), table.column("sign").to_pylist()) if s[0]]
-    row = np.repeat(np.arange(len(fitted)), [len(f) for f in features])
-    flat = lambda lists: np.array([x for part in lists for x in part], np.int64)
+    fitted = label_of >= 0
+    number, row = flat(table.column("features"))
+    swap, swap_row = flat(table.column("swap"))
+    sign, _ = flat(table.column("sign"))
+    place, swap_place = np.cumsum(fitted) - 1, np.cumsum(~fitted) - 1
     weights, base = fit_weights(
-        flat(features), row, label_of[fitted].astype(float), flat(s[0] for s in swap), np.repeat(np.arange(len(swap)), [len(s[0]) for s in swap]),
-        flat(s[1] for s in swap).astype(float), len(vocabulary.hashes), ridge, fairness,
-    )
+        number, place[row], label_of[fitted].astype(float), swap, swap_place[swap_row], sign.astype(float), len(vocabulary.hashes), ridge, fairness
+    )
     return Model(vocabulary, weights, base)
 
 
