@@ -3,7 +3,7 @@
 A page is cut at block tags. Each block has its words, its stop words, the share of its characters
 inside links, and the containers around it. Pass one decides what is plain: blocks inside menus,
 footers, adverts, forms, comments and the like, and link-dense blocks are bad; long blocks with many
-stop words are good; long ones with hardly any are bad. Pass two lets every other block, mostly short
+stop words are good; long ones with links and hardly any are bad. Pass two lets every other block, mostly short
 ones, inherit the label of the nearest block that was decided by its text. If the page marks its
 article (article, main, or a content container), blocks outside are bad, and inside it a long block
 without stop words (tables, code, shouting) is ambiguous rather than bad.
@@ -56,7 +56,7 @@ BOILERPLATE = frozenset("nav footer aside form header menu dialog button select
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 HINTS = frozenset(
-    """ad ads adv adsense cookies cookie consent gdpr notice notices header masthead topbar toolbar login signin signup
+    """ad ads adv adsense cookies cookie consent gdpr notice notices masthead topbar toolbar login signin signup
     search reply replies respond disqus legal copyright disclaimer skip pager byline tags share sharing""".split()
 )
 HINT_STARTS = ("nav", "menu", "breadcrumb", "footer", "sidebar", "widget", "cookie", "banner", "advert", "sponsor", "promo",
@@ -72,9 +72,12 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 EDGES = string.punctuation + "«»“”„‘’…–—¿¡·•"
 
 
-def traits(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a container is boilerplate, and whether its names say that it holds the content."""
-    bad, content = tag in BOILERPLATE, False
+HEADER, BAD = 1, 2  # of a header only headings may stay
+
+
+def traits(tag: str, attributes: str) -> tuple[int, bool]:
+    """How far a container is boilerplate, and whether its names say that it holds the content."""
+    bad, content, header = tag in BOILERPLATE and tag != "header", False, tag == "header"
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -87,12 +90,13 @@ def traits(tag: str, attributes: str) -> tuple[bool, bool]:
                 bad |= value.lower() != "false"
             else:
                 words = {w.lower() for w in PARTS.findall(value)}
-                said = any(w in HINTS or w.startswith(HINT_STARTS) for w in words)
+                header |= "header" in words and tag not in ("body", "html", "main", "article")
+                said = any(w in HINTS or w.startswith(HINT_STARTS) for w in words - {"header"})
                 if tag == "article":
                     said = any(w.startswith("comment") or w in ("reply", "ad", "advert") for w in words)
                 bad |= said and tag not in ("body", "html", "main")
                 content |= bool(words & CONTENT)
-    return bad, content
+    return (BAD if bad else HEADER if header else 0), content
 
 
 class Block:
@@ -104,7 +108,7 @@ class Block:
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, inside boilerplate, rank of the content marks around
+    stack: list[tuple[str, int, int]] = []  # tag, how far inside boilerplate, rank of the content marks around
     text: list[str] = []
     linked = at = depth_links = 0
     heading = False
@@ -116,10 +120,9 @@ def blocks_of(page: str) -> list[Block]:
             # tag boundaries inside a block do not part words, so the pieces are joined before decoding
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                bad, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                if bad and heading and region and all(t == "header" or not b for t, b, _ in _own(stack)):
-                    bad = False
-                out.append(Block(whole, linked, bad, region, heading))
+                bad, region = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+                title = bad == HEADER and heading and region  # a header inside the content
+                out.append(Block(whole, linked, bool(bad) and not title, region, heading))
             text.clear()
         linked = 0
 
@@ -161,19 +164,13 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[len(names) - 1 - names[::-1].index(tag) :]
             elif not attributes.endswith("/"):
                 bad, content = traits(tag, attributes)
-                above = stack[-1] if stack else ("", False, 0)
+                above = stack[-1] if stack else ("", 0, 0)
                 rank = 0 if bad else 3 if tag == "article" else 2 if tag == "main" else 1 if content else 0
-                stack.append((tag, bad or above[1], max(rank, above[2])))
+                stack.append((tag, max(bad, above[1]), max(rank, above[2])))
     close()
     return out
 
 
-def _own(stack: list[tuple[str, bool, int]]) -> list[tuple[str, bool, int]]:
-    """The containers from the innermost article on."""
-    inner = max((i for i, (t, _, _) in enumerate(stack) if t in ("article", "main")), default=-1)
-    return stack[inner + 1 :] if inner >= 0 else stack
-
-
 def is_stopword(word: str) -> bool:
     return word in STOPWORDS or word.strip(EDGES) in STOPWORDS
 
@@ -190,7 +187,7 @@ def classify(blocks: list[Block]) -> list[Block]:
             density = sum(map(is_stopword, words)) / len(words)
             if density >= STOPWORDS_HIGH:
                 b.label = True
-            elif density < STOPWORDS_LOW and not rank:
+            elif density < STOPWORDS_LOW and b.linked and not rank:
                 b.label = False
         elif not rank and b.text.startswith(("©", "Copyright")):
             b.label = False
