@@ -28,6 +28,11 @@ def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+def broadcast_if_counted(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a caller's table after a count that stops at the limit; else no hint."""
+    return broadcast_if_small(df, df.limit(BROADCAST_ROWS + 1).count())
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in spark.checkpoint.dir; make one only where none is set."""
     context = spark.sparkContext

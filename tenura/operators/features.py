@@ -131,7 +131,7 @@ def join_catalogue(df: DataFrame, catalogue: DataFrame) -> DataFrame:
     extra = [c for c in catalogue.columns if c != "plan"]
     side = catalogue.select(normalise(F.col("plan")).alias("_plan"), *extra)
     key = normalise(F.col("plan")) if "plan" in df.columns else F.lit(None).cast("string")
-    joined = df.join(F.broadcast(side), key == F.col("_plan"), "left").drop("_plan")
+    joined = df.join(sizing.broadcast_if_counted(side), key == F.col("_plan"), "left").drop("_plan")
     seats = _number(joined, "sieges_souscrits")
     use = maths.ratio(_number(joined, "utilisateurs_actifs"), seats)
     list_price = _number(joined, "prix_mensuel_par_siege_eur") * seats
@@ -188,7 +188,7 @@ def fallback_coverage(df: DataFrame, column: str, known: DataFrame) -> DataFrame
         df.select(label.alias("libelle"))
         .groupBy("libelle")
         .agg(F.count("*").alias("n"))
-        .join(F.broadcast(known.select("cle")), F.col("libelle") == F.col("cle"), "left_anti")
+        .join(sizing.broadcast_if_counted(known.select("cle")), F.col("libelle") == F.col("cle"), "left_anti")
         .select(F.coalesce("libelle", F.lit("(manquant)")).alias("libelle"), "n")
     )
 

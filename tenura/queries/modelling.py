@@ -13,6 +13,7 @@ from tenura.queries.exploration import rounded, size
 from tenura.queries.registry import query
 from tenura.queries.twins import ACC
 from tenura.sources import files
+from tenura.streaming.monitoring import run_to_table
 
 NUMERIC = ["anciennete_mois", "derniere_connexion_jours", "csat", "connexions_30j", "tickets_support_90j",
            "retards_paiement_12m", "heures_usage_30j"]
@@ -335,3 +336,17 @@ def score_requests(spark, folder):
     requests = features.rebuild_adoption_rate(accounts(spark, folder)).drop("p", "t0")
     out = scoring.score_requests(requests, scorer, references.catalogue(spark), 0.4)
     return out.select(KEY, "p", "decision", "valeur_a_risque_eur", F.array_join("signaux", " | ").alias("signaux"))
+
+
+@query("score_requests_stream")
+def score_requests_stream(spark, folder):
+    """The same requests arriving as a stream; the fitted model scores each micro-batch."""
+    train, _ = parts(spark, folder)
+    scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
+    arriving = files.scratch(spark, "requests")
+    requests = features.rebuild_adoption_rate(accounts(spark, folder)).drop("p", "t0")
+    requests.write.parquet(arriving)
+    stream = spark.readStream.schema(requests.schema).parquet(arriving)
+    scored = scoring.score_requests(stream, scorer, references.catalogue(spark), 0.4)
+    kept = scored.select(KEY, "p", "decision", "valeur_a_risque_eur", F.array_join("signaux", " | ").alias("signaux"))
+    return run_to_table(kept, files.scratch(spark, "requests-scored"), "append")

@@ -42,6 +42,17 @@ def windows_sql(seconds: int, step: int = 30) -> str:
       FROM events e, range({n}) t(i)), ww AS (SELECT *, debut + INTERVAL {seconds} SECOND AS fin FROM w)"""
 
 
+def closed(sql: str) -> str:
+    """The windows that a stream has closed at the end of its input: those behind the watermark."""
+    return f"SELECT * FROM ({sql}) q WHERE fin <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+def streamed(spark, folder, name: str, result):
+    """The closed windows of a running stream over the events, in append mode."""
+    stream = prediction_events(monitoring.read_events(spark, folder, SCHEMAS["events"]))
+    return monitoring.run_to_table(result(stream), files.scratch(spark, name), "append")
+
+
 FIVE = f"WITH {windows_sql(300)}"
 _DECISIONS = FIVE + """ SELECT debut, fin, event_type AS decision, count(*) AS n, round(count(*) / CAST(300 AS DOUBLE), 6) AS debit_s
   FROM ww GROUP BY ALL"""
@@ -52,33 +63,41 @@ def decision_rates(spark, folder):
     return rounded(monitoring.decision_rates(events(spark, folder)), "debit_s")
 
 
-@query("decision_rates_stream", _DECISIONS)
+@query("decision_rates_stream", closed(_DECISIONS))
 def decision_rates_stream(spark, folder):
-    stream = monitoring.read_events(spark, folder, SCHEMAS["events"])
-    rates = rounded(monitoring.decision_rates(prediction_events(stream)), "debit_s")
-    return monitoring.run_to_table(rates, files.scratch(spark, "decision-rates"))
+    return streamed(spark, folder, "decision-rates", lambda e: rounded(monitoring.decision_rates(e), "debit_s"))
 
 
-@query(
-    "missing_field_counts",
-    """WITH x AS (SELECT ts, unnest(list_filter([CASE WHEN k % 2 = 0 THEN 'csat' END, CASE WHEN k % 3 = 0 THEN
+_MISSING = """WITH x AS (SELECT ts, unnest(list_filter([CASE WHEN k % 2 = 0 THEN 'csat' END, CASE WHEN k % 3 = 0 THEN
       'heures_usage_30j' END, CASE WHEN k % 5 = 0 THEN 'pays' END], lambda x: x IS NOT NULL)) AS champ
       FROM (SELECT ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))
     SELECT date_trunc('hour', ts) AS debut, date_trunc('hour', ts) + INTERVAL 1 HOUR AS fin, champ, count(*) AS n
-    FROM x GROUP BY ALL""",
-)
+    FROM x GROUP BY ALL"""
+
+
+@query("missing_field_counts", _MISSING)
 def missing_field_counts(spark, folder):
     return monitoring.missing_field_counts(events(spark, folder))
 
 
-@query(
-    "request_rates",
-    f"WITH {windows_sql(60)} SELECT debut, fin, count(*) AS n, round(count(*) / CAST(60 AS DOUBLE), 6) AS debit_s FROM ww GROUP BY ALL",
-)
+_REQUESTS = f"WITH {windows_sql(60)} SELECT debut, fin, count(*) AS n, round(count(*) / CAST(60 AS DOUBLE), 6) AS debit_s FROM ww GROUP BY ALL"
+
+
+@query("request_rates", _REQUESTS)
 def request_rates(spark, folder):
     return rounded(monitoring.request_rates(events(spark, folder)), "debit_s")
 
 
+@query("missing_field_counts_stream", closed(_MISSING))
+def missing_field_counts_stream(spark, folder):
+    return streamed(spark, folder, "missing-fields", monitoring.missing_field_counts)
+
+
+@query("request_rates_stream", closed(_REQUESTS))
+def request_rates_stream(spark, folder):
+    return streamed(spark, folder, "request-rates", lambda e: rounded(monitoring.request_rates(e), "debit_s"))
+
+
 @query(
     "latency_quantiles",
     FIVE + """ SELECT debut, fin, count(*) AS n, round(quantile_cont(value, 0.5), 5) AS p50,
@@ -92,21 +111,25 @@ def latency_quantiles(spark, folder):
 
 @query("latency_quantiles_stream")
 def latency_quantiles_stream(spark, folder):
-    stream = prediction_events(monitoring.read_events(spark, folder, SCHEMAS["events"]))
-    quantiles = monitoring.latency_quantiles(stream)
-    return monitoring.run_to_table(quantiles, files.scratch(spark, "latency"))
+    return streamed(spark, folder, "latency", monitoring.latency_quantiles)
 
 
-@query(
-    "error_ratios",
-    FIVE + """ SELECT debut, fin, count(*) AS n, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6)
-      AS part_erreurs FROM ww GROUP BY ALL""",
-)
+_ERRORS = FIVE + """ SELECT debut, fin, count(*) AS n, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6)
+      AS part_erreurs FROM ww GROUP BY ALL"""
+
+
+@query("error_ratios", _ERRORS)
 def error_ratios(spark, folder):
     out = monitoring.error_ratios(events(spark, folder), F.col("decision") == "error")
     return rounded(out, "part_erreurs")
 
 
+@query("error_ratios_stream", closed(_ERRORS))
+def error_ratios_stream(spark, folder):
+    failed = F.col("decision") == "error"
+    return streamed(spark, folder, "error-ratios", lambda e: rounded(monitoring.error_ratios(e, failed), "part_erreurs"))
+
+
 _LIMIT = 40.0
 _ALERTS = FIVE + f""", m AS (SELECT event_type AS service, fin, avg(value) AS m FROM ww GROUP BY ALL),
   h AS (SELECT *, coalesce(fin - lag(fin) OVER (PARTITION BY service ORDER BY fin) > INTERVAL 30 SECOND, true) AS fresh
