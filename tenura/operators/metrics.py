@@ -186,7 +186,7 @@ def bootstrap_metrics(
     key: str,
     score: str = "p",
     target: str = "y",
-    draws: int = 200,
+    draws: int = 1000,
     level: float = 0.95,
     seed: int = 42,
     n_rows: int | None = None,

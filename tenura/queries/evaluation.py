@@ -113,7 +113,7 @@ def metrics_at(spark, folder):
 @query("bootstrap_metrics")
 def bootstrap_metrics(spark, folder):
     return metrics.bootstrap_metrics(
-        scored(spark, folder), 0.2, "id", draws=100, n_rows=size(spark, folder)
+        scored(spark, folder), 0.2, "id", draws=1000, n_rows=size(spark, folder)
     )
 
 

@@ -296,6 +296,17 @@ def vif(spark, folder):
     return explore.vif(accounts(spark, folder), _PAIRED)
 
 
+@query(
+    "vif_of_two",
+    f"""{ACC}, r AS (SELECT 1 / (1 - pow(corr(sieges_souscrits, utilisateurs_actifs), 2)) AS v FROM accounts)
+    SELECT 'sieges_souscrits' AS variable, round(v, 6) AS vif FROM r
+    UNION ALL SELECT 'utilisateurs_actifs', round(v, 6) FROM r""",
+)
+def vif_of_two(spark, folder):
+    """Two columns, where the inverse of the correlation matrix has a closed form."""
+    return rounded(explore.vif(accounts(spark, folder), ["sieges_souscrits", "utilisateurs_actifs"]), "vif")
+
+
 _TESTED = tuple(h for h in HYPOTHESES if h[0] in ("H2", "H4", "H5", "H6", "H7", "H13", "H14"))
 
 
