@@ -124,8 +124,10 @@ def long_format(
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, value, n): rows, or the sum of `weight`, of each distinct value."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return df.groupBy(*keys, value).agg(n.alias("n"))
 
 
 def quantiles(
@@ -134,13 +136,18 @@ def quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     n_rows: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of `value` per `keys`, as an array column `q`."""
+    """Exact linear-interpolated quantiles of `value` per `keys`, as an array column `q`.
+
+    A row counts `weight` times (a whole number), once without it.
+    """
     present = df.where(F.col(value).isNotNull())
     if sizing.fits_one_task(present, n_rows):
-        exact = F.percentile(F.col(value).cast("double"), [float(p) for p in probs])
+        times = 1 if weight is None else F.col(weight)
+        exact = F.percentile(F.col(value).cast("double"), [float(p) for p in probs], times)
         return present.groupBy(*keys).agg(exact.alias("q"))
-    counts = value_counts(present, keys, value)
+    counts = value_counts(present, keys, value, weight)
     ranked = running_totals(counts, [value], {"_upto": F.col("n")}, keys, n_rows=n_rows)
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
     placed = (

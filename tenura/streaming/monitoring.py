@@ -95,12 +95,10 @@ def latency_quantiles_exact(
     events: DataFrame, latency: str = "latence", n_rows: int | None = None
 ) -> DataFrame:
     """The same, exact, in batch; a window of any size stays distributed."""
-    placed = events.select(
-        F.window(F.col("ts").cast("timestamp"), "5 minutes", "30 seconds").alias("window"), latency
-    )
+    placed = _windowed(events, 300, [latency], {"n": F.lit(1).cast("bigint")})
     bound = None if n_rows is None else n_rows * 10
-    q = quantiles(placed, latency, list(LATENCY_PROBS.values()), ["window"], bound)
-    counts = placed.groupBy("window").agg(F.count("*").alias("n"))
+    q = quantiles(placed, latency, list(LATENCY_PROBS.values()), ["window"], bound, "n")
+    counts = placed.groupBy("window").agg(F.sum("n").alias("n"))
     return counts.join(q, "window").select(*_bounds(), "n", *_latency_columns())
 
 
