@@ -9,7 +9,9 @@ run of letters (`RUN`, or half a shorter signature), which unrelated texts hardl
 
 `edited_neighbours` sets each document beside the next one in descending order of id without a global
 sort: documents go to slices of the id order; the first row of each slice (its highest id) is sent to
-the slice before as well, so each slice has every successor it needs.
+the slice before as well, so each slice has every successor it needs. Spark sorts inside its tasks, and
+Python walks over the sorted rows with one document in hand, so a slice may be of any size; there are
+at most `MOST_SLICES`, whose heads (one id each) come to the driver.
 
 Defined cases: null is read as empty; empty texts have the fingerprint `3::` and are alike to each
 other (1) and to nothing else (0); rows with one id are ordered by text, null ids come last; a single
@@ -31,7 +33,8 @@ from tenura.llm.texts import BYTE_BASE, Slices, mixed, small_batches, span_hashe
 SMALLEST, CHUNKS, FEW, SPAN, RUN = 3, 64, 8, 7, 5
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 BLOCK_BYTES = 1 << 20
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+MOST_SLICES = 4_096
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -156,45 +159,60 @@ def edit(text: str, following: str) -> str:
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def neighbours(key, table):
-    """One slice: all its rows, and last the row that follows it (`guest`)."""
-    table = table.sort_by([("guest", "ascending"), ("key", "descending"), ("text", "ascending")])
-    keys, column = table.column("key").combine_chunks(), table.column("text").combine_chunks()
-    own = table.num_rows - sum(table.column("guest").to_pylist())
-    order = [*range(own), own if own < table.num_rows else 0]
-    out = []
-    for here, after in zip(order, order[1:]):
-        text, following = (column[i].as_py() or "" for i in (here, after))
-        changed = edit(text, following).encode()
-        if not out:
-            print_here = fingerprint(text.encode())
-        print_next, print_edited = fingerprint(following.encode()), fingerprint(changed)
-        out.append((here, len(text), hashlib.sha256(changed).hexdigest(), print_here, print_edited,
-                    likeness(print_here, print_edited), likeness(print_here, print_next)))
-        print_here = print_next
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    rows = list(zip(*out)) or [[]] * 7
-    return pa.Table.from_arrays([keys.take(pa.array(rows[0], pa.int64())), *(pa.array(r, k) for r, k in zip(rows[1:], kinds))], ["key", *names])
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice, guests last, then in document order: each row beside the one after it."""
+    number, first, here, out = None, "", None, []
+
+    def close(following: str) -> str:
+        """Describe the row in hand; returns the fingerprint of the text that follows."""
+        key, text, own = here
+        changed, after = edit(text, following).encode(), fingerprint(following.encode())
+        own = own or fingerprint(text.encode())
+        edited = fingerprint(changed)
+        out.append((key, len(text), hashlib.sha256(changed).hexdigest(), own, edited, likeness(own, edited), likeness(own, after)))
+        return after
+
+    for batch in small_batches(batches, 256):
+        kind = batch.schema.field("key").type
+        rows = zip(*(batch.column(c).to_pylist() for c in ("slice", "guest", "key", "text")))
+        for at, guest, key, text in rows:
+            after = None
+            if at != number:
+                if here is not None:  # no guest came: the whole table is one slice
+                    close(first)
+                number, first = at, text
+            elif here is not None:
+                after = close(text)
+            here = None if guest else (key, text, after)
+        yield packed(out, kind)
+        out.clear()
+    if here is not None:
+        close(first)
+        yield packed(out, kind)
+
+
+def packed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
 
 
 def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses."""
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
-    slices = Slices.of(docs, key, size, SLICE_BYTES)
+    slices = Slices.of(docs, key, size, SLICE_BYTES, MOST_SLICES)
     rows = docs.select(slices.number(F.col(key)).alias("slice"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # The first row of a slice is the guest of the slice before it in the order, i.e. above; slices without rows are passed over.
-    # Among rows with one id the first text leads.
-    heads = rows.groupBy("slice").agg(F.max(F.struct("key")).getField("key").alias("head")).orderBy(F.desc("slice")).collect()
-    above = {h.slice: heads[i - 1].slice for i, h in enumerate(heads)}
     kind = dict(rows.dtypes)["key"]
-    schema = f"key {kind}, {RESULT}"
-    if len(heads) < 2:
+    # The head of a slice is the guest of the next slice above it that has rows.
+    heads = {r.slice: r.head for r in rows.groupBy("slice").agg(F.max("key").alias("head")).collect()}
+    above = dict(zip(sorted(heads), [*sorted(heads)[1:], min(heads)])) if len(heads) > 1 else {}
+    if not above:
         dealt = rows.withColumn("guest", F.lit(False))
     else:
-        at = F.create_map(*(F.lit(x) for h in heads for x in (h.slice, h.head))).cast(f"map<int,{kind}>")
-        to = F.create_map(*(F.lit(x) for a, b in above.items() for x in (a, b)))
-        leads = F.col("key").eqNullSafe(at[F.col("slice")])
-        copies = F.when(leads, F.array(F.col("slice"), to[F.col("slice")])).otherwise(F.array("slice"))
+        known = range(slices.count)
+        head = F.element_at(F.lit([heads.get(s) for s in known]).cast(f"array<{kind}>"), F.col("slice") + 1)
+        to = F.element_at(F.lit([above.get(s, -1) for s in known]).cast("array<int>"), F.col("slice") + 1)
+        copies = F.when(F.col("key").eqNullSafe(head), F.array(F.col("slice"), to)).otherwise(F.array("slice"))
         dealt = rows.select("key", "text", F.posexplode(copies).alias("copy", "slice")).select("slice", "key", "text", (F.col("copy") > 0).alias("guest"))
-    return dealt.groupBy("slice").applyInArrow(neighbours, schema)
+    ordered = dealt.repartition("slice").sortWithinPartitions("slice", "guest", F.desc_nulls_last("key"), "text")
+    return ordered.mapInArrow(walk, f"key {kind}, {RESULT}")

@@ -134,10 +134,11 @@ class Slices:
         self.count = max(1, len(knots) - 1) * fine
 
     @classmethod
-    def of(cls, df: DataFrame, key: str, size: Column, target: int) -> Slices:
-        """Slices of about `target` units of the summed `size`."""
+    def of(cls, df: DataFrame, key: str, size: Column, target: int, most: int | None = None) -> Slices:
+        """Slices of about `target` units of the summed `size`; larger ones where that makes over `most`."""
         row = df.agg(F.sum(size).alias("total"), F.min(key).alias("low"), F.max(key).alias("high")).first()
         wanted = max(1, math.ceil((row.total or 0) / target))
+        wanted = wanted if most is None else min(wanted, most)
         if row.low is None or row.low == row.high or wanted == 1:
             return cls([], 1)
         coarse = min(wanted, MAX_KNOTS)
