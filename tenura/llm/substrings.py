@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,9 @@ RANGE_WORDS = 1 << 19  # probes that a hash range receives, about
 
 
 def ordered(table: pa.Table) -> pa.Table:
-    """The rows of a slice in document order; the sort is stable."""
-    return table.sort_by([("key", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+    """The rows of a slice in document order, null ids first."""
+    keys = [("key", "ascending"), ("text", "ascending")]
+    return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
 
 
 def words_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -252,7 +252,7 @@ def brute_repeats(rows, window=20):
 
 
 @pytest.mark.parametrize("size", [8 << 20, 4_000])
-def test_repeats_of_odd_rows(odd, none, size, monkeypatch):
+def test_repeats_of_odd_rows(spark, odd, none, size, monkeypatch):
     monkeypatch.setattr(substrings, "SLICE_BYTES", size)
     got = {r.key: r for r in substrings.repeats(odd, keep=("lang", "slice")).collect()}
     assert {i: (r.n_words, r.n_removed, bytes(r.kept).decode()) for i, r in got.items()} == brute_repeats([(i, t) for i, t, _ in ODD])
@@ -262,6 +262,8 @@ def test_repeats_of_odd_rows(odd, none, size, monkeypatch):
     assert whole[1] is None and bytes(whole[3]) == b" \t\n"
     unknown = odd.withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id")))
     assert substrings.repeats(unknown).count() == len(ODD)
+    first = table(spark, [(None, " ".join(f"w{i}" for i in range(40)), "en"), (-5, " ".join(f"w{i}" for i in range(10, 40)), "en")])
+    assert {r.key: r.n_removed for r in substrings.repeats(first).collect()} == {None: 0, -5: 30}
 
 
 def test_repeats_in_random_texts(spark, monkeypatch):
