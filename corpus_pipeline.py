@@ -3,7 +3,7 @@
 language ID         documents that it rejects go: no letter, no text, or no language likelier than `LEAST_SCORE`
 SimHash near-dedup  of each group of near copies the smallest doc_id stays
 substring dedup     repeated passages are cut out; a document of which nothing is left goes
-mixing              each document is taken as often as its fitted rate says (toxic text hardly, the rest once)
+mixing              each document is taken as often as its fitted rate says, in expectation: a hash of its id draws
 SentencePiece       ids, their number, byte spans and digests of what stays
 
 All but the last return the columns of `documents`; a shortened text has its n_chars counted anew.

@@ -157,5 +157,6 @@ def resample(docs: DataFrame, labels: DataFrame, **targets) -> DataFrame:
     """The documents, each taken as often as its rate says. Rows with a null id are taken once."""
     rates = mix(docs, labels, **targets).where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("rate").alias("_rate"))
     joined = docs.join(rates, (docs["doc_id"] == rates["_id"]) & (F.xxhash64(docs["text"]) == rates["_digest"]), "left")
-    taken = F.coalesce(copies_of(F.col("_rate"), docs["doc_id"]), F.lit(1))
+    # no snapping: a rate of 0.95 or 0.05 rounded for every document would shift a domain's tokens off its target
+    taken = F.coalesce(copies_of(F.col("_rate"), docs["doc_id"], snap=0.0), F.lit(1))
     return joined.where(taken > 0).select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), taken)).alias("_copy")).select(*docs.columns)

@@ -230,6 +230,20 @@ def test_copies_follow_the_rate(spark):
     assert abs(row[0] - 1.3) < 0.02 and row[1] == row[2] == 1
 
 
+def test_tokens_taken_meet_the_targets(spark):
+    n, made, known = 3_000, [], []
+    for k, (word, quality, toxic) in enumerate((("fine", 1, 0), ("poor", 0, 0), ("vile", 0, 1))):
+        for i in range(k * n, (k + 1) * n):
+            made.append((i, f"{word} " * 10 + f"and {word}ly {word}er {word}est in it", "en"))
+            known.append((i, quality, toxic))
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    taken = mixing.resample(table(spark, made), labels, multiples=corpus_pipeline.MULTIPLES)
+    got = {r.k: r.n for r in taken.groupBy(F.floor(F.col("doc_id") / n).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for k, domain in enumerate(mixing.DOMAINS):
+        part = corpus_pipeline.MULTIPLES[domain]
+        assert abs(got.get(k, 0) - part * n) <= 4 * math.sqrt(n * part * (1 - part)) + 0.002 * n
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op6_mixing", "op8_license_scan"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
