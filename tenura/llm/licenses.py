@@ -133,8 +133,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     templates = TEMPLATES if templates is None else templates
     table = template_table(docs.sparkSession, templates)
     known = table.select("shingle", "stride").distinct()
-    likely = r"(?i)\b(?:" + "|".join(map(re.escape, sorted(anchors(templates)))) + r")\b"
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where(F.col("text").rlike(likely))
+    # the same letters and edges as in words_of: for \b an underscore would be part of the word
+    likely = r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, sorted(anchors(templates)))) + r")(?![\p{L}\p{N}])"
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where(F.lower("text").rlike(likely))
     worded = rows.select("doc_id", "digest", words_of(F.col("text")).alias("words"))
     placed = worded.select("doc_id", "digest", F.posexplode(shingle_hashes(F.col("words"))).alias("at", "shingle"))
     own = F.floor(F.col("at") / F.col("stride")).cast("int")

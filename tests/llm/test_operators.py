@@ -318,6 +318,12 @@ def test_license_scan_of_odd_rows(spark, odd, none):
         licenses.scan(odd, {"short": "two words"})
 
 
+def test_anchors_beside_underscores(spark):
+    cases = [(1, "_Released under the MIT License_"), (2, "_Licensed under CC BY-NC 4.0_"), (3, "__RELEASED_UNDER_THE_MIT_LICENSE__"), (4, "Released under the MIT Licenses")]
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, [(i, t, "en") for i, t in cases])).collect()}
+    assert got == {(1, "MIT-short"), (2, "CC-BY-NC-4.0-short"), (3, "MIT-short")}
+
+
 # ---- language ------------------------------------------------------------------------------------
 def test_language_on_held_out_rows(spark, rows):
     lang = {i: x for i, _, x in rows}
