@@ -1,13 +1,11 @@
-"""License notices found by MinHash bands over text windows, in DataFrame operations only.
+"""License notices found by shingles in text windows, in DataFrame operations only.
 
 Text and templates are lower-cased words (letters and digits). Windows overlap by half: a template of
 m words has windows of 2 L words every L words, L >= m, so each occurrence lies whole in one window.
-Shingles are five words. A window's MinHash signature is taken over those of its shingles that occur in
-any template (others cannot agree with a template), so a window with a notice has a Jaccard similarity
-to its template of `LEAST` or more, or of at least a few tenths where several notices share it. With
-`BANDS` bands of one row a similarity of 0.3 is missed with probability 0.7**32 < 1.2e-5, one of 0.8
-with 4e-23. Candidates are then verified: the share of the template's distinct shingles that occur in
-the window must be `LEAST`.
+Shingles are five words. The shingles that occur in any template are counted for each window and
+template: the share of the template's distinct shingles that occur in the window must be `LEAST`. The
+templates' shingles are a small broadcast table, so this is exact and needs no signatures; those of a
+window that several notices share would depend on the notices beside one.
 
 Documents without anchor words are passed over first. For each template the anchors are the fewest
 words such that more than 1 - LEAST of its shingles hold one of them, so no document with a match is
@@ -28,7 +26,6 @@ from tenura.llm.storage import materialise
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS = 32
 SMALLEST_STRIDE = 16
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
@@ -103,15 +100,6 @@ def shingle_hashes(words: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-def signature(shingle: Column) -> list[Column]:
-    return [F.min(F.xxhash64(shingle, F.lit(i))).alias(f"m{i}") for i in range(BANDS)]
-
-
-def bands(rows: DataFrame, *keys: str) -> DataFrame:
-    each = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col(f"m{i}")) for i in range(BANDS))))
-    return rows.select(*keys, each.alias("band"))
-
-
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license, stride, size, shingle): one row for each distinct shingle of a template."""
     rows = []
@@ -143,12 +131,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     hits = placed.join(F.broadcast(known), "shingle").select("doc_id", "digest", "stride", F.explode(windows).alias("window"), "at", "shingle")
     window = ["doc_id", "digest", "stride", "window"]
     hits = materialise(hits.groupBy(*window, "shingle").agg(F.min("at").alias("at")), "licenses")
-    marked = bands(hits.groupBy(*window).agg(*signature(F.col("shingle"))), *window)
-    sought = bands(table.groupBy("license", "stride").agg(*signature(F.col("shingle"))), "license", "stride")
-    candidates = marked.join(F.broadcast(sought), ["stride", "band"]).select(*window, "license").distinct()
     agreed = hits.join(F.broadcast(table), ["shingle", "stride"]).groupBy(*window, "license", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    same = [agreed[c].eqNullSafe(candidates[c]) for c in (*window, "license")]
-    verified = agreed.where(F.col("n") >= F.lit(LEAST) * F.col("size") - 1e-9).join(candidates, same, "left_semi")
+    verified = agreed.where(F.col("n") >= F.lit(LEAST) * F.col("size") - 1e-9)
     return verified.groupBy("doc_id", "digest", "license").agg(
         F.min("at").cast("long").alias("first_word"), F.count(F.lit(1)).alias("n_windows"), F.max(F.col("n") / F.col("size")).alias("containment")
     ).drop("digest")

@@ -324,6 +324,18 @@ def test_anchors_beside_underscores(spark):
     assert got == {(1, "MIT-short"), (2, "CC-BY-NC-4.0-short"), (3, "MIT-short")}
 
 
+def test_short_notices_side_by_side(spark):
+    short = [t for t in licenses.TEMPLATES if len(licenses.template_words(licenses.TEMPLATES[t])) <= 16]
+    pairs = [(a, b) for a in short for b in short if a != b]
+    cases = [(i, f"{licenses.TEMPLATES[a]} {licenses.TEMPLATES[b]}", "en") for i, (a, b) in enumerate(pairs)]
+    # a template of one shingle beside two of eight, all in one window
+    many = {**{f"o{k}": " ".join(f"v{k}x{i}" for i in range(5)) for k in range(40)}, **{f"t{k}": " ".join(f"w{k}x{i}" for i in range(12)) for k in range(40)}}
+    cases += [(1000 + k, f"{many[f'o{k}']} {many[f't{k}']} {many[f't{(k + 1) % 40}']}", "en") for k in range(40)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, cases), licenses.TEMPLATES | many).collect()}
+    assert {(i, n) for i, pair in enumerate(pairs) for n in pair} <= got
+    assert {(1000 + k, n) for k in range(40) for n in (f"o{k}", f"t{k}", f"t{(k + 1) % 40}")} <= got
+
+
 # ---- language ------------------------------------------------------------------------------------
 def test_language_on_held_out_rows(spark, rows):
     lang = {i: x for i, _, x in rows}
