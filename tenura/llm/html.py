@@ -72,12 +72,18 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 EDGES = string.punctuation + "«»“”„‘’…–—¿¡·•"
 
 
+FIRM = frozenset("cookies cookie consent gdpr reply replies respond disqus".split())  # may hold most of a page's text
+FIRM_STARTS = ("comment", "discussion", "cookie")
+
 HEADER, BAD = 1, 2  # of a header only headings may stay
 
 
-def traits(tag: str, attributes: str) -> tuple[int, bool]:
-    """How far a container is boilerplate, and whether its names say that it holds the content."""
-    bad, content, header = tag in BOILERPLATE and tag != "header", False, tag == "header"
+def traits(tag: str, attributes: str) -> tuple[int, int, bool, bool]:
+    """How far a container is boilerplate, how far its names or its being a form hint so, whether these names
+    are of comments or dialogs, and whether its names say that it holds the content.
+    """
+    bad, content, header = tag in BOILERPLATE and tag not in ("header", "form"), False, False
+    hint, firm = tag == "form", False
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -94,24 +100,46 @@ def traits(tag: str, attributes: str) -> tuple[int, bool]:
                 said = any(w in HINTS or w.startswith(HINT_STARTS) for w in words - {"header"})
                 if tag == "article":
                     said = any(w.startswith("comment") or w in ("reply", "ad", "advert") for w in words)
-                bad |= said and tag not in ("body", "html", "main")
+                hint |= said and tag not in ("body", "html", "main")
+                firm |= said and any(w in FIRM or w.startswith(FIRM_STARTS) for w in words)
                 content |= bool(words & CONTENT)
-    return (BAD if bad else HEADER if header else 0), content
+    return (BAD if bad else HEADER if tag == "header" else 0), (BAD if hint else HEADER if header else 0), firm, content
+
+
+class Hint:
+    """A container with a hint: how far it is boilerplate unless it holds most of the text."""
+
+    __slots__ = ("level", "firm", "titled")
+
+    def __init__(self, level: int, firm: bool) -> None:
+        self.level, self.firm, self.titled = level, firm, False
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "region", "heading", "label")
+    __slots__ = ("text", "linked", "hard", "hints", "marks", "heading", "words", "density", "label")
 
-    def __init__(self, text: str, linked: int, bad: bool, region: int, heading: bool) -> None:
-        self.text, self.linked, self.bad, self.region, self.heading, self.label = text, linked, bad, region, heading, None
+    def __init__(self, text: str, linked: int, hard: int, hints: tuple[Hint, ...], marks: int, heading: bool) -> None:
+        self.text, self.linked, self.hard, self.hints, self.marks, self.heading, self.label = text, linked, hard, hints, marks, heading, None
+        words = text.lower().split()
+        self.words = len(words)
+        self.density = sum(map(is_stopword, words)) / len(words) if len(words) >= LONG_WORDS else 0.0
+
+    @property
+    def good(self) -> int:
+        """Its characters, if it is good by its text."""
+        return len(self.text) if self.density >= STOPWORDS_HIGH and self.linked <= LINK_DENSITY * len(self.text) else 0
+
+    def bad(self, level: int) -> bool:
+        """Whether it goes as part of boilerplate of that level; a title in a header of the content stays."""
+        return level == BAD or (level == HEADER and not (self.heading and self.marks))
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, how far inside boilerplate, rank of the content marks around
+    stack: list[tuple[str, int, tuple[Hint, ...], int]] = []  # tag, how far inside boilerplate, hints and content marks around (bit k: rank k)
     text: list[str] = []
     linked = at = depth_links = 0
-    heading = False
+    heading = first = False
     low = None
 
     def close() -> None:
@@ -120,9 +148,11 @@ def blocks_of(page: str) -> list[Block]:
             # tag boundaries inside a block do not part words, so the pieces are joined before decoding
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                bad, region = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-                title = bad == HEADER and heading and region  # a header inside the content
-                out.append(Block(whole, linked, bool(bad) and not title, region, heading))
+                hard, hints, marks = stack[-1][1:] if stack else (0, (), 0)
+                out.append(Block(whole, linked, hard, hints, marks, heading))
+                if first:
+                    for hint in hints:
+                        hint.titled = True
             text.clear()
         linked = 0
 
@@ -153,20 +183,25 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             close()
             heading = tag in HEADINGS and not end
+            first = tag == "h1" and not end
         if tag == "a":
             depth_links = 0 if end else 1
         if tag in CONTAINERS or tag in BOILERPLATE:
             if tag in BOILERPLATE and tag not in BLOCKS:
                 close()
             if end:
-                names = [t for t, _, _ in stack]
+                names = [entry[0] for entry in stack]
                 if tag in names:
                     del stack[len(names) - 1 - names[::-1].index(tag) :]
             elif not attributes.endswith("/"):
-                bad, content = traits(tag, attributes)
-                above = stack[-1] if stack else ("", 0, 0)
-                rank = 0 if bad else 3 if tag == "article" else 2 if tag == "main" else 1 if content else 0
-                stack.append((tag, max(bad, above[1]), max(rank, above[2])))
+                bad, said, firm, content = traits(tag, attributes)
+                _, hard, hints, marks = stack[-1] if stack else ("", 0, (), 0)
+                if tag == "main":
+                    hints = ()
+                if said:
+                    hints = (*hints, Hint(said, firm))
+                rank = 0 if bad or said else 3 if tag == "article" else 2 if tag == "main" else 1 if content else 0
+                stack.append((tag, max(bad, hard), hints, marks | (1 << rank if rank else 0)))
     close()
     return out
 
@@ -175,19 +210,43 @@ def is_stopword(word: str) -> bool:
     return word in STOPWORDS or word.strip(EDGES) in STOPWORDS
 
 
+def without_boilerplate(blocks: list[Block], every: bool = False) -> list[Block]:
+    """The blocks that are in no boilerplate. `every`: all hints are judged, by the text outside links."""
+    open_to = [b for b in blocks if not b.bad(b.hard)]
+    size = (lambda b: max(0, len(b.text) - b.linked)) if every else (lambda b: b.good)
+    total = marked = 0
+    held: dict[Hint, list[int]] = {}
+    for b in open_to:
+        n = size(b)
+        own = n if b.marks else 0
+        total, marked = total + n, marked + own
+        for h in b.hints:
+            of = held.setdefault(h, [0, 0])
+            of[0], of[1] = of[0] + n, of[1] + own
+    lost = {h for h, (n, own) in held.items() if 2 * n > total and 2 * (marked - own) <= n and (every or not h.firm or h.titled)}
+    return [b for b in open_to if not b.bad(max((h.level for h in b.hints if h not in lost), default=0))]
+
+
+def region_of(blocks: list[Block]) -> tuple[int, list[Block]]:
+    """The strongest mark with no more good text outside its blocks than text inside, and its blocks; 0 and all if none is so."""
+    total = sum(b.good for b in blocks)
+    for rank in (3, 2, 1):
+        inside = [b for b in blocks if b.marks >> rank & 1]
+        if inside and sum(max(0, len(b.text) - b.linked) + b.good for b in inside) >= total:
+            return rank, inside
+    return 0, blocks
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """The good blocks."""
-    rank = max((b.region for b in blocks if not b.bad), default=0)
-    inside = [b for b in blocks if not b.bad and b.region == rank]
+    rank, inside = region_of(without_boilerplate(blocks) or without_boilerplate(blocks, every=True))
     for b in inside:
-        words = b.text.lower().split()
         if b.linked > LINK_DENSITY * len(b.text):
             b.label = False
-        elif len(words) >= LONG_WORDS:
-            density = sum(map(is_stopword, words)) / len(words)
-            if density >= STOPWORDS_HIGH:
+        elif b.words >= LONG_WORDS:
+            if b.density >= STOPWORDS_HIGH:
                 b.label = True
-            elif density < STOPWORDS_LOW and b.linked and not rank:
+            elif b.density < STOPWORDS_LOW and b.linked and not rank:
                 b.label = False
         elif not rank and b.text.startswith(("©", "Copyright")):
             b.label = False

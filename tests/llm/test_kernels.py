@@ -202,3 +202,18 @@ def test_titles_in_headers_of_the_content_stay():
     assert html.main_text(inside).split("\n") == ["Title", STORY]
     rows = "Alpha | Beta | Gamma | Delta | Eps | Zeta | Eta | Theta | Iota | Kappa | Mu | Nu"
     assert html.main_text(page(f"<p>{STORY}</p><p>{rows}</p>", f"<p>{rows} <a>x</a></p>")).split("\n") == [STORY, rows]
+
+
+def test_hinted_wrappers_and_teasers_keep_the_text():
+    whole = f"<h1>Title</h1><p>{STORY}</p><p>{STORY}</p>"
+    side = f"<div class='sidebar'><p>{STORY}</p><ul><li><a href=x>More</a></li></ul></div>"
+    want = ["Title", STORY, STORY]
+    for name in ("content-sidebar-wrap", "has-sidebar", "nav-open", "widget-page", "related-layout", "social", "comments-open", "with-header"):
+        for inner in (f"<main>{whole}</main>", f"<article>{whole}</article>", f"<div>{whole}</div>"):
+            assert html.main_text(page(f"<div class='{name}'>{inner}{side}</div>")).split("\n") == want
+    assert html.main_text(page(f"<form id='aspnetForm'>{whole}{side}</form>")).split("\n") == want
+    assert html.main_text(page("<div class='has-sidebar'><p>Short one</p></div>")) == "Short one"
+    card = f"<article class='card'><p>{STORY}</p></article>"
+    assert html.main_text(page(f"<main>{whole}</main>{card}")).split("\n") == want
+    assert html.main_text(page(f"<main>{whole}</main><article class='card'><p>A teaser</p></article>")).split("\n") == want
+    assert html.main_text(page(f"<article>{whole}</article><div class='comments'>{f'<p>{STORY}</p>' * 9}</div>")).split("\n") == want
