@@ -32,8 +32,8 @@ from tenura.llm.sampling import bounded_sample
 from tenura.llm.storage import materialise
 from tenura.llm.texts import BYTE_BASE, chunks, code_points, small_batches, span_hashes
 
-FIT_ROWS = 20_000
-MAX_FEATURES = 4_096
+FIT_ROWS = 50_000
+MAX_FEATURES = 16_384
 LEAST_CHI_SQUARE = 12.0
 LEAST_DOCUMENTS = 2
 BEGINNINGS = (4, 5, 6)
@@ -132,8 +132,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit_weights(feature, row, labels, swap_feature, swap_row, swap_sign, n_features: int, ridge: float, fairness: float) -> tuple[np.ndarray, float]:
-    """Logistic regression with ridge and swap penalties, by Newton steps with conjugate gradients."""
+def fit_weights(feature, row, labels, swap_feature, swap_row, swap_sign, n_features: int, ridge: float, fairness: float, swap_count=1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression with ridge and swap penalties, by Newton steps with conjugate gradients.
+
+    swap_count says how often each swap occurs; equal ones need one row.
+    """
     n, n_swaps = len(labels), int(swap_row.max()) + 1 if len(swap_row) else 0
     theta = np.zeros(n_features + 1)  # the last one is the base
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
@@ -149,7 +152,7 @@ def fit_weights(feature, row, labels, swap_feature, swap_row, swap_sign, n_featu
         out = ridge * t
         out[-1] = 1e-6 * t[-1]
         if n_swaps:
-            change = np.bincount(swap_row, swap_sign * t[swap_feature], n_swaps)
+            change = swap_count * np.bincount(swap_row, swap_sign * t[swap_feature], n_swaps)
             out[:-1] += fairness * np.bincount(swap_feature, swap_sign * change[swap_row], n_features)
         return out
 
@@ -230,16 +233,18 @@ def learn(
                         out.append((-1, [], sorted(was ^ now), [1 if f in now else -1 for f in sorted(was ^ now)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
-    table = rows.mapInArrow(rows_of, "label int, features array<int>, swap array<int>, sign array<int>").toArrow()
-    label_of = table.column("label").to_numpy()
-    fitted = label_of >= 0
+    # the penalty needs each distinct score change once, with its count: their number does not follow that of the texts
+    every = rows.mapInArrow(rows_of, "label int, features array<int>, swap array<int>, sign array<int>")
+    every = materialise(every, "toxicity-rows")
+    table = every.where("label >= 0").select("label", "features").toArrow()
+    changes = every.where("label < 0").groupBy("swap", "sign").agg(F.count(F.lit(1)).alias("n")).orderBy("swap", "sign").toArrow()
     number, row = flat(table.column("features"))
-    swap, swap_row = flat(table.column("swap"))
-    sign, _ = flat(table.column("sign"))
-    place, swap_place = np.cumsum(fitted) - 1, np.cumsum(~fitted) - 1
+    swap, swap_row = flat(changes.column("swap"))
+    sign, _ = flat(changes.column("sign"))
     weights, base = fit_weights(
-        number, place[row], label_of[fitted].astype(float), swap, swap_place[swap_row], sign.astype(float), len(vocabulary.hashes), ridge, fairness
-    )
+        number, row, table.column("label").to_numpy().astype(float), swap, swap_row, sign.astype(float), len(vocabulary.hashes), ridge, fairness,
+        changes.column("n").to_numpy().astype(float),
+    )
     return Model(vocabulary, weights, base)
 
 

@@ -136,6 +136,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(wins) / len(wins) > 0.8 and not any(s >= 0.5 for s, x in held if not x)
 
 
+def test_toxicity_bounds_and_swaps(spark, monkeypatch):
+    assert (toxicity.FIT_ROWS, toxicity.MAX_FEATURES) == (50_000, 16_384)  # as in the README
+    seen = []
+    fit = toxicity.fit_weights
+    monkeypatch.setattr(toxicity, "fit_weights", lambda *a: seen.append(a) or fit(*a))
+    words = ["the muslim garden is a river of idiot.", "the garden of the woman is idiot.", "the river is a cloud.", "the man was in a garden."]
+    rows = spark.createDataFrame([(words[i % 4] * 2, int(i % 4 < 2)) for i in range(400)], "text string, toxic int")
+    model = toxicity.learn(rows, "text", "toxic")
+    number, row, labels, swap, swap_row, sign, n, ridge, fairness, count = seen[0]
+    assert len(labels) == 400 and len(count) <= 8 and count.sum() >= 400  # two sentences in each text
+    times = np.repeat(np.arange(len(count)), count.astype(int))  # each swap as often as it occurs
+    parts = [np.flatnonzero(swap_row == k) for k in times]
+    at, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    weights, base = fit(number, row, labels, swap[at], owner, sign[at], n, ridge, fairness)
+    assert np.allclose(weights, model.weights, atol=1e-4) and math.isclose(base, model.base, abs_tol=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 14)], "doc_id long, toxic int")
     model = toxicity.learned_model(odd, labels)
