@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import fuzzy, html, language, licenses, mixing, pieces, pivots, simhash, substrings, toxicity
+from tenura.llm import (
+    fuzzy, html, language, licenses, mixing, phrases, pieces, pivots, runs, simhash, storage, substrings, token_files, toxicity,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +159,80 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"))
+
+
+TOKENS = "byte_bpe_50k.json"
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    written = storage.new_folder(spark, "token-ids")
+    token_files.write(documents(spark, folder), written, public_tokenizers.path(TOKENS))
+    placed = token_files.positions(token_files.digests(spark, written))
+    return placed.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32 ends in 0 repeat a stretch of their words up to the end."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    g = F.floor(F.col("h") / 10)
+    a = g % F.size("w")
+    period = 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8))
+    tail = F.expr("transform(sequence(a, size(w) - 1), i -> w[CAST(a + (i - a) % q AS INT)])")
+    edited = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    chosen = (F.col("h") % 10 == 0) & (F.size("w") > 0)
+    some = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    some = some.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("g", g).withColumn("a", F.when(chosen, a)).withColumn("q", F.when(chosen, period))
+    return some.select("doc_id", F.when(chosen, edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.runs(planted(documents(spark, folder).select("doc_id", "text")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("best")
+    return found.withColumn("best", runs.strongest()).select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), phrases AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
+    FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k)
+    GROUP BY ALL
+), sizes AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.k, c.phrase, c.a, part, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM (SELECT *, unnest(generate_series(1, k - 1)) AS part FROM candidates) c
+    JOIN phrases x ON x.lang = c.lang AND x.k = part AND x.phrase = array_to_string(c.w[1:part], ' ')
+    JOIN phrases y ON y.lang = c.lang AND y.k = c.k - part AND y.phrase = array_to_string(c.w[part + 1:c.k], ' ')
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, part) = 1
+), longer AS (
+    SELECT lang, phrase, max(a) AS most FROM (
+        SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE k = 3
+        UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE k = 3) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN longer USING (lang, phrase) JOIN sizes USING (lang)
+WHERE k = 3 OR NOT coalesce(100 * most >= 50 * a, false)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrases", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = phrases.collocations(documents(spark, folder))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
