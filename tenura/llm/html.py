@@ -68,6 +68,7 @@ TOKEN = re.compile(
     re.S | re.X,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TARGET = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 EDGES = string.punctuation + "«»“”„‘’…–—¿¡·•"
 
@@ -138,7 +139,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, tuple[Hint, ...], int]] = []  # tag, how far inside boilerplate, hints and content marks around (bit k: rank k)
     text: list[str] = []
-    linked = at = depth_links = 0
+    linked = at = depth_links = link_depth = block_number = 0
+    link_block = -1
     heading = first = False
     low = None
 
@@ -184,8 +186,12 @@ def blocks_of(page: str) -> list[Block]:
             close()
             heading = tag in HEADINGS and not end
             first = tag == "h1" and not end
-        if tag == "a":
-            depth_links = 0 if end else 1
+            if end and link_block == block_number:  # the link was left open inside the block that ends
+                depth_links = 0
+            block_number += 1
+        if tag == "a":  # an anchor without a target is no link; a link ends at the next anchor at the latest
+            depth_links = 0 if end or not TARGET.search(attributes) else 1
+            link_depth, link_block = len(stack), block_number
         if tag in CONTAINERS or tag in BOILERPLATE:
             if tag in BOILERPLATE and tag not in BLOCKS:
                 close()
@@ -193,6 +199,8 @@ def blocks_of(page: str) -> list[Block]:
                 names = [entry[0] for entry in stack]
                 if tag in names:
                     del stack[len(names) - 1 - names[::-1].index(tag) :]
+                    if len(stack) < link_depth:  # the container of an open link ends
+                        depth_links = 0
             elif not attributes.endswith("/"):
                 bad, said, firm, content = traits(tag, attributes)
                 _, hard, hints, marks = stack[-1] if stack else ("", 0, (), 0)
@@ -242,7 +250,8 @@ def classify(blocks: list[Block]) -> list[Block]:
     rank, inside = region_of(without_boilerplate(blocks) or without_boilerplate(blocks, every=True))
     for b in inside:
         if b.linked > LINK_DENSITY * len(b.text):
-            b.label = False
+            # a sentence of a marked article that is one link goes with its neighbours
+            b.label = None if rank and b.words >= LONG_WORDS and b.density >= STOPWORDS_HIGH else False
         elif b.words >= LONG_WORDS:
             if b.density >= STOPWORDS_HIGH:
                 b.label = True
@@ -263,7 +272,7 @@ def classify(blocks: list[Block]) -> list[Block]:
                 good.append(b)
         elif b.label:
             good.append(b)
-    return good
+    return good or [b for b in inside if b.density >= STOPWORDS_HIGH]  # running text is never all lost
 
 
 def main_text(page: str | None) -> str:
