@@ -1,22 +1,31 @@
-"""License notices found by shingles in text windows, in DataFrame operations only.
+"""License notices found by MinHash bands over text windows, in DataFrame operations only.
 
-Text and templates are lower-cased words (letters and digits). Windows overlap by half: a template of
-m words has windows of 2 L words every L words, L >= m, so each occurrence lies whole in one window.
-Shingles are five words. The shingles that occur in any template are counted for each window and
-template: the share of the template's distinct shingles that occur in the window must be `LEAST`. The
-templates' shingles are a small broadcast table, so this is exact and needs no signatures; those of a
-window that several notices share would depend on the notices beside one.
+Text and templates are lower-cased words (letters and digits), shingles are five words. A template of m words
+has windows of m + s words every s words, s = m // 4 (1 at least), so each occurrence lies whole in
+one window, and a window holds little else.
+
+Templates of one length share their windows. A window's signature is taken over those of its shingles that
+occur in a template of that length: no other can agree. If the share of a template's n shingles in the window
+is `LEAST` or more, at least c = ceil(LEAST * n) are common, the window has at most m + s - 4, so the Jaccard
+similarity is at least c / (m + s - 4 + n - c), whatever else stands in the window; 0.5 is about the least.
+A band is one minimum, and there are as many as it takes to miss such a window with a probability of at most
+`MISS` (1e-6): 20 for these templates. A window and a template that agree in a band are a candidate.
+
+Candidates are verified: the share of the template's distinct shingles that occur in the window must
+be `LEAST`.
 
 Documents without anchor words are passed over first. For each template the anchors are the fewest
 words such that more than 1 - LEAST of its shingles hold one of them, so no document with a match is
 passed over.
 
-Defined cases: null and empty texts match nothing; rows with one id and one text are one document;
-templates need five words.
+Defined cases: null and empty texts match nothing; rows with one id and one text are one document, null ids
+are an id like any other; templates need five words; only the key and the text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +35,7 @@ from tenura.llm.storage import materialise
 
 SHINGLE = 5
 LEAST = 0.8
-SMALLEST_STRIDE = 16
+MISS = 1e-6
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
 # Notices as their licenses word them; fixed values.
@@ -70,9 +79,26 @@ def template_shingles(text: str) -> list[str]:
     return sorted({" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
 
 
-def stride_of(text: str) -> int:
-    """The windows' step for a template: a power of two, its words at least."""
-    return max(SMALLEST_STRIDE, 1 << (len(template_words(text)) - 1).bit_length())
+def length_of(text: str) -> int:
+    return len(template_words(text))
+
+
+def step_of(length: int) -> int:
+    """The windows' step for templates of `length` words; a window has `length` and a step more."""
+    return max(1, length // 4)
+
+
+def least_similarity(text: str) -> float:
+    """The least Jaccard similarity of a template and a window that holds `LEAST` of its shingles."""
+    m, n = length_of(text), len(template_shingles(text))
+    common = math.ceil(LEAST * n - 1e-9)
+    return common / (m + step_of(m) - SHINGLE + 1 + n - common)
+
+
+def bands_for(templates: dict[str, str], miss: float = MISS) -> int:
+    """One-row bands so that every template's match is missed with probability `miss` at most."""
+    least = min(map(least_similarity, templates.values()))
+    return 1 if least >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-least)))
 
 
 def anchors(templates: dict[str, str]) -> list[str]:
@@ -107,9 +133,45 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
         shingles = template_shingles(text)
         if not shingles:
             raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-        rows += [(name, stride_of(text), len(shingles), s) for s in shingles]
-    made = spark.createDataFrame(rows, "license string, stride int, size int, words string")
-    return made.select("license", "stride", "size", F.xxhash64("words").alias("shingle"))
+        rows += [(name, length_of(text), len(shingles), s) for s in shingles]
+    made = spark.createDataFrame(rows, "license string, length int, size int, words string")
+    return made.select("license", "length", "size", F.xxhash64("words").alias("shingle"))
+
+
+def banded(rows: DataFrame, keys: list[str], bands: int) -> DataFrame:
+    """(keys, band): the MinHash of each group's shingles under each of `bands` seeds, marked by the seed."""
+    mins = rows.groupBy(*keys).agg(*(F.min(F.xxhash64("shingle", F.lit(i))).alias(f"m{i}") for i in range(bands)))
+    return mins.select(*keys, F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(bands)))).alias("band"))
+
+
+def windows_of(at: str, length: str) -> Column:
+    """Numbers of the windows that hold the whole shingle at word `at`."""
+    step = f"greatest(1, {length} div 4)"
+    first = f"greatest(0, CAST(floor(({at} + {SHINGLE - 1} - {length}) / {step}) AS INT))"
+    return F.expr(f"sequence({first}, CAST({at} div {step} AS INT))")
+
+
+WINDOW = ["doc_id", "digest", "length", "window"]
+
+
+def window_shingles(docs: DataFrame, templates: dict[str, str], key: str, text: str) -> DataFrame:
+    """(doc_id, digest, length, window, shingle, at): the windows' distinct shingles known to templates of that length."""
+    known = template_table(docs.sparkSession, templates).select("shingle", "length").distinct()
+    # the same letters and edges as in words_of: for \b an underscore would be part of the word
+    likely = r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, sorted(anchors(templates)))) + r")(?![\p{L}\p{N}])"
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where(F.lower("text").rlike(likely))
+    worded = rows.select("doc_id", "digest", words_of(F.col("text")).alias("words"))
+    placed = worded.select("doc_id", "digest", F.posexplode(shingle_hashes(F.col("words"))).alias("at", "shingle"))
+    hits = placed.join(F.broadcast(known), "shingle").select("doc_id", "digest", "length", F.explode(windows_of("at", "length")).alias("window"), "shingle", "at")
+    return hits.groupBy(*WINDOW, "shingle").agg(F.min("at").alias("at"))
+
+
+def candidates(hits: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """(doc_id, digest, length, window, license): what the bands retrieve."""
+    bands = bands_for(templates)
+    table = template_table(hits.sparkSession, templates)
+    sought = banded(table, ["license", "length"], bands)
+    return banded(hits, WINDOW, bands).join(F.broadcast(sought), ["length", "band"]).select(*WINDOW, "license").distinct()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,19 +182,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     """
     templates = TEMPLATES if templates is None else templates
     table = template_table(docs.sparkSession, templates)
-    known = table.select("shingle", "stride").distinct()
-    # the same letters and edges as in words_of: for \b an underscore would be part of the word
-    likely = r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, sorted(anchors(templates)))) + r")(?![\p{L}\p{N}])"
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where(F.lower("text").rlike(likely))
-    worded = rows.select("doc_id", "digest", words_of(F.col("text")).alias("words"))
-    placed = worded.select("doc_id", "digest", F.posexplode(shingle_hashes(F.col("words"))).alias("at", "shingle"))
-    own = F.floor(F.col("at") / F.col("stride")).cast("int")
-    windows = F.when((own > 0) & (F.col("at") + SHINGLE <= (own + 1) * F.col("stride")), F.array(own - 1, own)).otherwise(F.array(own))
-    hits = placed.join(F.broadcast(known), "shingle").select("doc_id", "digest", "stride", F.explode(windows).alias("window"), "at", "shingle")
-    window = ["doc_id", "digest", "stride", "window"]
-    hits = materialise(hits.groupBy(*window, "shingle").agg(F.min("at").alias("at")), "licenses")
-    agreed = hits.join(F.broadcast(table), ["shingle", "stride"]).groupBy(*window, "license", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    verified = agreed.where(F.col("n") >= F.lit(LEAST) * F.col("size") - 1e-9)
+    if not templates:
+        raise ValueError("a scan needs templates")
+    hits = materialise(window_shingles(docs, templates, key, text), "licenses")
+    found = candidates(hits, templates).select(*(F.col(c).alias(f"_{c}") for c in WINDOW), F.col("license").alias("_license"))
+    agreed = hits.join(F.broadcast(table), ["shingle", "length"]).groupBy(*WINDOW, "license", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*WINDOW, "license")]  # an id may be null
+    verified = agreed.join(found, same, "left_semi").where(F.col("n") >= F.lit(LEAST) * F.col("size") - 1e-9)
     return verified.groupBy("doc_id", "digest", "license").agg(
         F.min("at").cast("long").alias("first_word"), F.count(F.lit(1)).alias("n_windows"), F.max(F.col("n") / F.col("size")).alias("containment")
     ).drop("digest")

@@ -121,19 +121,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sql() -> str:
     """Every document against every template, without bands."""
     rows = ", ".join(
-        f"('{name}', {licenses.stride_of(text)}, {len(licenses.template_shingles(text))}, '{s}')"
+        f"('{name}', {licenses.length_of(text)}, {licenses.step_of(licenses.length_of(text))}, {len(licenses.template_shingles(text))}, '{s}')"
         for name, text in licenses.TEMPLATES.items() for s in licenses.template_shingles(text)
     )
     return rf"""
-WITH templates(license, stride, size, s) AS (VALUES {rows}), worded AS (
+WITH templates(license, length, step, size, s) AS (VALUES {rows}), worded AS (
     SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w
     FROM documents WHERE text IS NOT NULL
 ), placed AS (
     SELECT doc_id, i AS pos, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS s
     FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 5)) AS i FROM worded WHERE len(w) >= 5)
 ), hits AS (
-    SELECT doc_id, license, size, pos, s, unnest(CASE WHEN pos // stride > 0 AND pos + 5 <= (pos // stride + 1) * stride
-        THEN [pos // stride - 1, pos // stride] ELSE [pos // stride] END) AS win
+    SELECT doc_id, license, size, pos, s,
+        unnest(generate_series(greatest(0, floor((pos + 4 - length) / step)::INT), (pos // step)::INT)) AS win
     FROM placed JOIN templates USING (s)
 ), windows AS (
     SELECT doc_id, license, win, min(pos) AS pos, count(DISTINCT s) / any_value(size) AS share FROM hits GROUP BY ALL

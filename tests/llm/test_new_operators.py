@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ from conftest import SF_CHECK, SF_SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenura.llm import phrases, queries, runs, storage, token_files
+from tenura.llm import html, licenses, phrases, queries, runs, storage, token_files
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, slice int, begin string, key string, runs string, n string, total string"
@@ -276,3 +277,70 @@ def test_scores_are_exact(spark):
 def test_queries_at_the_smallest_size(spark):
     for name in ("op11_token_files", "op12_periodic_runs"):
         assert queries.QUERIES[name](spark, SF_SMALL).count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+
+
+# ---- pages with odd anchors ----------------------------------------------------------------------
+STORY = "It was the day on which all of them came to the house and said that it is not what we were told."
+
+
+def test_open_anchors_lose_no_page():
+    for mark in ("<a name='top'>", "<a id='x'/>", "<a id=x />", "<a class='p' data-href='z'>", "<A NAME=top>"):
+        for page in (f"<article>{mark}<p>{STORY}</p><p>{STORY}</p></article>", f"{mark}<p>{STORY}</p><p>{STORY}</p>", f"<div><p>{mark}{STORY}</p></div><p>{STORY}</p>"):
+            assert html.main_text(f"<html><body>{page}</body></html>") == f"{STORY}\n{STORY}", (mark, page)
+    left_open = [f"<article><p><a href=x>Read on</p><p>{STORY}</p></article>", f"<div><div><a href=x>Read on</div><p>{STORY}</p></div>"]
+    assert all(html.main_text(p).endswith(STORY) for p in left_open)
+    assert html.main_text(f"<ul><li><a href=a>Home<li><a href=b>News</ul><p>{STORY}</p>") == STORY
+
+
+def test_linked_running_text_is_kept():
+    linked = f"<p><a href='x'>{STORY}</a></p>"
+    assert html.main_text(f"<article><p>{STORY}</p>{linked}<p>{STORY}</p></article>") == "\n".join([STORY] * 3)
+    assert html.main_text(linked) == STORY
+    assert html.main_text(f"<p>{STORY}</p><div><a href=x>{STORY}</a></div>") == STORY  # a link list beside the text still goes
+    assert html.main_text(f"<article><p>{STORY}</p></article><nav>{linked}</nav>") == STORY
+
+
+# ---- license bands -------------------------------------------------------------------------------
+def test_bands_are_enough_for_the_stated_miss():
+    worst = 1.0
+    for text in licenses.TEMPLATES.values():
+        words, own = licenses.template_words(text), set(licenses.template_shingles(text))
+        size = len(words) + licenses.step_of(len(words)) - 4  # shingles of a window
+        for common in range(math.ceil(0.8 * len(own) - 1e-9), len(own) + 1):
+            worst = min(worst, common / (size + len(own) - common))
+    assert worst == pytest.approx(min(map(licenses.least_similarity, licenses.TEMPLATES.values())))
+    assert (1 - worst) ** licenses.bands_for(licenses.TEMPLATES) <= licenses.MISS
+    assert licenses.bands_for({"a": licenses.TEMPLATES["MIT"]}, 1e-3) < licenses.bands_for(licenses.TEMPLATES)
+
+
+def test_bands_alone_retrieve_every_match_and_little_else(spark):
+    rng = random.Random(8)
+    names = sorted(licenses.TEMPLATES)
+    rows, planted = [], set()
+    for i in range(120):
+        words = [f"filler{rng.randrange(500)}" for _ in range(rng.randrange(40))]
+        for name in rng.sample(names, rng.randrange(3)):
+            own = licenses.TEMPLATES[name].split()
+            if len(own) > 40:
+                own[rng.randrange(20)] = "changed"
+            words += [*own, *[f"more{rng.randrange(500)}" for _ in range(rng.randrange(6))]]
+            planted.add((i, name))
+        rows.append((i, " ".join(words) or None, "en"))
+    docs = table(spark, rows + [(None, licenses.TEMPLATES["MIT"], "en")])
+    hits = licenses.window_shingles(docs, licenses.TEMPLATES, "doc_id", "text")
+    retrieved = {(r.doc_id, r.license) for r in licenses.candidates(hits, licenses.TEMPLATES).collect()}
+    found = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs).collect()}
+    assert planted | {(None, "MIT")} <= retrieved and planted <= set(found) and (None, "MIT") in found
+    assert set(found) <= retrieved and len(retrieved) < 4 * len(found)
+    by_document = {(i, n) for i, text, _ in rows if text for n in names if n not in (None,) and _whole(licenses.template_words(text), n) >= 0.8}
+    assert set(found) - {(None, "MIT")} <= by_document
+
+
+def _whole(words, name):
+    own = set(licenses.template_shingles(licenses.TEMPLATES[name]))
+    return len(own & {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}) / len(own)
+
+
+def test_no_signature_without_templates(spark):
+    with pytest.raises(ValueError):
+        licenses.scan(table(spark, ODD), {})
