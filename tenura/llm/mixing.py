@@ -144,19 +144,21 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     return now
 
 
-def copies_of(rate: Column, key: Column, snap: float = 0.1) -> Column:
-    """How often a document is taken: `rate` in expectation, drawn by a hash of the key; a rate within
-    `snap` of a whole number is that number.
-    """
+def copies_of(rate: Column, key: Column) -> Column:
+    """How often a document is taken: `rate` in expectation, drawn by a hash of the key."""
     draw = F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    near = F.round(rate)
-    return F.when(F.abs(rate - near) <= snap, near).otherwise(F.floor(rate + draw)).cast("int")
+    return F.floor(rate + draw).cast("int")
 
 
 def resample(docs: DataFrame, labels: DataFrame, **targets) -> DataFrame:
-    """The documents, each taken as often as its rate says. Rows with a null id are taken once."""
-    rates = mix(docs, labels, **targets).where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("rate").alias("_rate"))
-    joined = docs.join(rates, (docs["doc_id"] == rates["_id"]) & (F.xxhash64(docs["text"]) == rates["_digest"]), "left")
-    # no snapping: a rate of 0.95 or 0.05 rounded for every document would shift a domain's tokens off its target
-    taken = F.coalesce(copies_of(F.col("_rate"), docs["doc_id"], snap=0.0), F.lit(1))
-    return joined.where(taken > 0).select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), taken)).alias("_copy")).select(*docs.columns)
+    """The documents, each taken as often as its rate says. Rows with a null id are taken once.
+
+    Columns of any name come back as they are.
+    """
+    rates = mix(docs.select("doc_id", "text"), labels, **targets).where("doc_id is not null").select(F.col("doc_id").alias("id"), "digest", "rate")
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # no name can clash
+    key, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    joined = plain.join(rates, (key == F.col("id")) & (F.xxhash64(text) == F.col("digest")), "left")
+    taken = F.coalesce(copies_of(F.col("rate"), key), F.lit(1))
+    copies = joined.where(taken > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), taken)))
+    return copies.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
