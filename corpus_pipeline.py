@@ -1,12 +1,16 @@
 """A training-corpus pipeline over `documents`: each stage works on all that the one before it kept.
 
 language ID         documents that it rejects go: no letter, no text, or no language likelier than `LEAST_SCORE`
-SimHash near-dedup  of each group of near copies the smallest doc_id stays
+SimHash near-dedup  of each group of near copies (Jaccard similarity of 0.8 or more over five words) the smallest doc_id stays
 substring dedup     repeated passages are cut out; a document of which nothing is left goes
 mixing              each document is taken as often as its fitted rate says, in expectation: a hash of its id draws
 SentencePiece       ids, their number, byte spans and digests of what stays
 
 All but the last return the columns of `documents`; a shortened text has its n_chars counted anew.
+
+Defined cases: null and empty texts, and texts without letters, go in the first stage; repeated rows and ties count as near
+copies, of which one stays; rows with a null id pass the second and fourth stage; an empty table passes every stage empty;
+columns of any other name are carried, also where a stage uses that name inside.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.learned_model(docs), names=("_lang", "_score"))
-    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    model = language.learned_model(docs)
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # no name can clash
+    found = language.identify(plain, model, text=f"_{docs.columns.index('text')}")
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
