@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tenura.functions import maths
 from tenura.functions.maths import signed_log
-from tenura.operators import features, ml, references, splits
+from tenura.operators import features, many, ml, references, search, splits
+from tenura.operators.features import rule_baseline
 from tenura.operators.metrics import threshold_for_recall
 from tenura.plans import scoring
 from tenura.plans.accounts import accounts
@@ -156,30 +158,33 @@ def score_and_explain(spark, folder):
 @query("cross_validate")
 def cross_validate(spark, folder):
     df = folded(spark, folder, REPEATS)
-    scores = ml.cross_validate(
-        df, ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"], Y, REPEATED, FOLDS, n_rows=size(spark, folder)
-    )
+    scores = search.cross_validate_logistic(df, Y, KEY, NUMERIC, LABELS, REPEATED, FOLDS, n_rows=size(spark, folder))
     return ml.summarise_folds(scores)
 
 
+def out_of_fold(spark, folder):
+    """(key, y, p) of five models that did not see their fold, fitted together."""
+    encoded = many.encode(folded(spark, folder), Y, KEY, NUMERIC, LABELS, ["pli_0"])
+    return many.held_out_scores(encoded, many.fit(encoded, many.fold_specs(["pli_0"], FOLDS)))
+
+
 @query("out_of_fold_scores")
 def out_of_fold_scores(spark, folder):
-    fit = ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"]
-    return ml.out_of_fold_scores(folded(spark, folder), fit, "pli_0", FOLDS).select(KEY, "pli_0", "p")
+    return out_of_fold(spark, folder).select(F.col("key").alias(KEY), F.col("pli").alias("pli_0"), "p")
 
 
 @query("vigilance_threshold")
 def vigilance_threshold(spark, folder):
-    fit = ml.candidates(Y, KEY, NUMERIC, LABELS)["logistique"]
-    scored = ml.out_of_fold_scores(folded(spark, folder), fit, "pli_0", FOLDS)
-    return threshold_for_recall(scored.select(F.col(Y).alias("y"), "p"), n_rows=size(spark, folder))
+    return threshold_for_recall(out_of_fold(spark, folder).select("y", "p"), n_rows=size(spark, folder))
 
 
 @query("compare_models")
 def compare_models(spark, folder):
-    df = folded(spark, folder)
-    fitters = ml.candidates(Y, KEY, NUMERIC, LABELS)
-    scores = ml.compare_models(df, fitters, Y, ["pli_0"], FOLDS, size(spark, folder))
+    """Draw, rule, logistic, forest of 200 trees, 200 boosting rounds: 5 folds, 3 repetitions."""
+    df = folded(spark, folder, REPEATS)
+    rate = df.agg(F.avg(Y)).first()[0]
+    plain = {"dummy": (maths.uniform(F.col(KEY), 42) < rate).cast("double"), "regle": rule_baseline(df).cast("double")}
+    scores = search.compare_models(df, Y, KEY, NUMERIC, LABELS, REPEATED, plain, FOLDS, n_rows=size(spark, folder))
     return ml.summarise_folds(scores, ["modele"])
 
 
@@ -190,8 +195,9 @@ def imbalance_comparison(spark, folder):
 
 @query("hyperparameter_search")
 def hyperparameter_search(spark, folder):
+    """30 trials of each of two families on shared folds; the defaults are trial 0."""
     df = folded(spark, folder)
-    return ml.hyperparameter_search(df, Y, NUMERIC, LABELS, "pli_0", FOLDS, (0.01, 0.1, 1.0, 10.0), size(spark, folder))
+    return search.random_search(df, Y, KEY, NUMERIC, LABELS, "pli_0", n_rows=size(spark, folder))
 
 
 # fold scores for the paired tests: one mean per "model" (plan) and fold (key modulo 15)
@@ -248,7 +254,11 @@ def select_parsimonious(spark, folder):
 def log_ablation(spark, folder):
     df = folded(spark, folder, REPEATS)
     logged = df.withColumns({c: signed_log(F.col(c).cast("double")) for c in ("derniere_connexion_jours", "tickets_support_90j")})
-    return ml.log_ablation(df, logged, Y, NUMERIC, LABELS, REPEATED, FOLDS, size(spark, folder))
+    scores = [
+        search.cross_validate_logistic(t, Y, KEY, NUMERIC, LABELS, REPEATED, FOLDS, name=name, n_rows=size(spark, folder))
+        for name, t in (("brut", df), ("log", logged))
+    ]
+    return ml.superiority_tests(scores[0].unionByName(scores[1]))
 
 
 @query("value_regression")
