@@ -9,10 +9,10 @@ for prefixes of no word, one word and two words:
     stripe of x           extensions f(x y), total f(x)
     stripe of x y         extensions f(x y z), total f(x y), and its maximum subsumes x y
 
-A task counts about a million words (a longer text whole), then sends its stripes, one row each, to the bucket of
+A task counts about half a million words (a longer text whole), then sends its stripes, one row each, to the bucket of
 (lang, prefix), where they are added element by element. A prefix with a 1024th of all words or more (so
 there are fewer than 1024 of them, known from the round before) is cut by its next words over all
-buckets; its total is the sum over the buckets. A bucket is about 16 MB of text.
+buckets; its total is the sum over the buckets. A bucket is about 4 MB of text.
 
 A phrase that occurs `least` (10) times consists of shorter ones that do. Each round passes over prefixes and
 next words that the round before found rarer, through a blocked Bloom filter: 16 bits a phrase, at most
@@ -40,8 +40,8 @@ LEAST = 10  # occurrences of a phrase
 SUBSUMED = 50  # percent of a phrase's occurrences that a longer one may take before the phrase goes
 BEST = 2_000  # phrases reported for each language
 SCALE = 1_000_000
-FLUSH_WORDS = 1 << 20
-BUCKET_BYTES = 16 << 20
+FLUSH_WORDS = 1 << 19
+BUCKET_BYTES = 4 << 20
 HEAVY = 1 << 10
 FILTER_BITS, SEGMENT_BITS = 28, 16
 SALTS = 64
@@ -142,7 +142,7 @@ def frequent(entries: DataFrame) -> Filter:
 
 
 # ---- one round of stripes -------------------------------------------------------------------------
-STRIPE = "bucket int, lang binary, prefix binary, words array<binary>, counts array<long>"
+STRIPE = "bucket int, lang binary, prefix binary, words binary, counts array<int>"  # words joined by a blank
 
 
 def _counted(lang: bytes, codes: np.ndarray, words: list[bytes], order: int, known) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -211,7 +211,8 @@ def _stripes(lang: bytes, tokens: list[bytes], order: int, known, heavy: set, ma
         text = pa.array([b""] * len(start), pa.binary())
     out = [
         pa.array(bucket[start]), pa.array([lang] * len(start), pa.binary()), text,
-        pa.ListArray.from_arrays(offsets, named.take(pa.array(nexts))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+        pc.binary_join(pa.ListArray.from_arrays(offsets, named.take(pa.array(nexts))), b" "),
+        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
     ]
     return pa.RecordBatch.from_arrays(out, ["bucket", "lang", "prefix", "words", "counts"])
 
@@ -248,7 +249,7 @@ ENTRY = "lang binary, prefix binary, next binary, n long, total long"
 KEYS = ["lang", "prefix"]
 
 
-def _merged(order: int, heavy: dict[tuple[bytes, bytes], int], least: int):
+def _merged(order_of_prefix: int, heavy: dict[tuple[bytes, bytes], int], least: int):
     """Stripes of one bucket, added element by element: the entries that are frequent, each with its
     prefix's total. Round 0 also gives the total under the empty word.
     """
@@ -256,22 +257,32 @@ def _merged(order: int, heavy: dict[tuple[bytes, bytes], int], least: int):
     def run(key, table):
         table = table.combine_chunks()
         words, counts = (table.column(c).combine_chunks() for c in ("words", "counts"))
-        stripe = pc.list_parent_indices(words)
-        flat = pa.table({
-            "lang": table.column("lang").take(stripe), "prefix": table.column("prefix").take(stripe),
-            "next": words.flatten(), "n": counts.flatten(),
-        }).group_by([*KEYS, "next"]).aggregate([("n", "sum")])
-        totals = flat.group_by(KEYS).aggregate([("n_sum", "sum")]).rename_columns([*KEYS, "total"])
-        common = pc.and_(pc.greater_equal(flat.column("n_sum"), least), pc.not_equal(pc.binary_length(flat.column("next")), 0))
-        found = flat.filter(common).join(totals, KEYS).select([*KEYS, "next", "n_sum", "total"]).rename_columns([*KEYS, "next", "n", "total"])
-        if heavy and order:
-            named = zip(found.column("lang").to_pylist(), found.column("prefix").to_pylist(), found.column("total").to_pylist())
-            found = found.set_column(4, "total", pa.array([heavy.get((a, b), c) for a, b, c in named], pa.int64()))
-        if order == 0:
-            empty = pa.array([b""] * len(totals), pa.binary())
-            whole = pa.table([totals.column("lang"), empty, empty, totals.column("total"), totals.column("total")], found.column_names)
-            found = pa.concat_tables([found, whole])
-        return found
+        stripe = pc.list_parent_indices(counts).to_numpy()
+        heads = pc.binary_join_element_wise(table.column("prefix"), table.column("lang"), b"\n").combine_chunks().dictionary_encode()
+        nexts = pc.split_pattern(words, b" ").flatten().dictionary_encode()  # a word has no blank, a prefix no line feed
+        width = len(nexts.dictionary)
+        keys = heads.indices.to_numpy()[stripe].astype(np.int64) * width + nexts.indices.to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        start = np.flatnonzero(np.diff(keys, prepend=-1))
+        sums = np.add.reduceat(counts.flatten().to_numpy()[order].astype(np.int64), start)
+        head, word = np.divmod(keys[start], width)
+        first = np.flatnonzero(np.diff(head, prepend=-1))
+        total = np.zeros(len(heads.dictionary), np.int64)
+        total[head[first]] = np.add.reduceat(sums, first)
+        names = [h.split(b"\n", 1) for h in heads.dictionary.to_pylist()]
+        if order_of_prefix:  # the total of a stripe that is cut over the buckets is known
+            for i, (prefix, lang) in enumerate(names):
+                total[i] = heavy.get((lang, prefix), total[i])
+        empty = pc.equal(pc.binary_length(nexts.dictionary), 0).to_numpy(zero_copy_only=False)
+        found = np.flatnonzero((sums >= least) & ~empty[word])
+        head, word, sums = head[found], nexts.dictionary.take(pa.array(word[found])), sums[found]
+        if not order_of_prefix:
+            head = np.concatenate((head, np.arange(len(names))))
+            word = pa.concat_arrays([word, pa.array([b""] * len(names), word.type)])
+            sums = np.concatenate((sums, total))
+        langs, prefixes = (pa.array([n[k] for n in names], pa.binary()).take(pa.array(head)) for k in (1, 0))
+        return pa.table([langs, prefixes, word, pa.array(sums), pa.array(total[head])], [*KEYS, "next", "n", "total"])
 
     return run
 
