@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,22 +84,56 @@ def _latency_columns() -> list[Column]:
     return [F.col("q")[i].alias(name) for i, name in enumerate(LATENCY_PROBS)]
 
 
+SKETCH_SIZE = 1_000
+RANK_ERROR = 0.01  # of a sketch of that size: 0.3 % at 99 % confidence, a third of this
+
+
+def latency_sketches(events: DataFrame, latency: str = "latence") -> DataFrame:
+    """(tick, n, sketch): one mergeable sketch of the latencies of each 30-second tick.
+
+    A stream holds one state for each open tick, whatever the number of windows around it.
+    """
+    known = _timed(events).where(F.col(latency).isNotNull())
+    sketch = F.kll_sketch_agg_double(F.col(latency).cast("double"), SKETCH_SIZE)
+    return known.groupBy(F.window("ts", f"{TICK_SECONDS} seconds").alias("tick")).agg(F.count("*").alias("n"), sketch.alias("sketch"))
+
+
+def merged_quantiles(ticks: DataFrame) -> DataFrame:
+    """(debut, fin, n, p50, p95, p99) over 5 minutes every 30 seconds, from the ticks' sketches."""
+    around = F.window(F.window_time("tick"), "5 minutes", f"{TICK_SECONDS} seconds")
+    merged = ticks.groupBy(around).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("sketch"))
+    q = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in LATENCY_PROBS.items()]
+    return merged.select(*_bounds(), "n", *q)
+
+
 def latency_quantiles(events: DataFrame, latency: str = "latence") -> DataFrame:
-    """p50, p95, p99 over 5 minutes, from a mergeable sketch; for streams."""
-    q = F.approx_percentile(latency, list(LATENCY_PROBS.values()), 10_000)
-    per = _timed(events).groupBy(F.window("ts", "5 minutes", "30 seconds")).agg(
-        F.count("*").alias("n"), q.alias("q")
-    )
-    return per.select(*_bounds(), "n", *_latency_columns())
+    """p50, p95, p99 over 5 minutes within RANK_ERROR of their rank; for streams and batches."""
+    return merged_quantiles(latency_sketches(events, latency))
+
+
+def within_rank_error(quantiles: DataFrame, events: DataFrame, latency: str = "latence", error: float = RANK_ERROR) -> DataFrame:
+    """(debut, fin, n, dans_erreur): whether each quantile's true rank in its window is within `error` of the one asked."""
+    counted = _windowed(events.where(F.col(latency).isNotNull()), 300, [latency], {"n": F.lit(1).cast("bigint")})
+    values = counted.select(*_bounds(), F.col(latency).alias("_v"), F.col("n").alias("_n"))
+    both = quantiles.join(values, ["debut", "fin"])
+    below = lambda name, op: F.sum(F.when(op(F.col("_v"), F.col(name)), F.col("_n")).otherwise(0))
+    ranks = []
+    for name in LATENCY_PROBS:
+        ranks += [below(name, lambda a, b: a < b).alias(f"lt_{name}"), below(name, lambda a, b: a <= b).alias(f"le_{name}")]
+    per = both.groupBy("debut", "fin", "n").agg(F.sum("_n").alias("_all"), *ranks)
+    good = F.col("_all") == F.col("n")
+    for name, p in LATENCY_PROBS.items():
+        slack = F.lit(error) * F.col("n") + 1
+        good = good & (F.col(f"lt_{name}") <= p * F.col("n") + slack) & (F.col(f"le_{name}") >= p * F.col("n") - slack)
+    return per.select("debut", "fin", "n", good.alias("dans_erreur"))
 
 
 def latency_quantiles_exact(
-    events: DataFrame, latency: str = "latence", n_rows: int | None = None
+    events: DataFrame, latency: str = "latence"
 ) -> DataFrame:
     """The same, exact, in batch; a window of any size stays distributed."""
     placed = _windowed(events, 300, [latency], {"n": F.lit(1).cast("bigint")})
-    bound = None if n_rows is None else n_rows * 10
-    q = quantiles(placed, latency, list(LATENCY_PROBS.values()), ["window"], bound, "n")
+    q = quantiles(placed, latency, list(LATENCY_PROBS.values()), ["window"], "n")
     counts = placed.groupBy("window").agg(F.sum("n").alias("n"))
     return counts.join(q, "window").select(*_bounds(), "n", *_latency_columns())
 
@@ -180,6 +216,96 @@ def silences(events: DataFrame, seconds: int = 60) -> DataFrame:
     return _gaps(per, seconds)
 
 
+def _by_minute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and last event of each service and minute in a batch."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table.append_column("minute", pc.floor_temporal(table.column("ts"), unit="minute"))
+        per = table.group_by(["service", "minute"]).aggregate([("ts", "min"), ("ts", "max")])
+        yield from per.select(["service", "ts_min", "ts_max"]).rename_columns(["service", "lo", "hi"]).to_batches()
+
+
+MINUTE = 60_000_000  # microseconds
+
+
+class _Silence:
+    """What a service's stream has shown: the last event of closed minutes, and the open minutes in order."""
+
+    def __init__(self, seconds: int, last: int | None, alerted: bool, minutes: dict[int, tuple[int, int]]) -> None:
+        self.limit, self.last, self.alerted, self.minutes = seconds * 1_000_000, last, alerted, minutes
+        self.found: list[tuple[int, int | None]] = []
+
+    def add(self, lo: int, hi: int) -> None:
+        minute = lo - lo % MINUTE
+        low, high = self.minutes.get(minute, (lo, hi))
+        self.minutes[minute] = min(low, lo), max(high, hi)
+
+    def advance(self, watermark: int) -> None:
+        """Close the minutes that end by the watermark; every event before it is known."""
+        for minute in sorted(self.minutes):
+            lo, hi = self.minutes[minute]
+            self._alert(min(watermark, lo))
+            if minute + MINUTE > watermark:
+                return
+            if self.last is not None and lo - self.last > self.limit:
+                self.found.append((self.last, lo))
+            self.last, self.alerted = hi if self.last is None else max(self.last, hi), False
+            del self.minutes[minute]
+        self._alert(watermark)
+
+    def _alert(self, known: int) -> None:
+        """No event until `known`: an open silence if that is too long."""
+        if self.last is not None and not self.alerted and known - self.last > self.limit:
+            self.found.append((self.last, None))
+            self.alerted = True
+
+    def due(self) -> int | None:
+        """When to look again without new events."""
+        ends = [m + MINUTE for m in self.minutes]
+        if self.last is not None and not self.alerted:
+            ends.append(self.last + self.limit + 1_000)
+        return min(ends, default=None)
+
+
+SILENCE_STATE = "last long, alerted boolean, minutes array<long>, lows array<long>, highs array<long>"
+
+
+def silences_stream(events: DataFrame, seconds: int = 60, service: Column | None = None) -> DataFrame:
+    """(service, depuis, jusqu_a, duree_s) of a stream of events, per service (one without a column).
+
+    A stretch longer than `seconds` without an event comes twice: as an alert without an end as soon as the
+    watermark shows it, by an event-time timer if nothing arrives; and with its end once that minute is
+    closed. Late rows count until the watermark passes them. Tasks reduce their events to the first and last of each
+    minute before the shuffle, and a service's state holds the open minutes only.
+    """
+    if seconds < 60:
+        raise ValueError("seconds must be at least 60: a shorter gap can lie inside a minute")
+    named = events.select(F.col("ts").cast("timestamp").alias("ts"), (F.lit("service") if service is None else service).alias("service"))
+    reduced = named.where(F.col("ts").isNotNull()).mapInArrow(_by_minute, "service string, lo timestamp, hi timestamp")
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        last, alerted, minutes, lows, highs = state.get if state.exists else (None, False, [], [], [])
+        known = _Silence(seconds, last, alerted, dict(zip(minutes, zip(lows, highs))))
+        if not state.hasTimedOut:
+            for rows in frames:
+                for lo, hi in zip(rows["lo"], rows["hi"], strict=True):
+                    known.add(lo.value // 1_000, hi.value // 1_000)
+        watermark = state.getCurrentWatermarkMs()
+        known.advance(watermark * 1_000)
+        at = sorted(known.minutes)
+        state.update((known.last, known.alerted, at, [known.minutes[m][0] for m in at], [known.minutes[m][1] for m in at]))
+        due = known.due()
+        if due is not None:
+            state.setTimeoutTimestamp(max(-(-due // 1_000), watermark + 1))
+        stamp = lambda t: pd.NaT if t is None else pd.Timestamp(t, unit="us")
+        rows = [(key[0], stamp(a), stamp(b), None if b is None else (b - a) / 1e6) for a, b in known.found]
+        yield pd.DataFrame(rows, columns=["service", "depuis", "jusqu_a", "duree_s"]).astype({"depuis": "datetime64[us]", "jusqu_a": "datetime64[us]", "duree_s": "float64"})
+
+    return reduced.withWatermark("hi", WATERMARK).groupBy("service").applyInPandasWithState(
+        follow, "service string, depuis timestamp, jusqu_a timestamp, duree_s double", SILENCE_STATE, "append", "EventTimeTimeout"
+    )
+
+
 def _gaps(per: DataFrame, seconds: int) -> DataFrame:
     """Gaps between minutes; days are compared apart and joined at their edges."""
     day = F.to_date("m")
@@ -206,6 +332,25 @@ def read_events(spark: SparkSession, folder: str, schema: str, pattern: str = "e
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def publish_batch(batch: DataFrame, target: str, number: int) -> None:
+    """Write one micro-batch under its number. A batch that is delivered again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{target}/lot={number}")
+
+
+def published(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The rows of all published batches, each once."""
+    return spark.read.schema(schema).parquet(f"{target}/lot=*")
+
+
+def publish_stream(stream: DataFrame, folder: str) -> DataFrame:
+    """Publish what is available through the idempotent sink; exactly once, also after a restart between the write
+    of a batch and its commit."""
+    target = f"{folder}/table"
+    writer = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.foreachBatch(lambda batch, number: publish_batch(batch, target, number)).start().awaitTermination()
+    return published(stream.sparkSession, target, stream.schema)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Process what is available and return the result table written under `folder`.
 

@@ -58,3 +58,61 @@ def test_silences_cross_midnight(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz")
     got = monitoring.silences(df, 60).collect()
     assert [(r.depuis, r.duree_s) for r in got] == [(t, 1800.0)]
+
+
+START = datetime.datetime(2024, 1, 1, 12, 0)
+
+
+def at(*seconds):
+    return [(START + datetime.timedelta(seconds=x),) for x in seconds]
+
+
+def test_silences_of_a_stream_with_late_rows(spark):
+    """Several batches, rows out of order and late: closed silences equal the batch ones, alerts come by the timer."""
+    folder, target = files.scratch(spark, "silent"), files.scratch(spark, "silent-out")
+    batches = [
+        at(0, 30, 400),  # a silence from 30 to 400 as it seems
+        at(200, 900),  # a late row that counts: now 30-200, 200-400, 400-900
+        at(950, 2_000),  # 950-2000 open
+        at(100),  # too late: its minute is closed
+        at(2_010, 5_000),
+        at(5_010, 9_000),
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(folder)
+        stream = monitoring.silences_stream(spark.readStream.schema("ts timestamp_ntz").parquet(folder), 120)
+        out = monitoring.run_to_table(stream, target, "append")
+    rows = out.collect()
+    off = lambda t: (t.replace(tzinfo=None) - START).total_seconds()
+    ended = sorted((off(r.depuis), off(r.jusqu_a)) for r in rows if r.jusqu_a is not None)
+    seen = spark.createDataFrame([r for b in batches for r in b if b != at(100)], "ts timestamp_ntz")
+    batch = sorted((off(r.depuis), off(r.jusqu_a)) for r in monitoring.silences(seen, 120).collect())
+    closed = [g for g in batch if g[1] < 9_000 - 600 - 60]
+    assert ended == closed and (200.0, 400.0) in ended and (950.0, 2_000.0) in ended and (2_010.0, 5_000.0) in ended
+    alerts = sorted(off(r.depuis) for r in rows if r.jusqu_a is None)
+    assert 5_010.0 in alerts and set(alerts) <= {g[0] for g in batch}
+
+
+def test_sketches_of_ticks_merge_within_the_stated_error(spark):
+    rows = spark.range(60_000).selectExpr(
+        "CAST(timestamp_seconds(1704110400 + id % 700) AS TIMESTAMP_NTZ) AS ts", "IF(id % 97 = 0, NULL, pow(CAST(id * 7919 % 60000 AS DOUBLE), 1.5)) AS latence"
+    )
+    checked = monitoring.within_rank_error(monitoring.latency_quantiles(rows), rows).collect()
+    assert len(checked) > 30 and all(r.dans_erreur for r in checked)
+    wrong = monitoring.latency_quantiles(rows).withColumn("p95", F.col("p50"))
+    assert not any(r.dans_erreur for r in monitoring.within_rank_error(wrong, rows).collect())
+    ticks = monitoring.latency_sketches(rows)
+    assert ticks.count() == 24  # one state a tick, not ten a row
+
+
+def test_a_replayed_batch_changes_nothing(spark):
+    folder = files.scratch(spark, "publish")
+    source = f"{folder}/in"
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source).withColumn("p", F.col("id") / 100)
+        out = monitoring.publish_stream(stream, folder)
+    assert sorted(r.id for r in out.collect()) == list(range(30))
+    again = spark.range(20, 30).withColumn("p", F.col("id") / 100)  # as after a crash between write and commit
+    monitoring.publish_batch(again, f"{folder}/table", 2)
+    assert sorted(tuple(r) for r in monitoring.published(spark, f"{folder}/table", out.schema).collect()) == [(i, i / 100) for i in range(30)]
