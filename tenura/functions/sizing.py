@@ -1,9 +1,4 @@
-"""Size checks: which plan shape is safe for how many rows.
-
-A window without a partition key, an exact percentile and a broadcast are the right plan
-while their input is small and the wrong one beyond. Operators take a row bound (`n_rows`),
-count when it is not given, and switch to a range-partitioned plan above the limit.
-"""
+"""Size checks of broadcast sides, and the shared folder of written tables."""
 
 from __future__ import annotations
 
@@ -12,17 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 100_000
 
 
-def fits_one_task(df: DataFrame, n_rows: int | None) -> bool:
-    """True when `df` has at most ROWS_PER_TASK rows; counts only if no bound is known."""
-    if n_rows is None:
-        n_rows = df.limit(ROWS_PER_TASK + 1).count()
-    return n_rows <= ROWS_PER_TASK
-
-
 def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast hint for a side whose row bound is known to be small; else no hint."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df

@@ -25,20 +25,17 @@ def _value_table(
     reference: DataFrame,
     current: DataFrame,
     columns: Sequence[str],
-    n_rows: int | None,
     previous: str | None = None,
 ) -> DataFrame:
     """Distinct values with both cumulative counts; the common frame of KS and Wasserstein."""
     counts = _sides(reference, current, columns).groupBy("variable", "valeur").agg(
         F.count_if(F.col("cote") == 0).alias("r"), F.count_if(F.col("cote") == 1).alias("c")
     )
-    bound = None if n_rows is None else n_rows * len(columns)
     ranked = running_totals(
         counts,
         ["valeur"],
         {"r_upto": F.col("r"), "c_upto": F.col("c")},
         ["variable"],
-        n_rows=bound,
         previous=previous,
     )
     totals = counts.groupBy("variable").agg(
@@ -52,7 +49,6 @@ def psi_bins(
     current: DataFrame,
     columns: Sequence[str],
     n_bins: int = 10,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Per variable and bin: bounds, both shares and the bin's share of the index.
 
@@ -61,7 +57,7 @@ def psi_bins(
     in the denominator and in no bin.
     """
     probs = [i / n_bins for i in range(n_bins + 1)]
-    q = column_quantiles(reference, columns, probs, n_rows=n_rows)
+    q = column_quantiles(reference, columns, probs)
     edges = q.select(
         "variable",
         F.transform(
@@ -124,14 +120,13 @@ def ks_two_sample(
     reference: DataFrame,
     current: DataFrame,
     columns: Sequence[str],
-    n_rows: int | None = None,
     with_p: bool = True,
 ) -> DataFrame:
     """(variable, n_reference, n_courant, statistique[, p_value, derive_detectee]).
 
     The p-value is asymptotic.
     """
-    table = _value_table(reference, current, columns, n_rows)
+    table = _value_table(reference, current, columns)
     gap = F.abs(F.col("r_upto") / F.col("n_r") - F.col("c_upto") / F.col("n_c"))
     per = table.where("n_r > 0 AND n_c > 0").groupBy("variable").agg(
         F.max("n_r").alias("n_reference"),
@@ -148,11 +143,11 @@ def ks_two_sample(
 
 
 def drift_audit(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str], n_rows: int | None = None
+    reference: DataFrame, current: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """PSI and KS per watched column; alert when either one drifts."""
-    a = psi(psi_bins(reference, current, columns, n_rows=n_rows))
-    b = ks_two_sample(reference, current, columns, n_rows)
+    a = psi(psi_bins(reference, current, columns))
+    b = ks_two_sample(reference, current, columns)
     alert = (F.col("interpretation") == "derive_significative") | F.col("derive_detectee")
     return a.join(b, "variable").withColumn("alerte", alert)
 
@@ -163,13 +158,12 @@ def drift_report(
     columns: Sequence[str],
     limit: float = 0.1,
     few_values: int = 5,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Every column: distance between both sides, drift flag, gaps and means.
 
     Wasserstein distance over the reference spread; Jensen-Shannon for few distinct values.
     """
-    table = _value_table(reference, current, columns, n_rows, previous="avant")
+    table = _value_table(reference, current, columns, previous="avant")
     f, g = F.col("r_upto") / F.col("n_r"), F.col("c_upto") / F.col("n_c")
     # area between the curves on [avant, valeur): both are flat there, at their earlier level
     f0 = (F.col("r_upto") - F.col("r")) / F.col("n_r")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions import sizing
 from tenura.operators import metrics
-from tenura.operators.ordering import quantile_row, row_ranks, running_totals, top_k
+from tenura.operators.ordering import quantile_row, running_totals, top_k
 from tenura.params import ECONOMICS, THRESHOLDS, Economics
 
 RANKINGS = ("valeur_attendue", "proba", "mrr")
@@ -123,7 +123,7 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.orderBy(F.col("gain_net_eur").desc(), "i").limit(1)
 
 
-def lift_curve(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def lift_curve(df: DataFrame) -> DataFrame:
     """One row per rank by decreasing score: contacted %, captured %, lift."""
     known = df.select("id", "p", "y")
     ranked = running_totals(
@@ -132,7 +132,6 @@ def lift_curve(df: DataFrame, n_rows: int | None = None) -> DataFrame:
         {"n_comptes": F.lit(1).cast("bigint"), "_hits": F.col("y").cast("bigint")},
         (),
         ["p"],
-        n_rows,
     )
     totals = known.agg(F.count("*").alias("_n"), F.sum("y").alias("_pos"))
     contacted = 100.0 * F.col("n_comptes") / F.col("_n")
@@ -378,7 +377,6 @@ def gain_concentration(
     n_top: int = 5,
     q: float = 0.99,
     eco: Economics = ECONOMICS,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """One row: share of the gain from the best few, gain without the largest accounts."""
     k = eco.capacity if k is None else k
@@ -392,7 +390,7 @@ def gain_concentration(
             F.try_divide(F.sum(F.when(F.col("r") <= n_top, F.col("c"))), F.sum("c")), F.lit(0.0)
         ).alias("part_top")
     )
-    edge = quantile_row(df, "mrr", [q], n_rows).select(F.col("q")[0].alias("seuil_mrr"))
+    edge = quantile_row(df, "mrr", [q]).select(F.col("q")[0].alias("seuil_mrr"))
     marked = df.crossJoin(edge)
     large = F.coalesce(F.col("mrr") > F.col("seuil_mrr"), F.lit(False))
     excluded = marked.agg(F.count_if(large).alias("n_exclus"))
@@ -439,11 +437,10 @@ def two_level_table(
     k: int | None = None,
     recall: float = THRESHOLDS.vigilance_recall,
     eco: Economics = ECONOMICS,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Level 1 flagged by the recall threshold, level 2 the calls inside level 1."""
     k = eco.capacity if k is None else k
-    limit = F.broadcast(metrics.threshold_for_recall(df, recall, n_rows=n_rows).select("seuil"))
+    limit = F.broadcast(metrics.threshold_for_recall(df, recall).select("seuil"))
     watched = df.crossJoin(limit)
     flagged = _valued(watched.where(F.col("p") >= F.col("seuil")), eco)
     calls = select_under_capacity(flagged, k)

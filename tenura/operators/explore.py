@@ -40,10 +40,10 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
 
 
 def tukey_fences(
-    df: DataFrame, columns: Sequence[str], n_rows: int | None = None
+    df: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """(variable, q1, mediane, q3, bas, haut): one small row per column."""
-    q = column_quantiles(df, columns, [0.25, 0.5, 0.75], n_rows=n_rows)
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     return q.select(
         "variable",
@@ -54,13 +54,13 @@ def tukey_fences(
 
 
 def numeric_summary(
-    df: DataFrame, columns: Sequence[str], target: str, n_rows: int | None = None
+    df: DataFrame, columns: Sequence[str], target: str
 ) -> DataFrame:
     """Moments, quartiles, Tukey outliers and the target rate inside and outside them.
 
     Two passes: quartiles first, then one grouped pass against the broadcast fences.
     """
-    fences = F.broadcast(tukey_fences(df, columns, n_rows))
+    fences = F.broadcast(tukey_fences(df, columns))
     long = (
         df.select(F.col(target).cast("double").alias("_y"),
                   *[F.col(c).cast("double").alias(c) for c in columns])
@@ -226,13 +226,12 @@ def level_profile(
     target: str,
     variables: Sequence[str],
     condition: Column,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Rate, interval, medians of several variables and the share of a condition per level."""
     rates = primitives.wilson_rates(df, level, target)
     known = df.where(F.col(level).isNotNull())
     medians = (
-        column_quantiles(known, variables, [0.5], [level], n_rows)
+        column_quantiles(known, variables, [0.5], [level])
         .groupBy(level)
         .pivot("variable", list(variables))
         .agg(F.first(F.col("q")[0]))
@@ -277,7 +276,7 @@ def categorical_association(
 
 
 def univariate_auc(
-    df: DataFrame, columns: Sequence[str], target: str, n_rows: int | None = None
+    df: DataFrame, columns: Sequence[str], target: str
 ) -> DataFrame:
     """(variable, n, n_pos, n_neg, auc, u, z) for every numeric column, one grouped plan."""
     if not columns:
@@ -286,15 +285,14 @@ def univariate_auc(
             "variable string, n bigint, n_pos bigint, n_neg bigint, auc double, u double, z double",
         )
     long = long_format(df, columns, [target])
-    bound = None if n_rows is None else n_rows * len(columns)
-    return primitives.rank_statistics(long, "valeur", target, ["variable"], bound)
+    return primitives.rank_statistics(long, "valeur", target, ["variable"])
 
 
 def mann_whitney(
-    df: DataFrame, columns: Sequence[str], target: str, n_rows: int | None = None
+    df: DataFrame, columns: Sequence[str], target: str
 ) -> DataFrame:
     """U of the positive class and its two-sided p-value (normal, tie and continuity corrected)."""
-    stats = univariate_auc(df, columns, target, n_rows)
+    stats = univariate_auc(df, columns, target)
     return stats.withColumn("p_value", pvalues.normal_p(F.col("z")))
 
 
@@ -303,11 +301,10 @@ def discriminating_power(
     numeric: Sequence[str],
     categorical: Sequence[str],
     target: str,
-    n_rows: int | None = None,
     with_p: bool = True,
 ) -> DataFrame:
     """Symmetrised AUC of numbers and Cramér's V of categories, strongest first."""
-    aucs = univariate_auc(df, numeric, target, n_rows).where(
+    aucs = univariate_auc(df, numeric, target).where(
         (F.col("n") >= 20) & F.col("auc").isNotNull()
     )
     left = aucs.select(
@@ -415,7 +412,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float =
 
 
 def spearman_pairs(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], n_rows: int | None = None
+    df: DataFrame, pairs: Sequence[tuple[str, str]]
 ) -> DataFrame:
     """(variable_1, variable_2, n, rho) from weighted ranks of distinct value pairs."""
     both = [
@@ -430,10 +427,9 @@ def spearman_pairs(
     long = both[0]
     for part in both[1:]:
         long = long.unionByName(part)
-    bound = None if n_rows is None else n_rows * len(pairs)
     cells = long.groupBy("a", "b", "x", "y").agg(F.count("*").alias("w"))
-    rx = mid_ranks(long, "x", ["a", "b"], bound).select("a", "b", "x", F.col("rang").alias("rx"))
-    ry = mid_ranks(long, "y", ["a", "b"], bound).select("a", "b", "y", F.col("rang").alias("ry"))
+    rx = mid_ranks(long, "x", ["a", "b"]).select("a", "b", "x", F.col("rang").alias("rx"))
+    ry = mid_ranks(long, "y", ["a", "b"]).select("a", "b", "y", F.col("rang").alias("ry"))
     ranked = cells.join(rx, ["a", "b", "x"]).join(ry, ["a", "b", "y"])
     w, p, q = F.col("w").cast("double"), F.col("rx"), F.col("ry")
     sums = ranked.groupBy("a", "b").agg(
@@ -469,10 +465,10 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantile_flag(
-    df: DataFrame, column: str, q: float = 0.75, out: str | None = None, n_rows: int | None = None
+    df: DataFrame, column: str, q: float = 0.75, out: str | None = None
 ) -> DataFrame:
     """1 when the value reaches the quantile, 0 below, null when missing."""
-    edge = quantile_row(df, column, [q], n_rows).select(F.col("q")[0].alias("_edge"))
+    edge = quantile_row(df, column, [q]).select(F.col("q")[0].alias("_edge"))
     flag = (F.col(column).cast("double") >= F.col("_edge")).cast("int")
     return df.crossJoin(edge).withColumn(out or f"{column}_haut", flag).drop("_edge")
 
@@ -482,7 +478,6 @@ def hypothesis_tests(
     target: str,
     hypotheses: Sequence[tuple[str, str, str]] = HYPOTHESES,
     top: Sequence[str] = TOP_OF_DISTRIBUTION,
-    n_rows: int | None = None,
     with_p: bool = True,
 ) -> DataFrame:
     """Each hypothesis in long format: medians (or shares) by class, AUC, Holm, verdict."""
@@ -492,7 +487,7 @@ def hypothesis_tests(
     values: dict[str, str] = {}
     for hid, variable, _ in kept:
         if hid in top:
-            work = quantile_flag(work, variable, 0.75, f"_{hid}", n_rows)
+            work = quantile_flag(work, variable, 0.75, f"_{hid}")
             values[hid] = f"_{hid}"
         else:
             values[hid] = variable
@@ -501,9 +496,8 @@ def hypothesis_tests(
         *[F.col(values[h]).cast("double").alias(h) for h, _, _ in kept],
     ).unpivot(["_y"], [h for h, _, _ in kept], "id", "x")
     long = long.where("x IS NOT NULL")
-    bound = None if n_rows is None else n_rows * len(kept)
-    stats = primitives.rank_statistics(long, "x", "_y", ["id"], bound)
-    medians = quantiles(long, "x", [0.5], ["id", "_y"], bound)
+    stats = primitives.rank_statistics(long, "x", "_y", ["id"])
+    medians = quantiles(long, "x", [0.5], ["id", "_y"])
     means = long.groupBy("id", "_y").agg(F.avg("x").alias("m"))
     centre = F.when(F.col("id").isin(*top), F.col("m")).otherwise(F.col("q")[0])
     centres = (
@@ -559,11 +553,10 @@ def ratio_vs_raw_auc(
     df: DataFrame,
     target: str,
     ratios: Mapping[str, tuple[str, str]] = RATIOS,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Oriented AUC of each ratio against that of its raw column, and the ratio's gaps."""
     columns = sorted({*ratios, *[raw for raw, _ in ratios.values()]})
-    aucs = univariate_auc(df, columns, target, n_rows).select("variable", "auc", "n")
+    aucs = univariate_auc(df, columns, target).select("variable", "auc", "n")
     total = df.agg(F.count("*").alias("total"))
     meta = df.sparkSession.createDataFrame(
         [(r, raw, sign) for r, (raw, sign) in ratios.items()],
@@ -587,13 +580,13 @@ def ratio_vs_raw_auc(
 
 
 def portfolio_by_quartile(
-    df: DataFrame, revenue: str, target: str, n_rows: int | None = None
+    df: DataFrame, revenue: str, target: str
 ) -> DataFrame:
     """One row per revenue quartile and a Total row, from one rollup."""
     known = df.select(
         F.col(revenue).cast("double").alias("mrr"), F.col(target).cast("double").alias("y")
     ).where("mrr IS NOT NULL AND y IS NOT NULL")
-    edges = quantile_row(known, "mrr", [0.25, 0.5, 0.75], n_rows)
+    edges = quantile_row(known, "mrr", [0.25, 0.5, 0.75])
     placed = known.crossJoin(edges).select(
         "mrr",
         "y",
@@ -613,8 +606,7 @@ def portfolio_by_quartile(
         (F.sum(F.when(F.col("y") == 1, money)) * 12).cast("double").alias("revenu_partants"),
     )
     labelled = placed.select("mrr", F.explode(F.array("quartile", F.lit("Total"))).alias("quartile"))
-    bound = None if n_rows is None else n_rows * 2
-    medians = quantiles(labelled, "mrr", [0.5], ["quartile"], bound)
+    medians = quantiles(labelled, "mrr", [0.5], ["quartile"])
     total = F.max(F.when(F.col("quartile") == "Total", F.col("revenu_annuel"))).over(
         Window.partitionBy()
     )
@@ -633,7 +625,7 @@ def portfolio_by_quartile(
 
 
 def concentration_curve(
-    df: DataFrame, revenue: str, target: str | None = None, n_rows: int | None = None
+    df: DataFrame, revenue: str, target: str | None = None
 ) -> DataFrame:
     """One row per distinct revenue, largest first: share of rows and of revenue held so far.
 
@@ -646,7 +638,7 @@ def concentration_curve(
     counts = known.groupBy(value).agg(F.count("*").alias("n"))
     amount = (F.col("n") * F.col("revenu")).cast("decimal(28,6)")
     ranked = running_totals(
-        counts, ["revenu"], {"rang": F.col("n"), "cumul": amount}, (), ["revenu"], n_rows
+        counts, ["revenu"], {"rang": F.col("n"), "cumul": amount}, (), ["revenu"]
     )
     totals = counts.agg(F.sum("n").alias("n_total"), F.sum(amount).alias("total"))
     return ranked.crossJoin(F.broadcast(totals)).select(
@@ -660,10 +652,9 @@ def concentration_curve(
 
 def top_share(
     df: DataFrame, revenue: str, share: float = 0.2, target: str | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """One row: share of revenue held by the largest `share` of rows."""
-    curve = concentration_curve(df, revenue, target, n_rows)
+    curve = concentration_curve(df, revenue, target)
     totals = curve.agg(
         F.sum("n").alias("n_total"), F.sum(F.col("n") * F.col("revenu")).alias("total")
     )
@@ -683,11 +674,11 @@ def rate_by_quarter(df: DataFrame, date: str, target: str, min_size: int = 30) -
 
 
 def temporal_split_check(
-    df: DataFrame, date: str, target: str, tenure: str, q: float = 0.8, n_rows: int | None = None
+    df: DataFrame, date: str, target: str, tenure: str, q: float = 0.8
 ) -> DataFrame:
     """(cote, n, taux_churn, anciennete_mediane) before and after the date quantile."""
     day = df.withColumn("_day", F.unix_date(F.col(date)))
-    edge = quantile_row(day, "_day", [q], n_rows).select(F.col("q")[0].alias("_edge"))
+    edge = quantile_row(day, "_day", [q]).select(F.col("q")[0].alias("_edge"))
     side = F.when(F.col("_day") <= F.col("_edge"), "avant").when(
         F.col("_day") > F.col("_edge"), "apres"
     )
@@ -695,14 +686,14 @@ def temporal_split_check(
     rates = placed.groupBy("cote").agg(
         F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("taux_churn")
     )
-    medians = column_quantiles(placed, [tenure], [0.5], ["cote"], n_rows)
+    medians = column_quantiles(placed, [tenure], [0.5], ["cote"])
     return rates.join(medians, "cote").select(
         "cote", "n", "taux_churn", F.col("q")[0].alias("anciennete_mediane")
     )
 
 
 def revenue_vs_catalogue(
-    df: DataFrame, selected: Column, n_rows: int | None = None
+    df: DataFrame, selected: Column
 ) -> DataFrame:
     """One row: MRR / (seats x list price), range of selected rows against p1-p99 of all."""
     ratio = maths.ratio(
@@ -710,7 +701,7 @@ def revenue_vs_catalogue(
         F.col("sieges_souscrits") * F.col("prix_mensuel_par_siege_eur"),
     )
     rated = df.select(ratio.alias("ratio"), selected.alias("retenu"))
-    edges = quantile_row(rated, "ratio", [0.01, 0.99], n_rows)
+    edges = quantile_row(rated, "ratio", [0.01, 0.99])
     chosen = F.when(F.col("retenu"), F.col("ratio"))
     span = rated.agg(F.min(chosen).alias("retenus_min"), F.max(chosen).alias("retenus_max"))
     return span.crossJoin(edges).select(

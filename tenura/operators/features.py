@@ -203,15 +203,15 @@ _STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def fit_group_aggregate(
-    train: DataFrame, group: str, value: str, statistic: str = "median", n_rows: int | None = None
+    train: DataFrame, group: str, value: str, statistic: str = "median"
 ) -> tuple[DataFrame, DataFrame]:
     """((groupe, reference) per group, one-row global reference)."""
     pairs = train.select(F.col(group).alias("groupe"), F.col(value).cast("double").alias("v"))
     known = pairs.where("groupe IS NOT NULL")
     if statistic == "median":
-        per = column_quantiles(known, ["v"], [0.5], ["groupe"], n_rows)
+        per = column_quantiles(known, ["v"], [0.5], ["groupe"])
         per = per.select("groupe", F.col("q")[0].alias("reference"))
-        overall = quantile_row(pairs, "v", [0.5], n_rows).select(F.col("q")[0].alias("globale"))
+        overall = quantile_row(pairs, "v", [0.5]).select(F.col("q")[0].alias("globale"))
         return per, overall
     if statistic not in _STATISTICS:
         raise ValueError(f"statistic {statistic!r} not in {['median', *_STATISTICS]}")
@@ -239,12 +239,11 @@ def gap_to_group(
     value: str,
     statistic: str = "median",
     out: str | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """value - aggregate of its normalised group learned on `train`."""
     key = "_groupe"
     label = normalise(F.col(group))
-    fitted = fit_group_aggregate(train.withColumn(key, label), key, value, statistic, n_rows)
+    fitted = fit_group_aggregate(train.withColumn(key, label), key, value, statistic)
     applied = apply_group_aggregate(df.withColumn(key, label), fitted, key, "_reference")
     gap = F.col(value).cast("double") - F.col("_reference")
     return applied.withColumn(out or f"ecart_{value}_{group}", gap).drop(key, "_reference")
@@ -295,9 +294,9 @@ def signed_log_skewed(train: DataFrame, df: DataFrame, columns: Sequence[str]) -
 
 
 def impute_by_median(
-    df: DataFrame, column: str, train: DataFrame | None = None, n_rows: int | None = None
+    df: DataFrame, column: str, train: DataFrame | None = None
 ) -> DataFrame:
-    median = quantile_row(train if train is not None else df, column, [0.5], n_rows)
+    median = quantile_row(train if train is not None else df, column, [0.5])
     joined = df.crossJoin(median.select(F.col("q")[0].alias("_median")))
     filled = F.coalesce(F.col(column).cast("double"), F.col("_median"))
     return joined.withColumn(column, filled).drop("_median")

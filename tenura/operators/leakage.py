@@ -24,14 +24,13 @@ def leak_scan(
     categorical: Sequence[str],
     threshold: float = THRESHOLDS.leak_auc,
     min_rows: int = 50,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Univariate AUC of every column; text is encoded by the mean target of its level.
 
     `sniff_numeric` tells which text columns are numbers.
     """
     known = df.where(F.col(target).isNotNull())
-    numbers = explore.univariate_auc(known, numeric, target, n_rows).select(
+    numbers = explore.univariate_auc(known, numeric, target).select(
         "variable", F.lit("numerique").alias("type"), "n", "auc"
     )
     # a level's rows share one encoded value, so levels are the distinct values
@@ -41,8 +40,7 @@ def leak_scan(
         .groupBy("variable", "taux")
         .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     )
-    bound = None if n_rows is None else n_rows * max(1, len(categorical))
-    labels = primitives.rank_statistics_of_counts(encoded, "taux", ["variable"], bound).select(
+    labels = primitives.rank_statistics_of_counts(encoded, "taux", ["variable"]).select(
         "variable", F.lit("categorielle").alias("type"), "n", "auc"
     )
     total = F.broadcast(known.agg(F.count("*").alias("total")))
@@ -211,12 +209,11 @@ def screen_decoys(
     ref_numeric: Sequence[str],
     ref_categorical: Sequence[str],
     threshold: float = THRESHOLDS.redundancy,
-    n_rows: int | None = None,
     with_p: bool = True,
 ) -> DataFrame:
     """Association, redundancy and a provisional verdict per suspected column."""
     power = explore.discriminating_power(
-        df, numeric, categorical, target, n_rows, with_p
+        df, numeric, categorical, target, with_p
     ).withColumnRenamed("variable", "colonne")
     twins = max_redundancy(df, numeric, categorical, ref_numeric, ref_categorical)
     joined = power.join(twins, "colonne", "left").withColumns(
@@ -241,7 +238,6 @@ def lifetime_value_nature(
     tenure: str = "anciennete_mois",
     revenue: str = "revenu_mensuel_recurrent_eur",
     target: str = "churn",
-    n_rows: int | None = None,
 ) -> DataFrame:
     """One row: is the lifetime value realised or prospective?
 
@@ -271,9 +267,9 @@ def lifetime_value_nature(
     e_mrr = F.try_divide(F.col("stt") * F.col("smv") - F.col("smt") * F.col("stv"), det)
     e_age = F.try_divide(F.col("smm") * F.col("stv") - F.col("smt") * F.col("smv"), det)
     ratios = rows.select(ratio.alias("ratio"), F.try_divide("v", "m").alias("mois"), "y")
-    quantiles = quantile_row(ratios, "mois", [0.05, 0.5, 0.95], n_rows)
-    middle = quantile_row(ratios, "ratio", [0.5], n_rows).select(F.col("q")[0].alias("rm"))
-    rho = explore.spearman_pairs(ratios, [("mois", "y")], n_rows).select(
+    quantiles = quantile_row(ratios, "mois", [0.05, 0.5, 0.95])
+    middle = quantile_row(ratios, "ratio", [0.5]).select(F.col("q")[0].alias("rm"))
+    rho = explore.spearman_pairs(ratios, [("mois", "y")]).select(
         F.col("rho").alias("rho_mois_churn")
     )
     share, age = F.col("part_clv_sup_cumul"), F.col("elasticite_anciennete")
@@ -317,11 +313,10 @@ def lifetime_value_by_class(
     value: str = "valeur_vie_client_eur",
     revenue: str = "revenu_mensuel_recurrent_eur",
     target: str = "churn",
-    n_rows: int | None = None,
 ) -> DataFrame:
     rows = df.where(F.col(value).isNotNull() & F.col(revenue).isNotNull())
     medians = (
-        column_quantiles(rows, [value, revenue], [0.5], [target], n_rows)
+        column_quantiles(rows, [value, revenue], [0.5], [target])
         .groupBy(target)
         .agg(
             *[

@@ -22,7 +22,6 @@ def score_table(
     score: str = "p",
     target: str = "y",
     keys: Sequence[str] = (),
-    n_rows: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """(keys, seuil, n, pos, n_upto, pos_upto) by decreasing score, ties in one row."""
@@ -32,7 +31,7 @@ def score_table(
         F.sum(w).cast("bigint").alias("n"), F.sum(w * F.col(target)).cast("bigint").alias("pos")
     )
     return running_totals(
-        counts, ["seuil"], {"n_upto": F.col("n"), "pos_upto": F.col("pos")}, keys, ["seuil"], n_rows
+        counts, ["seuil"], {"n_upto": F.col("n"), "pos_upto": F.col("pos")}, keys, ["seuil"]
     )
 
 
@@ -117,14 +116,13 @@ def calibration_curve(
     score: str = "p",
     target: str = "y",
     n_bins: int = 10,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Quantile bins: mean score and observed rate; bins that hold no row are absent.
 
     A score equal to an edge belongs to the bin below it; rows without a score belong to none.
     """
     probs = [i / n_bins for i in range(1, n_bins)]
-    edges = quantile_row(df, score, probs, n_rows)
+    edges = quantile_row(df, score, probs)
     placed = df.where(F.col(score).isNotNull()).crossJoin(edges).withColumn(
         "bin", F.size(F.filter("q", lambda e: e < F.col(score))).cast("bigint")
     )
@@ -141,7 +139,6 @@ def metrics_at(
     score: str = "p",
     target: str = "y",
     keys: Sequence[str] = (),
-    n_rows: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """One row per key: areas, precision, recall, F1, specificity, Brier, flagged share.
@@ -150,7 +147,7 @@ def metrics_at(
     (score, n, pos) too.
     """
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    table = score_table(df, score, target, keys, n_rows, weight)
+    table = score_table(df, score, target, keys, weight)
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     s = F.col("seuil")
     neg = n - pos
@@ -189,7 +186,6 @@ def bootstrap_metrics(
     draws: int = 1000,
     level: float = 0.95,
     seed: int = 42,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """(metrique, valeur, ic_bas, ic_haut) with Poisson(1) weights per row and draw.
 
@@ -212,9 +208,8 @@ def bootstrap_metrics(
         .withColumn("_w", weight)
         .where("_w > 0")
     )
-    bound = None if n_rows is None else n_rows * draws
     names = ["pr_auc", "roc_auc", "brier", "rappel", "precision", "part_signalee"]
-    per = metrics_at(drawn, threshold, score, target, ["tirage"], bound, "_w").where(
+    per = metrics_at(drawn, threshold, score, target, ["tirage"], "_w").where(
         "roc_auc IS NOT NULL"
     )
     tail = (1 - level) / 2
@@ -223,7 +218,7 @@ def bootstrap_metrics(
         .groupBy("metrique")
         .agg(F.percentile("v", [tail, 1 - tail]).alias("q"))
     )
-    point = metrics_at(df, threshold, score, target, (), n_rows).unpivot([], names, "metrique", "valeur")
+    point = metrics_at(df, threshold, score, target, ()).unpivot([], names, "metrique", "valeur")
     return point.join(spread, "metrique").select(
         "metrique", "valeur", F.col("q")[0].alias("ic_bas"), F.col("q")[1].alias("ic_haut")
     )
@@ -236,7 +231,6 @@ def fairness_by_group(
     score: str = "p",
     target: str = "y",
     min_positives: int = THRESHOLDS.fairness_min_positives,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Per attribute and normalised level: rates, calibration gap, AUC, TPR, FPR."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
@@ -256,8 +250,7 @@ def fairness_by_group(
         F.avg(F.when(y == 1, d)).alias("tpr"),
         F.avg(F.when(y == 0, d)).alias("fpr"),
     )
-    bound = None if n_rows is None else n_rows * len(attributes)
-    aucs = primitives.rank_statistics(long, "_p", "_y", keys, bound).select(
+    aucs = primitives.rank_statistics(long, "_p", "_y", keys).select(
         *keys, F.col("auc").alias("roc_auc")
     )
     return per.join(aucs, keys, "left").withColumns(
@@ -269,11 +262,11 @@ def fairness_by_group(
 
 
 def fairness_cut(
-    df: DataFrame, score: str = "p", target: str = "y", n_rows: int | None = None
+    df: DataFrame, score: str = "p", target: str = "y"
 ) -> float:
     """Threshold that flags as many rows as there are positives: quantile 1 - prevalence."""
     rate = df.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    return float(quantile_row(df, score, [1 - rate], n_rows).first()["q"][0])
+    return float(quantile_row(df, score, [1 - rate]).first()["q"][0])
 
 
 def fairness_review(
@@ -380,10 +373,9 @@ def threshold_for_recall(
     score: str = "p",
     target: str = "y",
     keys: Sequence[str] = (),
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Highest threshold whose recall reaches the aim, with what it flags, ties included."""
-    full = _with_totals(score_table(df, score, target, keys, n_rows), keys)
+    full = _with_totals(score_table(df, score, target, keys), keys)
     reached = F.col("pos_upto") / F.col("positifs") >= recall - 1e-12
     hit = F.struct("seuil", "n_upto", "pos_upto", "total", "positifs")
     best = full.where(F.col("positifs") > 0).groupBy(*keys).agg(
@@ -407,13 +399,11 @@ def threshold_stability(
     recall: float = THRESHOLDS.vigilance_recall,
     score: str = "p",
     target: str = "y",
-    n_rows: int | None = None,
 ) -> DataFrame:
     """(pli, seuil, recall_tenu): threshold set without a fold, recall measured on it."""
     others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col(fold))
     learning = df.select(score, target, F.explode(others).alias("pli"))
-    bound = None if n_rows is None else n_rows * (n_folds - 1)
-    limits = threshold_for_recall(learning, recall, score, target, ["pli"], bound).select(
+    limits = threshold_for_recall(learning, recall, score, target, ["pli"]).select(
         "pli", "seuil"
     )
     held = df.join(F.broadcast(limits), F.col(fold) == F.col("pli"))
@@ -427,10 +417,9 @@ def cohort_alert(
     reference_share: float,
     score: str = "p",
     target: str = "y",
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Per cohort: PR-AUC against its floors, share of red alerts against the reference."""
-    per = areas(score_table(df, score, target, [cohort], n_rows), [cohort])
+    per = areas(score_table(df, score, target, [cohort]), [cohort])
     red = df.groupBy(cohort).agg(
         F.avg((F.col(score) >= THRESHOLDS.red_alert).cast("int")).alias("part_alerte_rouge")
     )
@@ -497,9 +486,9 @@ def select_value_model(results: DataFrame, baseline: str, model: str = "modele")
 
 
 def error_of_large_accounts(
-    df: DataFrame, truth: str = "y", pred: str = "yhat", q: float = 0.9, n_rows: int | None = None
+    df: DataFrame, truth: str = "y", pred: str = "yhat", q: float = 0.9
 ) -> DataFrame:
-    edge = quantile_row(df, truth, [q], n_rows).select(F.col("q")[0].alias("seuil"))
+    edge = quantile_row(df, truth, [q]).select(F.col("q")[0].alias("seuil"))
     gap = F.abs(F.col(truth) - F.col(pred))
     return df.crossJoin(edge).groupBy("seuil").agg(
         F.avg(gap).alias("mae"),

@@ -1,8 +1,9 @@
 """Ordered computations that never need all rows in one task.
 
-Ranks, running totals and exact quantiles are built from one step: compress to distinct
-values, range-partition, sum inside each slice, add the totals of earlier slices. Below
-`ROWS_PER_TASK` rows a plain window does the same with one shuffle.
+Ranks, running totals and exact quantiles are built from one step: cut the rows into slices of the
+order, sum inside each slice, add the totals of earlier slices. The cuts come from one sample (the rows
+with the smallest hashes, so it is the same sample under any partitioning, and no count is needed) and
+travel as an array column. There is one plan for every size.
 """
 
 from __future__ import annotations
@@ -14,18 +15,64 @@ from pyspark.sql import functions as F
 
 from tenura.functions import sizing
 
+SAMPLED = 32  # rows of the sample for each slice
+
 
 def _sort(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if c in descending else F.col(c).asc() for c in order]
 
 
+def _reversed(column: str, kind: str) -> list[Column]:
+    """Ascending columns with the order of a descending one: nulls last, NaN first, larger first."""
+    c = F.col(column)
+    if kind in ("double", "float"):
+        return [c.isNull(), ~F.isnan(c), -c]
+    if kind == "date":
+        return [c.isNull(), -F.unix_date(c)]
+    if kind.startswith("timestamp"):
+        return [c.isNull(), -F.unix_micros(c.cast("timestamp"))]
+    if kind == "boolean":
+        return [c.isNull(), ~c]
+    if kind.startswith("decimal"):
+        return [c.isNull(), -c]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return [c.isNull(), -c.cast("decimal(20,0)")]
+    raise TypeError(f"{column}: descending order of {kind} is not supported")
+
+
+def _place(df: DataFrame, order: Sequence[str], descending: Sequence[str]) -> Column:
+    """A struct that sorts as the rows do."""
+    kinds, fields = dict(df.dtypes), []
+    for c in order:
+        fields += _reversed(c, kinds[c]) if c in descending else [F.col(c)]
+    return F.struct(*[f.alias(f"_{i}") for i, f in enumerate(fields)])
+
+
+def _sliced(df: DataFrame, order: Sequence[str], descending: Sequence[str]) -> DataFrame:
+    """Rows with `_slice`, ascending in the order, in as many slices as there are shuffle partitions."""
+    slices = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = _place(df, order, descending)
+    # The hash is of whole rows: where `df` ends in an exchange, the sample reads that same exchange.
+    few = df.select(place.alias("_p"), F.xxhash64(*df.columns).alias("_h")).orderBy("_h").limit(SAMPLED * slices)
+    points = few.agg(F.sort_array(F.collect_list("_p")).alias("_a"))
+    at = [F.get("_a", F.floor(F.size("_a") * F.lit(i) / slices).cast("int")) for i in range(1, slices)]
+    cuts = points.select(F.filter(F.array(*at), lambda p: p.isNotNull()).alias("_cuts")) if at else points.select(F.slice("_a", 1, 0).alias("_cuts"))
+    steps = [1 << k for k in reversed(range(max(1, slices.bit_length())))]
+
+    def further(position: Column, step: Column) -> Column:
+        reached = F.coalesce(F.get("_cuts", position + step - 1) <= place, F.lit(False))
+        return F.when(reached, position + step).otherwise(position)
+
+    number = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)  # binary search
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_slice", number).drop("_cuts").repartition("_slice")
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[str],
     totals: Mapping[str, Column],
     keys: Sequence[str] = (),
     descending: Sequence[str] = (),
-    n_rows: int | None = None,
     previous: str | None = None,
 ) -> DataFrame:
     """Add inclusive running totals over `order` within `keys`.
@@ -33,30 +80,13 @@ def running_totals(
     `order` must be unique within `keys` for a reproducible result. `previous` names a column
     for the preceding value of the (single, ascending) order column.
     """
-    ordering = _sort(order, descending)
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if sizing.fits_one_task(df, n_rows):
-        frame = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(*upto)
-        added = {name: F.sum(c).over(frame) for name, c in totals.items()}
-        if previous is not None:
-            added[previous] = F.lag(order[0]).over(Window.partitionBy(*keys).orderBy(*ordering))
-        return df.withColumns(added)
-
-    spark = df.sparkSession
-    sizing.ensure_checkpoint_dir(spark)
-    wanted = 1 + (n_rows or 0) // sizing.ROWS_PER_TASK
-    slices = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # The slice number is frozen by the checkpoint: both branches below must see the same cuts.
-    sliced = (
-        df.repartitionByRange(slices, *[F.col(k) for k in keys], *ordering)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
-    frame = Window.partitionBy(*keys, "_slice").orderBy(*ordering).rowsBetween(*upto)
-    inside = sliced.withColumns({name: F.sum(c).over(frame) for name, c in totals.items()})
+    sliced = _sliced(df, [*keys, *order], descending)
+    # Both branches below read the one exchange by slice; a recomputed slice number is the same.
+    within = Window.partitionBy(*keys, "_slice").orderBy(*_sort(order, descending))
+    inside = sliced.withColumns({name: F.sum(c).over(within.rowsBetween(*upto)) for name, c in totals.items()})
     if previous is not None:
-        neighbour = Window.partitionBy(*keys, "_slice").orderBy(*ordering)
-        inside = inside.withColumn(previous, F.lag(order[0]).over(neighbour))
+        inside = inside.withColumn(previous, F.lag(order[0]).over(within))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(upto[0], -1)
     offsets = (
         sliced.groupBy(*keys, "_slice")
@@ -90,10 +120,9 @@ def row_ranks(
     name: str = "rang",
     keys: Sequence[str] = (),
     descending: Sequence[str] = (),
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Number the rows 1, 2, … in `order` (unique within `keys`)."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, keys, descending, n_rows)
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, keys, descending)
 
 
 def top_k(
@@ -135,7 +164,6 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    n_rows: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of `value` per `keys`, as an array column `q`.
@@ -143,12 +171,8 @@ def quantiles(
     A row counts `weight` times (a whole number), once without it.
     """
     present = df.where(F.col(value).isNotNull())
-    if sizing.fits_one_task(present, n_rows):
-        times = 1 if weight is None else F.col(weight)
-        exact = F.percentile(F.col(value).cast("double"), [float(p) for p in probs], times)
-        return present.groupBy(*keys).agg(exact.alias("q"))
     counts = value_counts(present, keys, value, weight)
-    ranked = running_totals(counts, [value], {"_upto": F.col("n")}, keys, n_rows=n_rows)
+    ranked = running_totals(counts, [value], {"_upto": F.col("n")}, keys)
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
     placed = (
         ranked.join(sizes, list(keys)) if keys else ranked.crossJoin(F.broadcast(sizes))
@@ -175,33 +199,19 @@ def column_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Quantiles of several columns at once: (keys, variable, q)."""
-    if sizing.fits_one_task(df, n_rows):
-        wanted = [float(p) for p in probs]
-        wide = df.groupBy(*keys).agg(
-            *[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns]
-        )
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("q")) for c in columns]))
-        return wide.select(*keys, each.alias("_e")).select(*keys, "_e.variable", "_e.q")
-    long = long_format(df, columns, keys)
-    bound = None if n_rows is None else n_rows * len(columns)
-    return quantiles(long, "valeur", probs, [*keys, "variable"], bound)
+    return quantiles(long_format(df, columns, keys), "valeur", probs, [*keys, "variable"])
 
 
-def quantile_row(
-    df: DataFrame, value: str, probs: Sequence[float], n_rows: int | None = None
-) -> DataFrame:
+def quantile_row(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """One-row frame with array `q`, safe to broadcast."""
-    return F.broadcast(quantiles(df, value, probs, (), n_rows))
+    return F.broadcast(quantiles(df, value, probs))
 
 
-def mid_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), n_rows: int | None = None
-) -> DataFrame:
+def mid_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, value, n, rang): average rank of each distinct value."""
     counts = value_counts(df.where(F.col(value).isNotNull()), keys, value)
-    ranked = running_totals(counts, [value], {"_upto": F.col("n")}, keys, n_rows=n_rows)
+    ranked = running_totals(counts, [value], {"_upto": F.col("n")}, keys)
     rank = F.col("_upto") - (F.col("n") - 1) / 2.0
     return ranked.select(*keys, value, "n", rank.alias("rang"))

@@ -117,7 +117,6 @@ def rank_statistics(
     value: str,
     target: str,
     keys: Sequence[str] = (),
-    n_rows: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """(keys, n, n_pos, n_neg, auc, u, z): Mann-Whitney from distinct values, ties included."""
@@ -126,15 +125,15 @@ def rank_statistics(
     counts = present.groupBy(*keys, value).agg(
         F.sum(w).alias("n"), F.sum(w * F.col(target)).cast("bigint").alias("pos")
     )
-    return rank_statistics_of_counts(counts, value, keys, n_rows)
+    return rank_statistics_of_counts(counts, value, keys)
 
 
 def rank_statistics_of_counts(
-    counts: DataFrame, value: str, keys: Sequence[str] = (), n_rows: int | None = None
+    counts: DataFrame, value: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Same, from one row (keys, value, n, pos) per distinct value."""
     ranked = running_totals(
-        counts, [value], {"neg_upto": F.col("n") - F.col("pos")}, keys, n_rows=n_rows
+        counts, [value], {"neg_upto": F.col("n") - F.col("pos")}, keys
     )
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     neg = n - pos

@@ -311,10 +311,10 @@ def _to_day(seconds: Column) -> Column:
     return F.date_from_unix_date(F.floor(seconds / SECONDS_PER_DAY).cast("int"))
 
 
-def estimate_reference_date(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def estimate_reference_date(df: DataFrame) -> DataFrame:
     """One row: median implied extraction date, the robust reference for tenure checks."""
     implied = df.select(_implied_seconds(df).alias("s"))
-    return quantile_row(implied, "s", [0.5], n_rows).select(
+    return quantile_row(implied, "s", [0.5]).select(
         _to_day(F.col("q")[0]).alias("date_reference")
     )
 
@@ -416,11 +416,11 @@ def impossible_examples(
 
 
 def tenure_diagnosis(
-    df: DataFrame, reference: DataFrame | None = None, n_rows: int | None = None
+    df: DataFrame, reference: DataFrame | None = None
 ) -> DataFrame:
     """One row: spread of implied extraction dates and whether tenure is in whole months."""
     implied = df.select(_implied_seconds(df).alias("s"))
-    quartiles = quantile_row(implied, "s", [0.25, 0.5, 0.75], n_rows)
+    quartiles = quantile_row(implied, "s", [0.25, 0.5, 0.75])
     months = as_number(df, "anciennete_mois")
     span = df.agg(
         F.min(_implied_seconds(df)).alias("lo"),

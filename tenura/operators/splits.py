@@ -10,11 +10,11 @@ from tenura.operators.ordering import quantile_row, row_ranks
 
 
 def _positions(
-    df: DataFrame, stratum: str, key: str, order: Column, n_rows: int | None
+    df: DataFrame, stratum: str, key: str, order: Column
 ) -> DataFrame:
     """Adds _rank (1.. within the stratum) and _size."""
     ranked = row_ranks(
-        df.withColumn("_order", order), ["_order", key], "_rank", [stratum], n_rows=n_rows
+        df.withColumn("_order", order), ["_order", key], "_rank", [stratum]
     )
     sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_size"))
     return ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s", "_order")
@@ -27,11 +27,10 @@ def stratified_split(
     fraction: float = 0.8,
     seed: int = 42,
     order: Column | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Adds `part`: train or test, with exact shares in every class."""
     placed = _positions(
-        df, target, key, maths.uniform(F.col(key), seed) if order is None else order, n_rows
+        df, target, key, maths.uniform(F.col(key), seed) if order is None else order
     )
     inside = F.col("_rank") <= F.bround(fraction * F.col("_size"))
     return placed.withColumn("part", F.when(inside, "train").otherwise("test")).drop("_rank", "_size")
@@ -44,13 +43,12 @@ def quartile_stratified_split(
     fraction: float = 0.8,
     seed: int = 42,
     order: Column | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """The same inside each quartile of a numeric target."""
-    edges = quantile_row(df, target, [0.25, 0.5, 0.75], n_rows)
+    edges = quantile_row(df, target, [0.25, 0.5, 0.75])
     stratum = F.size(F.filter("q", lambda e: e < F.col(target)))
     placed = df.crossJoin(edges).withColumn("strate", stratum).drop("q")
-    return stratified_split(placed, "strate", key, fraction, seed, order, n_rows)
+    return stratified_split(placed, "strate", key, fraction, seed, order)
 
 
 def repeated_stratified_folds(
@@ -61,13 +59,12 @@ def repeated_stratified_folds(
     repeats: int = 1,
     seed: int = 42,
     order: Column | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Adds pli_0..pli_{repeats-1}: position in a keyed order, modulo the number of folds."""
     out = df
     for r in range(repeats):
         draw = maths.uniform(F.col(key), seed + r) if order is None else (order * (r + 1)) % 10007
-        placed = _positions(out, target, key, draw, n_rows)
+        placed = _positions(out, target, key, draw)
         out = placed.withColumn(f"pli_{r}", ((F.col("_rank") - 1) % folds).cast("int")).drop(
             "_rank", "_size"
         )

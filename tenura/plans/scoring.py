@@ -84,24 +84,23 @@ def nightly_scoring(
 
 
 def retrain(
-    df: DataFrame, label: str, key: str, champion_pr_auc: float | None = None,
-    n_rows: int | None = None, seed: int = 42,
+    df: DataFrame, label: str, key: str, champion_pr_auc: float | None = None, seed: int = 42,
 ) -> tuple[ml.LogisticScorer, DataFrame]:
     """Split, out-of-fold threshold, fit, evaluate on held rows, gate.
 
     The gate asks for the minimum PR-AUC and no clear loss against the champion.
     """
-    split = materialise(stratified_split(df, label, key, seed=seed, n_rows=n_rows), "retrain")
+    split = materialise(stratified_split(df, label, key, seed=seed), "retrain")
     train = split.where("part = 'train'").drop("part")
     test = split.where("part = 'test'").drop("part")
     numeric, categorical = ml.default_inputs(train, label, key)
-    folded = materialise(repeated_stratified_folds(train, label, key, n_rows=n_rows), "folds")
+    folded = materialise(repeated_stratified_folds(train, label, key), "folds")
     fit = lambda t: ml.fit_logistic(t, label, numeric, categorical).score
     scored = ml.out_of_fold_scores(folded, fit, "pli_0").select(F.col(label).alias("y"), "p")
-    watch = metrics.threshold_for_recall(scored, n_rows=n_rows).first()["seuil"]
+    watch = metrics.threshold_for_recall(scored).first()["seuil"]
     scorer = ml.fit_logistic(train, label, numeric, categorical)
     held = scorer.score(test).select(F.col(label).alias("y"), "p")
-    report = metrics.metrics_at(held, watch, n_rows=n_rows).withColumn("seuil", F.lit(watch))
+    report = metrics.metrics_at(held, watch).withColumn("seuil", F.lit(watch))
     floor = THRESHOLDS.pr_auc_min
     if champion_pr_auc is not None:
         floor = max(floor, champion_pr_auc - THRESHOLDS.promotion_tolerance)

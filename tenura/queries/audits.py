@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tenura.operators import drift, leakage
 from tenura.operators.economics import risk_level
 from tenura.plans.accounts import DECOYS, NUMERIC, accounts
-from tenura.queries.exploration import rounded, size
+from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.queries.twins import ACC, auc_ctes, binary_chi2_ctes, levels_sql, long_sql
-from tenura.sources.tables import row_count, table
+from tenura.sources.tables import table
 
 SCANNED_NUM = (*NUMERIC, "sante_compte_fin_periode")
 SCANNED_CAT = ("commentaire_csm", "secteur", "plan", *DECOYS)
@@ -30,7 +30,7 @@ SCANNED_CAT = ("commentaire_csm", "secteur", "plan", *DECOYS)
 )
 def leak_scan(spark, folder):
     out = leakage.leak_scan(
-        accounts(spark, folder), "churn", SCANNED_NUM, SCANNED_CAT, n_rows=size(spark, folder)
+        accounts(spark, folder), "churn", SCANNED_NUM, SCANNED_CAT
     )
     return rounded(out, "part_manquants")
 
@@ -109,7 +109,7 @@ def max_redundancy(spark, folder):
 def screen_decoys(spark, folder):
     df = accounts(spark, folder).withColumn("copie", F.expr(_COPY))
     out = leakage.screen_decoys(
-        df, "churn", ["copie"], DECOYS, _REF_NUM, _REF_CAT, n_rows=size(spark, folder), with_p=False
+        df, "churn", ["copie"], DECOYS, _REF_NUM, _REF_CAT, with_p=False
     )
     return rounded(out, "association", "statistique", "max_redondance")
 
@@ -118,7 +118,7 @@ def screen_decoys(spark, folder):
 def screen_decoys_verdict(spark, folder):
     df = accounts(spark, folder).withColumn("copie", F.expr(_COPY))
     return leakage.screen_decoys(
-        df, "churn", ["copie"], DECOYS, _REF_NUM, _REF_CAT, n_rows=size(spark, folder)
+        df, "churn", ["copie"], DECOYS, _REF_NUM, _REF_CAT
     )
 
 
@@ -148,13 +148,13 @@ def _mid(c: str) -> str:
       ELSE 'indeterminee' END AS nature_clv FROM b, e""",
 )
 def lifetime_value_nature(spark, folder):
-    out = leakage.lifetime_value_nature(accounts(spark, folder), n_rows=size(spark, folder))
+    out = leakage.lifetime_value_nature(accounts(spark, folder))
     return rounded(out, *[c for c in out.columns if c not in ("n", "nature_clv")])
 
 
 @query("lifetime_value_p_values")
 def lifetime_value_p_values(spark, folder):
-    nature = leakage.lifetime_value_nature(accounts(spark, folder), n_rows=size(spark, folder))
+    nature = leakage.lifetime_value_nature(accounts(spark, folder))
     return leakage.lifetime_value_p_values(nature)
 
 
@@ -166,7 +166,7 @@ def lifetime_value_p_values(spark, folder):
     WHERE valeur_vie_client_eur IS NOT NULL AND revenu_mensuel_recurrent_eur IS NOT NULL GROUP BY churn""",
 )
 def lifetime_value_by_class(spark, folder):
-    out = leakage.lifetime_value_by_class(accounts(spark, folder), n_rows=size(spark, folder))
+    out = leakage.lifetime_value_by_class(accounts(spark, folder))
     return rounded(out, "clv_moyenne", "clv_mediane", "mrr_median", digits=4)
 
 
@@ -218,7 +218,7 @@ def halves(spark, folder):
     )
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
     current = events.where(F.col("ts") >= cut).withColumn("value", F.col("value") * 1.1)
-    return events.where(F.col("ts") < cut), current, row_count(spark, folder, "events")
+    return events.where(F.col("ts") < cut), current
 
 
 _PROBS = ", ".join(f"quantile_cont(v, {i / 10})" for i in range(11))
@@ -241,8 +241,8 @@ _PSI = f""", q AS (SELECT variable, [{_PROBS}] AS q FROM l WHERE ref GROUP BY 1)
       oob AS n_hors_bornes FROM bins""",
 )
 def psi_bins(spark, folder):
-    ref, cur, n = halves(spark, folder)
-    out = drift.psi_bins(ref, cur, WATCHED, n_rows=n)
+    ref, cur = halves(spark, folder)
+    out = drift.psi_bins(ref, cur, WATCHED)
     return rounded(out, "borne_inf", "borne_sup", "p_reference", "p_courant", "psi_bin")
 
 
@@ -253,8 +253,8 @@ def psi_bins(spark, folder):
       THEN 'attention' ELSE 'derive_significative' END AS interpretation FROM s""",
 )
 def psi(spark, folder):
-    ref, cur, n = halves(spark, folder)
-    return rounded(drift.psi(drift.psi_bins(ref, cur, WATCHED, n_rows=n)), "psi")
+    ref, cur = halves(spark, folder)
+    return rounded(drift.psi(drift.psi_bins(ref, cur, WATCHED)), "psi")
 
 
 _CUM = """, vc AS (SELECT variable, v, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM l GROUP BY 1, 2),
@@ -270,14 +270,14 @@ _CUM = """, vc AS (SELECT variable, v, count(*) FILTER (ref) AS r, count(*) FILT
     "FROM cm GROUP BY variable",
 )
 def ks_two_sample(spark, folder):
-    ref, cur, n = halves(spark, folder)
-    return rounded(drift.ks_two_sample(ref, cur, WATCHED, n, with_p=False), "statistique")
+    ref, cur = halves(spark, folder)
+    return rounded(drift.ks_two_sample(ref, cur, WATCHED, with_p=False), "statistique")
 
 
 @query("drift_audit")
 def drift_audit(spark, folder):
-    ref, cur, n = halves(spark, folder)
-    return drift.drift_audit(ref, cur, WATCHED, n)
+    ref, cur = halves(spark, folder)
+    return drift.drift_audit(ref, cur, WATCHED)
 
 
 _REPORT = _CUM + """, ld AS (SELECT *, lead(v) OVER (PARTITION BY variable ORDER BY v) - v AS dx FROM cm),
@@ -293,8 +293,8 @@ _REPORT = _CUM + """, ld AS (SELECT *, lead(v) OVER (PARTITION BY variable ORDER
       round(ma, 5) AS moyenne_reference, round(mb, 5) AS moyenne_courant FROM rp""",
 )
 def drift_report(spark, folder):
-    ref, cur, n = halves(spark, folder)
-    out = rounded(drift.drift_report(ref, cur, WATCHED, n_rows=n), "distance")
+    ref, cur = halves(spark, folder)
+    out = rounded(drift.drift_report(ref, cur, WATCHED), "distance")
     return rounded(out, "moyenne_reference", "moyenne_courant", digits=5)
 
 
@@ -304,8 +304,8 @@ def drift_report(spark, folder):
       round(avg(CAST(d >= 0.1 AS INT)), 6) AS part_derives, avg(CAST(d >= 0.1 AS INT)) > 0.5 AS derive_globale FROM rp""",
 )
 def drift_overview(spark, folder):
-    ref, cur, n = halves(spark, folder)
-    return rounded(drift.drift_overview(drift.drift_report(ref, cur, WATCHED, n_rows=n)), "part_derives")
+    ref, cur = halves(spark, folder)
+    return rounded(drift.drift_overview(drift.drift_report(ref, cur, WATCHED)), "part_derives")
 
 
 # portable draws for the twins: a function of the key that both engines compute alike

@@ -12,7 +12,7 @@ from tenura.plans.accounts import CATEGORICAL, NUMERIC, accounts, accounts_sql
 from tenura.plans.raw import NUMBERS, number_sql, raw_accounts, raw_sql
 from tenura.queries.registry import query
 from tenura.sources import files
-from tenura.sources.tables import row_count, table
+from tenura.sources.tables import table
 
 RAW = f"WITH {raw_sql()}"
 ACC = f"WITH {accounts_sql()}"
@@ -216,8 +216,7 @@ _REFERENCE = f""", r AS (SELECT CAST(DATE '1970-01-01' + CAST(floor(quantile_con
 
 @query("estimate_reference_date", ACC + _REFERENCE + " SELECT * FROM r")
 def estimate_reference_date(spark, folder):
-    n = row_count(spark, folder, "customer")
-    return quality.estimate_reference_date(accounts(spark, folder), n)
+    return quality.estimate_reference_date(accounts(spark, folder))
 
 
 @query(
@@ -233,8 +232,7 @@ def estimate_reference_date(spark, folder):
       max(date_souscription) AS date_souscription_max FROM i, r GROUP BY date_reference""",
 )
 def tenure_diagnosis(spark, folder):
-    n = row_count(spark, folder, "customer")
-    return quality.tenure_diagnosis(accounts(spark, folder), n_rows=n)
+    return quality.tenure_diagnosis(accounts(spark, folder))
 
 
 @query(
@@ -246,8 +244,7 @@ def tenure_diagnosis(spark, folder):
 )
 def tenure_gaps(spark, folder):
     df = accounts(spark, folder)
-    n = row_count(spark, folder, "customer")
-    return quality.tenure_gaps(df, quality.estimate_reference_date(df, n))
+    return quality.tenure_gaps(df, quality.estimate_reference_date(df))
 
 
 _RULED = [
@@ -299,8 +296,7 @@ def impossible_values(spark, folder):
 )
 def impossible_values_tenure(spark, folder):
     df = accounts(spark, folder).select("anciennete_mois", "date_souscription")
-    n = row_count(spark, folder, "customer")
-    return quality.impossible_values(df, quality.estimate_reference_date(df, n))
+    return quality.impossible_values(df, quality.estimate_reference_date(df))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators import economics
 from tenura.queries.evaluation import S, curve_ctes, recall_sql, scored
-from tenura.queries.exploration import rounded, size
+from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 
 VAR = "p * mrr * CAST(12 AS DOUBLE) * CAST(0.72 AS DOUBLE)"
@@ -98,7 +98,7 @@ def best_threshold(spark, folder):
       round((100.0 * hits / CAST(t AS DOUBLE)) / (100.0 * k / CAST(n AS DOUBLE) + 1e-9), 5) AS lift FROM r""",
 )
 def lift_curve(spark, folder):
-    out = economics.lift_curve(scored(spark, folder), size(spark, folder))
+    out = economics.lift_curve(scored(spark, folder))
     return rounded(rounded(out, "pct_contactes", "pct_churners_captures"), "lift", digits=5)
 
 
@@ -220,7 +220,7 @@ def yearly_attributable(spark, folder):
       round((SELECT m - b FROM gp WHERE r = 0.3), 2) AS gain_attribuable_sans_gros""",
 )
 def gain_concentration(spark, folder):
-    out = economics.gain_concentration(filtered(spark, folder), n_rows=size(spark, folder))
+    out = economics.gain_concentration(filtered(spark, folder))
     out = rounded(rounded(out, "part_top"), "seuil_mrr", digits=4)
     return rounded(out, "gain_attribuable_sans_gros", digits=2)
 
@@ -258,7 +258,7 @@ _LEVEL = """SELECT '{name}' AS niveau, max(seuil) AS seuil, count(*) FILTER ({k}
     {_LEVEL.format(name="appels", k="called", gain="round((SELECT " + balance_sql("SELECT * FROM cl") + "), 2)")}""",
 )
 def two_level_table(spark, folder):
-    out = economics.two_level_table(filtered(spark, folder), n_rows=size(spark, folder))
+    out = economics.two_level_table(filtered(spark, folder))
     out = rounded(out, "part_portefeuille", "recall", "precision")
     return rounded(out, "valeur_faux_negatifs_eur", "gain_net_eur", digits=2)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators import metrics
 from tenura.plans.accounts import accounts
-from tenura.queries.exploration import rounded, size
+from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.queries.twins import ACC, auc_ctes
 
@@ -39,14 +39,14 @@ def curve_ctes(source: str = "s", keys: str = "") -> str:
 @query("roc_curve", f"""{S}, {curve_ctes()} SELECT seuil, round((n_upto - pos_upto) / (total - positifs), 6) AS fpr,
   round(pos_upto / positifs, 6) AS tpr FROM cu""")
 def roc_curve(spark, folder):
-    table = metrics.score_table(scored(spark, folder), n_rows=size(spark, folder))
+    table = metrics.score_table(scored(spark, folder))
     return rounded(metrics.roc_curve(table), "fpr", "tpr")
 
 
 @query("pr_curve", f"""{S}, {curve_ctes()} SELECT seuil, round(pos_upto / n_upto, 6) AS precision,
   round(pos_upto / positifs, 6) AS rappel FROM cu""")
 def pr_curve(spark, folder):
-    table = metrics.score_table(scored(spark, folder), n_rows=size(spark, folder))
+    table = metrics.score_table(scored(spark, folder))
     return rounded(metrics.pr_curve(table), "precision", "rappel")
 
 
@@ -60,7 +60,7 @@ AREAS = _AREAS.format(k="", p="", g="")
 
 @query("areas", f"{S}, {curve_ctes()}, {AREAS} SELECT n, positifs, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM ar")
 def areas(spark, folder):
-    table = metrics.score_table(scored(spark, folder), n_rows=size(spark, folder))
+    table = metrics.score_table(scored(spark, folder))
     return rounded(metrics.areas(table), "roc_auc", "pr_auc")
 
 
@@ -86,7 +86,7 @@ _EDGES = ", ".join(f"quantile_cont(p, {i / 10})" for i in range(1, 10))
     SELECT bin, count(*) AS n, round(avg(p), 6) AS proba_moyenne, round(avg(y), 6) AS taux_observe FROM b GROUP BY bin""",
 )
 def calibration_curve(spark, folder):
-    out = metrics.calibration_curve(scored(spark, folder), n_rows=size(spark, folder))
+    out = metrics.calibration_curve(scored(spark, folder))
     return rounded(out, "proba_moyenne", "taux_observe")
 
 
@@ -106,14 +106,14 @@ def brier(spark, folder):
     FROM m, ar""",
 )
 def metrics_at(spark, folder):
-    out = metrics.metrics_at(scored(spark, folder), 0.2, n_rows=size(spark, folder))
+    out = metrics.metrics_at(scored(spark, folder), 0.2)
     return rounded(out, *out.columns)
 
 
 @query("bootstrap_metrics")
 def bootstrap_metrics(spark, folder):
     return metrics.bootstrap_metrics(
-        scored(spark, folder), 0.2, "id", draws=1000, n_rows=size(spark, folder)
+        scored(spark, folder), 0.2, "id", draws=1000
     )
 
 
@@ -136,7 +136,7 @@ _FAIR = f"""{ACC}, long AS (SELECT *, attribut || '/' || modalite AS variable FR
 )
 def fairness_by_group(spark, folder):
     out = metrics.fairness_by_group(
-        accounts(spark, folder), ATTRIBUTES, 0.2, target="churn", min_positives=15, n_rows=size(spark, folder)
+        accounts(spark, folder), ATTRIBUTES, 0.2, target="churn", min_positives=15
     )
     return rounded(out, "taux_churn_reel", "proba_moyenne", "tpr", "fpr", "roc_auc", "ecart_calibration")
 
@@ -150,7 +150,7 @@ def fairness_by_group(spark, folder):
 )
 def fairness_review(spark, folder):
     by_group = metrics.fairness_by_group(
-        accounts(spark, folder), ATTRIBUTES, 0.2, target="churn", min_positives=15, n_rows=size(spark, folder)
+        accounts(spark, folder), ATTRIBUTES, 0.2, target="churn", min_positives=15
     )
     out = metrics.fairness_review(by_group)
     return rounded(out, "ecart_tpr", "roc_auc_min", "ecart_calibration_max")
@@ -212,7 +212,7 @@ def recall_sql(keys: str = "", recall: float = 0.8) -> str:
     "round(precision, 6) AS precision, round(part_signalee, 6) AS part_signalee, n_signales, n_faux_negatifs FROM t",
 )
 def threshold_for_recall(spark, folder):
-    out = metrics.threshold_for_recall(scored(spark, folder), n_rows=size(spark, folder))
+    out = metrics.threshold_for_recall(scored(spark, folder))
     return rounded(out, "recall", "precision", "part_signalee")
 
 
@@ -226,7 +226,7 @@ def threshold_for_recall(spark, folder):
 )
 def threshold_stability(spark, folder):
     folded = scored(spark, folder).withColumn("fold", (F.col("k") % 5).cast("int"))
-    out = metrics.threshold_stability(folded, "fold", 5, n_rows=size(spark, folder))
+    out = metrics.threshold_stability(folded, "fold", 5)
     return rounded(out, "recall_tenu")
 
 
@@ -243,7 +243,7 @@ def threshold_stability(spark, folder):
 )
 def cohort_alert(spark, folder):
     out = metrics.cohort_alert(
-        accounts(spark, folder), "taille_entreprise", 0.05, target="churn", n_rows=size(spark, folder)
+        accounts(spark, folder), "taille_entreprise", 0.05, target="churn"
     )
     return rounded(out, "pr_auc", "part_alerte_rouge", "ecart_points")
 
@@ -302,5 +302,5 @@ def select_value_model(spark, folder):
 )
 def error_of_large_accounts(spark, folder):
     usage = _predictions(spark, folder).where("modele = 'usage'")
-    out = metrics.error_of_large_accounts(usage, n_rows=size(spark, folder))
+    out = metrics.error_of_large_accounts(usage)
     return rounded(out, "seuil", "mae", "mae_gros_comptes", digits=4)

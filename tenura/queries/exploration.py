@@ -16,7 +16,7 @@ from tenura.queries.twins import (
     long_sql,
     wilson_sql,
 )
-from tenura.sources.tables import row_count, table
+from tenura.sources.tables import table
 
 MEASURES = ("anciennete_mois", "sieges_souscrits", "csat", "derniere_connexion_jours",
             "revenu_mensuel_recurrent_eur", "nb_integrations")
@@ -28,10 +28,6 @@ def rounded(df, *columns, digits: int = 6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def size(spark, folder):
-    return row_count(spark, folder, "customer")
-
-
 @query(
     "target_distribution",
     ACC
@@ -65,7 +61,7 @@ _FLOATS = ("moyenne", "mediane", "ecart_type", "min", "max", "q1", "q3", "asymet
 )
 def numeric_summary(spark, folder):
     df = accounts(spark, folder)
-    out = explore.numeric_summary(df, MEASURES, "churn", size(spark, folder))
+    out = explore.numeric_summary(df, MEASURES, "churn")
     return rounded(out, *_FLOATS, digits=5)
 
 
@@ -77,7 +73,7 @@ def numeric_summary(spark, folder):
     100 * (taux_cible_outliers - taux_cible_hors_outliers) END, 5) AS ecart_points FROM s""",
 )
 def extreme_profile(spark, folder):
-    summary = explore.numeric_summary(accounts(spark, folder), MEASURES, "churn", size(spark, folder))
+    summary = explore.numeric_summary(accounts(spark, folder), MEASURES, "churn")
     out = rounded(explore.extreme_profile(summary), "churn_outliers", "churn_autres")
     return rounded(out, "asymetrie", "ecart_points", digits=5)
 
@@ -168,7 +164,7 @@ def rate_by_level_with_missing(spark, folder):
 def level_profile(spark, folder):
     out = explore.level_profile(
         accounts(spark, folder), "commentaire_csm", "churn", ["heures_usage_30j", "csat"],
-        F.col("sante_compte_fin_periode") == 0, size(spark, folder),
+        F.col("sante_compte_fin_periode") == 0,
     )
     return rounded(out, "taux_churn", "ic_bas", "ic_haut", "heures_usage_30j", "csat", "part_condition")
 
@@ -209,7 +205,7 @@ _AUC = f"{ACC}, long AS ({long_sql('accounts', NUMERIC)}), {auc_ctes()}"
     _AUC + " SELECT variable, n, n_pos, n_neg, round(auc, 6) AS auc, round(u, 1) AS u, round(z, 6) AS z FROM auc",
 )
 def univariate_auc(spark, folder):
-    out = explore.univariate_auc(accounts(spark, folder), NUMERIC, "churn", size(spark, folder))
+    out = explore.univariate_auc(accounts(spark, folder), NUMERIC, "churn")
     return rounded(rounded(out, "auc", "z"), "u", digits=1)
 
 
@@ -219,7 +215,7 @@ def univariate_auc(spark, folder):
     " SELECT variable, n, n_pos, n_neg, round(auc, 6) AS auc, round(u, 1) AS u, round(z, 6) AS z FROM auc",
 )
 def mann_whitney(spark, folder):
-    out = explore.mann_whitney(accounts(spark, folder), ["csat", "p"], "churn", size(spark, folder))
+    out = explore.mann_whitney(accounts(spark, folder), ["csat", "p"], "churn")
     return rounded(rounded(out.drop("p_value"), "auc", "z"), "u", digits=1)
 
 
@@ -232,7 +228,7 @@ def mann_whitney(spark, folder):
 )
 def discriminating_power(spark, folder):
     out = explore.discriminating_power(
-        accounts(spark, folder), NUMERIC, LEVELS, "churn", size(spark, folder), with_p=False
+        accounts(spark, folder), NUMERIC, LEVELS, "churn", with_p=False
     )
     return rounded(out, "association", "statistique")
 
@@ -240,7 +236,7 @@ def discriminating_power(spark, folder):
 @query("discriminating_power_tests")
 def discriminating_power_tests(spark, folder):
     df = accounts(spark, folder)
-    return explore.discriminating_power(df, NUMERIC, LEVELS, "churn", size(spark, folder))
+    return explore.discriminating_power(df, NUMERIC, LEVELS, "churn")
 
 
 _PAIRED = ("anciennete_mois", "sieges_souscrits", "utilisateurs_actifs", "connexions_30j",
@@ -278,7 +274,7 @@ def _midrank(c: str) -> str:
     ),
 )
 def spearman_pairs(spark, folder):
-    out = explore.spearman_pairs(accounts(spark, folder), _RANKED, size(spark, folder))
+    out = explore.spearman_pairs(accounts(spark, folder), _RANKED)
     return rounded(out.withColumn("n", F.col("n").cast("bigint")), "rho")
 
 
@@ -288,7 +284,7 @@ def spearman_pairs(spark, folder):
     FROM accounts WHERE csat IS NOT NULL) GROUP BY csat""",
 )
 def mid_rank(spark, folder):
-    return ordering.mid_ranks(accounts(spark, folder), "csat", n_rows=size(spark, folder))
+    return ordering.mid_ranks(accounts(spark, folder), "csat")
 
 
 @query("vif")
@@ -335,7 +331,7 @@ def _hypothesis_sql() -> str:
 @query("hypothesis_tests", _hypothesis_sql())
 def hypothesis_tests(spark, folder):
     out = explore.hypothesis_tests(
-        accounts(spark, folder), "churn", _TESTED, n_rows=size(spark, folder), with_p=False
+        accounts(spark, folder), "churn", _TESTED, with_p=False
     )
     return rounded(out, "mediane_churn", "mediane_non_churn", "auc_orientee", "z")
 
@@ -343,7 +339,7 @@ def hypothesis_tests(spark, folder):
 @query("hypothesis_verdicts")
 def hypothesis_verdicts(spark, folder):
     df = features.business_features(accounts(spark, folder))
-    return explore.hypothesis_tests(df, "churn", n_rows=size(spark, folder))
+    return explore.hypothesis_tests(df, "churn")
 
 
 _RATIO_DEFS = {
@@ -368,7 +364,7 @@ _RATIO_COLS = sorted({*explore.RATIOS, *[raw for raw, _ in explore.RATIOS.values
 )
 def ratio_vs_raw_auc(spark, folder):
     df = features.business_features(accounts(spark, folder))
-    out = explore.ratio_vs_raw_auc(df, "churn", n_rows=size(spark, folder))
+    out = explore.ratio_vs_raw_auc(df, "churn")
     return rounded(out, "auc_ratio", "auc_brute", "manquants")
 
 
@@ -392,7 +388,7 @@ _QUARTILES = """q AS (SELECT quantile_cont(mrr, 0.25) AS a, quantile_cont(mrr, 0
 )
 def portfolio_by_quartile(spark, folder):
     out = explore.portfolio_by_quartile(
-        accounts(spark, folder), "revenu_mensuel_recurrent_eur", "churn", size(spark, folder)
+        accounts(spark, folder), "revenu_mensuel_recurrent_eur", "churn"
     )
     out = rounded(out, "part_du_revenu", "taux_churn")
     out = rounded(out, "mrr_min", "mrr_max", "mrr_median", digits=4)
@@ -408,8 +404,7 @@ def portfolio_by_quartile(spark, folder):
     FROM c WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING)""",
 )
 def concentration_curve(spark, folder):
-    n = row_count(spark, folder, "orders")
-    out = explore.concentration_curve(table(spark, folder, "orders"), "o_totalprice", n_rows=n)
+    out = explore.concentration_curve(table(spark, folder, "orders"), "o_totalprice")
     return rounded(out, "part_comptes", "part_revenu")
 
 
@@ -420,8 +415,7 @@ def concentration_curve(spark, folder):
     SELECT round(sum(v) FILTER (k <= ceil(0.2 * n)) / max(t), 6) AS part_top FROM r""",
 )
 def top_share(spark, folder):
-    n = row_count(spark, folder, "orders")
-    return rounded(explore.top_share(table(spark, folder, "orders"), "o_totalprice", n_rows=n), "part_top")
+    return rounded(explore.top_share(table(spark, folder, "orders"), "o_totalprice"), "part_top")
 
 
 @query(
@@ -444,7 +438,7 @@ def rate_by_quarter(spark, folder):
 )
 def temporal_split_check(spark, folder):
     out = explore.temporal_split_check(
-        accounts(spark, folder), "date_souscription", "churn", "anciennete_mois", n_rows=size(spark, folder)
+        accounts(spark, folder), "date_souscription", "churn", "anciennete_mois"
     )
     return rounded(out, "taux_churn", "anciennete_mediane")
 
@@ -462,7 +456,7 @@ _CATALOGUE = references.values_sql(references.PLANS, references.PLAN_COLUMNS)
 )
 def revenue_vs_catalogue(spark, folder):
     df = features.join_catalogue(accounts(spark, folder), references.catalogue(spark))
-    out = explore.revenue_vs_catalogue(df, F.col("p") >= 0.5, size(spark, folder))
+    out = explore.revenue_vs_catalogue(df, F.col("p") >= 0.5)
     return rounded(out, "retenus_min", "retenus_max", "p01", "p99")
 
 
@@ -509,7 +503,7 @@ def additive_or_multiplicative(spark, folder):
 )
 def quantile_flag(spark, folder):
     df = accounts(spark, folder).select("client_id", "csat")
-    return explore.quantile_flag(df, "csat", n_rows=size(spark, folder))
+    return explore.quantile_flag(df, "csat")
 
 
 # p-values of the two corrections: a rational function of the data, one per country

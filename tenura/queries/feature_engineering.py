@@ -11,7 +11,7 @@ from tenura.plans.accounts import NUMERIC, accounts
 from tenura.plans.gold import build_gold
 from tenura.plans.raw import NUMBERS, date_sql, number_sql, raw_accounts, raw_sql, strip_sql
 from tenura.queries.data_quality import NULLED
-from tenura.queries.exploration import rounded, size
+from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.queries.twins import ACC
 
@@ -232,7 +232,7 @@ def _learned(spark, folder):
 )
 def group_aggregate(spark, folder):
     train, df = _learned(spark, folder)
-    fitted = features.fit_group_aggregate(train, "pays", "csat", "median", size(spark, folder))
+    fitted = features.fit_group_aggregate(train, "pays", "csat", "median")
     out = features.apply_group_aggregate(df, fitted, "pays", "csat_median_par_pays")
     return out.select("client_id", "csat_median_par_pays")
 
@@ -246,7 +246,7 @@ def group_aggregate(spark, folder):
 )
 def gap_to_group(spark, folder):
     train, df = _learned(spark, folder)
-    out = features.gap_to_group(train, df, "secteur", "heures_usage_30j", "mean", n_rows=size(spark, folder))
+    out = features.gap_to_group(train, df, "secteur", "heures_usage_30j", "mean")
     name = "ecart_heures_usage_30j_secteur"
     return rounded(out.select("client_id", name), name)
 
@@ -292,7 +292,7 @@ def signed_log_skewed(spark, folder):
 )
 def impute_by_median(spark, folder):
     df = accounts(spark, folder).select("client_id", "revenu_mensuel_recurrent_eur")
-    return features.impute_by_median(df, "revenu_mensuel_recurrent_eur", n_rows=size(spark, folder))
+    return features.impute_by_median(df, "revenu_mensuel_recurrent_eur")
 
 
 _MODEL = [*NUMERIC, "secteur", "pays", "taille_entreprise", "plan"]

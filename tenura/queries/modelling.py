@@ -11,7 +11,7 @@ from tenura.operators.features import rule_baseline
 from tenura.operators.metrics import threshold_for_recall
 from tenura.plans import scoring
 from tenura.plans.accounts import accounts
-from tenura.queries.exploration import rounded, size
+from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.queries.twins import ACC
 from tenura.sources import files
@@ -31,14 +31,14 @@ def sample(spark, folder, *extra):
 
 def parts(spark, folder, *extra):
     """Train and test rows; the split is written once because every fit reads it several times."""
-    split = splits.stratified_split(sample(spark, folder, *extra), Y, KEY, n_rows=size(spark, folder))
+    split = splits.stratified_split(sample(spark, folder, *extra), Y, KEY)
     split = files.materialise(split, "split")
     return split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
 
 
 def everyone(spark, folder):
     """The training rows, and the whole portfolio to score."""
-    split = splits.stratified_split(sample(spark, folder), Y, KEY, n_rows=size(spark, folder))
+    split = splits.stratified_split(sample(spark, folder), Y, KEY)
     split = files.materialise(split, "split")
     return split.where("part = 'train'").drop("part"), split.drop("part")
 
@@ -49,7 +49,7 @@ REPEATED = [f"pli_{r}" for r in range(REPEATS)]
 
 def folded(spark, folder, repeats=1):
     folds = splits.repeated_stratified_folds(
-        sample(spark, folder), Y, KEY, FOLDS, repeats, n_rows=size(spark, folder)
+        sample(spark, folder), Y, KEY, FOLDS, repeats
     )
     return files.materialise(folds, "folds")
 
@@ -62,7 +62,7 @@ def folded(spark, folder, repeats=1):
 )
 def stratified_split(spark, folder):
     df = accounts(spark, folder)
-    out = splits.stratified_split(df, Y, KEY, order=F.expr(ORDER), n_rows=size(spark, folder))
+    out = splits.stratified_split(df, Y, KEY, order=F.expr(ORDER))
     return out.select(KEY, Y, "part")
 
 
@@ -79,7 +79,7 @@ def stratified_split(spark, folder):
 def quartile_stratified_split(spark, folder):
     known = accounts(spark, folder).where("valeur_vie_client_eur IS NOT NULL")
     out = splits.quartile_stratified_split(
-        known, "valeur_vie_client_eur", KEY, order=F.expr(ORDER), n_rows=size(spark, folder)
+        known, "valeur_vie_client_eur", KEY, order=F.expr(ORDER)
     )
     return out.select(KEY, "strate", "part")
 
@@ -93,7 +93,7 @@ def quartile_stratified_split(spark, folder):
 )
 def repeated_stratified_folds(spark, folder):
     out = splits.repeated_stratified_folds(
-        accounts(spark, folder), Y, KEY, 5, 3, order=F.expr(ORDER), n_rows=size(spark, folder)
+        accounts(spark, folder), Y, KEY, 5, 3, order=F.expr(ORDER)
     )
     return out.select(KEY, "pli_0", "pli_1", "pli_2")
 
@@ -158,7 +158,7 @@ def score_and_explain(spark, folder):
 @query("cross_validate")
 def cross_validate(spark, folder):
     df = folded(spark, folder, REPEATS)
-    scores = search.cross_validate_logistic(df, Y, KEY, NUMERIC, LABELS, REPEATED, FOLDS, n_rows=size(spark, folder))
+    scores = search.cross_validate_logistic(df, Y, KEY, NUMERIC, LABELS, REPEATED, FOLDS)
     return ml.summarise_folds(scores)
 
 
@@ -175,7 +175,7 @@ def out_of_fold_scores(spark, folder):
 
 @query("vigilance_threshold")
 def vigilance_threshold(spark, folder):
-    return threshold_for_recall(out_of_fold(spark, folder).select("y", "p"), n_rows=size(spark, folder))
+    return threshold_for_recall(out_of_fold(spark, folder).select("y", "p"))
 
 
 @query("compare_models")
@@ -184,20 +184,20 @@ def compare_models(spark, folder):
     df = folded(spark, folder, REPEATS)
     rate = df.agg(F.avg(Y)).first()[0]
     plain = {"dummy": (maths.uniform(F.col(KEY), 42) < rate).cast("double"), "regle": rule_baseline(df).cast("double")}
-    scores = search.compare_models(df, Y, KEY, NUMERIC, LABELS, REPEATED, plain, FOLDS, n_rows=size(spark, folder))
+    scores = search.compare_models(df, Y, KEY, NUMERIC, LABELS, REPEATED, plain, FOLDS)
     return ml.summarise_folds(scores, ["modele"])
 
 
 @query("imbalance_comparison")
 def imbalance_comparison(spark, folder):
-    return ml.imbalance_comparison(folded(spark, folder), Y, NUMERIC, LABELS, "pli_0", FOLDS, size(spark, folder))
+    return ml.imbalance_comparison(folded(spark, folder), Y, NUMERIC, LABELS, "pli_0", FOLDS)
 
 
 @query("hyperparameter_search")
 def hyperparameter_search(spark, folder):
     """30 trials of each of two families on shared folds; the defaults are trial 0."""
     df = folded(spark, folder)
-    return search.random_search(df, Y, KEY, NUMERIC, LABELS, "pli_0", n_rows=size(spark, folder))
+    return search.random_search(df, Y, KEY, NUMERIC, LABELS, "pli_0")
 
 
 # fold scores for the paired tests: one mean per "model" (plan) and fold (key modulo 15)
@@ -255,7 +255,7 @@ def log_ablation(spark, folder):
     df = folded(spark, folder, REPEATS)
     logged = df.withColumns({c: signed_log(F.col(c).cast("double")) for c in ("derniere_connexion_jours", "tickets_support_90j")})
     scores = [
-        search.cross_validate_logistic(t, Y, KEY, NUMERIC, LABELS, REPEATED, FOLDS, name=name, n_rows=size(spark, folder))
+        search.cross_validate_logistic(t, Y, KEY, NUMERIC, LABELS, REPEATED, FOLDS, name=name)
         for name, t in (("brut", df), ("log", logged))
     ]
     return ml.superiority_tests(scores[0].unionByName(scores[1]))
@@ -264,7 +264,7 @@ def log_ablation(spark, folder):
 @query("value_regression")
 def value_regression(spark, folder):
     df = sample(spark, folder, "valeur_vie_client_eur")
-    return ml.value_regression(df, "valeur_vie_client_eur", KEY, [MRR, *NUMERIC], LABELS, n_rows=size(spark, folder))
+    return ml.value_regression(df, "valeur_vie_client_eur", KEY, [MRR, *NUMERIC], LABELS)
 
 
 @query("native_importance")
@@ -278,7 +278,7 @@ def permutation_importance(spark, folder):
     train, test = parts(spark, folder)
     scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
     return ml.permutation_importance(
-        test, scorer.score, Y, KEY, [*NUMERIC, *LABELS], 20, n_rows=size(spark, folder)
+        test, scorer.score, Y, KEY, [*NUMERIC, *LABELS], 20
     )
 
 
@@ -286,27 +286,27 @@ def permutation_importance(spark, folder):
 def drop_column_importance(spark, folder):
     train, test = parts(spark, folder)
     return ml.drop_column_importance(
-        train, test, Y, NUMERIC, LABELS, ["derniere_connexion_jours", "csat", "plan"], n_rows=size(spark, folder)
+        train, test, Y, NUMERIC, LABELS, ["derniere_connexion_jours", "csat", "plan"]
     )
 
 
 @query("leak_experiment")
 def leak_experiment(spark, folder):
     train, test = parts(spark, folder, "sante_compte_fin_periode")
-    return ml.leak_experiment(train, test, Y, NUMERIC, "sante_compte_fin_periode", size(spark, folder))
+    return ml.leak_experiment(train, test, Y, NUMERIC, "sante_compte_fin_periode")
 
 
 @query("robustness_curve")
 def robustness_curve(spark, folder):
     train, test = parts(spark, folder)
     scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
-    return ml.robustness_curve(test, scorer.score, Y, KEY, NUMERIC, n_rows=size(spark, folder))
+    return ml.robustness_curve(test, scorer.score, Y, KEY, NUMERIC)
 
 
 @query("retrain")
 def retrain(spark, folder):
     df = sample(spark, folder).drop("k")
-    _, report = scoring.retrain(df, Y, KEY, n_rows=size(spark, folder))
+    _, report = scoring.retrain(df, Y, KEY)
     return report
 
 

@@ -12,7 +12,7 @@ from tenura.queries.evaluation import S, scored
 from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.sources import files
-from tenura.sources.tables import SCHEMAS, row_count, table
+from tenura.sources.tables import SCHEMAS, table
 from tenura.streaming import monitoring
 
 
@@ -104,14 +104,18 @@ def request_rates_stream(spark, folder):
       round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.99), 5) AS p99 FROM ww GROUP BY ALL""",
 )
 def latency_quantiles(spark, folder):
-    n = row_count(spark, folder, "events")
-    out = monitoring.latency_quantiles_exact(events(spark, folder), n_rows=n)
+    out = monitoring.latency_quantiles_exact(events(spark, folder))
     return rounded(out, "p50", "p95", "p99", digits=5)
 
 
-@query("latency_quantiles_stream")
+@query(
+    "latency_quantiles_stream",
+    closed(FIVE + " SELECT debut, fin, count(*) AS n, true AS dans_erreur FROM ww WHERE value IS NOT NULL GROUP BY ALL"),
+)
 def latency_quantiles_stream(spark, folder):
-    return streamed(spark, folder, "latency", monitoring.latency_quantiles)
+    """The stream's quantiles, held against the exact ranks of the same windows."""
+    found = streamed(spark, folder, "latency", monitoring.latency_quantiles)
+    return monitoring.within_rank_error(found, events(spark, folder))
 
 
 _ERRORS = FIVE + """ SELECT debut, fin, count(*) AS n, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6)
@@ -166,6 +170,20 @@ def silences(spark, folder):
     return rounded(monitoring.silences(events(spark, folder), 600), "duree_s")
 
 
+@query(
+    "silences_stream",
+    """WITH g AS (SELECT lag(ts) OVER (ORDER BY ts) AS depuis, ts AS jusqu_a FROM events)
+    SELECT depuis, jusqu_a, round((epoch_us(jusqu_a) - epoch_us(depuis)) / 1e6, 6) AS duree_s FROM g
+    WHERE epoch_us(jusqu_a) - epoch_us(depuis) > 600 * 1000000
+      AND date_trunc('minute', jusqu_a) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def silences_stream(spark, folder):
+    """The silences that have ended, from a running stream; its open alerts have no end yet."""
+    found = streamed(spark, folder, "silences", lambda e: monitoring.silences_stream(e, 600))
+    ended = found.where(F.col("jusqu_a").isNotNull())
+    return ended.select(F.col("depuis").cast("timestamp_ntz"), F.col("jusqu_a").cast("timestamp_ntz"), F.round("duree_s", 6).alias("duree_s"))
+
+
 # --- files ---------------------------------------------------------------------------------
 
 

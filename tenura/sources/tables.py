@@ -26,8 +26,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(f"{folder}/{name}.parquet")
-
-
-def row_count(spark: SparkSession, folder: str, name: str) -> int:
-    """Row count answered from the Parquet footers; no column is read."""
-    return table(spark, folder, name).count()
