@@ -43,11 +43,14 @@ class Part:
 
 @dataclass(frozen=True)
 class Spec:
-    """One model: inverse penalty `c`, classes weighted to equal mass or not, source columns left out."""
+    """One model: inverse penalty `c`, classes weighted to equal mass or not, or positives counted as often as it
+    takes to match the negatives; whether the intercept is moved back to the base rate; source columns left out."""
 
     part: Part
     c: float = 1.0
     balanced: bool = True
+    replicated: bool = False
+    corrected: bool = True
     without: frozenset[str] = frozenset()
     name: str = ""
 
@@ -193,10 +196,12 @@ def _weights(spec: Spec, scale: Scale) -> tuple[float, float, float]:
     """Weights of positive and negative rows, and what balancing adds to the intercept."""
     if scale.positives in (0.0, scale.n):
         raise ValueError("a classifier needs rows of both classes in every training part")
+    if spec.replicated:
+        return max(1.0, float(round((scale.n - scale.positives) / scale.positives))), 1.0, 0.0
     if not spec.balanced:
         return 1.0, 1.0, 0.0
     w1, w0 = scale.n / (2.0 * scale.positives), scale.n / (2.0 * (scale.n - scale.positives))
-    return w1, w0, math.log(w1 / w0)
+    return w1, w0, math.log(w1 / w0) if spec.corrected else 0.0
 
 
 def fit(encoded: Encoded, specs: Sequence[Spec], tolerance: float = 1e-8, most_steps: int = 60) -> list[Model]:

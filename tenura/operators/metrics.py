@@ -177,53 +177,6 @@ def metrics_at(
     )
 
 
-def bootstrap_metrics(
-    df: DataFrame,
-    threshold: float,
-    key: str,
-    score: str = "p",
-    target: str = "y",
-    draws: int = 1000,
-    level: float = 0.95,
-    seed: int = 42,
-) -> DataFrame:
-    """(metrique, valeur, ic_bas, ic_haut) with Poisson(1) weights per row and draw.
-
-    The weights approximate multinomial resampling and depend on the row key only. Draws
-    with a single class are left out. Only draws x metrics rows are left at the end.
-    """
-    u = maths.uniform(F.concat_ws("#", F.col(key).cast("string"), F.col("tirage").cast("string")), seed)
-    weight = F.lit(0)
-    cumulative, term = 0.0, 0.36787944117144233
-    steps = []
-    for k in range(1, 12):
-        cumulative += term
-        steps.append((cumulative, k))
-        term /= k
-    for bound, k in steps:
-        weight = F.when(u >= bound, F.lit(k)).otherwise(weight)
-    drawn = (
-        df.select(key, score, target)
-        .withColumn("tirage", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("_w", weight)
-        .where("_w > 0")
-    )
-    names = ["pr_auc", "roc_auc", "brier", "rappel", "precision", "part_signalee"]
-    per = metrics_at(drawn, threshold, score, target, ["tirage"], "_w").where(
-        "roc_auc IS NOT NULL"
-    )
-    tail = (1 - level) / 2
-    spread = (
-        per.unpivot(["tirage"], names, "metrique", "v")
-        .groupBy("metrique")
-        .agg(F.percentile("v", [tail, 1 - tail]).alias("q"))
-    )
-    point = metrics_at(df, threshold, score, target, ()).unpivot([], names, "metrique", "valeur")
-    return point.join(spread, "metrique").select(
-        "metrique", "valeur", F.col("q")[0].alias("ic_bas"), F.col("q")[1].alias("ic_haut")
-    )
-
-
 def fairness_by_group(
     df: DataFrame,
     attributes: Sequence[str],

@@ -48,7 +48,7 @@ def _place(df: DataFrame, order: Sequence[str], descending: Sequence[str]) -> Co
     return F.struct(*[f.alias(f"_{i}") for i, f in enumerate(fields)])
 
 
-def _sliced(df: DataFrame, order: Sequence[str], descending: Sequence[str]) -> DataFrame:
+def sliced(df: DataFrame, order: Sequence[str], descending: Sequence[str]) -> DataFrame:
     """Rows with `_slice`, ascending in the order, in as many slices as there are shuffle partitions."""
     slices = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = _place(df, order, descending)
@@ -81,15 +81,15 @@ def running_totals(
     for the preceding value of the (single, ascending) order column.
     """
     upto = (Window.unboundedPreceding, Window.currentRow)
-    sliced = _sliced(df, [*keys, *order], descending)
+    cut = sliced(df, [*keys, *order], descending)
     # Both branches below read the one exchange by slice; a recomputed slice number is the same.
     within = Window.partitionBy(*keys, "_slice").orderBy(*_sort(order, descending))
-    inside = sliced.withColumns({name: F.sum(c).over(within.rowsBetween(*upto)) for name, c in totals.items()})
+    inside = cut.withColumns({name: F.sum(c).over(within.rowsBetween(*upto)) for name, c in totals.items()})
     if previous is not None:
         inside = inside.withColumn(previous, F.lag(order[0]).over(within))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(upto[0], -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        cut.groupBy(*keys, "_slice")
         .agg(
             *[F.sum(c).alias(f"_sum_{name}") for name, c in totals.items()],
             F.max(order[0]).alias("_max"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.operators import economics, features, metrics, ml
+from tenura.operators import economics, features, many, metrics, ml
 from tenura.operators.splits import repeated_stratified_folds, stratified_split
 from tenura.params import THRESHOLDS
 from tenura.sources.files import materialise, publish_scores
@@ -76,6 +78,7 @@ def nightly_scoring(
 
     Columns that must not enter a score (identifiers, outcomes, suspected leaks) go first.
     """
+    check_contract(gold, scorer)
     allowed = [c for c in gold.columns if c not in denied]
     scores = materialise(score_accounts(gold.select(*allowed), scorer, watch, key, mrr), "nightly")
     publish_scores(scores, path, date_ref, force, summary=economics.score_summary(scores))
@@ -85,26 +88,66 @@ def nightly_scoring(
 
 def retrain(
     df: DataFrame, label: str, key: str, champion_pr_auc: float | None = None, seed: int = 42,
-) -> tuple[ml.LogisticScorer, DataFrame]:
+    least: float = THRESHOLDS.pr_auc_min,
+) -> tuple[ml.LogisticScorer, DataFrame]:
     """Split, out-of-fold threshold, fit, evaluate on held rows, gate.
 
-    The gate asks for the minimum PR-AUC and no clear loss against the champion.
+    The gate asks for the minimum PR-AUC and no clear loss against the champion. The folds' models are fitted together.
     """
     split = materialise(stratified_split(df, label, key, seed=seed), "retrain")
     train = split.where("part = 'train'").drop("part")
     test = split.where("part = 'test'").drop("part")
     numeric, categorical = ml.default_inputs(train, label, key)
-    folded = materialise(repeated_stratified_folds(train, label, key), "folds")
-    fit = lambda t: ml.fit_logistic(t, label, numeric, categorical).score
-    scored = ml.out_of_fold_scores(folded, fit, "pli_0").select(F.col(label).alias("y"), "p")
-    watch = metrics.threshold_for_recall(scored).first()["seuil"]
+    encoded = many.encode(repeated_stratified_folds(train, label, key), label, key, numeric, categorical, ["pli_0"])
+    scored = many.held_out_scores(encoded, many.fit(encoded, many.fold_specs(["pli_0"], 5)))
+    watch = metrics.threshold_for_recall(scored.select("y", "p")).first()["seuil"]
     scorer = ml.fit_logistic(train, label, numeric, categorical)
     held = scorer.score(test).select(F.col(label).alias("y"), "p")
     report = metrics.metrics_at(held, watch).withColumn("seuil", F.lit(watch))
-    floor = THRESHOLDS.pr_auc_min
     if champion_pr_auc is not None:
-        floor = max(floor, champion_pr_auc - THRESHOLDS.promotion_tolerance)
-    return scorer, report.withColumn("promu", F.col("pr_auc") >= floor)
+        least = max(least, champion_pr_auc - THRESHOLDS.promotion_tolerance)
+    return scorer, report.withColumn("promu", F.col("pr_auc") >= least)
+
+
+# --- stored models -------------------------------------------------------------------------
+
+
+def save_model(scorer: ml.LogisticScorer, report: DataFrame, path: str) -> None:
+    """Store the fitted pipeline with its threshold, metrics and column contract under a new `path`.
+
+    A model that the gate of its report refuses is not stored. The card is written last, so a folder without one
+    holds no model.
+    """
+    row = report.first()
+    if not row["promu"]:
+        raise ValueError(f"the gate refuses this model: PR-AUC {row['pr_auc']:.4f}")
+    spark = report.sparkSession
+    scorer.model.write().save(f"{path}/pipeline")
+    card = {
+        "seuil": row["seuil"], "pr_auc": row["pr_auc"], "roc_auc": row["roc_auc"], "names": scorer.names,
+        "numeric": scorer.numeric, "categorical": scorer.categorical, "coefficients": scorer.coefficients,
+        "intercept": scorer.intercept, "correction": scorer.correction, "means": scorer.means,
+    }
+    spark.createDataFrame([(json.dumps(card),)], "card string").coalesce(1).write.parquet(f"{path}/card")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[ml.LogisticScorer, float]:
+    """(scorer, threshold) of a stored model."""
+    card = json.loads(spark.read.parquet(f"{path}/card").first()["card"])
+    scorer = ml.LogisticScorer(
+        model=PipelineModel.load(f"{path}/pipeline"), names=[(c, level) for c, level in card["names"]],
+        **{k: card[k] for k in ("numeric", "categorical", "coefficients", "intercept", "correction", "means")},
+    )
+    return scorer, card["seuil"]
+
+
+def check_contract(df: DataFrame, scorer: ml.LogisticScorer) -> None:
+    """Raise where a column of the model is absent, or a number of it is text."""
+    kinds = dict(df.dtypes)
+    absent = [c for c in (*scorer.numeric, *scorer.categorical) if c not in kinds]
+    text = [c for c in scorer.numeric if kinds.get(c) == "string"]
+    if absent or text:
+        raise ValueError(f"the model's columns do not fit: absent {absent}, text instead of numbers {text}")
 
 
 def score_requests(requests: DataFrame, scorer: ml.LogisticScorer, catalogue: DataFrame, watch: float):

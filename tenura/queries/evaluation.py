@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenura.operators import metrics
+from tenura.operators import bootstrap, metrics
 from tenura.plans.accounts import accounts
 from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
@@ -112,9 +112,33 @@ def metrics_at(spark, folder):
 
 @query("bootstrap_metrics")
 def bootstrap_metrics(spark, folder):
-    return metrics.bootstrap_metrics(
-        scored(spark, folder), 0.2, "id", draws=1000
+    return bootstrap.bootstrap_metrics(scored(spark, folder), 0.2, "id")
+
+
+_DRAWS = 200
+_WEIGHTS = " + ".join(f"CAST(u >= {c!r} AS INT)" for c in bootstrap.POISSON.tolist())
+
+
+@query(
+    "bootstrap_intervals",
+    f"""{S}, u AS (SELECT id, y, p, b, ((k * 7919 + b * 104729 + (k % 89 + 1) * (b % 97 + 1) * 31) % 100003) / 100003.0::DOUBLE AS u
+      FROM s, range(1, {_DRAWS + 1}) t(b)), w AS (SELECT *, {_WEIGHTS} AS w FROM u),
+    g AS (SELECT b, p, CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w * y) AS DOUBLE) AS pos FROM w GROUP BY b, p),
+    c AS (SELECT *, sum(n) OVER o AS nu, sum(pos) OVER o AS pu FROM g WINDOW o AS (PARTITION BY b ORDER BY p DESC)),
+    d AS (SELECT b, sum(pos) AS pos, sum(n) AS n, sum((n - pos) * (pu - pos / 2)) AS roc, sum(CASE WHEN nu > 0 THEN pos * pu / nu ELSE 0 END) AS pr,
+      sum(pos * (1 - p) * (1 - p) + (n - pos) * p * p) AS sq, sum(CASE WHEN p >= 0.2 THEN pos ELSE 0 END) AS tp,
+      sum(CASE WHEN p >= 0.2 THEN n - pos ELSE 0 END) AS fp FROM c GROUP BY b),
+    m AS (SELECT pr / pos AS pr_auc, roc / (pos * (n - pos)) AS roc_auc, sq / n AS brier, tp / pos AS rappel, tp / (tp + fp) AS precision,
+      (tp + fp) / n AS part_signalee FROM d WHERE pos > 0 AND pos < n),
+    l AS (UNPIVOT m ON pr_auc, roc_auc, brier, rappel, precision, part_signalee INTO NAME metrique VALUE v)
+    SELECT metrique, round(quantile_cont(v, 0.025), 6) AS ic_bas, round(quantile_cont(v, 0.975), 6) AS ic_haut FROM l GROUP BY metrique""",
+)
+def bootstrap_intervals(spark, folder):
+    """The same with draws that plain integer arithmetic can repeat."""
+    out = bootstrap.bootstrap_metrics(
+        scored(spark, folder), 0.2, "id", draws=_DRAWS, seeds=F.col("k"), uniform=bootstrap.portable
     )
+    return rounded(out.drop("valeur"), "ic_bas", "ic_haut")
 
 
 _LONG = " UNION ALL ".join(

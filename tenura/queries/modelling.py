@@ -10,7 +10,7 @@ from tenura.operators import features, many, ml, references, search, splits
 from tenura.operators.features import rule_baseline
 from tenura.operators.metrics import threshold_for_recall
 from tenura.plans import scoring
-from tenura.plans.accounts import accounts
+from tenura.plans.accounts import DECOYS, accounts
 from tenura.queries.exploration import rounded
 from tenura.queries.registry import query
 from tenura.queries.twins import ACC
@@ -190,7 +190,7 @@ def compare_models(spark, folder):
 
 @query("imbalance_comparison")
 def imbalance_comparison(spark, folder):
-    return ml.imbalance_comparison(folded(spark, folder), Y, NUMERIC, LABELS, "pli_0", FOLDS)
+    return search.imbalance_comparison(folded(spark, folder), Y, KEY, NUMERIC, LABELS, "pli_0", FOLDS)
 
 
 @query("hyperparameter_search")
@@ -282,18 +282,21 @@ def permutation_importance(spark, folder):
     )
 
 
+def split_with(spark, folder, *extra):
+    """The account rows with `part`, once written."""
+    return files.materialise(splits.stratified_split(sample(spark, folder, *extra), Y, KEY), "split")
+
+
 @query("drop_column_importance")
 def drop_column_importance(spark, folder):
-    train, test = parts(spark, folder)
-    return ml.drop_column_importance(
-        train, test, Y, NUMERIC, LABELS, ["derniere_connexion_jours", "csat", "plan"]
-    )
+    """Every column of the model and the suspected decoys."""
+    return search.drop_column_importance(split_with(spark, folder, *DECOYS), Y, KEY, NUMERIC, [*LABELS, *DECOYS])
 
 
 @query("leak_experiment")
 def leak_experiment(spark, folder):
-    train, test = parts(spark, folder, "sante_compte_fin_periode")
-    return ml.leak_experiment(train, test, Y, NUMERIC, "sante_compte_fin_periode")
+    suspect = "sante_compte_fin_periode"
+    return search.leak_experiment(split_with(spark, folder, suspect), Y, KEY, NUMERIC, suspect)
 
 
 @query("robustness_curve")
@@ -318,9 +321,12 @@ def score_accounts(spark, folder):
 
 @query("nightly_scoring")
 def nightly_scoring(spark, folder):
-    train, portfolio = everyone(spark, folder)
-    scorer = ml.fit_logistic(train, Y, NUMERIC, LABELS)
-    return scoring.nightly_scoring(portfolio, scorer, 0.4, files.scratch(spark, "nightly"), "2024-01-31")
+    """Retrain, store, load the stored model, score and publish a date. The gate is open: these tables have no signal."""
+    df = sample(spark, folder).drop("k")
+    path = files.scratch(spark, "model")
+    scoring.save_model(*scoring.retrain(df, Y, KEY, least=0.0), path)
+    scorer, watch = scoring.load_model(spark, path)
+    return scoring.nightly_scoring(df, scorer, watch, files.scratch(spark, "nightly"), "2024-01-31")
 
 
 # What this deployment does about a factor, by fragment of its name.

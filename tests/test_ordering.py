@@ -127,7 +127,7 @@ def test_ranks_equal_a_sort(spark):
 
 
 def test_every_slice_gets_rows_and_one_exchange_carries_them(spark, skewed):
-    sliced = ordering._sliced(skewed, ["v", "id"], [])
+    sliced = ordering.sliced(skewed, ["v", "id"], [])
     sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 4 * sum(sizes) / len(sizes)
     empty = skewed.where("id < 0")

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura.operators import many, metrics, ml, search
+from tenura.plans import scoring
+from tenura.sources import files
 
 NUMERIC, LABELS = ["a", "b"], ["c"]
 SMALL_TREES = {
@@ -90,3 +92,52 @@ def test_search_gives_every_trial_and_equal_budgets(rows):
     assert again == {(r.famille, r.essai): (r.n_plis, round(r.pr_auc_moyenne, 6)) for r in got if r.famille == "logistique"}
     with pytest.raises(ValueError):
         search.random_search(rows, "y", "k", NUMERIC, LABELS, "f0", schedule=((3, 2), (6, 3)))
+
+
+def test_drop_test_and_leak_experiment_equal_refits(rows):
+    split = rows.withColumn("part", F.when(F.col("k") % 4 == 0, "test").otherwise("train")).withColumn("noise", (F.col("k") * 31 % 17).cast("double"))
+    split = split.withColumn("copy", F.col("y") + (F.col("k") % 3) / 10.0)
+    got = {r.colonne: r for r in search.drop_column_importance(split, "y", "k", ["a", "b", "noise"], LABELS).collect()}
+    assert set(got) == {"a", "b", "c", "noise"} and got["noise"].negligeable and not got["a"].negligeable
+    train, test = split.where("part = 'train'"), split.where("part = 'test'")
+    scorer = ml.fit_logistic(train, "y", ["b", "noise"], LABELS, max_iter=2_000, tol=1e-14)
+    single = metrics.metrics_at(scorer.score(test), 0.5).first()
+    assert got["a"].pr_auc == pytest.approx(single.pr_auc, abs=1e-9)
+    leak = search.leak_experiment(split, "y", "k", NUMERIC, "copy").first()
+    assert leak.roc_auc_avec > 0.99 and leak.delta_roc_auc == pytest.approx(leak.roc_auc_avec - leak.roc_auc_sans)
+
+
+def test_imbalance_arms(rows):
+    few = rows.where("y = 0 OR k % 4 = 0")
+    got = {r.approche: r for r in search.imbalance_comparison(few, "y", "k", NUMERIC, LABELS, "f0", 3).collect()}
+    assert set(got) == {"ponderee", "ponderee_corrigee", "replication"}
+    assert abs(got["ponderee_corrigee"].ecart_calibration) < 0.05 < got["ponderee"].ecart_calibration
+    assert got["replication"].ecart_calibration > 0.05
+    assert got["ponderee"].pr_auc == pytest.approx(got["ponderee_corrigee"].pr_auc, abs=0.02)  # the shift differs from fold to fold
+
+
+def test_a_stored_model_scores_as_the_fitted_one(spark, rows):
+    df = rows.select("k", "y", "a", "b", "c")
+    scorer, report = scoring.retrain(df, "y", "k", least=0.5)
+    path = files.scratch(spark, "stored")
+    scoring.save_model(scorer, report, path)
+    loaded, watch = scoring.load_model(spark, path)
+    assert watch == report.first()["seuil"] and loaded.names == scorer.names and loaded.means == scorer.means
+    fitted = {r.k: r.p for r in scorer.score(df).collect()}
+    assert {r.k: r.p for r in loaded.score(df).collect()} == fitted
+    reasons = lambda s: {r.k: r.facteurs for r in s.score_and_explain(df).collect()}
+    assert reasons(loaded) == reasons(scorer)
+    with pytest.raises(ValueError, match="absent"):
+        scoring.check_contract(df.drop("a"), loaded)
+    with pytest.raises(ValueError, match="text"):
+        scoring.check_contract(df.withColumn("a", F.col("a").cast("string")), loaded)
+
+
+def test_the_gate_refuses_a_weak_model(spark, rows):
+    scorer, report = scoring.retrain(rows.select("k", "y", "a", "b", "c"), "y", "k", champion_pr_auc=1.5)
+    assert not report.first()["promu"]
+    path = files.scratch(spark, "refused")
+    with pytest.raises(ValueError, match="gate"):
+        scoring.save_model(scorer, report, path)
+    with pytest.raises(Exception):  # noqa: B017 - nothing was stored
+        scoring.load_model(spark, path)
