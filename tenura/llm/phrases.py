@@ -9,10 +9,10 @@ for prefixes of no word, one word and two words:
     stripe of x           extensions f(x y), total f(x)
     stripe of x y         extensions f(x y z), total f(x y), and its maximum subsumes x y
 
-A task counts about half a million words (a longer text whole), then sends its stripes, one row each, to the bucket of
+A task counts about two million words (a longer text whole), then sends its stripes, one row each, to the bucket of
 (lang, prefix), where they are added element by element. A prefix with a 1024th of all words or more (so
 there are fewer than 1024 of them, known from the round before) is cut by its next words over all
-buckets; its total is the sum over the buckets. A bucket is about 4 MB of text.
+buckets; its total is the sum over the buckets. A bucket is about 2 MB of text.
 
 A phrase that occurs `least` (10) times consists of shorter ones that do. Each round passes over prefixes and
 next words that the round before found rarer, through a blocked Bloom filter: 16 bits a phrase, at most
@@ -34,14 +34,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.llm.storage import materialise
-from tenura.llm.texts import mixed, small_batches
+from tenura.llm.texts import mixed, small_batches, word_hashes
 
 LEAST = 10  # occurrences of a phrase
 SUBSUMED = 50  # percent of a phrase's occurrences that a longer one may take before the phrase goes
 BEST = 2_000  # phrases reported for each language
 SCALE = 1_000_000
-FLUSH_WORDS = 1 << 19
-BUCKET_BYTES = 4 << 20
+FLUSH_WORDS = 1 << 21
+BUCKET_BYTES = 2 << 20
 HEAVY = 1 << 10
 FILTER_BITS, SEGMENT_BITS = 28, 16
 SALTS = 64
@@ -76,7 +76,8 @@ def phrase_hashes(lang: bytes, *words: np.ndarray) -> np.ndarray:
 
 
 def word_hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed=7) for w in words), np.uint64, len(words))
+    """Hashes of words, which hold no white space and are not empty."""
+    return word_hashes([b"\n".join(words)])[0]
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +105,16 @@ def _segments(bits: int):
     inner = min(bits, SEGMENT_BITS)
 
     def run(batches):
-        for batch in batches:
-            lang, prefix, word = (batch.column(c).to_pylist() for c in ("lang", "prefix", "next"))
-            hashes = np.empty(len(lang), np.uint64)
-            for k, (a, b, c) in enumerate(zip(lang, prefix, word)):
-                own = word_hash((b.split(b" ") if b else []) + [c])
-                hashes[k] = phrase_hashes(a, *(own[i : i + 1] for i in range(len(own))))[0]
+        for batch in small_batches(batches, 10_000):
+            lang = np.array(batch.column("lang").to_pylist(), object)
+            rows = [(b.split(b" ") if b else []) + [c] for b, c in zip(batch.column("prefix").to_pylist(), batch.column("next").to_pylist())]
+            sizes = np.array([len(r) for r in rows])
+            flat, first = word_hash([w for r in rows for w in r]), np.cumsum(sizes) - sizes
+            hashes = np.empty(len(rows), np.uint64)
+            for of in set(lang):
+                for size in np.unique(sizes[lang == of]).tolist():
+                    own = np.flatnonzero((lang == of) & (sizes == size))
+                    hashes[own] = phrase_hashes(of, *(flat[first[own] + k] for k in range(size)))
             at = np.unique(np.concatenate(_places(hashes, bits)))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(inner)).astype(np.int32)), pa.array(at.astype(np.int64))], ["segment", "bit"])
 
@@ -145,40 +150,40 @@ def frequent(entries: DataFrame) -> Filter:
 STRIPE = "bucket int, lang binary, prefix binary, words binary, counts array<int>"  # words joined by a blank
 
 
-def _counted(lang: bytes, codes: np.ndarray, words: list[bytes], order: int, known) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def _counted(lang: bytes, codes: np.ndarray, hashes: np.ndarray, order: int, known) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """(prefix, next, columns of the prefixes' word numbers, counts), sorted by prefix, then next."""
-    width = len(words)
+    width = len(hashes)
     if order == 0:
         counts = np.bincount(codes, minlength=width)
         nexts = np.flatnonzero(counts[1:]) + 1
         return np.zeros(len(nexts), np.int64), nexts, [], counts[nexts]
-    hashes = word_hash(words)
     follow = np.append(codes[1:], 0)
     if order == 1:
         fine = known.has(phrase_hashes(lang, hashes))
         fine[0] = False
         at = np.flatnonzero(fine[codes])
         nexts = np.where(fine[follow[at]], follow[at], 0)
-        keys, counts = np.unique(codes[at] * width + nexts, return_counts=True)
+        keys, counts = np.unique(codes[at].astype(np.int64) * width + nexts, return_counts=True)
         prefix, nexts = np.divmod(keys, width)
         heads, prefix = np.unique(prefix, return_inverse=True)
         return prefix, nexts, [heads], counts
     at = np.flatnonzero((codes > 0) & (follow > 0))
-    pairs, number = np.unique(codes[at] * width + follow[at], return_inverse=True)
+    pairs, number = np.unique(codes[at].astype(np.int64) * width + follow[at], return_inverse=True)
     first, second = np.divmod(pairs, width)
     fine = known.has(phrase_hashes(lang, hashes[first], hashes[second]))
-    pair = np.full(len(codes) + 1, -1)  # the number of the frequent pair that begins at each place
+    pair = np.full(len(codes) + 1, -1, np.int32)  # the number of the frequent pair that begins at each place
     pair[at] = np.where(fine[number], number, -1)
     at = at[fine[number]]
     nexts = np.where(pair[at + 1] >= 0, codes[np.minimum(at + 2, len(codes) - 1)], 0)
-    keys, counts = np.unique(pair[at] * width + nexts, return_counts=True)
+    keys, counts = np.unique(pair[at].astype(np.int64) * width + nexts, return_counts=True)
     prefix, nexts = np.divmod(keys, width)
     heads, prefix = np.unique(prefix, return_inverse=True)
     return prefix, nexts, [first[heads], second[heads]], counts
 
 
-def _buckets(lang: bytes, prefix: np.ndarray, nexts: np.ndarray, heads: list[np.ndarray], words: list[bytes], heavy: set, many: int) -> np.ndarray:
-    hashes = word_hash(words)
+def _buckets(
+    lang: bytes, prefix: np.ndarray, nexts: np.ndarray, heads: list[np.ndarray], words: list[bytes], hashes: np.ndarray, heavy: set, many: int
+) -> np.ndarray:
     if heads:
         own = phrase_hashes(lang, *(hashes[h] for h in heads))
         wide = np.array([(lang, b" ".join(words[k] for k in h)) in heavy for h in zip(*(h.tolist() for h in heads))], bool)
@@ -190,14 +195,12 @@ def _buckets(lang: bytes, prefix: np.ndarray, nexts: np.ndarray, heads: list[np.
     return (mixed(whole) % np.uint64(many)).astype(np.int32)
 
 
-def _stripes(lang: bytes, tokens: list[bytes], order: int, known, heavy: set, many: int) -> pa.RecordBatch | None:
-    numbers = Numbers()
-    codes = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    words = list(numbers)
-    prefix, nexts, heads, counts = _counted(lang, codes, words, order, known)
+def _stripes(lang: bytes, codes: np.ndarray, words: list[bytes], order: int, known, heavy: set, many: int) -> pa.RecordBatch | None:
+    hashes = word_hash(words)
+    prefix, nexts, heads, counts = _counted(lang, codes, hashes, order, known)
     if not len(nexts):
         return None
-    bucket = _buckets(lang, prefix, nexts, heads, words, heavy, many)
+    bucket = _buckets(lang, prefix, nexts, heads, words, hashes, heavy, many)
     sort = np.lexsort((nexts, bucket, prefix))
     prefix, nexts, counts, bucket = prefix[sort], nexts[sort], counts[sort], bucket[sort]
     start = np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
@@ -219,24 +222,27 @@ def _stripes(lang: bytes, tokens: list[bytes], order: int, known, heavy: set, ma
 
 def _mapped(order: int, known, heavy: set, many: int, flush_words: int = FLUSH_WORDS):
     def run(batches):
-        held: dict[bytes, list[bytes]] = {}
+        numbers: dict[bytes, Numbers] = {}
+        held: dict[bytes, list[np.ndarray]] = {}  # only numbers of words are held
         total = 0
 
         def flush():
-            for lang, tokens in held.items():
-                rows = _stripes(lang, tokens, order, known and known.value, heavy, many)
+            for lang, codes in held.items():
+                rows = _stripes(lang, np.concatenate(codes), list(numbers[lang]), order, known and known.value, heavy, many)
                 if rows is not None:
                     yield from small_batches([rows], 20_000)
             held.clear()
+            numbers.clear()
+            pa.default_memory_pool().release_unused()
 
         for batch in small_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 if text:
                     found = tokens_of(text)
-                    own = held.setdefault(lang, [])
-                    own += found
-                    own.append(b".")
-                    total += len(found) + 1
+                    found.append(b".")
+                    of = numbers[lang] if lang in numbers else numbers.setdefault(lang, Numbers())
+                    held.setdefault(lang, []).append(np.fromiter(map(of.__getitem__, found), np.int32, len(found)))
+                    total += len(found)
                 if total >= flush_words:
                     yield from flush()
                     total = 0
@@ -282,6 +288,7 @@ def _merged(order_of_prefix: int, heavy: dict[tuple[bytes, bytes], int], least:
             word = pa.concat_arrays([word, pa.array([b""] * len(names), word.type)])
             sums = np.concatenate((sums, total))
         langs, prefixes = (pa.array([n[k] for n in names], pa.binary()).take(pa.array(head)) for k in (1, 0))
+        pa.default_memory_pool().release_unused()
         return pa.table([langs, prefixes, word, pa.array(sums), pa.array(total[head])], [*KEYS, "next", "n", "total"])
 
     return run
