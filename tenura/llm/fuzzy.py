@@ -4,14 +4,14 @@ A rolling hash over seven bytes ends a chunk wherever it is -1 modulo the block
 one of 64 letters, and a fingerprint is `size:letters:letters`, at the block size and at twice that
 size. The block size is the smallest of 3, 6, 12, ... that gives about 64 chunks or fewer, halved only
 while a text has hardly any chunks (`FEW`), so texts of about one length have compatible sizes. Signatures are never cut. Two fingerprints are compared by
-edit distance where their block sizes are equal or one is twice the other, and only if they share a
+edit distance, after repetitions are brought down to three copies, where their block sizes are equal or one is twice the other, and only if they share a
 run of letters (`RUN`, or half a shorter signature), which unrelated texts hardly do: likeness is 1 - distance / longer length, else 0.
 
 `edited_neighbours` sets each document beside the next one in descending order of id without a global
 sort: documents go to slices of the id order; the first row of each slice (its highest id) is sent to
 the slice before as well, so each slice has every successor it needs. Spark sorts inside its tasks, and
 Python walks over the sorted rows with one document in hand, so a slice may be of any size; there are
-at most `MOST_SLICES`, whose heads (one id each) come to the driver.
+at most `MOST_SLICES` (65 536), whose heads (one id each) come to the driver.
 
 Defined cases: null is read as empty; empty texts have the fingerprint `3::` and are alike to each
 other (1) and to nothing else (0); rows with one id are ordered by text, null ids come last; a single
@@ -21,6 +21,7 @@ document is its own next one.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ SMALLEST, CHUNKS, FEW, SPAN, RUN = 3, 64, 8, 7, 5
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 BLOCK_BYTES = 1 << 20
 SLICE_BYTES = 4 << 20
-MOST_SLICES = 4_096
+MOST_SLICES = 1 << 16
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -114,10 +115,19 @@ def share_run(a: str, b: str) -> bool:
     return any(b[i : i + run] in runs for i in range(len(b) - run + 1))
 
 
+REPEATED = re.compile(r"(.{1,64}?)\1{3,}", re.S)
+
+
+def shortened(signature: str) -> str:
+    """At most three copies of what a signature repeats; a periodic text may have a chunk in every period."""
+    return REPEATED.sub(r"\1\1\1", signature)
+
+
 def alike(a: str, b: str) -> float:
-    """Likeness of two signatures of one block size."""
+    """Likeness of two signatures of one block size, without the repetitions of either."""
     if a == b:
         return 1.0
+    a, b = shortened(a), shortened(b)
     if not a or not b or not share_run(a, b):
         return 0.0
     return 1 - edit_distance(a, b) / max(len(a), len(b))

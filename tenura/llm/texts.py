@@ -119,19 +119,19 @@ def clear_of(names: tuple[str, ...] | list[str], taken: set[str]) -> list[str]:
 
 
 # ---- slices: consecutive ranges of the document order -------------------------------------------
-MAX_KNOTS = 256
+MAX_KNOTS, SAMPLED = 4_096, 32
 
 
 class Slices:
     """A monotone map from an id to a slice number below `count`, about equal in rows.
 
-    At most 256 approximate quantiles of the id come to the driver; between two of them the id is
-    cut linearly. Null ids belong to slice 0 when they sort first, else to the last one.
+    At most 4096 sampled ids are the borders, taken from 32 times as many on the driver; whole numbers stay
+    exact at any size. Beyond that number of slices the id is cut linearly between two of them. Null ids belong to slice 0.
     """
 
-    def __init__(self, knots: list[float], fine: int) -> None:
-        self.knots, self.fine = knots, fine
-        self.count = max(1, len(knots) - 1) * fine
+    def __init__(self, knots: list, fine: int) -> None:
+        self.knots, self.fine, self.high = knots, fine, None
+        self.count = max(1, len(knots)) * fine
 
     @classmethod
     def of(cls, df: DataFrame, key: str, size: Column, target: int, most: int | None = None) -> Slices:
@@ -142,17 +142,26 @@ class Slices:
         if row.low is None or row.low == row.high or wanted == 1:
             return cls([], 1)
         coarse = min(wanted, MAX_KNOTS)
-        points = df.agg(F.percentile_approx(key, [i / coarse for i in range(1, coarse)] or [0.5], 10_000)).first()[0]
-        knots = sorted({row.low, *points, row.high + 1})
-        return cls(knots, math.ceil(wanted / coarse))
+        some = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).orderBy(F.xxhash64(F.col(key), size), key).limit(SAMPLED * coarse)
+        ids = sorted(r.key for r in some.collect())  # the rows with the smallest hashes: exact ids, the same in every run
+        points = [ids[i * len(ids) // coarse] for i in range(1, coarse)]
+        made = cls(sorted({row.low, *points}), math.ceil(wanted / coarse))
+        made.high = row.high
+        return made
 
     def number(self, key: Column) -> Column:
         if not self.knots:
             return F.lit(0)
-        inner = F.lit([float(k) for k in self.knots[1:-1]]) if len(self.knots) > 2 else F.array().cast("array<double>")
-        at = F.size(F.filter(inner, lambda b: b <= key))
-        low = F.element_at(F.lit([float(k) for k in self.knots]), at + 1)
-        high = F.element_at(F.lit([float(k) for k in self.knots]), at + 2)
-        part = F.floor((key - low) / (high - low) * self.fine)
+        whole = all(isinstance(k, int) for k in self.knots)
+        kind = "bigint" if whole else "double"
+        knots = F.array(*(F.lit(k) for k in self.knots)).cast(f"array<{kind}>")
+        ends = [*self.knots[1:], self.high]
+        widths = F.array(*(F.lit(float(b - a + (1 if whole and i == len(ends) - 1 else 0)) or 1.0) for i, (a, b) in enumerate(zip(self.knots, ends))))
+        steps = [1 << k for k in reversed(range(len(self.knots).bit_length()))]
+        reached = lambda at, step: F.coalesce(F.get(knots, at + step) <= key, F.lit(False))
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
+        exact = "decimal(20,0)" if whole else "double"
+        beyond = (key.cast(exact) - F.get(knots, at).cast(exact)).cast("double")
+        part = F.floor(beyond / F.get(widths, at) * self.fine)
         part = F.least(F.greatest(part, F.lit(0)), F.lit(self.fine - 1))
         return F.coalesce(at * self.fine + part, F.lit(0)).cast("int")
