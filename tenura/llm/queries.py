@@ -168,7 +168,7 @@ TOKENS = "byte_bpe_50k.json"
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     written = storage.new_folder(spark, "token-ids")
     token_files.write(documents(spark, folder), written, public_tokenizers.path(TOKENS))
-    placed = token_files.positions(token_files.digests(spark, written))
+    placed = token_files.positions(token_files.digests(spark, written), token_files.metadata(spark, written))
     return placed.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

@@ -26,7 +26,10 @@ rows; columns named in `keep` that clash with a column of the files come back wi
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -43,31 +46,133 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 ENCODINGS = ("dictionary", "delta")
+KNOWN_PIECES = 1 << 20  # beyond, a worker forgets the pieces it has met once
 _LOADED: dict = {}
 
 
-def _tokenizer(path: str):
-    """The library's tokenizer, read once in each worker process; batches are encoded by one thread."""
-    if path not in _LOADED:
+def _latin_pieces() -> re.Pattern:
+    """The byte-level split for texts below U+0250, whose letters and numbers are the same in every library."""
+    kinds: dict[str, str] = {"L": "", "N": "", "O": ""}
+    for c in map(chr, range(0x250)):
+        kind = unicodedata.category(c)[0]
+        if not c.isspace():
+            kinds[kind if kind in "LN" else "O"] += re.escape(c)
+    runs = "|".join(f" ?[{chars}]+" for chars in kinds.values())
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{runs}|\s+(?!\S)|\s+")
+
+
+class Encoder:
+    """The library's tokenizer, with the ids of the pieces it has met.
+
+    A byte-level tokenizer without normaliser cuts a text into pieces (words with the blank before them, numbers,
+    punctuation, white space) and encodes each by itself. So a text of Latin letters is cut here, equal pieces are
+    encoded once by the library, and the ids are laid out by numpy. Any other text (other letters, separators of
+    ASCII, special tokens), and all texts of other tokenizers, are encoded whole.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        split = made.get("pre_tokenizer") or {}
+        self.by_pieces = (
+            made.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+            and not split.get("add_prefix_space") and (made.get("model") or {}).get("dropout") is None
+        )
+        self.marks = [t["content"] for t in made.get("added_tokens") or []]
+        self.foreign = re.compile("[^\0-\x1b -\u024f]").search
+        self.cut = _latin_pieces().findall
+        self.word = re.compile(" [^\\W\\d_]+")
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has one character a byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
+        self.numbers: dict[str, int] = {}
+        self.sizes, self.values = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the pieces met twice or more; all go if that does not help."""
+        keep = np.flatnonzero(self.met > 1) if (self.met > 1).sum() < KNOWN_PIECES // 2 else np.zeros(0, np.int64)
+        names = list(self.numbers)
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[keep]
+        self.values = self.values[_spans(starts[keep], sizes)]
+        self.numbers = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.sizes, self.met = sizes, np.zeros(len(keep), np.int32)
+
+    def _is_foreign(self, text: str) -> bool:
+        return not self.by_pieces or self.foreign(text) is not None or any(m in text for m in self.marks)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Words go to the library together: each keeps its blank, so the ids part where the bytes do."""
+        words, others = [], []
+        for p in pieces:
+            (words if self.word.fullmatch(p) else others).append(p)
+        sizes, values = [self.sizes], [self.values]
+        for a in range(0, len(words), 10_000):
+            part = words[a : a + 10_000]
+            ids = np.array(self._encode(["".join(part)])[0], np.int32)
+            ends = np.cumsum([len(w.encode()) for w in part])
+            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
+            sizes.append(np.diff(at, prepend=-1).astype(np.int32))
+            values.append(ids)
+        for a in range(0, len(others), 10_000):
+            found = self._encode(others[a : a + 10_000])
+            sizes.append(np.array([len(f) for f in found], np.int32))
+            values.append(np.array([i for f in found for i in f], np.int32))
+        self.numbers.update(zip(words + others, range(len(self.numbers), len(self.numbers) + len(pieces))))
+        self.sizes, self.values = np.concatenate(sizes), np.concatenate(values)
+        self.met = np.append(self.met, np.zeros(len(pieces), np.int32))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        cut: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            if self._is_foreign(text):
+                out[i] = np.array(self._encode([text])[0], np.int32)  # one at a time: it may be long
+            else:
+                cut[i] = self.cut(text)
+        if len(self.numbers) > KNOWN_PIECES:
+            self._forget()
+        new = set().union(*cut.values()) - self.numbers.keys() if cut else ()
+        if new:
+            self._learn(sorted(new))
+        starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        for i, pieces in cut.items():
+            number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
+            out[i] = self.values[_spans(starts[number], self.sizes[number])]
+            self.met[number] += 1  # once for each text
+        return out
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes of consecutive spans, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total, dtype=np.int32) + np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+
+
+def _encoder(path: str) -> Encoder:
+    """Read once in each worker process."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
 def _encoded(path: str, end: int, keep: tuple[str, ...]):
     def run(batches):
-        tokenizer = _tokenizer(path)
+        encoder = _encoder(path)
         number, begin = TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches, 500):
-            found = tokenizer.encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)
-            lists = [e.ids for e in found]
+        for batch in small_batches(batches, 200):
+            lists = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             sizes = np.array([len(x) + 1 for x in lists], np.int64)
             ends = np.cumsum(sizes)
-            values = np.full(int(ends[-1]), end, np.int32)
-            for own, stop in zip(lists, ends.tolist()):
-                values[stop - 1 - len(own) : stop - 1] = own
+            last = np.array([end], np.int32)
+            values = np.concatenate([part for own in lists for part in (own, last)])
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values))
             out = [batch.column("key"), pa.array(np.full(len(lists), number, np.int32)), pa.array(begin + ends - sizes), pa.array(sizes), ids]
             yield pa.RecordBatch.from_arrays(out + [batch.column(c) for c in keep], ["key", "slice", "begin", "n_tokens", "ids", *keep])
@@ -117,9 +222,11 @@ def tokens(spark: SparkSession, folder: str, low=None, high=None) -> DataFrame:
     return rows if high is None else rows.where(F.col("key") <= high)
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """Rows of whole files (slice, begin, n_tokens, ...) with `start`: ids of all documents before each."""
-    sizes = rows.groupBy("slice").agg(F.max(F.col("begin") + F.col("n_tokens")).alias("_size"))
+def positions(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`rows` of the files (slice, begin, ...) with `start`: ids of all documents before each. `files` is their
+    `metadata`, which gives the files' sizes.
+    """
+    sizes = files.groupBy("slice").agg(F.max(F.col("begin") + F.col("n_tokens")).alias("_size"))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     offsets = sizes.select("slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     return rows.join(offsets, "slice").withColumn("start", F.col("_before") + F.col("begin")).drop("_before")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -19,7 +20,7 @@ from conftest import SF_CHECK, SF_SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenura.llm import html, licenses, phrases, queries, runs, storage, token_files
+from tenura.llm import fuzzy, html, licenses, phrases, queries, runs, storage, substrings, texts, token_files
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, slice int, begin string, key string, runs string, n string, total string"
@@ -56,12 +57,25 @@ def test_token_files_against_one_pass(spark, monkeypatch):
     assert sorted(got) == brute_tokens(rows)
 
 
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 300)
+    encoder, library = token_files.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    assert encoder.by_pieces
+    rng = random.Random(11)
+    parts = ["a", "²", "½", "ª", "_", "don", "\xa0", "ʼ", "ŭ", "-", "'ll", "foo", "don't", "'s", "\n", "\t", " ", "  ", "é", "12", "...", "<|endoftext|>", "!", "\r\n", "x1y", "\x85", "日本", "\x1c", "\u200b", "\u180e"]
+    for _ in range(40):
+        words = [f"q{rng.choice('abcdef')}{'xyz'[rng.randrange(3)] * rng.randrange(9)}" for _ in range(60)]
+        texts = ["".join(rng.choice(parts + words) for _ in range(rng.randrange(14))) for _ in range(100)]
+        assert [x.tolist() for x in encoder.ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.numbers) < 2_000
+
+
 @pytest.mark.parametrize("ids", token_files.ENCODINGS)
 def test_token_files_of_odd_rows(spark, ids):
     folder = storage.new_folder(spark, "odd")
     odd = table(spark, ODD)
     token_files.write(odd, folder, VOCABULARY, keep=("lang", "slice", "begin"), ids=ids, file_bytes=4_000, page_rows=3)
-    rows = token_files.positions(token_files.tokens(spark, folder)).orderBy("start").collect()
+    rows = token_files.positions(token_files.tokens(spark, folder), token_files.metadata(spark, folder)).orderBy("start").collect()
     assert [r.key for r in rows] == sorted((r[0] for r in ODD), key=lambda k: (k is not None, k))
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
     tokenizer = Tokenizer.from_file(VOCABULARY)
@@ -72,7 +86,7 @@ def test_token_files_of_odd_rows(spark, ids):
     assert digests == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in expected}
     empty = storage.new_folder(spark, "empty")
     token_files.write(odd.limit(0), empty, VOCABULARY)
-    assert token_files.positions(token_files.digests(spark, empty)).count() == 0
+    assert token_files.positions(token_files.digests(spark, empty), token_files.metadata(spark, empty)).count() == 0
     with pytest.raises(ValueError):
         token_files.write(odd, folder + "-x", VOCABULARY, ids="plain")
 
@@ -344,3 +358,51 @@ def _whole(words, name):
 def test_no_signature_without_templates(spark):
     with pytest.raises(ValueError):
         licenses.scan(table(spark, ODD), {})
+
+
+# ---- slices of any ids, periodic texts -----------------------------------------------------------
+def test_slices_of_extreme_ids(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "SLICE_BYTES", 300)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 300)
+    rng = random.Random(2)
+    shared = " ".join(f"w{i}" for i in range(30))
+    for base in (0, 2**60, 2**63 - 70, -(2**63), -(2**60), None):
+        if base is None:  # clusters far apart, and the two ends
+            ids = sorted({-(2**63), 2**63 - 1, *range(5, 30), *range(2**55, 2**55 + 25), *(rng.randrange(-(2**62), 2**62) for _ in range(10))})
+        else:
+            ids = [base + i for i in range(60)]
+        rows = [(i, f"{shared} t{k % 7} " + " ".join(f"x{rng.randrange(99)}" for _ in range(rng.randrange(40))), "en") for k, i in enumerate(ids)]
+        docs = table(spark, rows)
+        slices = texts.Slices.of(docs, "doc_id", F.octet_length("text"), 300)
+        placed = [r[0] for r in docs.orderBy("doc_id").select(slices.number(F.col("doc_id"))).collect()]
+        assert placed == sorted(placed) and 0 <= placed[0] and placed[-1] < slices.count and len(set(placed)) > 10
+        got = {r.key: r for r in fuzzy.edited_neighbours(docs).collect()}
+        by_id = {i: t for i, t, _ in rows}
+        for k, i in enumerate(ids):
+            following = by_id[ids[k - 1]]
+            edited = fuzzy.edit(by_id[i], following)
+            assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert got[i].near_next == fuzzy.likeness(fuzzy.fingerprint(by_id[i].encode()), fuzzy.fingerprint(following.encode()))
+        removed = {r.key: r.n_removed for r in substrings.repeats(docs).collect()}
+        seen, expected = set(), {}
+        for i in ids:
+            words = by_id[i].split()
+            gone = [False] * len(words)
+            for a in range(len(words) - 19):
+                own = tuple(words[a : a + 20])
+                if own in seen:
+                    gone[a : a + 20] = [True] * 20
+                seen.add(own)
+            expected[i] = sum(gone)
+        assert removed == expected
+
+
+def test_long_periodic_texts_are_compared_quickly():
+    for period in ("the same line again\n", "a", "one line of it\nand another one, longer than that\n"):
+        text = (period * (5_000_000 // len(period))).encode()
+        other = text[: len(text) * 2 // 3] + b"quite another line to end with\n" * (len(text) // 93)
+        one, two = fuzzy.fingerprint(text), fuzzy.fingerprint(other)
+        start = time.perf_counter()
+        near = fuzzy.likeness(one, two)
+        assert time.perf_counter() - start < 1.0 and 0 <= near <= 1 and fuzzy.likeness(one, one) == 1
+    assert fuzzy.shortened("ABABABABABAB") == "ABABAB" and fuzzy.shortened("xAAAAAy") == "xAAAy" and fuzzy.shortened("ABCABC") == "ABCABC"

@@ -449,7 +449,7 @@ def test_near_copies_at_many_similarities(spark):
     """Recall against brute force on pairs that are no exact copies; a large group of near copies stays one."""
     rng = random.Random(12)
     rows = []
-    for g in range(150):
+    for _ in range(150):
         base = [f"w{rng.randrange(4_000)}" for _ in range(rng.choice([30, 120, 400]))]
         rows.append(base)
         for _ in range(2):
