@@ -12,7 +12,7 @@ shard that the triangle inequality cannot rule out, i.e. those whose border is w
 radius. Inside a shard the tree goes on in numpy; pairs are checked on all 64 bits. A shard returns
 a spanning forest of its links, never all pairs, and components are found from those forests.
 
-`near_copies` and `keep_one` are for the wider question of similar texts: 256-bit fingerprints over the same trees, and
+`near_copies` and `keep_one` are for the wider question of similar texts: 384-bit fingerprints over the same trees, and
 exact Jaccard similarity of the pairs found.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows with
@@ -222,13 +222,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 # ---- near copies by exact Jaccard similarity ----------------------------------------------------
 # A 64-bit fingerprint within 4 bits finds hardly any pair of similarity 0.8 (10 bits apart on average), so
-# near copies have wide fingerprints: 4 words of 64 bits, 12 fields of 21 or 22 bits. A pair of similarity J differs in
-# a share acos(2 J / (1 + J)) / pi of its bits, and some field is within 1 bit with a probability of 0.87 at J = 0.8, 0.95 at
-# 0.85 and 0.99 at 0.9. Same trees, one set for each field.
-WIDE = 4
+# near copies have wide fingerprints: 6 words of 64 bits, 18 fields of 21 or 22 bits. A pair of similarity J differs in
+# a share acos(2 J / (1 + J)) / pi of its bits, and some field is within 1 bit with a probability of 0.95 at J = 0.8, 0.99 at
+# 0.85 and 0.999 at 0.9. Same trees, one set for each field.
+WIDE = 6
 WIDE_SHINGLE = 5
 WIDE_REACH = 1
-WIDE_RADIUS = 48  # of 256 bits: the mean at J = 0.8 and 1.6 standard deviations
+WIDE_RADIUS = 80  # of 384 bits: the mean at J = 0.8 and three standard deviations; closer pairs are verified
 LEAST = 0.8
 
 

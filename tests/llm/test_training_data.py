@@ -464,7 +464,7 @@ def test_near_copies_at_many_similarities(spark):
     assert all(groups[a] == groups[b] for a, b in exact) and len({groups[i] for i in range(450, 850)}) == 1
     assert (groups[9_001], groups[9_003], groups[9_004]) == (9_000, 9_002, 9_004)
     joined = simhash.Forest(len(rows))
-    for a, b in near:
+    for a, b in [*near, *(p for p in exact if p[1] < 9_000)]:
         joined.join(np.array([a]), np.array([b]))
     assert all(joined.root[i] == joined.root[c] for i, c in groups.items() if i < 9_000)
 
