@@ -6,6 +6,8 @@ of byte * base**position modulo 2**64, so a batch is hashed without a loop over
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from functools import lru_cache
 
@@ -13,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenura.llm.sampling import bounded_by_hash
+
 CHUNK_BYTES = 1 << 20
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 SPACE = np.zeros(256, bool)
@@ -122,6 +126,19 @@ def clear_of(names: tuple[str, ...] | list[str], taken: set[str]) -> list[str]:
 MAX_KNOTS, SAMPLED = 4_096, 32
 
 
+def sampled_ids(df: DataFrame, key: str, size: Column, n: int, bound: int) -> DataFrame:
+    """(key, count) of about `bound` of the `n` rows, those with a small hash of id and size: the same in every run."""
+    hashed = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(key), size).alias("hash"))
+    return bounded_by_hash(hashed, F.col("hash"), n, bound).groupBy("key").count()
+
+
+def borders(df: DataFrame, key: str, size: Column, n: int, parts: int) -> list:
+    """Ids that cut `n` rows into about equal `parts`. A sampled id comes to the driver once, and nothing else of its rows."""
+    ids = sorted(tuple(r) for r in sampled_ids(df, key, size, n, SAMPLED * parts).collect())
+    ends = list(itertools.accumulate(count for _, count in ids))
+    return [ids[bisect.bisect_right(ends, i * ends[-1] // parts)][0] for i in range(1, parts)] if ids else []
+
+
 class Slices:
     """A monotone map from an id to a slice number below `count`, about equal in rows.
 
@@ -136,16 +153,13 @@ class Slices:
     @classmethod
     def of(cls, df: DataFrame, key: str, size: Column, target: int, most: int | None = None) -> Slices:
         """Slices of about `target` units of the summed `size`; larger ones where that makes over `most`."""
-        row = df.agg(F.sum(size).alias("total"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+        row = df.agg(F.sum(size).alias("total"), F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n")).first()
         wanted = max(1, math.ceil((row.total or 0) / target))
         wanted = wanted if most is None else min(wanted, most)
         if row.low is None or row.low == row.high or wanted == 1:
             return cls([], 1)
         coarse = min(wanted, MAX_KNOTS)
-        some = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).orderBy(F.xxhash64(F.col(key), size), key).limit(SAMPLED * coarse)
-        ids = sorted(r.key for r in some.collect())  # the rows with the smallest hashes: exact ids, the same in every run
-        points = [ids[i * len(ids) // coarse] for i in range(1, coarse)]
-        made = cls(sorted({row.low, *points}), math.ceil(wanted / coarse))
+        made = cls(sorted({row.low, *borders(df, key, size, row.n, coarse)}), math.ceil(wanted / coarse))
         made.high = row.high
         return made
 

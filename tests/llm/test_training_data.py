@@ -321,6 +321,25 @@ def test_slices_keep_the_order(spark):
     assert numbers == sorted(numbers) and len(set(numbers)) > 100 and max(numbers) < slices.count
 
 
+def test_slice_borders_bring_ids_to_the_driver_and_no_texts(spark, monkeypatch):
+    rows = spark.range(4_000).select(F.when(F.col("id") < 1_500, 7).otherwise(F.col("id")).alias("k"), F.repeat(F.lit("x"), 500).alias("text"))
+    sample = texts.sampled_ids(rows, "k", F.octet_length("text"), 4_000, 400)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert sample.columns == ["key", "count"] and "TakeOrdered" not in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "text" in x]
+    assert 100 < sample.count() < 700
+    # an id that a third of the rows have is one border; the others are about even
+    points = texts.borders(rows, "k", F.octet_length("text"), 4_000, 40)
+    others = sorted(set(points) - {7})
+    assert len(others) > 15 and max(b - a for a, b in zip(others, others[1:])) < 400
+    # the jobs of the whole cut send less than the texts hold
+    seen = []
+    real = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: seen.append(df.columns) or real(df))
+    slices = texts.Slices.of(rows, "k", F.octet_length("text"), 20_000)
+    assert slices.count > 15 and seen and all("text" not in c for c in seen)
+
+
 # ---- licenses ------------------------------------------------------------------------------------
 def test_license_scan_of_odd_rows(spark, odd, none):
     text = licenses.TEMPLATES["MIT"]
