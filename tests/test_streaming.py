@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime
+import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tenura.queries.service import prediction_events
@@ -116,3 +118,31 @@ def test_a_replayed_batch_changes_nothing(spark):
     again = spark.range(20, 30).withColumn("p", F.col("id") / 100)  # as after a crash between write and commit
     monitoring.publish_batch(again, f"{folder}/table", 2)
     assert sorted(tuple(r) for r in monitoring.published(spark, f"{folder}/table", out.schema).collect()) == [(i, i / 100) for i in range(30)]
+
+
+def test_exact_latency_quantiles_share_events_between_windows(spark, monkeypatch):
+    rows = spark.range(5_000).selectExpr(
+        "IF(id % 501 = 0, NULL, CAST(timestamp_micros(1704110395000000 + id * id % 9000 * 1000000 - IF(id = 7, 1800000000000000, 0)) AS TIMESTAMP_NTZ)) AS ts",
+        "CASE WHEN id % 97 = 0 THEN NULL WHEN id % 89 = 0 THEN CAST('NaN' AS DOUBLE) WHEN id % 83 = 0 THEN -0D ELSE CAST(id * 7919 % 601 AS DOUBLE) / 7 END AS latence",
+    ).cache()
+    assert monitoring._dealt(rows, "latence").count() < 1.3 * rows.count()  # not once for each of ten windows
+    given = {}
+    for r in rows.where("ts IS NOT NULL").collect():
+        tick = math.floor((r.ts - datetime.datetime(1970, 1, 1)).total_seconds() / 30)
+        for start in range(tick - 9, tick + 1):
+            given.setdefault(datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=30 * start), []).append(r.latence)
+    expected = {}
+    for start, all_values in given.items():
+        values = sorted((v + 0.0 for v in all_values if v is not None), key=lambda v: (math.isnan(v), v))
+        if values:
+            places = [p * (len(values) - 1) for p in (0.5, 0.95, 0.99)]
+            ends = [(values[math.floor(x)], values[math.ceil(x)], x - math.floor(x)) for x in places]
+            expected[start] = (len(all_values), [a + (b - a) * f if f > 0 else a for a, b, f in ends])
+    for limit in (1 << 20, 0, 80):  # in blocks, in ordered slices, and both
+        monkeypatch.setattr(monitoring, "BLOCK_ROWS", limit)
+        got = {r.debut: r for r in monitoring.latency_quantiles_exact(rows).collect()}
+        assert got.keys() == expected.keys()
+        for start, (n, q) in expected.items():
+            r = got[start]
+            assert r.n == n and r.fin - r.debut == datetime.timedelta(minutes=5)
+            assert [r.p50, r.p95, r.p99] == pytest.approx(q, nan_ok=True)
