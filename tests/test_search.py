@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tenura.functions import maths
 from tenura.operators import many, metrics, ml, search
 from tenura.plans import scoring
 from tenura.sources import files
@@ -141,3 +142,38 @@ def test_the_gate_refuses_a_weak_model(spark, rows):
         scoring.save_model(scorer, report, path)
     with pytest.raises(Exception):  # noqa: B017 - nothing was stored
         scoring.load_model(spark, path)
+
+
+def test_permutation_importance_pairs_two_keyed_orders_in_a_plan_of_one_size(rows, spark):
+    df = rows.select("k", "y", "a", "b", "c")
+    score = lambda d: d.withColumn("p", 1 / (1 + F.exp(F.col("b") - 2 * F.coalesce("a", F.lit(0.0)))))
+    sizes = []
+    for repeats in (2, 9):
+        out = ml.permutation_importance(df, score, "y", "k", ["a", "b", "c"], repeats, seed=3)
+        sizes.append(out._jdf.queryExecution().optimizedPlan().toString().count("Window"))
+    assert sizes[0] == sizes[1]
+    got = {r.variable: r for r in ml.permutation_importance(df, score, "y", "k", ["a", "b", "c"], 3, seed=3).collect()}
+    draws = [maths.uniform(F.col("k"), 3 + i).alias(f"d{i}") for i in range(6)]
+    given = df.select("*", *draws).collect()
+
+    def precision(values):
+        scored = sorted(((1 / (1 + np.exp(b - 2 * (a or 0.0))), y) for a, b, y in values), reverse=True)
+        hits = np.cumsum([y for _, y in scored])
+        return sum(hits[i] / (i + 1) for i, (_, y) in enumerate(scored) if y) / hits[-1]
+
+    base = precision([(r.a, r.b, r.y) for r in given])
+    for column in ("a", "b", "c"):
+        drops = []
+        for r in range(3):
+            here, there = (sorted(given, key=lambda x: x[f"d{2 * r + i}"]) for i in (0, 1))
+            swapped = [(o.a if column == "a" else x.a, o.b if column == "b" else x.b, x.y) for x, o in zip(here, there)]
+            drops.append(base - precision(swapped))
+        assert got[column].importance == pytest.approx(np.mean(drops), abs=1e-9)
+        assert got[column].ecart_type == pytest.approx(np.std(drops, ddof=1), abs=1e-9)
+
+
+def test_retraining_encodes_written_folds(rows, monkeypatch):
+    plans, real = [], many.encode
+    monkeypatch.setattr(many, "encode", lambda df, *args: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *args))
+    _, report = scoring.retrain(rows.select("k", "y", "a", "b", "c"), "y", "k", least=0.0)
+    assert report.first().promu and plans and "Window" not in plans[0] and "Relation" in plans[0]
