@@ -98,7 +98,8 @@ def retrain(
     train = split.where("part = 'train'").drop("part")
     test = split.where("part = 'test'").drop("part")
     numeric, categorical = ml.default_inputs(train, label, key)
-    encoded = many.encode(repeated_stratified_folds(train, label, key), label, key, numeric, categorical, ["pli_0"])
+    folds = materialise(repeated_stratified_folds(train, label, key), "retrain-folds")  # encoding reads them once for each label column
+    encoded = many.encode(folds, label, key, numeric, categorical, ["pli_0"])
     scored = many.held_out_scores(encoded, many.fit(encoded, many.fold_specs(["pli_0"], 5)))
     watch = metrics.threshold_for_recall(scored.select("y", "p")).first()["seuil"]
     scorer = ml.fit_logistic(train, label, numeric, categorical)
