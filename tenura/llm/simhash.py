@@ -12,8 +12,8 @@ shard that the triangle inequality cannot rule out, i.e. those whose border is w
 radius. Inside a shard the tree goes on in numpy; pairs are checked on all 64 bits. A shard returns
 a spanning forest of its links, never all pairs, and components are found from those forests.
 
-`near_copies` and `keep_one` are for the wider question of similar texts: 384-bit fingerprints over the same trees, and
-exact Jaccard similarity of the pairs found.
+`near_copies` and `keep_one` are for the wider question of similar texts: 384-bit fingerprints, shards by halves of their
+fields, and exact Jaccard similarity of the pairs found.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows with
 one id count once; null ids take part in nothing and come back with a null component.
@@ -224,10 +224,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 # A 64-bit fingerprint within 4 bits finds hardly any pair of similarity 0.8 (10 bits apart on average), so
 # near copies have wide fingerprints: 6 words of 64 bits, 18 fields of 21 or 22 bits. A pair of similarity J differs in
 # a share acos(2 J / (1 + J)) / pi of its bits, and some field is within 1 bit with a probability of 0.95 at J = 0.8, 0.99 at
-# 0.85 and 0.999 at 0.9. Same trees, one set for each field.
+# 0.85 and 0.999 at 0.9. Shards by halves of a field: two rows a field for each text, at any size, where visitors of the
+# trees above grow faster than the table.
 WIDE = 6
 WIDE_SHINGLE = 5
 WIDE_REACH = 1
+WIDE_DEPTH = 10  # bits of the smaller half: 1 024 shards a half, of SHARD_ROWS nodes up to 8 * 10**6 nodes and larger beyond
 WIDE_RADIUS = 80  # of 384 bits: the mean at J = 0.8 and three standard deviations; closer pairs are verified
 LEAST = 0.8
 
@@ -337,13 +339,22 @@ def wide_search(prints: np.ndarray, part: np.ndarray, points: np.ndarray, visito
                 forest.join(i[few], j[few])
 
 
+def half_shards(values: np.ndarray, bits: int, half: int, depth: int) -> np.ndarray:
+    """Shard of each field value by its lower or upper half. Values within one bit agree in one half at least."""
+    low = bits // 2
+    own, size = (values & np.uint64((1 << low) - 1), low) if half == 0 else (values >> np.uint64(low), bits - low)
+    spread = own * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << size) - 1)  # one to one; frequent values part
+    return (spread >> np.uint64(size - depth)).astype(np.int32)
+
+
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes (node, fp) to be verified; of each shard a spanning forest of its near pairs."""
+    """(a, b): pairs of nodes (node, fp) to be verified; of each shard a spanning forest of its near pairs.
+
+    A node goes to two shards a field, one for each half of the field's bits, whatever the number of nodes; to one
+    where a field has one shard.
+    """
     n = nodes.count()
-    depth = min(MAX_DEPTH, max(0, (max(1, n) // SHARD_ROWS).bit_length()))
-    rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << depth) if depth else 0).collect()
-    known = np.frombuffer(b"".join(bytes(r.fp) for r in rows), "<u8").reshape(-1, WIDE)
-    trees = [grow(wide_fields(known, i), depth) for i in range(WIDE * len(FIELDS))]
+    depth = min(WIDE_DEPTH, max(0, (max(1, n) // SHARD_ROWS).bit_length()))
 
     def prints_of(column) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
@@ -351,25 +362,24 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 5_000):
             prints = prints_of(batch.column("fp"))
-            for i, tree in enumerate(trees):
-                rows, shard, home = shards_of(tree, wide_fields(prints, i), WIDE_REACH)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), i, np.int32)), pa.array(shard.astype(np.int32)),
-                     batch.column("node").take(pa.array(rows)), batch.column("fp").take(pa.array(rows)), pa.array(home)],
-                    ["field", "shard", "node", "fp", "home"],
-                )
+            for i in range(WIDE * len(FIELDS)):
+                for half in range(2 if depth else 1):
+                    shard = half_shards(wide_fields(prints, i), FIELDS[i % len(FIELDS)][1], half, depth) * 2 + half
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(prints), i, np.int32)), pa.array(shard.astype(np.int32)), batch.column("node"), batch.column("fp")],
+                        ["field", "shard", "node", "fp"],
+                    )
 
     def shard(key, table):
         prints = prints_of(table.column("fp"))
-        node = table.column("node").to_numpy()
-        home = table.column("home").to_numpy(zero_copy_only=False)
+        node, every = table.column("node").to_numpy(), np.arange(table.num_rows)
         forest = LinkedForest(len(node))
-        wide_search(prints, wide_fields(prints, key[0].as_py()), np.flatnonzero(home), np.arange(len(node)), forest)
+        wide_search(prints, wide_fields(prints, key[0].as_py()), every, every, forest)
         links = np.concatenate(forest.links) if forest.links else np.zeros((0, 2), np.int64)
         a, b = node[links[:, 0]], node[links[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = nodes.select("node", "fp").mapInArrow(deal, "field int, shard int, node long, fp binary, home boolean")
+    dealt = nodes.select("node", "fp").mapInArrow(deal, "field int, shard int, node long, fp binary")
     return dealt.groupBy("field", "shard").applyInArrow(shard, "a long, b long").distinct()
 
 

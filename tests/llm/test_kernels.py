@@ -66,6 +66,18 @@ def test_vantage_point_search_is_exact():
     assert got.root.tolist() == expected.root.tolist()
 
 
+def test_half_shards_bring_values_within_one_bit_together():
+    rng = np.random.default_rng(5)
+    for _, bits in simhash.FIELDS:
+        values = rng.integers(0, 1 << bits, 300, dtype=np.uint64)
+        for depth in (1, 5, simhash.WIDE_DEPTH):
+            own = [simhash.half_shards(values, bits, h, depth) for h in range(2)]
+            assert all(x.min() >= 0 and x.max() < 1 << depth for x in own)
+            for bit in range(bits):
+                other = [simhash.half_shards(values ^ np.uint64(1 << bit), bits, h, depth) for h in range(2)]
+                assert ((own[0] == other[0]) | (own[1] == other[1])).all()
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))

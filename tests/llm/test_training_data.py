@@ -488,6 +488,30 @@ def test_near_copies_at_many_similarities(spark):
     assert all(joined.root[i] == joined.root[c] for i, c in groups.items() if i < 9_000)
 
 
+def test_wide_fingerprints_go_to_two_shards_a_field_at_most(spark, monkeypatch):
+    """Rows to be shuffled do not grow with the number of shards, and links within one bit of a field are found in any shards."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (400, simhash.WIDE), dtype=np.uint64)
+    twin = base.copy()
+    for i in range(len(twin)):
+        word, bit = divmod(int(rng.integers(0, 64 * simhash.WIDE)), 64)
+        twin[i] = rng.integers(0, 1 << 63, simhash.WIDE, dtype=np.uint64) if i % 4 == 0 else twin[i]
+        twin[i, word] ^= np.uint64(1 << bit)
+    made = [(i, bytearray(fp.tobytes())) for i, fp in enumerate(np.concatenate((base, twin)))]
+    nodes = spark.createDataFrame(made, "node long, fp binary")
+    expected = {(i, i + 400) for i in range(400) if i % 4}
+    dealt = []
+    for rows in (8_192, 50, 5):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
+        seen = spark.sparkContext.accumulator(0)
+        real = simhash.wide_search
+        monkeypatch.setattr(simhash, "wide_search", lambda prints, *a: (seen.add(len(prints)), real(prints, *a))[1])
+        assert {(r.a, r.b) for r in simhash.wide_links(nodes).collect()} == expected
+        monkeypatch.setattr(simhash, "wide_search", real)
+        dealt.append(seen.value)
+    assert dealt[0] == 18 * 800 and dealt[1] == dealt[2] == 36 * 800
+
+
 def test_pipeline_columns_named_as_helpers(spark):
     names = ("_lang", "_score", "_copy", "_rate", "_id", "_digest", "lang_pred", "score", "_0", "id", "copy", "rate", "digest", "component_id")
     now = table(spark, [r for r in ODD if r[0] in (5, 8, 11)] + [(20, "The story of the house on the hill is that of the man and his dog", "en")])
