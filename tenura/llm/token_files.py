@@ -34,11 +34,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenura.llm.texts import clear_of, small_batches
+from tenura.llm.texts import chunks, clear_of, small_batches
 
 END = 0
 FILE_BYTES = 32 << 20  # of text, about
@@ -47,6 +48,9 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 ENCODINGS = ("dictionary", "delta")
 KNOWN_PIECES = 1 << 20  # beyond, a worker forgets the pieces it has met once
+BATCH_BYTES = 4 << 20  # of texts encoded together
+INNER_BLANK = r"[\t-\r \x{85}\x{a0}] ([\t-\r \x{85}\x{a0}]|\z)"  # a blank between white space, or at its end
+STRETCH = r"\A[^\t-\r \x{85}\x{a0}]"
 _LOADED: dict = {}
 
 
@@ -61,6 +65,26 @@ def _latin_pieces() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{runs}|\s+(?!\S)|\s+")
 
 
+class _Numbers(dict):
+    """Numbers of pieces, in the order in which they are met; `fresh` has those that are not encoded yet."""
+
+    def __init__(self, names: list[str]) -> None:
+        super().__init__(zip(names, range(len(names))))
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
+def _with_room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with zeros after it, up to `size` at least; its length doubles, so many small additions cost little."""
+    if size <= len(array):
+        return array
+    return np.concatenate((array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)))
+
+
 class Encoder:
     """The library's tokenizer, with the ids of the pieces it has met.
 
@@ -68,6 +92,9 @@ class Encoder:
     punctuation, white space) and encodes each by itself. So a text of Latin letters is cut here, equal pieces are
     encoded once by the library, and the ids are laid out by numpy. Any other text (other letters, separators of
     ASCII, special tokens), and all texts of other tokenizers, are encoded whole.
+
+    A piece also begins wherever a blank follows anything but white space, or comes before anything but it. Texts in which
+    this holds for each blank are first split at blanks by Arrow, and only the different stretches of a batch are cut.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,18 +115,20 @@ class Encoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has one character a byte
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
-        self.numbers: dict[str, int] = {}
-        self.sizes, self.values = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.met = np.zeros(0, np.int32)
+        self.numbers = _Numbers([])
+        self.starts, self.sizes, self.met = (np.zeros(0, np.int32) for _ in range(3))  # by number, with room
+        self.values, self.filled = np.zeros(0, np.int32), 0
 
     def _forget(self) -> None:
-        """Keep the pieces met twice or more; all go if that does not help."""
-        keep = np.flatnonzero(self.met > 1) if (self.met > 1).sum() < KNOWN_PIECES // 2 else np.zeros(0, np.int64)
-        names = list(self.numbers)
-        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[keep]
-        self.values = self.values[_spans(starts[keep], sizes)]
-        self.numbers = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.sizes, self.met = sizes, np.zeros(len(keep), np.int32)
+        """Keep the pieces met in two batches or more; all go if that does not help."""
+        n = len(self.numbers)
+        often = self.met[:n] > 1
+        keep = np.flatnonzero(often) if often.sum() < KNOWN_PIECES // 2 else np.zeros(0, np.int64)
+        names, sizes = list(self.numbers), self.sizes[keep]
+        self.values = self.values[_spans(self.starts[keep], sizes)]
+        self.filled = len(self.values)
+        self.numbers = _Numbers([names[i] for i in keep.tolist()])
+        self.starts, self.sizes, self.met = np.cumsum(sizes, dtype=np.int32) - sizes, sizes, np.zeros(len(keep), np.int32)
 
     def _is_foreign(self, text: str) -> bool:
         return not self.by_pieces or self.foreign(text) is not None or any(m in text for m in self.marks)
@@ -107,47 +136,92 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self) -> None:
         """Words go to the library together: each keeps its blank, so the ids part where the bytes do."""
-        words, others = [], []
-        for p in pieces:
-            (words if self.word.fullmatch(p) else others).append(p)
-        sizes, values = [self.sizes], [self.values]
+        pieces, self.numbers.fresh = self.numbers.fresh, []
+        first = len(self.numbers) - len(pieces)
+        is_word = np.fromiter((self.word.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        words, others = np.flatnonzero(is_word), np.flatnonzero(~is_word)
+        sizes, values = [], []
         for a in range(0, len(words), 10_000):
-            part = words[a : a + 10_000]
+            part = [pieces[i] for i in words[a : a + 10_000].tolist()]
             ids = np.array(self._encode(["".join(part)])[0], np.int32)
             ends = np.cumsum([len(w.encode()) for w in part])
             at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
             sizes.append(np.diff(at, prepend=-1).astype(np.int32))
             values.append(ids)
         for a in range(0, len(others), 10_000):
-            found = self._encode(others[a : a + 10_000])
+            found = self._encode([pieces[i] for i in others[a : a + 10_000].tolist()])
             sizes.append(np.array([len(f) for f in found], np.int32))
             values.append(np.array([i for f in found for i in f], np.int32))
-        self.numbers.update(zip(words + others, range(len(self.numbers), len(self.numbers) + len(pieces))))
-        self.sizes, self.values = np.concatenate(sizes), np.concatenate(values)
-        self.met = np.append(self.met, np.zeros(len(pieces), np.int32))
+        own, ids = np.concatenate(sizes), np.concatenate(values)
+        at = first + np.concatenate((words, others))
+        self.starts, self.sizes, self.met = (_with_room(x, len(self.numbers)) for x in (self.starts, self.sizes, self.met))
+        self.values = _with_room(self.values, self.filled + len(ids))
+        self.starts[at], self.sizes[at] = self.filled + np.cumsum(own, dtype=np.int32) - own, own
+        self.met[at] = 0
+        self.values[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
+        latin = []
         for i, text in enumerate(texts):
             if self._is_foreign(text):
                 out[i] = np.array(self._encode([text])[0], np.int32)  # one at a time: it may be long
             else:
-                cut[i] = self.cut(text)
+                latin.append(i)
         if len(self.numbers) > KNOWN_PIECES:
             self._forget()
-        new = set().union(*cut.values()) - self.numbers.keys() if cut else ()
-        if new:
-            self._learn(sorted(new))
-        starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
-        for i, pieces in cut.items():
-            number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
-            out[i] = self.values[_spans(starts[number], self.sizes[number])]
-            self.met[number] += 1  # once for each text
+        if latin:
+            for i, own in zip(latin, self._laid_out([texts[i] for i in latin])):
+                out[i] = own
         return out
 
+    def _laid_out(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of Latin texts. A text is a sequence of stretches, a stretch one of pieces, a piece one of ids."""
+        column = pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(column, INNER_BLANK).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(column.filter(pa.array(~whole)), " ")
+        flat, bounds = split.flatten(), split.offsets.to_numpy()
+        later = np.ones(len(flat), bool)
+        later[bounds[:-1]] = False  # the first stretch of a text has no blank before it
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        known = coded.dictionary
+        regular = pc.match_substring_regex(known, STRETCH)
+        joined = known.filter(regular)
+        alone = [" " + w for w in known.filter(pc.invert(regular)).to_pylist()]
+        alone += [*flat.filter(pa.array(~later)).to_pylist(), *(t for t, w in zip(texts, whole.tolist()) if w)]
+
+        pieces = self.cut(" ".join(["", *joined.to_numpy(zero_copy_only=False).tolist()]))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        lasts = np.cumsum(pc.utf8_length(joined).to_numpy().astype(np.int64) + 1)
+        counts = np.diff(np.searchsorted(ends, lasts, "right"), prepend=0)
+        cuts = [self.cut(t) for t in alone]
+        pieces += [p for c in cuts for p in c]
+        counts = np.concatenate((counts, np.array([len(c) for c in cuts], np.int64)))
+        number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        if self.numbers.fresh:
+            self._learn()
+        self.met[number] += 1  # once for each batch
+        sizes = self.sizes[number]
+        values = self.values[_spans(self.starts[number], sizes)]
+
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        place = np.zeros(len(known), np.int64)  # of each known stretch among all: first the joined ones
+        regular = regular.to_numpy(zero_copy_only=False)
+        place[regular], place[~regular] = np.arange(len(joined)), np.arange(len(joined), len(known))
+        order = np.zeros(len(flat) + int(whole.sum()), np.int64)
+        order[: len(flat)][later] = place[coded.indices.to_numpy()]
+        order[: len(flat)][~later] = len(known) + np.arange(len(bounds) - 1)
+        order[len(flat) :] = np.arange(len(ends) - 1 - int(whole.sum()), len(ends) - 1)
+        starts, sizes = ends[:-1].astype(np.int32), np.diff(ends).astype(np.int32)
+        laid = values[_spans(starts[order], sizes[order])]
+        at = np.concatenate(([0], np.cumsum(sizes[order])))
+        parts = np.split(laid, at[np.concatenate((bounds[1:], np.arange(len(flat) + 1, len(order) + 1)))][:-1])
+        source = np.concatenate((np.flatnonzero(~whole), np.flatnonzero(whole))).tolist()
+        return [own for _, own in sorted(zip(source, parts), key=lambda x: x[0])]
+
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indexes of consecutive spans, one after the other."""
@@ -163,11 +237,19 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def sized_batches(batches, rows: int = 2_000):
+    """The record batches in pieces of at most `rows` rows and BATCH_BYTES of text, or one row."""
+    for batch in small_batches(batches, rows):
+        sizes = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
+        for a, b in chunks(sizes, BATCH_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _encoded(path: str, end: int, keep: tuple[str, ...]):
     def run(batches):
         encoder = _encoder(path)
         number, begin = TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches, 200):
+        for batch in sized_batches(batches):
             lists = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             sizes = np.array([len(x) + 1 for x in lists], np.int64)
             ends = np.cumsum(sizes)

@@ -70,6 +70,19 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     assert len(encoder.numbers) < 2_000
 
 
+def test_each_stretch_of_a_batch_is_cut_once():
+    encoder, library = token_files.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    found, real = [], encoder.cut
+    encoder.cut = lambda text: found.append(real(text)) or found[-1]
+    rng = random.Random(6)
+    words = [f"wörd{i}," for i in range(200)]
+    texts = [" ".join(rng.sample(words, 200)) for _ in range(50)]
+    odd = ["", " ", "  ", "a  b", "a   b", "x  ", " x", "\n x", "x\n y", "x \ny", "x \n y", "x\xa0 y", "x \xa0y", "x \x85 ", "a\t b", " \n", "don't  you'll"]
+    got = encoder.ids(texts + odd)
+    assert [x.tolist() for x in got] == [e.ids for e in library.encode_batch(texts + odd, add_special_tokens=False)]
+    assert sum(map(len, found)) < 3 * 50 * 200 / 10
+
+
 @pytest.mark.parametrize("ids", token_files.ENCODINGS)
 def test_token_files_of_odd_rows(spark, ids):
     folder = storage.new_folder(spark, "odd")
