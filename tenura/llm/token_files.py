@@ -48,7 +48,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 ENCODINGS = ("dictionary", "delta")
 KNOWN_PIECES = 1 << 20  # beyond, a worker forgets the pieces it has met once
-BATCH_BYTES = 4 << 20  # of texts encoded together
+BATCH_BYTES = 1 << 20  # of texts encoded together
 INNER_BLANK = r"[\t-\r \x{85}\x{a0}] ([\t-\r \x{85}\x{a0}]|\z)"  # a blank between white space, or at its end
 STRETCH = r"\A[^\t-\r \x{85}\x{a0}]"
 _LOADED: dict = {}
@@ -79,10 +79,10 @@ class _Numbers(dict):
 
 
 def _with_room(array: np.ndarray, size: int) -> np.ndarray:
-    """The array with zeros after it, up to `size` at least; its length doubles, so many small additions cost little."""
+    """The array with zeros after it, up to `size` at least; it grows by a quarter, so many small additions cost little."""
     if size <= len(array):
         return array
-    return np.concatenate((array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)))
+    return np.concatenate((array, np.zeros(max(size, len(array) * 5 // 4) - len(array), array.dtype)))
 
 
 class Encoder:
@@ -237,7 +237,7 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def sized_batches(batches, rows: int = 2_000):
+def sized_batches(batches, rows: int = 1_000):
     """The record batches in pieces of at most `rows` rows and BATCH_BYTES of text, or one row."""
     for batch in small_batches(batches, rows):
         sizes = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
