@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura.functions import maths
-from tenura.operators import many, metrics, ml, search
+from tenura.operators import many, metrics, ml, search, splits
 from tenura.plans import scoring
 from tenura.sources import files
 
@@ -177,3 +177,18 @@ def test_retraining_encodes_written_folds(rows, monkeypatch):
     monkeypatch.setattr(many, "encode", lambda df, *args: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *args))
     _, report = scoring.retrain(rows.select("k", "y", "a", "b", "c"), "y", "k", least=0.0)
     assert report.first().promu and plans and "Window" not in plans[0] and "Relation" in plans[0]
+
+
+def test_repetitions_rank_written_rows_in_plans_of_one_size(rows):
+    df, sizes = rows.select("k", "y", "a"), []
+    for repeats in (1, 3):
+        out = splits.repeated_stratified_folds(df, "y", "k", 4, repeats, seed=9)
+        sizes.append(out._jdf.queryExecution().optimizedPlan().toString().count("Window"))
+    assert sizes[0] == sizes[1]
+    given = df.select("*", *[maths.uniform(F.col("k"), 9 + r).alias(f"d{r}") for r in range(3)]).collect()
+    got = {x.k: x for x in out.collect()}
+    assert len(got) == 500 and all((x.y, x.a) == (got[x.k].y, got[x.k].a) for x in given)
+    for r in range(3):
+        for y in (0, 1):
+            placed = sorted((x[f"d{r}"], x.k) for x in given if x.y == y)
+            assert [got[k][f"pli_{r}"] for _, k in placed] == [i % 4 for i in range(len(placed))]
