@@ -192,3 +192,15 @@ def test_repetitions_rank_written_rows_in_plans_of_one_size(rows):
         for y in (0, 1):
             placed = sorted((x[f"d{r}"], x.k) for x in given if x.y == y)
             assert [got[k][f"pli_{r}"] for _, k in placed] == [i % 4 for i in range(len(placed))]
+
+
+def test_fits_and_scores_of_the_same_parts_share_their_preprocessing(rows, monkeypatch):
+    passes, real = [], many._summed
+    monkeypatch.setattr(many, "_summed", lambda rows, partial: passes.append(partial.__qualname__) or real(rows, partial))
+    encoded = many.encode(rows, "y", "k", NUMERIC, LABELS, ["f0"])
+    specs = many.fold_specs(["f0"], 3)
+    many.held_out_scores(encoded, many.fit(encoded, specs)).collect()
+    assert sum("scales" in name for name in passes) == 1
+    whole = many.scales(encoded, [many.Part("f0", 1), many.Part()])  # a part met before and a new one
+    assert sum("scales" in name for name in passes) == 2 and set(whole) == {many.Part("f0", 1), many.Part()}
+    assert whole[many.Part()].n == 500 and whole[many.Part("f0", 1)].n == rows.where("f0 <> 1").count()
