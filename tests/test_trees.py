@@ -102,3 +102,11 @@ def test_rows_without_keys_and_rows_that_come_twice(spark, rows):
     got = search.tree_scores(encoded(odd), jobs)
     assert got.count() == 2 * odd.where("f0 = 2").count() and got.where("p IS NULL OR p < 0 OR p > 1").count() == 0
     assert got.where("p BETWEEN 0.4 AND 0.6").count() < got.count() / 2
+
+
+def test_the_trials_of_a_rung_grow_together(rows, monkeypatch):
+    sizes, real = [], trees.scores
+    monkeypatch.setattr(trees, "scores", lambda enc, names, *args: sizes.append(len(names)) or real(enc, names, *args))
+    draw = lambda family, trial, seed: FOREST | {"arbres": 3, "profondeur": 1 + trial}
+    got = search.random_search(rows, "y", "k", ["a", "b", "d"], ["c"], "f0", families=("foret",), schedule=((4, 1), (2, 3)), draw=draw).collect()
+    assert sizes == [4, 4] and sorted(r.n_plis for r in got) == [1, 1, 3, 3]  # 4 trials on a fold, then 2 on two more
